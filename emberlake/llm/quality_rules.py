@@ -15,33 +15,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
+MARKS = r"[!?]{2,}|\.{4,}|[-_=~]{4,}"
+SHORT = 300  # code points: longer lines are prose, not menus or notices
 WINDOW = 5
 LEAST_WORDS, MOST_REPEAT = 10, 20  # words; per cent of words
-LEAST_KEPT = 60  # per cent of word characters that must survive line cleaning
+LEAST_KEPT = 60  # per cent of the lines' characters that must survive line cleaning
 
 # What marks a line as navigation or boilerplate, in lower case.
-NAVIGATION = r"^\s*(home|menu|next|previous|prev|back|login|log in|sign in|sign up|register|subscribe|share|search|contact|about|skip to content|read more|click here)(\s*[|>»/·•-]\s*\S+|\s)*\s*$"
+NAVIGATION = r"^\s*(home|menu|next|previous|prev|back|login|log in|sign in|sign up|register|subscribe|share|search|contact|about|skip to content|read more|click here)(\s*[|>»/·•-]\s*\S+)*\s*$"
 BOILERPLATE = r"(all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|enable javascript|powered by|©|lorem ipsum)"
 
 
-def _free(text: Column) -> Column:
-    """The text without white space."""
-    return F.translate(text, SPACES, "")
+BLANK = r"[\x20\x09-\x0D]"
 
 
-def words(text: Column) -> Column:
-    """The words as an array; ``split`` leaves an empty string before leading white space."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _covered(w: Column) -> Column:
-    """Words that lie in a window found twice or more.
+def words(text: Column) -> Column:
+    """The words as an array."""
+    bare = F.trim(text, F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK + "+", -1))
 
-    Documents without an equal pair of windows, which are most, end at the distinct count.
-    """
+
+def _windows(w: Column) -> Column:
+    """Hashes of all windows of ``WINDOW`` words."""
     at = F.sequence(F.lit(0), F.size(w) - WINDOW)
-    windows = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+    windows = F.transform(at, lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(WINDOW))))
     return F.when(F.size(w) < WINDOW, F.array().cast("array<bigint>")).otherwise(windows)
 
 
@@ -67,45 +69,43 @@ def _repeat_words(marked: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """A line of symbols, a menu, boilerplate, or one with hardly a letter."""
-    chars = F.length(_free(line))
-    symbols = chars - F.length(F.translate(_free(line), SYMBOLS, ""))
-    low = F.lower(line)
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
+    """Symbols instead of text, no word of two letters, shouting, marks in place of sentences, a menu or boilerplate."""
+    symbols = F.regexp_count(line, F.lit(SYMBOL))
+    marks = F.regexp_count(line, F.lit(MARKS))
+    short = F.length(line) < SHORT
     return (
-        (symbols * 10 > chars)
-        | (letters * 2 < chars)
-        | low.rlike(NAVIGATION)
-        | ((F.length(line) < 300) & low.rlike(BOILERPLATE))
+        ~line.rlike(r"\p{L}\p{L}")
+        | (~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}\p{Lu}.{20}"))
+        | (symbols * 30 > F.length(line))
+        | (marks * 15 > F.length(line))
+        | (short & (F.lower(line).rlike(NAVIGATION) | F.lower(line).rlike(BOILERPLATE)))
     )
 
 
 def judge(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``kept`` and the shares behind the verdict."""
     t = docs.select(F.col(doc).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
-    a = t.select("doc_id", "t", F.length("t").alias("chars"), F.length(_free(F.col("t"))).alias("word_chars"), words(F.col("t")).alias("w"))
-    a = a.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: F.length(_free(x)) > 0)).withColumn("windows", _covered(F.col("w")))
-    a = a.withColumn("marked", _marked(F.col("windows")))
-    lost = F.aggregate(
-        F.filter("lines", line_fails), F.lit(0).cast("long"), lambda acc, x: acc + F.length(_free(x))
-    )
+    a = t.select("doc_id", "t", words(F.col("t")).alias("w"), F.filter(F.split("t", "\n", -1), _has_word).alias("lines"))
+    a = a.withColumn("windows", _windows(F.col("w"))).withColumn("marked", _marked(F.col("windows")))
+    a = a.withColumn("failing", F.filter("lines", line_fails))
     b = a.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.col("word_chars").cast("long").alias("word_chars"),
-        (F.col("chars") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("marked")).alias("n_repeat_words"),
-        lost.alias("lost_chars"),
+        F.length(F.array_join("failing", "")).cast("long").alias("lost_chars"),
+        F.length(F.array_join("lines", "")).cast("long").alias("line_chars"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
     c = b.withColumn("base_failed", failed)
-    return c.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("word_chars") - F.col("lost_chars")) >= LEAST_KEPT * F.col("word_chars")))
+    return c.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("line_chars") - F.col("lost_chars")) >= LEAST_KEPT * F.col("line_chars")))
 
 
 def clean(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that are kept, without their failing lines; all columns of ``docs`` stay."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: (F.length(_free(x)) == 0) | ~line_fails(x))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~_has_word(x) | ~line_fails(x))
     verdict = judge(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), doc="_row", text="_text").where("kept")
     kept = verdict.select(*[F.col("doc_id")[c].alias(c) for c in docs.columns])
     return kept.withColumn(text, F.array_join(lines, "\n"))
@@ -114,22 +114,21 @@ def clean(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFr
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Judge all documents."""
     rows = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", "line_chars")
 
 
 def _sql() -> str:
-    ws, sym = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
-    free = lambda x: f"length(regexp_replace({x}, '{ws}', '', 'g'))"
-    fails = f"""(10 * (length(l) - length(regexp_replace(l, '{sym}', '', 'g'))) > {free('l')}
-      OR 2 * length(regexp_replace(l, '[^\\p{{L}}]', '', 'g')) < {free('l')}
-      OR regexp_matches(lower(l), '{NAVIGATION}')
-      OR (length(l) < 300 AND regexp_matches(lower(l), '{BOILERPLATE}')))"""
+    fails = f"""(NOT regexp_matches(l, '\\p{{L}}\\p{{L}}')
+      OR (NOT regexp_matches(l, '\\p{{Ll}}') AND regexp_matches(l, '\\p{{Lu}}\\p{{Lu}}.{{20}}'))
+      OR 30 * len(regexp_extract_all(l, '{SYMBOL}')) > length(l)
+      OR 15 * len(regexp_extract_all(l, '{MARKS}')) > length(l)
+      OR (length(l) < {SHORT} AND (regexp_matches(lower(l), '{NAVIGATION}') OR regexp_matches(lower(l), '{BOILERPLATE}'))))"""
     return f"""
     WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
     base AS (
-      SELECT doc_id, t, len(w)::BIGINT AS n_words, {free('t')}::BIGINT AS word_chars,
-             (length(t) - length(regexp_replace(t, '{sym}', '', 'g')))::BIGINT AS n_symbols,
-             list_filter(string_split(t, chr(10)), lambda l: {free('l')} > 0) AS lines
+      SELECT doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '{SYMBOL}'))::BIGINT AS n_symbols,
+             list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
       FROM texts),
     windows AS (
       SELECT doc_id, i, w[i:i+4] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) >= 5)),
@@ -138,14 +137,15 @@ def _sql() -> str:
       SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM windows JOIN twice USING (doc_id, win), (SELECT unnest(range(0, 5)) AS k) ks
       GROUP BY doc_id),
     lost AS (
-      SELECT doc_id, sum({free('l')})::BIGINT AS n FROM (SELECT doc_id, unnest(lines) AS l FROM base) WHERE {fails} GROUP BY doc_id),
+      SELECT doc_id, sum(length(l))::BIGINT AS total, coalesce(sum(length(l)) FILTER ({fails}), 0)::BIGINT AS n
+      FROM (SELECT doc_id, unnest(lines) AS l FROM base) GROUP BY doc_id),
     joined AS (
       SELECT b.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-             coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(o.n, 0)::BIGINT AS lost_chars
+             coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(o.n, 0)::BIGINT AS lost_chars, coalesce(o.total, 0)::BIGINT AS line_chars
       FROM base b LEFT JOIN covered c USING (doc_id) LEFT JOIN lost o USING (doc_id)),
     failed AS (SELECT *, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEAT} * n_words) AS base_failed FROM joined)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           (NOT base_failed AND 100 * (word_chars - lost_chars) >= {LEAST_KEPT} * word_chars) AS kept, lost_chars
+           (NOT base_failed AND 100 * (line_chars - lost_chars) >= {LEAST_KEPT} * line_chars) AS kept, lost_chars, line_chars
     FROM failed
     """
 
