@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from emberlake.llm import fingerprints, mixing, quality_rules, secret_scan
+from emberlake.llm import fingerprints, mixing, packing, quality_rules, secret_scan, token_files
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_fingerprint": fingerprints.op2_fingerprint,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op7_token_files": token_files.op7_token_files,
+    "op8_token_counts": token_files.op8_token_counts,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
