@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from emberlake.llm import fingerprints, mixing, packing, quality_rules, secret_scan, token_files
+from emberlake.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, secret_scan, token_files
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_fingerprint": fingerprints.op2_fingerprint,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op7_token_files": token_files.op7_token_files,
     "op8_token_counts": token_files.op8_token_counts,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_scan.SQL,
+    "op3_jaccard_join": jaccard_join.SQL,
     "op4_mix_sources": mixing.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }

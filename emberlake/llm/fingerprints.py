@@ -7,8 +7,8 @@ are then compared byte by byte, by grouping on the canonical bytes themselves, s
 splits a bucket instead of joining two texts. ICU, which Spark ships, does the Unicode work inside
 the JVM through the SQL function ``reflect``.
 
-Defined cases: a null text counts as empty, and empty texts are equal; a null id is kept; repeated
-rows get the same group; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text counts as empty, and empty texts are equal; a null id is kept and comes
+before all others; rows that repeat both id and text count once; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -70,53 +70,55 @@ def groups(prints: DataFrame, members: DataFrame) -> DataFrame:
     return one.unionByName(many)
 
 
-def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, with equal-text groups.
+def edited_prints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each document against its edited text, whose last quarter is the next document's beginning.
 
-    The edited text takes its tail from the next document in ascending doc_id. An exact digest has
-    likeness 1 where the verified canonical bytes agree and 0 elsewhere.
+    Rows ``doc_id, n_chars, fingerprint, next_print, edited_sha256, edited_fingerprint, near_edited`` and
+    ``canon``, the canonical text of those whose fingerprint others share. Texts are shuffled once, by
+    id; the beginnings that documents lend each other go to rows that are already in place.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    prints = materialize(fingerprint(docs), "prints")
-    ordered = with_order(prints, ["doc_id", "n_chars", "fingerprint"], lead=["doc_id", "n_chars", "fingerprint"])
-    ordered = materialize(ordered, "neighbours")
+    texts = docs.select(
+        F.coalesce(F.col(doc), F.lit(-(1 << 63))).alias("k"), F.col(doc).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")
+    ).withColumn("h", F.xxhash64("text"))
+    prints = texts.select("k", "doc_id", "h", F.length("text").cast("long").alias("n_chars"), digest(canonical(F.col("text"))).alias("fingerprint"))
+    prints = materialize(prints.distinct(), "prints")
+    ordered = materialize(with_order(prints, ["k", "h"], lead=["k", "h", "fingerprint"]), "neighbours")
     # the first document follows the last one; a lone document follows itself
-    first = F.broadcast(ordered.where("_pos = 0").select(F.col("doc_id").alias("_f"), F.col("fingerprint").alias("_ff")))  # one row
-    last = F.col("_next_fingerprint").isNull()
-    chain = ordered.crossJoin(first).select(
-        "doc_id", "n_chars", "fingerprint",
-        F.when(last, F.col("_f")).otherwise(F.col("_next_doc_id")).alias("next_id"),
-        F.when(last, F.col("_ff")).otherwise(F.col("_next_fingerprint")).alias("next_print"),
-        F.floor(F.col("n_chars") / 4).cast("int").alias("tail"),
-    )
-    asks = chain.select(F.col("doc_id").alias("asker"), F.col("next_id").alias("giver"), "tail")
-    shared = shared_buckets(prints).withColumn("in_bucket", F.lit(True))
+    first = F.broadcast(ordered.where("_pos = 0").select(F.struct("k", "h", "fingerprint").alias("first")))  # one row
+    follow = F.when(F.col("_next_k").isNull(), F.col("first")).otherwise(
+        F.struct(F.col("_next_k").alias("k"), F.col("_next_h").alias("h"), F.col("_next_fingerprint").alias("fingerprint"))
+    )
+    chain = ordered.crossJoin(first).withColumn("next", follow).withColumn("tail", F.floor(F.col("n_chars") / 4).cast("int"))
+    asks = chain.select(F.col("next.k").alias("k"), F.col("next.h").alias("h"), F.struct("k", "h").alias("asker"), F.col("tail").alias("give"))
+    shared = shared_buckets(prints).withColumn("shared", F.lit(True))
     narrow = materialize(
-        chain.select("doc_id", "n_chars", "fingerprint", "next_print", "tail")
-        .join(asks.select(F.col("giver").alias("doc_id"), "asker", F.col("tail").alias("give")), "doc_id")
+        chain.select("k", "h", "n_chars", "fingerprint", F.col("next.fingerprint").alias("next_print"), "tail")
+        .join(asks, ["k", "h"])
         .join(shared, "fingerprint", "left"),
         "chain",
     )
-    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = texts.join(narrow.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")))
-    heads = own.select(F.col("asker").alias("_asker"), F.substring("text", F.lit(1), F.col("give")).alias("head"))
-    both = own.select("doc_id", "n_chars", "fingerprint", "next_print", "tail", "text").join(
-        heads.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_asker"))
-    )
+    own = texts.join(narrow.withColumnRenamed("h", "_h").hint("shuffle_hash"), "k").where("h = _h")
+    heads = own.select(F.col("asker.k").alias("k"), F.col("asker.h").alias("_asker"), F.substring("text", F.lit(1), F.col("give")).alias("head"))
+    both = own.join(heads.hint("shuffle_hash"), "k").where("h = _asker")
     edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("tail")).cast("int")), "head"))
     edited = edited.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
-    rows = materialize(
-        edited.select(
-            "doc_id", "n_chars", "fingerprint", "next_print",
-            F.sha2("edited", 256).alias("edited_sha256"),
-            digest(F.col("edited_canon")).alias("edited_fingerprint"),
-            (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"),
-        ),
-        "edited",
+    rows = edited.select(
+        "doc_id", "n_chars", "fingerprint", "next_print",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        digest(F.col("edited_canon")).alias("edited_fingerprint"),
+        (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"),
+        F.when(F.col("shared"), F.col("canon")).alias("canon"),
     )
-    members = docs.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
-    members = members.join(shared_buckets(prints), "fingerprint", "left_semi")
-    found = groups(rows, members)
+    return materialize(rows, "edited")
+
+
+def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with equal-text groups.
+
+    An exact digest has likeness 1 where canonical texts agree and 0 elsewhere.
+    """
+    rows = edited_prints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = groups(rows.drop("canon").distinct(), rows.where("canon IS NOT NULL").select("doc_id", "fingerprint", "canon"))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
         (F.col("fingerprint") == F.col("next_print")).cast("double").alias("near_next"), "group_id",
