@@ -10,10 +10,11 @@ Skipping inside index lists: a list is sorted by set size and cut into blocks th
 and greatest size and their least position; a pair of blocks whose best possible overlap, given size
 and position, is too small is skipped as a whole.
 
-Skipping by computed answers: in each list the sets are first compared with one of them, the pivot,
-only. Sets that link to it are one component, so pairs among them decide nothing. For pairs that are
-left, the overlap follows from the pivot's answers up to the small difference to it:
-|x & y| <= |x & P| + |y - P|; only pairs that this leaves open are compared member by member.
+Skipping by computed answers: in each list the sets are first paired with one of them, the pivot,
+only, and each set is compared with two of its pivots. Sets that link so are one component, and pairs
+among them decide nothing. For pairs that are left, the overlap follows from the pivot's answers up to
+the small difference to it: |x & y| <= |x & P| + |y - P|; only pairs that this leaves open are
+compared member by member.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; fewer words than
 a shingle make one shingle of the whole sequence; rows that repeat an id and text come back as often
@@ -34,7 +35,8 @@ from emberlake.storage import materialize, shuffle_width
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # links: DEN * intersection >= NUM * union
-SKETCH_BITS, SLICES = 20, 16  # 2 ** 20 counters of 2 bytes leave each task, whatever its input
+SKETCH_BITS, SLICES = (16, 24), 16  # counters follow the corpus between these powers of two; 16 MB at most
+PER_COUNTER = 16  # members of sets that share a counter, as long as the bound allows
 FILTER_BITS = 23  # a map of 2 ** 23 bits over candidate ids: 1 MB at any size of the input
 CHUNK = 1 << 20  # bytes of text handled at once
 BLOCK = 64  # entries of an index list's block
@@ -129,23 +131,26 @@ def _docs_and_sets(batches):
             yield ids[k : k + 500], shingle_sets(texts.slice(k, 500).to_pylist())
 
 
-def _survey(batches):
-    """Sizes and names of sets, and at the end the task's sketch of member counts."""
-    import numpy as np
-    import pyarrow as pa
+def _survey(bits: int):
+    def run(batches):
+        """Sizes and names of sets, and at the end the task's sketch of member counts."""
+        import zlib
 
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    shift = np.uint64(64 - SKETCH_BITS)
-    none = [None]
-    for ids, sets in _docs_and_sets(batches):
-        flat = np.concatenate(sets)
-        sketch += np.bincount((flat >> shift).astype(np.int64), minlength=len(sketch))
-        n = len(ids)
-        yield pa.RecordBatch.from_pydict({"doc": ids, "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "slice": none * n, "counts": none * n}, schema=_survey_schema())
-    small = np.minimum(sketch, 65535).astype("<u2").reshape(SLICES, -1)
-    yield pa.RecordBatch.from_pydict(
-        {"doc": none * SLICES, "n": none * SLICES, "sid": none * SLICES, "slice": list(range(SLICES)), "counts": [x.tobytes() for x in small]}, schema=_survey_schema()
-    )
+        import numpy as np
+        import pyarrow as pa
+
+        sketch = np.zeros(1 << bits, np.uint8)
+        shift = np.uint64(64 - bits)
+        none = [None]
+        for ids, sets in _docs_and_sets(batches):
+            slot, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
+            sketch[slot] = np.minimum(sketch[slot] + n, 255)
+            k = len(ids)
+            yield pa.RecordBatch.from_pydict({"doc": ids, "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "slice": none * k, "counts": none * k}, schema=_survey_schema())
+        packed = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(SLICES, -1)]
+        yield pa.RecordBatch.from_pydict({"doc": none * SLICES, "n": none * SLICES, "sid": none * SLICES, "slice": list(range(SLICES)), "counts": packed}, schema=_survey_schema())
+
+    return run
 
 
 def _survey_schema():
@@ -154,21 +159,28 @@ def _survey_schema():
     return pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
-def _add_up(rows):
-    import numpy as np
-    import pandas as pd
+def _add_up(bits: int):
+    def run(rows):
+        """The tasks' counters of one slice together, as ranks: eighths of a doubling, one byte each."""
+        import zlib
 
-    total = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
-    for c in rows["counts"]:
-        total += np.frombuffer(c, "<u2")
-    return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "counts": [np.minimum(total, (1 << 31) - 1).astype("<i4").tobytes()]})
+        import numpy as np
+        import pandas as pd
+
+        total = np.zeros((1 << bits) // SLICES, np.int64)
+        for c in rows["counts"]:
+            total += np.frombuffer(zlib.decompress(c), np.uint8)
+        rank = np.minimum(np.floor(8 * np.log2(1 + total)), 255).astype(np.uint8)
+        return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "ranks": [rank.tobytes()]})
+
+    return run
 
 
 def prefix_size(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _postings(commonness, buckets: int):
+def _postings(commonness, bits: int, buckets: int):
     """Index entries of each task, packed by bucket: member (32 bits), set, position."""
 
     def pack(held):
@@ -192,8 +204,8 @@ def _postings(commonness, buckets: int):
     def run(batches):
         import numpy as np
 
-        counts = np.frombuffer(commonness.value, "<i4")
-        shift = np.uint64(64 - SKETCH_BITS)
+        counts = np.frombuffer(commonness.value, np.uint8)
+        shift = np.uint64(64 - bits)
         seen: set[int] = set()
         held, size = ([], [], [], [], []), 0
         for _, sets in _docs_and_sets(batches):
@@ -267,18 +279,18 @@ def _lists(rows):
         ok = _possible(ns[0], ns[1:], ps[0], ps[1:])
         pairs.append(np.stack([np.full(int(ok.sum()), ss[0]), ss[1:][ok]], 1))
         out.append((ss, ns, ps))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
+    pairs, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
     b = int(rows["bucket"].iloc[0])
-    frame = pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1]})
+    frame = pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1], "shared": shared})
     frame["bucket"], frame["list"] = b, None
     frame["sids"] = frame["sizes"] = frame["places"] = None
     lists = pd.DataFrame({"bucket": b, "list": range(len(out)), "sids": [x[0] for x in out], "sizes": [x[1] for x in out], "places": [x[2] for x in out]})
-    lists["x"] = lists["y"] = None
-    cols = ["bucket", "list", "x", "y", "sids", "sizes", "places"]
+    lists["x"] = lists["y"] = lists["shared"] = None
+    cols = ["bucket", "list", "x", "y", "shared", "sids", "sizes", "places"]
     return pd.concat([frame[cols].astype(object), lists[cols].astype(object)]) if out else frame[cols].astype(object)
 
 
-_LISTS = "bucket long, list long, x long, y long, sids array<long>, sizes array<long>, places array<long>"
+_LISTS = "bucket long, list long, x long, y long, shared long, sids array<long>, sizes array<long>, places array<long>"
 
 
 def block_pairs(root, size, place, known):
@@ -361,18 +373,21 @@ def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     """``doc, n_shingles, component`` for each row; linked documents share the smallest id of theirs."""
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
-    survey = materialize(source.mapInArrow(_survey, "doc long, n long, sid long, slice int, counts binary"), "survey")
-    sketch = survey.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInPandas(_add_up, "slice int, counts binary")
-    # SLICES rows of a fixed size reach the driver, for any input
-    parts = {r["slice"]: bytes(r["counts"]) for r in sketch.collect()}
-    empty = bytes(4 * (1 << SKETCH_BITS) // SLICES)
+    size = source.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    least, most = SKETCH_BITS
+    bits = min(most, max(least, (size // (5 * PER_COUNTER)).bit_length()))
+    survey = materialize(source.mapInArrow(_survey(bits), "doc long, n long, sid long, slice int, counts binary"), "survey")
+    sketch = survey.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInPandas(_add_up(bits), "slice int, ranks binary")
+    # 16 MB at most reach the driver and go to tasks, for any input
+    parts = {r["slice"]: bytes(r["ranks"]) for r in sketch.collect()}
+    empty = bytes((1 << bits) // SLICES)
     commonness = spark.sparkContext.broadcast(b"".join(parts.get(i, empty) for i in range(SLICES)))
     named = survey.where("slice IS NULL").select("doc", "n", "sid")
 
     width = shuffle_width(spark)
-    packed = source.select("doc", "text").mapInArrow(_postings(commonness, width), "bucket long, sets long, entries binary")
+    packed = source.select("doc", "text").mapInArrow(_postings(commonness, bits, width), "bucket long, sets long, entries binary")
     lists = materialize(packed.groupBy("bucket").applyInPandas(_lists, _LISTS), "lists")
-    pairs = materialize(lists.where("list IS NULL").select("x", "y").distinct(), "pairs")
+    pairs = materialize(lists.where("list IS NULL").groupBy("x", "y").agg(F.sum("shared").alias("shared")), "pairs")
     long_lists = lists.where("list IS NOT NULL").select("bucket", "list", F.col("sids")[0].alias("pivot"), F.arrays_zip("sids", "sizes", "places").alias("e"))
     entries = long_lists.select("bucket", "list", "pivot", F.explode("e").alias("e")).select("bucket", "list", "pivot", F.col("e.sids").alias("sid"), F.col("e.sizes").alias("size"), F.col("e.places").alias("place"))
 
@@ -405,7 +420,10 @@ def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     found = source.select("doc", "text").mapInArrow(members, "doc long, sid long, members binary")
     sets = materialize(found.join(carriers.hint("shuffle_hash"), ["doc", "sid"]).select("sid", "members"), "sets")
 
-    answers = _compare(pairs, sets)
+    # a first round: each set with its least partner and with the one that shares most of its lists
+    firsts = pairs.groupBy("y").agg(F.array(F.min("x"), F.max_by("x", F.struct("shared", "x"))).alias("xs"))
+    firsts = firsts.select(F.explode(F.array_distinct("xs")).alias("x"), "y")
+    answers = _compare(firsts, sets)
     links = _linked(answers).select(F.col("x").alias("u"), F.col("y").alias("v"))
     roots = materialize(components(links), "roots")
     # what the pivots' answers leave open
@@ -415,7 +433,10 @@ def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     mixed = with_root.groupBy("bucket", "list").agg(
         F.collect_list(F.struct("sid", "root", "size", "place", "known")).alias("entries"), F.min("root").alias("a"), F.max("root").alias("b")
     )
-    open_pairs = materialize(mixed.where("a <> b").select("entries").mapInPandas(_open_pairs, "x long, y long").distinct(), "open")
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = pairs.join(root_of("x"), "x", "left").join(root_of("y"), "y", "left").where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y"))
+    open_pairs = mixed.where("a <> b").select("entries").mapInPandas(_open_pairs, "x long, y long").unionByName(apart.select("x", "y"))
+    open_pairs = materialize(open_pairs.distinct(), "open")
     more = _linked(_compare(open_pairs.join(answers.select("x", "y"), ["x", "y"], "left_anti"), sets)).select(F.col("x").alias("u"), F.col("y").alias("v"))
     tree = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
     final = components(tree.unionByName(more))
