@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from emberlake.llm import fingerprints, fixity, jaccard_join, mixing, packing, quality_rules, secret_scan, token_files
+from emberlake.llm import fingerprints, fixity, jaccard_join, mixing, packing, quality_rules, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_fingerprint": fingerprints.op2_fingerprint,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_warc_fixity": fixity.op6_warc_fixity,
     "op7_token_files": token_files.op7_token_files,
     "op8_token_counts": token_files.op8_token_counts,
