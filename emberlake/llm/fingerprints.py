@@ -92,12 +92,13 @@ def edited_prints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -
     asks = chain.select(F.col("next.k").alias("k"), F.col("next.h").alias("h"), F.struct("k", "h").alias("asker"), F.col("tail").alias("give"))
     shared = shared_buckets(prints).withColumn("shared", F.lit(True))
     narrow = materialize(
-        chain.select("k", "h", "n_chars", "fingerprint", F.col("next.fingerprint").alias("next_print"), "tail")
+        chain.select("k", "h", "doc_id", "n_chars", "fingerprint", F.col("next.fingerprint").alias("next_print"), "tail")
         .join(asks, ["k", "h"])
         .join(shared, "fingerprint", "left"),
         "chain",
     )
-    own = texts.join(narrow.withColumnRenamed("h", "_h").hint("shuffle_hash"), "k").where("h = _h")
+    # the same projection on both sides of the second join, so that Spark reuses one exchange of texts
+    own = texts.select("k", "h", "text").join(narrow.withColumnRenamed("h", "_h").hint("shuffle_hash"), "k").where("h = _h")
     heads = own.select(F.col("asker.k").alias("k"), F.col("asker.h").alias("_asker"), F.substring("text", F.lit(1), F.col("give")).alias("head"))
     both = own.join(heads.hint("shuffle_hash"), "k").where("h = _asker")
     edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("tail")).cast("int")), "head"))
