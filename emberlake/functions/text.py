@@ -19,8 +19,8 @@ def normalize_key(c: Column) -> Column:
 
 
 def display_form(c: Column) -> Column:
-    """Upper case without marks, control and zero-width characters; single spaces."""
-    clean = F.regexp_replace(_bare(c), r"[\p{Cc}\x{200B}-\x{200F}\x{FEFF}]+", "")
+    """Upper case without marks, control and zero-width characters; white space of any kind is one space."""
+    clean = F.regexp_replace(_bare(c), r"[\p{Cc}\x{200B}-\x{200F}\x{FEFF}&&[^\s]]+", "")
     return F.upper(F.trim(F.regexp_replace(clean, r"\s+", " ")))
 
 

@@ -1,4 +1,690 @@
 """Queries over the driver's tables, one or more for each operator, and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from emberlake.functions import scalars, text
+from emberlake.operators import embedding, forecast, joins, leaderboard, models, profiles, sampling, selection, series, stats
+from emberlake.plans.bindings import CLEAN, DET, OBS, PANEL, READ, RUNS, detections, observations, panel, readings, runs, station, table
+from emberlake.sources import tables
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- labels ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {OBS}, {DET},
+best AS (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY city, hour ORDER BY power DESC NULLS LAST, event_id) = 1)
+SELECT city, count(*) AS n_hours, sum((event_id IS NOT NULL)::INT)::BIGINT AS n_positive, round(avg((event_id IS NOT NULL)::INT::DOUBLE), 6) AS rate,
+       round(coalesce(sum(power), 0), 4) AS total_power FROM obs LEFT JOIN best USING (city, hour) GROUP BY city""")
+def hourly_label(spark, d):
+    """Which station-hours had an event, and how often."""
+    best = joins.strongest(detections(spark, d), ["city", "hour"], "power", "event_id")
+    rows = joins.label_observations(observations(spark, d), best, ["city", "hour"], "event_id")
+    return rows.groupBy("city").agg(
+        F.count(F.lit(1)).alias("n_hours"), F.sum(F.col("has_event").cast("long")).alias("n_positive"), F.round(F.avg(F.col("has_event").cast("double")), 6).alias("rate"),
+        F.round(F.coalesce(F.sum("power"), F.lit(0.0)), 4).alias("total_power"),
+    )
+
+
+@query(f"WITH {DET} SELECT city, hour, power, event_id FROM det QUALIFY row_number() OVER (PARTITION BY city, hour ORDER BY power DESC NULLS LAST, event_id) = 1")
+def strongest_event(spark, d):
+    return joins.strongest(detections(spark, d), ["city", "hour"], "power", "event_id")
+
+
+@query("""SELECT event_type, sum(CASE WHEN value >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_one, count(*) AS n_rows FROM events GROUP BY event_type""")
+def label_norm(spark, d):
+    e = table(spark, d, "events").withColumn("y", scalars.label_01(F.col("value"), "double"))
+    return e.groupBy("event_type").agg(F.sum(F.col("y").cast("long")).alias("n_one"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("SELECT toxic AS label, count(*) AS n FROM labels WHERE toxic IN (0, 1) GROUP BY toxic")
+def strict_labels(spark, d):
+    raw = table(spark, d, "labels").select(F.col("toxic").cast("string").alias("label"))
+    return scalars.strict_label(raw, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- text and scalars -------------------------------------------------------------------------------
+
+
+@query("""SELECT key, count(*) AS n FROM (
+SELECT trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key FROM documents) GROUP BY key""")
+def norm_key(spark, d):
+    return table(spark, d, "documents").select(text.normalize_key(F.col("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, upper(trim(regexp_replace(replace(strip_accents(text), 'ß', 'SS'), '\\s+', ' ', 'g'))) AS shown FROM documents")
+def display_name(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.display_form(F.col("text")).alias("shown"))
+
+
+_HOURS = "CASE event_id % 5 WHEN 0 THEN lpad(hour(ts)::VARCHAR, 2, '0') || '00 UTC' WHEN 1 THEN hour(ts)::VARCHAR WHEN 2 THEN hour(ts)::VARCHAR || ':15' WHEN 3 THEN lpad(hour(ts)::VARCHAR, 2, '0') || '30' ELSE 'none' END"
+
+
+@query("SELECT event_id, (CASE WHEN event_id % 5 = 4 THEN 0 ELSE hour(ts) END)::INT AS hour FROM events")
+def hour_parse(spark, d):
+    e = table(spark, d, "events")
+    h = F.hour("ts").cast("string")
+    two, k = F.lpad(h, 2, "0"), F.col("event_id") % 5
+    raw = F.when(k == 0, F.concat(two, F.lit("00 UTC"))).when(k == 1, h).when(k == 2, F.concat(h, F.lit(":15"))).when(k == 3, F.concat(two, F.lit("30"))).otherwise("none")
+    return e.select("event_id", scalars.parse_hour(raw).alias("hour"))
+
+
+@query("SELECT event_id, date_trunc('hour', ts) AS at, date_trunc('hour', ts) AS floored FROM events")
+def hour_stamp(spark, d):
+    e = table(spark, d, "events")
+    built = scalars.hour_timestamp(F.date_format("ts", "yyyy/MM/dd"), F.hour("ts"))
+    return e.select("event_id", built.alias("at"), scalars.floor_hour(F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).alias("floored"))
+
+
+@query(f"""WITH {PANEL} SELECT 'all' AS policy, count(*) AS n FROM panel WHERE NOT (coalesce(a IN (-999, -9999), true) AND coalesce(b IN (-999, -9999), true) AND coalesce(c IN (-999, -9999), true))
+UNION ALL SELECT 'any', count(*) FROM panel WHERE NOT (coalesce(a IN (-999, -9999), false) OR coalesce(b IN (-999, -9999), false) OR coalesce(c IN (-999, -9999), false))""")
+def sentinel_filter(spark, d):
+    p = panel(spark, d)
+    one = lambda policy: scalars.drop_sentinel_rows(p, ["a", "b", "c"], policy).agg(F.lit(policy).alias("policy"), F.count(F.lit(1)).alias("n"))
+    return one("all").unionByName(one("any"))
+
+
+@query(f"WITH {PANEL}, {CLEAN} SELECT year, count(a) AS n_a, count(b) AS n_b, count(c) AS n_c, round(sum(a), 4) AS sum_a FROM clean GROUP BY year")
+def missing_clean(spark, d):
+    p = scalars.clean_missing(panel(spark, d).withColumn("a", F.replace(F.col("a").cast("string"), F.lit("."), F.lit(","))), ["a", "b", "c"])
+    return p.groupBy("year").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count("c").alias("n_c"), F.round(F.sum("a"), 4).alias("sum_a"))
+
+
+@query(f"WITH {PANEL} SELECT year, count(coalesce(a, b)) AS n, sum(coalesce((a <> b)::INT, 0))::BIGINT AS conflicts FROM panel GROUP BY year")
+def spellings_merged(spark, d):
+    p = scalars.coalesce_spellings(panel(spark, d), "a", "b")
+    return p.groupBy("year").agg(F.count("a").alias("n"), F.sum(F.col("a_conflict").cast("long")).alias("conflicts"))
+
+
+_PLACE = "(s_suppkey * 37 % 160) / 10.0 - 20 AS lat, (s_suppkey * 53 % 200) / 10.0 - 60 AS lon"
+
+
+def _places(spark, d):
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", (k * 37 % 160 / 10.0 - 20).cast("double").alias("lat"), (k * 53 % 200 / 10.0 - 60).cast("double").alias("lon"))
+
+
+_PLACES = "places AS (SELECT s_suppkey, s_name, s_nationkey, ((s_suppkey * 37 % 160) / 10.0 - 20)::DOUBLE AS lat, ((s_suppkey * 53 % 200) / 10.0 - 60)::DOUBLE AS lon FROM supplier)"
+
+
+@query(f"""WITH {_PLACES} SELECT s_suppkey, round(2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(-15.0 - lat) / 2), 2)
++ cos(radians(lat)) * cos(radians(-15.0)) * pow(sin(radians(-47.0 - lon) / 2), 2), 1.0))), 2) AS metres FROM places""")
+def haversine(spark, d):
+    m = scalars.haversine(F.col("lat"), F.col("lon"), F.lit(-15.0), F.lit(-47.0))
+    return _places(spark, d).select("s_suppkey", F.round(m, 2).alias("metres"))
+
+
+@query(f"WITH {_PLACES} SELECT count(*) AS n_kept FROM places WHERE lat BETWEEN -16 AND -8 AND lon BETWEEN -55 AND -45")
+def box_filter(spark, d):
+    return _places(spark, d).where(scalars.inside_box(F.col("lat"), F.col("lon"), (-16, -8, -55, -45))).agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+@query("""SELECT l_orderkey % 50 AS g, sum(coalesce((l_quantity > 30)::INT, 0))::BIGINT AS hot, sum((l_quantity < 15)::INT)::BIGINT AS critical,
+sum((l_quantity >= 15 AND l_quantity < 30)::INT)::BIGINT AS low, round(avg(l_tax * l_quantity / (l_quantity + 1)), 6) AS spread FROM lineitem GROUP BY 1""")
+def risk_flags(spark, d):
+    li = table(spark, d, "lineitem")
+    q = F.col("l_quantity")
+    rows = li.withColumns(scalars.risk_flags(q, q, F.col("l_tax")))
+    s = lambda c: F.sum(F.col(c).cast("long"))
+    return rows.groupBy((F.col("l_orderkey") % 50).alias("g")).agg(s("hot").alias("hot"), s("critical_humidity").alias("critical"), s("low_humidity").alias("low"), F.round(F.avg("spread"), 6).alias("spread"))
+
+
+@query(f"""WITH {_PLACES} SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN printf('%.5f_%.5f', lat, lon) ELSE 'event_' || s_suppkey::VARCHAR END AS site FROM places""")
+def site_keys(spark, d):
+    key = F.when(F.col("s_suppkey") % 3 == 0, "nan").otherwise(F.col("s_suppkey").cast("string"))
+    return _places(spark, d).select("s_suppkey", scalars.site_key(key, F.col("lat"), F.col("lon")).alias("site"))
+
+
+@query("""SELECT event_id, round(1 / (1 + exp(-greatest(-50, least(50, value - 30)))), 8) AS p, CASE WHEN event_id % 9 = 0 THEN NULL ELSE least(value, 100.0) END AS clipped FROM events""")
+def sanitized(spark, d):
+    e = table(spark, d, "events")
+    x = F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return e.select("event_id", F.round(scalars.sigmoid(F.col("value") - 30), 8).alias("p"), scalars.sanitize(x, 100.0).alias("clipped"))
+
+
+@query("SELECT event_type, count(*) FILTER (value BETWEEN 0 AND 50) AS n_inside, count(*) AS n FROM events GROUP BY event_type")
+def domain_rules(spark, d):
+    e = scalars.domain_rules(table(spark, d, "events"), {"value": (0.0, 50.0)})
+    return e.groupBy("event_type").agg(F.count("value").alias("n_inside"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_brand, CASE p_size % 2 WHEN 0 THEN 'E radiation knn calculated' ELSE 'C no-radiation dropped' END AS label, 'ewma' AS method, 'humid' AS variable, count(*) AS n
+FROM part GROUP BY p_brand, p_size % 2""")
+def name_labels(spark, d):
+    p = table(spark, d, "part").withColumn("folder", F.when(F.col("p_size") % 2 == 0, "base_E_with_rad_knn_calculated").otherwise("base_C_no_rad_drop_rows"))
+    f = F.lit("tsf_ewma_humid_a05")
+    return p.groupBy("p_brand", text.scenario_label(F.col("folder")).alias("label"), text.method_of(f).alias("method"), text.variable_of(f).alias("variable")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def date_text(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.iso_dates(F.date_format("o_orderdate", "yyyy/MM/dd")).alias("day"))
+
+
+@query("SELECT user_id % 10 AS city, count(*) AS n FROM events WHERE user_id % 10 IN (1, 4) AND year(ts) = 2024 GROUP BY 1")
+def subset_filter(spark, d):
+    e = station(table(spark, d, "events")).where(F.col("city").isin(1, 4) & (F.year("ts") == 2024))
+    return e.groupBy("city").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT try_cast(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_field(spark, d):
+    return table(spark, d, "events").select(F.get_json_object("props", "$.k").try_cast("int").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- joins ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AFRICA')""")
+def biome_semi(spark, d):
+    places = table(spark, d, "nation").join(table(spark, d, "region").where("r_name = 'AFRICA'"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"))
+    return joins.members_only(table(spark, d, "supplier"), places, ["s_nationkey"]).select("s_suppkey", "s_name")
+
+
+@query("""SELECT (c_custkey IS NOT NULL) AS matched, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey GROUP BY 1""")
+def manual_match(spark, d):
+    c = table(spark, d, "customer").where("c_custkey % 3 <> 0").withColumnRenamed("c_custkey", "o_custkey")
+    return joins.join_m1(table(spark, d, "orders"), c, ["o_custkey"]).groupBy("matched").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""SELECT l_suppkey, year(l_shipdate)::INT AS year, CASE WHEN s_suppkey IS NULL THEN 'row' ELSE 'dimension' END AS source, count(*) AS n,
+round(avg(coalesce(s_acctbal, l_tax)), 4) AS v FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 4 <> 0) ON l_suppkey = s_suppkey GROUP BY ALL""")
+def station_dim(spark, d):
+    li = table(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), F.col("l_tax").alias("v"))
+    dim = table(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
+    rows = joins.lookup_with_fallback(li, dim, ["l_suppkey"], {"s_acctbal": "v"})
+    return rows.groupBy("l_suppkey", "year", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("v"))
+
+
+@query(f"""WITH {OBS}, s AS (SELECT user_id % 10 AS city, ts, arg_max(value, event_id) AS v FROM events WHERE event_type = 'signup' GROUP BY 1, 2)
+SELECT obs.city, hour, round(value, 6) AS value, v AS composite FROM obs ASOF LEFT JOIN s ON obs.city = s.city AND obs.hour >= s.ts""")
+def asof_composite(spark, d):
+    s = station(table(spark, d, "events").where("event_type = 'signup'")).select("city", F.col("ts").alias("hour"), F.col("value").alias("composite"), "event_id")
+    rows = joins.as_of(observations(spark, d).select("city", "hour", "value"), s, ["city"], "hour", ["composite"], ["event_id"])
+    return rows.select("city", "hour", F.round("value", 6).alias("value"), "composite")
+
+
+@query("""WITH c AS (SELECT o_custkey, o_totalprice, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1)
+SELECT c_custkey, o_totalprice AS v FROM customer LEFT JOIN c ON c_custkey = o_custkey""")
+def propagate(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("v"), "o_orderkey")
+    return joins.propagate(table(spark, d, "customer").select("c_custkey"), o, ["c_custkey"], ["v"], [F.col("o_orderkey")])
+
+
+@query(f"""WITH {OBS}, e AS (SELECT user_id % 10 AS city, date_trunc('hour', ts) AS hour, avg(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT obs.city, obs.hour, round(obs.value, 6) AS value_a, round(e.value, 6) AS value_b FROM obs JOIN e USING (city, hour)""")
+def scenario_pair(spark, d):
+    b = station(table(spark, d, "events").where("event_type = 'purchase'")).groupBy("city", "hour").agg(F.avg("value").alias("value"))
+    rows = joins.scenario_pair(observations(spark, d), b, ["city", "hour"], ["value"])
+    return rows.select("city", "hour", F.round("value_a", 6).alias("value_a"), F.round("value_b", 6).alias("value_b"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_quantity AS q FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey, l_suppkey, l_extendedprice) = 1)
+SELECT o_orderkey, o_totalprice, q FROM orders LEFT JOIN f ON o_orderkey = l_orderkey""")
+def champion(spark, d):
+    f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").alias("q"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    base = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    order = [F.col("l_linenumber").desc(), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")]
+    return joins.attach_features(base, [f], ["o_orderkey"], order).select("o_orderkey", "o_totalprice", "q")
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, a.n AS n_orders, b.n AS n_lines FROM (SELECT o_orderkey % 1000 AS k, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a
+FULL JOIN (SELECT l_orderkey % 1000 AS k, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1) b ON a.k = b.k""")
+def score_tables(spark, d):
+    a = table(spark, d, "orders").where("o_orderkey % 2 = 0").groupBy((F.col("o_orderkey") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n_orders"))
+    b = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").groupBy((F.col("l_orderkey") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return a.join(b, "k", "full")
+
+
+_SIDES = """a AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'error' AND user_id % 7 <> 0), b AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'view' AND user_id % 5 <> 0),
+sides AS (SELECT k, CASE WHEN k IN (SELECT k FROM b) THEN 'common' ELSE 'left' END AS side FROM a UNION ALL SELECT k, 'right' FROM b WHERE k NOT IN (SELECT k FROM a))"""
+
+
+def _sides(spark, d):
+    e = table(spark, d, "events").withColumnRenamed("user_id", "k")
+    return joins.coverage(e.where("event_type = 'error' AND k % 7 <> 0"), e.where("event_type = 'view' AND k % 5 <> 0"), "k")
+
+
+@query(f"WITH {_SIDES} SELECT k, side FROM sides")
+def coverage(spark, d):
+    return _sides(spark, d)
+
+
+@query(f"""WITH {_SIDES}, c AS (SELECT count(*) FILTER (side = 'common') AS x, count(*) FILTER (side = 'left') AS y, count(*) FILTER (side = 'right') AS z FROM sides)
+SELECT x AS n_common, y AS n_left_only, z AS n_right_only, round(x / (x + y), 6) AS left_share, round(x / (x + z), 6) AS right_share FROM c""")
+def coverage_share(spark, d):
+    return joins.coverage_shares(_sides(spark, d))
+
+
+_GRID = """grid AS (SELECT p_partkey % 3 AS day, (p_partkey // 3 % 45 - 22)::DOUBLE AS lat, (p_partkey // 135 - 60)::DOUBLE AS lon, min(p_retailprice) AS v FROM part GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PLACES}, pts AS (SELECT s_suppkey, s_suppkey % 3 AS day, lat, lon FROM places), {_GRID}
+SELECT s_suppkey, (SELECT v FROM grid g WHERE g.day = p.day AND abs(g.lat - p.lat) <= 0.6 AND abs(g.lon - p.lon) <= 0.6
+ ORDER BY (g.lat - p.lat) * (g.lat - p.lat) + (g.lon - p.lon) * (g.lon - p.lon), g.lat, g.lon LIMIT 1) AS v FROM pts p""")
+def nearest_cell(spark, d):
+    pts = _places(spark, d).select("s_suppkey", (F.col("s_suppkey") % 3).alias("day"), "lat", "lon")
+    k = F.col("p_partkey")
+    grid = table(spark, d, "part").groupBy((k % 3).alias("day"), (F.floor(k / 3) % 45 - 22).cast("double").alias("lat"), (F.floor(k / 135) - 60).cast("double").alias("lon")).agg(F.min("p_retailprice").alias("v"))
+    return joins.nearest_cell(pts, grid, day="day", lat="lat", lon="lon", value="v", step=1.0, tolerance=0.6).select("s_suppkey", "v")
+
+
+@query("""SELECT year, city FROM (SELECT year(o_orderdate)::BIGINT AS year, o_custkey % 20 AS city FROM orders) GROUP BY ALL HAVING year >= 1996 AND city <> 3""")
+def key_sets(spark, d):
+    o = table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("year"), (F.col("o_custkey") % 20).alias("city"))
+    return o.where("year >= 1996").select("year", "city").intersect(o.select("year", "city")).subtract(o.where("city = 3").select("year", "city")).distinct()
+
+
+# --- aggregates ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {OBS} SELECT city, hour, round(value, 6) AS value FROM obs")
+def series_agg(spark, d):
+    e = station(table(spark, d, "events").where(F.col("event_type").isin("view", "click"))).drop("ts")
+    return series.series_mean(e, ["city"], "hour", ["value"]).select("city", "hour", F.round("value", 6).alias("value"))
+
+
+@query("""SELECT l_suppkey, l_returnflag, array_to_string(list_sort(list(DISTINCT year(l_shipdate))), ';') AS years FROM lineitem GROUP BY ALL""")
+def years_string(spark, d):
+    li = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    return tables.biome_dictionary(li, ["l_suppkey"], "l_returnflag", "year")
+
+
+@query("""SELECT l_suppkey, year(l_shipdate)::INT AS year, round(median(l_discount), 6) AS med, count(*) AS n, count(DISTINCT l_tax) AS n_distinct FROM lineitem GROUP BY ALL""")
+def station_median(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(F.round(F.median("l_discount"), 6).alias("med"), F.count(F.lit(1)).alias("n"), F.count_distinct("l_tax").alias("n_distinct"))
+
+
+@query(f"""WITH {READ}, p AS (SELECT city, x, avg(x) OVER (PARTITION BY city ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS guess FROM readings)
+SELECT city, count(*) AS n, round(avg(abs(guess - x)), 4) AS mae, round(avg((guess - x) * (guess - x)), 3) AS mse, round(1 - avg((guess - x) * (guess - x)) / var_pop(x), 5) AS r2
+FROM p WHERE x IS NOT NULL AND guess IS NOT NULL GROUP BY city""")
+def forecast_quality(spark, d):
+    w = Window.partitionBy("city").orderBy("ts", "event_id").rowsBetween(-5, -1)
+    q = stats.forecast_quality(readings(spark, d).withColumn("guess", F.avg("x").over(w)), ["city"], "x", "guess")
+    return q.select("city", "n", F.round("mae", 4).alias("mae"), F.round("mse", 3).alias("mse"), F.round("r2", 5).alias("r2"))
+
+
+@query(f"""WITH {READ}, p AS (SELECT city, date_trunc('day', ts) AS period, sum((event_type = 'error')::INT)::DOUBLE AS y, avg(x) AS x FROM readings GROUP BY 1, 2)
+SELECT 'x' AS variable, count(*) AS n, round(corr(x, y), 6) AS pearson FROM p WHERE x IS NOT NULL""")
+def period_corr(spark, d):
+    r = readings(spark, d).withColumn("y", (F.col("event_type") == "error").cast("int"))
+    c = stats.period_correlation(r, ["city"], "ts", "day", "y", ["x"])
+    return c.select("variable", "n", F.round("pearson", 6).alias("pearson"))
+
+
+_RANKED = """long AS (SELECT label::DOUBLE AS y, f, x FROM clean UNPIVOT (x FOR f IN (a, b, c, e)) WHERE label IS NOT NULL)"""
+
+
+@query(f"""WITH {PANEL}, {CLEAN}, {_RANKED}, r AS (SELECT f, (rank() OVER (PARTITION BY f ORDER BY x) + (count(*) OVER (PARTITION BY f, x) - 1) / 2.0)::DOUBLE AS rx,
+(rank() OVER (PARTITION BY f ORDER BY y) + (count(*) OVER (PARTITION BY f, y) - 1) / 2.0)::DOUBLE AS ry FROM long)
+SELECT f AS feature, count(*) AS n_obs, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY f""")
+def feature_spearman(spark, d):
+    p = scalars.clean_missing(panel(spark, d), ["a", "b", "c", "e"])
+    return stats.spearman_by_feature(p, ["a", "b", "c", "e"], "label").select("feature", "n_obs", F.round("spearman", 6).alias("spearman"))
+
+
+@query(f"""WITH {PANEL}, {CLEAN}, {_RANKED}, r AS (SELECT f, y, least(15, floor((rank() OVER (PARTITION BY f ORDER BY x) + (count(*) OVER (PARTITION BY f, x) - 1) / 2.0 - 0.5) * 16
+/ count(*) OVER (PARTITION BY f))) AS bin FROM long), c AS (SELECT f, y, bin, count(*)::DOUBLE AS c FROM r GROUP BY ALL),
+t AS (SELECT f, c / sum(c) OVER (PARTITION BY f) * ln(c * sum(c) OVER (PARTITION BY f) / (sum(c) OVER (PARTITION BY f, bin) * sum(c) OVER (PARTITION BY f, y))) AS t FROM c)
+SELECT f AS feature, round(greatest(0, sum(t)), 6) AS mutual_information FROM t GROUP BY f""")
+def binned_mi(spark, d):
+    p = scalars.clean_missing(panel(spark, d), ["a", "b", "c", "e"])
+    return stats.binned_mutual_information(p, ["a", "b", "c", "e"], "label").select("feature", F.round("mutual_information", 6).alias("mutual_information"))
+
+
+_NULLS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing, count(*) FILTER ({c} IS NULL AND label = 1) AS in_positives, count(*) FILTER ({c} IS NULL AND label = 0) AS in_negatives, round(count(*) FILTER ({c} IS NULL) / count(*), 6) AS share FROM clean" for c in "abce")
+
+
+@query(f"WITH {PANEL}, {CLEAN} {_NULLS}")
+def null_profile(spark, d):
+    return profiles.null_profile(panel(spark, d), ["a", "b", "c", "e"], "label")
+
+
+@query(f"WITH {PANEL}, {CLEAN} SELECT label, count(*) AS n_rows, count(*) FILTER (a IS NULL OR b IS NULL OR c IS NULL) AS n_missing FROM clean GROUP BY label")
+def row_missing(spark, d):
+    return profiles.row_missing(panel(spark, d), ["a", "b", "c"], "label")
+
+
+@query(f"""WITH {PANEL} SELECT year, count(*) AS n_rows, sum(label)::BIGINT AS n_positive, count(*) FILTER (a IS NULL) AS a_nulls, count(*) FILTER (a IN (-999, -9999)) AS a_codes,
+count(*) FILTER (c IS NULL) AS c_nulls, count(*) FILTER (c IN (-999, -9999)) AS c_codes FROM panel GROUP BY ROLLUP (year)""")
+def scenario_profile(spark, d):
+    return profiles.scenario_profile(panel(spark, d), "year", ["a", "c"], "label")
+
+
+@query(f"""WITH {PANEL}, {CLEAN} SELECT count(*) AS n_rows, count(*) FILTER (a IS NULL OR b IS NULL) AS n_any_missing, sum(label)::BIGINT AS n_positive, min(year) AS first_year, max(year) AS last_year,
+count(*) FILTER (a IS NULL) AS a_missing, count(*) FILTER (b IS NULL) AS b_missing FROM clean""")
+def source_profile(spark, d):
+    return profiles.source_profile(panel(spark, d), ["a", "b"], "year", "label")
+
+
+@query(f"""WITH {PANEL}, k AS (SELECT year, l_orderkey, line, count(*) AS n FROM panel GROUP BY ALL)
+SELECT year, sum(n)::BIGINT AS n_rows, count(*) AS n_keys, round(sum(n) / count(*), 6) AS ratio,
+CASE WHEN sum(n) / count(*) < 1.01 THEN 'OK' WHEN sum(n) / count(*) < 1.10 THEN 'SOFT_DUP' ELSE 'DUPLICATED' END AS status FROM k GROUP BY year""")
+def dup_ratio(spark, d):
+    return profiles.duplicate_ratio(panel(spark, d), "year", ["l_orderkey", "line"])
+
+
+@query(f"""WITH {PANEL}, x AS (SELECT year, count(*) AS rows_a FROM panel WHERE year < 2001 GROUP BY 1), y AS (SELECT year, count(*) AS rows_b FROM panel WHERE year > 1995 AND (year <> 1998 OR line <> 1) GROUP BY 1)
+SELECT coalesce(x.year, y.year) AS year, rows_a, rows_b, rows_b - rows_a AS delta,
+CASE WHEN rows_b - rows_a IS NULL THEN 'N/A' WHEN rows_b = rows_a THEN 'MATCH' WHEN rows_b < rows_a THEN 'FEWER' ELSE 'MORE' END AS status FROM x FULL JOIN y ON x.year = y.year""")
+def row_parity(spark, d):
+    p = panel(spark, d)
+    return profiles.row_parity(p.where("year < 2001"), p.where("year > 1995 AND (year <> 1998 OR line <> 1)"), "year")
+
+
+@query(f"""WITH {PANEL}, n AS (SELECT count(*) AS c FROM panel WHERE label = 0 GROUP BY l_orderkey, line), p AS (SELECT count(*) AS c FROM panel WHERE label = 1 GROUP BY l_orderkey, line, part)
+SELECT 0 AS class, sum(c - 1)::BIGINT AS surplus, count(*) AS n_keys FROM n UNION ALL SELECT 1, sum(c - 1)::BIGINT, count(*) FROM p""")
+def dup_by_class(spark, d):
+    return profiles.duplicates_by_class(panel(spark, d), ["l_orderkey", "line"], "part", "label")
+
+
+@query("SELECT p_type AS raw, lower(p_type) AS normal, count(*) AS n FROM part GROUP BY ALL")
+def city_spellings(spark, d):
+    return profiles.spellings(table(spark, d, "part"), "p_type", text.normalize_key(F.col("p_type")))
+
+
+@query(f"WITH {PANEL} SELECT year, count(*) AS n_rows, sum(label)::BIGINT AS n_positive, round(avg(label::DOUBLE), 6) AS rate, round(avg((a IS NULL)::INT::DOUBLE), 6) AS a_null_share, round(avg((b IS NULL)::INT::DOUBLE), 6) AS b_null_share FROM panel GROUP BY year")
+def year_stats(spark, d):
+    return profiles.year_stats(panel(spark, d), ["year"], "label", ["a", "b"])
+
+
+@query()
+def schema_audit(spark, d):
+    p = panel(spark, d)
+    return profiles.compare_schemas(spark, p.schema, {"lineitem": table(spark, d, "lineitem").schema, "float_panel": p.withColumn("a", F.col("a").cast("float")).drop("e").schema}, ("year",))
+
+
+_CALLED = "s AS (SELECT (event_type = 'error')::INT AS y, value / 400.0 AS p, (value >= 30)::INT AS called FROM events)"
+
+
+def _scored(spark, d):
+    e = table(spark, d, "events")
+    return e.select((F.col("event_type") == "error").cast("int").alias("y"), (F.col("value") / 400.0).alias("p"), (F.col("value") >= 30).cast("int").alias("called"))
+
+
+@query(f"""WITH {_CALLED}, c AS (SELECT count(*) FILTER (y = 1 AND called = 1) AS tp, count(*) FILTER (y = 0 AND called = 1) AS fp, count(*) FILTER (y = 0 AND called = 0) AS tn, count(*) FILTER (y = 1 AND called = 0) AS fn FROM s)
+SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tn / (tn + fp), 6) AS specificity FROM c""")
+def confusion(spark, d):
+    c = stats.confusion(_scored(spark, d), "y", "called")
+    return c.select("tp", "fp", "tn", "fn", *[F.round(x, 6).alias(x) for x in ("accuracy", "precision", "recall", "f1", "specificity")])
+
+
+_CURVE = """k AS (SELECT p, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM s GROUP BY p), c AS (SELECT p, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS P_, sum(neg) OVER () AS N_ FROM k WINDOW w AS (ORDER BY p DESC))"""
+
+
+@query(f"""WITH {_CALLED}, {_CURVE} SELECT round(sum(neg * (tp - pos / 2.0)) / max(P_ * N_), 6) AS roc_auc, round(sum(pos / P_ * (tp / (tp + fp))), 6) AS average_precision,
+round((SELECT avg((p - y) * (p - y)) FROM s), 6) AS brier FROM c""")
+def ap_auc(spark, d):
+    return stats.ranking_metrics(_scored(spark, d), "p", "y").select(*[F.round(x, 6).alias(x) for x in ("roc_auc", "average_precision", "brier")])
+
+
+@query(f"WITH {_CALLED}, {_CURVE} SELECT round(p, 8) AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / P_, 6) AS recall, round(fp / N_, 6) AS fpr, round(tp / (tp + fp), 6) AS \"precision\" FROM c")
+def curve_points(spark, d):
+    c = stats.curve_points(_scored(spark, d), "p", "y")
+    return c.select(F.round("threshold", 8).alias("threshold"), "tp", "fp", *[F.round(x, 6).alias(x) for x in ("recall", "fpr", "precision")])
+
+
+@query("SELECT count(*) AS n, round(corr(l_discount, l_tax), 6) AS pearson, round(avg(abs(l_discount - l_tax)), 6) AS mae FROM lineitem")
+def two_measures(spark, d):
+    a = stats.agreement(table(spark, d, "lineitem"), "l_discount", "l_tax")
+    return a.select("n", F.round("pearson", 6).alias("pearson"), F.round("mae", 6).alias("mae"))
+
+
+@query(f"WITH {RUNS} PIVOT (SELECT model, scenario, pr_auc FROM runs) ON scenario IN (0, 1, 2, 3) USING round(avg(pr_auc), 6) GROUP BY model")
+def metric_pivot(spark, d):
+    p = leaderboard.metric_pivot(runs(spark, d), "scenario", "model", "pr_auc", [0, 1, 2, 3])
+    return p.select("model", *[F.round(str(i), 6).alias(str(i)) for i in range(4)])
+
+
+@query(f"""WITH {PANEL}, t AS (SELECT *, CASE WHEN year > (SELECT max(year) FROM panel) - 2 THEN 'test' ELSE 'train' END AS split FROM panel), k AS (SELECT split, l_orderkey, line, count(*) AS n, sum(label) AS pos, min(year) AS a, max(year) AS b FROM t GROUP BY ALL)
+SELECT split, sum(n)::BIGINT AS n_rows, count(*) AS n_unique, round(sum(n) / count(*), 6) AS dup_ratio, min(a) AS first_year, max(b) AS last_year, sum(pos)::BIGINT AS n_positive, round(sum(pos) / sum(n), 6) AS rate FROM k GROUP BY split""")
+def holdout(spark, d):
+    return profiles.split_summary(sampling.holdout(panel(spark, d), "year", 2), "split", ["l_orderkey", "line"], "year", "label")
+
+
+# --- ordered operators --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {OBS}, w AS (SELECT city, hour, (value >= 60.5)::INT AS wet FROM obs), i AS (SELECT *, sum(wet) OVER (PARTITION BY city ORDER BY hour) AS island FROM w)
+SELECT city, hour, round(sum(1 - wet) OVER (PARTITION BY city, island ORDER BY hour) / 24.0, 6) AS dry_days FROM i""")
+def dry_spell(spark, d):
+    rows = series.dry_spell(observations(spark, d), ["city"], "hour", "value", 60.5)
+    return rows.select("city", "hour", F.round("dry_days", 6).alias("dry_days"))
+
+
+_FOLD = """WITH RECURSIVE {READ}, o AS (SELECT city, ts, event_id, x, row_number() OVER (PARTITION BY city ORDER BY ts) AS i FROM readings),
+f AS (SELECT city, i, event_id, x AS y, 1.0::DOUBLE AS w FROM o WHERE i = 1
+UNION ALL SELECT o.city, o.i, o.event_id,
+ CASE WHEN f.y IS NULL THEN o.x WHEN o.x IS NULL THEN f.y ELSE (f.w * 0.7 * f.y + 0.3 * o.x) / (f.w * 0.7 + 0.3) END,
+ CASE WHEN f.y IS NULL THEN 1.0 WHEN o.x IS NULL THEN f.w * 0.7 ELSE 1.0 END FROM f JOIN o ON o.city = f.city AND o.i = f.i + 1)
+SELECT city, event_id, round(y, 6) AS ewma FROM f"""
+
+
+@query(_FOLD.replace("{READ}", READ))
+def ewma(spark, d):
+    rows = series.ewma(readings(spark, d).select("city", "event_id", "ts", "x"), ["city"], "ts", "x", {"ewma": 0.3})
+    return rows.select("city", "event_id", F.round("ewma", 6).alias("ewma"))
+
+
+@query(f"""WITH {OBS} SELECT city, hour, round(lag(value, 1) OVER w, 6) AS lag_1, round(lag(value, 24) OVER w, 6) AS lag_24 FROM obs WINDOW w AS (PARTITION BY city ORDER BY hour)""")
+def lags(spark, d):
+    rows = series.lags(observations(spark, d), ["city"], "hour", "value", [1, 24])
+    return rows.select("city", "hour", F.round("value_lag_1", 6).alias("lag_1"), F.round("value_lag_24", 6).alias("lag_24"))
+
+
+@query(f"WITH {OBS} SELECT a.city, a.hour, round(b.value, 6) AS day_before FROM obs a LEFT JOIN obs b ON a.city = b.city AND b.hour = a.hour - INTERVAL 24 HOUR")
+def time_lags(spark, d):
+    rows = series.lags(observations(spark, d), ["city"], "hour", "value", [24], time_exact=True)
+    return rows.select("city", "hour", F.round("value_lag_24", 6).alias("day_before"))
+
+
+@query(f"WITH {READ} SELECT event_id, last_value(x IGNORE NULLS) OVER (PARTITION BY city ORDER BY ts ROWS UNBOUNDED PRECEDING) AS x FROM readings")
+def forward_fill(spark, d):
+    return series.forward_fill(readings(spark, d), ["city"], "ts", ["x"]).select("event_id", "x")
+
+
+@query(f"WITH {READ} SELECT event_id, round(sum(coalesce(x, 0)) OVER (PARTITION BY city ORDER BY ts), 3) AS total FROM readings")
+def cumsum(spark, d):
+    return series.running_sum(readings(spark, d), ["city"], "ts", "x", "total").select("event_id", F.round("total", 3).alias("total"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT l_suppkey AS s, year(l_shipdate)::INT AS y, -15 + round(avg(l_discount), 3) / 10 AS lat, -47 + round(avg(l_tax), 3) / 10 AS lon FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY y) AS i FROM p),
+f AS (SELECT s, y, i, lat AS alat, lon AS alon, 1 AS version, 0.0::DOUBLE AS dist FROM o WHERE i = 1
+UNION ALL SELECT s, y, i, CASE WHEN dist > 50 THEN lat ELSE alat END, CASE WHEN dist > 50 THEN lon ELSE alon END, version + (dist > 50)::INT, dist FROM (
+ SELECT o.s, o.y, o.i, o.lat, o.lon, f.alat, f.alon, f.version, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(o.lat - f.alat) / 2), 2) + cos(radians(f.alat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - f.alon) / 2), 2)))) AS dist
+ FROM f JOIN o ON o.s = f.s AND o.i = f.i + 1))
+SELECT s AS station, y AS year, version, round(dist, 1) AS distance_m FROM f""")
+def drift(spark, d):
+    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("year"))
+    p = li.agg((-15 + F.round(F.avg("l_discount"), 3) / 10).alias("lat"), (-47 + F.round(F.avg("l_tax"), 3) / 10).alias("lon"))
+    return series.anchored_drift(p, "station", "year", "lat", "lon").select("station", "year", "version", F.round("distance_m", 1).alias("distance_m"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def dedupe_first(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    return joins.first_per_key(e, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).drop("ts")
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT * FROM lineitem)")
+def dedupe_exact(spark, d):
+    return table(spark, d, "lineitem").dropDuplicates().agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {RUNS} SELECT model, scenario, run, round(pr_auc, 6) AS pr_auc FROM runs QUALIFY row_number() OVER (PARTITION BY model, scenario ORDER BY run DESC) = 1")
+def latest_run(spark, d):
+    return series.latest(runs(spark, d), ["model", "scenario"], ["run"]).select("model", "scenario", "run", F.round("pr_auc", 6).alias("pr_auc"))
+
+
+@query(f"WITH {RUNS} SELECT scenario, model, run, round(pr_auc, 6) AS pr_auc FROM runs QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY pr_auc DESC, model, run) = 1")
+def best_run(spark, d):
+    return leaderboard.best(runs(spark, d), ["scenario"], "pr_auc", ["model", "run"]).select("scenario", "model", "run", F.round("pr_auc", 6).alias("pr_auc"))
+
+
+@query(f"""WITH {RUNS}, s AS (SELECT *, CASE WHEN max(pr_auc) OVER w = min(pr_auc) OVER w THEN 1.0 ELSE (pr_auc - min(pr_auc) OVER w) / (max(pr_auc) OVER w - min(pr_auc) OVER w) END AS x,
+CASE WHEN max(rows_used) OVER w = min(rows_used) OVER w THEN 1.0 ELSE 1 - (rows_used - min(rows_used) OVER w) / (max(rows_used) OVER w - min(rows_used) OVER w) END AS y FROM runs WINDOW w AS (PARTITION BY scenario))
+SELECT model, scenario, run, round(0.7 * x + 0.3 * y, 6) AS composite FROM s""")
+def composite_score(spark, d):
+    rows = series.composite_score(runs(spark, d), ["scenario"], {"pr_auc": 0.7, "rows_used": 0.3}, ("rows_used",))
+    return rows.select("model", "scenario", "run", F.round("composite", 6).alias("composite"))
+
+
+@query(f"WITH {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pr_auc DESC, model, scenario) AS k FROM runs) SELECT run, count(*) AS n, round(avg(pr_auc), 6) AS mean_pr_auc FROM r WHERE k <= 3 GROUP BY run")
+def stage_top_k(spark, d):
+    return leaderboard.top_k_means(runs(spark, d), "run", "pr_auc", ["model", "scenario"], 3).select("run", "n", F.round("mean_pr_auc", 6).alias("mean_pr_auc"))
+
+
+@query(f"WITH {READ} SELECT city, date_trunc('day', ts) AS period, round(avg(x), 6) AS x FROM readings GROUP BY 1, 2")
+def daily_mean(spark, d):
+    return series.resample_mean(readings(spark, d), ["city"], "ts", ["x"]).select("city", "period", F.round("x", 6).alias("x"))
+
+
+@query(f"""WITH {READ} SELECT event_id, CASE WHEN count(x) OVER w = 6 THEN round(avg(x) OVER w, 5) END AS x_win_mean, CASE WHEN count(x) OVER w = 6 THEN round(max(x) OVER w - min(x) OVER w, 5) END AS x_win_range
+FROM readings WINDOW w AS (PARTITION BY city ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""")
+def window_stats(spark, d):
+    rows = series.window_stats(readings(spark, d), ["city"], "ts", "x", 6)
+    return rows.select("event_id", F.round("x_win_mean", 5).alias("x_win_mean"), F.round("x_win_range", 5).alias("x_win_range"))
+
+
+@query("SELECT event_id, ts, value FROM events WHERE event_type = 'error' ORDER BY value DESC, event_id LIMIT 20")
+def top_events(spark, d):
+    return table(spark, d, "events").where("event_type = 'error'").orderBy(F.col("value").desc(), "event_id").limit(20).select("event_id", "ts", "value")
+
+
+# --- scenarios and samples ---------------------------------------------------------------------------------------
+
+
+def _code(c: str) -> str:
+    cols = "a, b, c" if c == "D" else "b, c"
+    return f"SELECT '{c}' AS scenario, count(*) AS n_rows FROM clean WHERE " + " AND ".join(f"{x} IS NOT NULL" for x in cols.split(", "))
+
+
+@query(f"WITH {PANEL}, {CLEAN} SELECT 'A' AS scenario, count(*) AS n_rows FROM clean UNION ALL SELECT 'F', count(*) FROM clean UNION ALL {_code('C')} UNION ALL {_code('D')}")
+def scenarios_af(spark, d):
+    p = scalars.clean_missing(panel(spark, d), ["a", "b", "c"])
+    out = None
+    for code in "AFCD":
+        one = sampling.scenario(p, code, ["a", "b", "c"], "a").agg(F.lit(code).alias("scenario"), F.count(F.lit(1)).alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_HASH = "md5('42|' || {})"
+
+
+@query(f"""WITH {PANEL}, p AS (SELECT *, l_orderkey || '|' || line || '|' || part || '|' || entity AS k FROM panel), neg AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY {_HASH.format('k')}, l_orderkey, line, part, entity) AS r FROM p WHERE label = 0),
+pos AS (SELECT year, sum(label)::BIGINT AS n FROM p GROUP BY year)
+SELECT year, label, count(*) AS n, sum(part)::BIGINT AS parts FROM (SELECT year, label, part FROM p WHERE label = 1 UNION ALL SELECT neg.year, label, part FROM neg JOIN pos USING (year) WHERE r <= ceil(n * 0.5)) GROUP BY ALL""")
+def downsample(spark, d):
+    rows = sampling.downsample(panel(spark, d), "label", ["l_orderkey", "line", "part", "entity"], 0.5, per=["year"])
+    return rows.groupBy("year", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("parts"))
+
+
+@query(f"""WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_HASH.format('o_orderkey')}, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS t FROM orders)
+SELECT o_orderkey, o_orderpriority FROM r WHERE r <= ceil(least(1.0::DOUBLE, 500.0::DOUBLE / t) * n)""")
+def proportional_sample(spark, d):
+    return sampling.proportional_sample(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], ["o_orderkey"], 500)
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i % greatest(1, n // 300) = 0")
+def stride_sample(spark, d):
+    return sampling.stride_sample(table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 300).select("event_id")
+
+
+@query("SELECT year, fold FROM (VALUES (1998, 1), (1999, 2), (2000, 3), (2001, 4)) v(year, fold)")
+def folds(spark, d):
+    return sampling.year_folds(panel(spark, d), "year", "label", 4)
+
+
+def _donors(spark, d):
+    p = scalars.clean_missing(panel(spark, d), ["a", "b", "c", "e"])
+    return p, sampling.choose_donors(p, ["a", "b", "c", "e"], F.col("month"), ["l_orderkey", "line", "part", "entity"], 400)
+
+
+@query()
+def knn_impute(spark, d):
+    p, donors = _donors(spark, d)
+    keys = ["l_orderkey", "line", "part", "entity"]
+    return sampling.knn_impute(p.select(*keys, "a", "b", "c", "e"), ["a", "b", "c", "e"], donors, keys)
+
+
+@query()
+def smote(spark, d):
+    p = panel(spark, d).where("year >= 2001").withColumn("rare", (F.col("part") % 97 == 5).cast("int"))
+    p = p.select("l_orderkey", "line", "part", F.col("e").alias("x"), F.col("label").cast("double").alias("y"), "rare")
+    return sampling.smote(p, "rare", ["x", "y"], ["l_orderkey", "line", "part"])
+
+
+# --- features and models -----------------------------------------------------------------------------------------------
+
+
+@query()
+def rolling_forecast(spark, d):
+    rows = observations(spark, d).select("city", "hour", "value", F.col("n").cast("double").alias("n"))
+    return forecast.rolling_forecast(rows, ["city"], "hour", "value", ["n"], horizon=24, history=120, least=40, lags=(1, 2))
+
+
+@query()
+def window_embedding(spark, d):
+    rows = observations(spark, d).select("city", "hour", "value", F.col("n").cast("double").alias("n"))
+    return embedding.embed(rows, ["city"], "hour", ["value", "n"], length=16)
+
+
+@query()
+def feature_selection(spark, d):
+    p = panel(spark, d).withColumn("a2", F.col("a") * 2)
+    p = scalars.clean_missing(p, ["a", "b", "c", "e", "a2"])
+    return selection.select_features(p.where("year < 2000"), ["a", "b", "c", "e", "a2"], "label", ["l_orderkey", "line", "part"], 3)
+
+
+def _split(spark, d):
+    p = scalars.clean_missing(panel(spark, d), ["c"]).na.drop("any", subset=["c"])
+    return sampling.holdout(p.select("l_orderkey", "line", "part", "year", "c", "e", (F.col("entity") % 10).cast("double").alias("g"), "label"), "year", 2)
+
+
+@query()
+def train_models(spark, d):
+    return models.experiment(_split(spark, d), "D", ["logistic", "naive_bayes", "forest"], ["c", "e", "g"], "label")
+
+
+@query(f"""WITH {PANEL}, {CLEAN}, t AS (SELECT * FROM clean WHERE c IS NOT NULL), m AS (SELECT avg(c) AS m, stddev_pop(c) AS s FROM t)
+SELECT year, round(avg((c - m) / CASE WHEN s > 0 THEN s ELSE 1 END), 6) AS c FROM t, m GROUP BY year""")
+def standard_scale(spark, d):
+    p = scalars.clean_missing(panel(spark, d), ["c"]).na.drop("any", subset=["c"]).select("year", "c")
+    return models.standard_scale(p, ["c"]).groupBy("year").agg(F.round(F.avg("c"), 6).alias("c"))
+
+
+@query(f"WITH {PANEL}, n AS (SELECT label, count(*) AS n FROM panel GROUP BY label) SELECT label, n, round((SELECT sum(n) FROM n) / (2.0 * n), 6) AS weight FROM n")
+def class_weights(spark, d):
+    w = models.class_weights(panel(spark, d).select("label"), "label")
+    return w.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight"))
+
+
+@query("SELECT r_name, '{' || string_agg('\"' || n_name || '\":[\"' || n_nationkey || '\"]', ',' ORDER BY n_name) || '}' AS nested FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def nested_dictionary(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("k", F.col("n_nationkey").cast("string"))
+    return tables.nested_dictionary(n, "r_name", "n_name", "k")
+
+
+@query("SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders WHERE year(o_orderdate) NOT IN (SELECT year(l_shipdate) FROM lineitem WHERE l_linenumber = 1 AND l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08)")
+def pending_years(spark, d):
+    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"))
+    done = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08").select(F.year("l_shipdate").alias("year"), F.lit("done").alias("status")).distinct()
+    return tables.pending_years(o, done)
