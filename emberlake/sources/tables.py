@@ -28,7 +28,7 @@ def read_stations(spark: SparkSession, path: str, drop: tuple[str, ...] = (), en
     lines = raw.select(F.split("t", r"\r?\n").alias("l"))
     value = lambda i: F.trim(F.get(F.split(F.get("l", F.lit(i)), ";"), F.lit(1)))
     files = lines.select(value(2).alias("city"), value(4).alias("lat"), value(5).alias("lon"), F.filter(F.transform(F.split(F.get("l", F.lit(8)), ";"), lambda c: F.trim(c)), lambda c: c != "").alias("names"), F.slice("l", 10, F.greatest(F.size("l") - 9, F.lit(0))).alias("rows"))
-    each = files.select("city", "lat", "lon", "names", F.split(F.explode("rows"), ";").alias("v")).where(F.size("v") >= F.size("names"))
+    each = files.select("city", "lat", "lon", "names", F.explode(F.transform("rows", lambda r: F.split(r, ";"))).alias("v")).where(F.size("v") >= F.size("names"))
     named = each.select("city", "lat", "lon", F.map_from_arrays("names", F.slice("v", F.lit(1), F.size("names"))).alias("m"))
     headers = [r[0] for r in files.select(F.explode("names")).distinct().collect()]  # as many rows as columns
     return named.select("city", "lat", "lon", *[F.trim(F.col("m")[h]).alias(h) for h in sorted(headers) if h not in drop])
