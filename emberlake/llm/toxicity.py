@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from emberlake.llm.gru import Adam, Pooled, sigmoid
 
-SAMPLE, LONGEST = 1200, 30_000
+SAMPLE, LONGEST = 1200, 20_000
 WORD, WINDOW, STRIDE = 16, 48, 32
 CHARS, CHAR_DIM, CHAR_HIDDEN = 256, 8, 8
 BUCKETS, WORD_DIM, HIDDEN = 4096, 6, 8
@@ -163,14 +163,17 @@ def fit(texts: list, labels, prior: float, *, rounds: int = ROUNDS, seed: int =
     if len(set(labels.tolist())) < 2:
         p = min(0.99, max(0.001, prior))
         return {"w": net.w, "slope": [0.0, 0.0], "shift": float(np.log(p / (1 - p)))}
-    keys, starts, ends, cp, counts = split_words(texts)
-    letters = letters_of(starts, ends, cp)
-    windows, owner = windows_of(counts)
-    distinct, code = np.unique(keys, return_inverse=True)
-    at = np.zeros(len(distinct), np.int64)
-    at[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-    keys, letters = distinct, letters[at]
+    parts = []
+    for i in range(0, len(texts), 200):  # the driver holds the code points of few texts at a time
+        k, starts, ends, cp, n = split_words(texts[i : i + 200])
+        u, at = np.unique(k, return_index=True)
+        parts.append((k, n, u, letters_of(starts[at], ends[at], cp)))
+    keys, at = np.unique(np.concatenate([p[2] for p in parts]), return_index=True)
+    letters = np.concatenate([p[3] for p in parts])[at]
+    windows, owner = windows_of(np.concatenate([p[1] for p in parts]))
+    code = np.searchsorted(keys, np.concatenate([p[0] for p in parts]))
     windows = np.where(windows >= 0, code[np.maximum(windows, 0)], -1)  # by distinct word from here on
+    del parts, code
     rng = np.random.default_rng(seed)
     weight = _telling(keys, letters, windows, owner, labels)
     adam = Adam(net.w, RATE)

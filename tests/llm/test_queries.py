@@ -1,0 +1,37 @@
+"""Registered queries against their SQL, and the pipeline's stages, on the smallest tables."""
+
+from __future__ import annotations
+
+import compare
+import pytest
+from conftest import SMALL
+
+from emberlake.llm.catalog import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, duck, name):
+    assert compare.compare(QUERIES[name](spark, SMALL), duck, ORACLE_SQL[name]) == ""
+
+
+def test_toxicity_query(spark):
+    rows = QUERIES["op5_toxicity"](spark, SMALL).collect()
+    assert len(rows) == 200 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = kept
+        kept = stage(spark, kept, SMALL)
+        kept = spark.createDataFrame(kept.collect(), kept.schema)
+        assert kept.columns == docs.columns and kept.count() > 0
+        if name in ("toxicity", "near_duplicates"):
+            assert kept.subtract(before).count() == 0
+        if name == "secrets":
+            assert kept.count() == before.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, SMALL)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").distinct().collect()}
