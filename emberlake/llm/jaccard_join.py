@@ -10,11 +10,11 @@ Skipping inside index lists: a list is sorted by set size and cut into blocks th
 and greatest size and their least position; a pair of blocks whose best possible overlap, given size
 and position, is too small is skipped as a whole.
 
-Skipping by computed answers: in each list the sets are first paired with one of them, the pivot,
-only, and each set is compared with two of its pivots. Sets that link so are one component, and pairs
-among them decide nothing. For pairs that are left, the overlap follows from the pivot's answers up to
-the small difference to it: |x & y| <= |x & P| + |y - P|; only pairs that this leaves open are
-compared member by member.
+Skipping by computed answers: each list has a pivot, the set that most lists hold, and every other set
+of the list is compared with it once; the answer keeps what the set lacks of the pivot and what it adds.
+Pairs of sets that are near the pivot follow from these small differences exactly,
+|x & y| = |P| - |lacks(x) | lacks(y)| + |adds(x) & adds(y)|, and only where their components are still
+apart. All other pairs must first share enough of their prefixes; few are compared member by member.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; fewer words than
 a shingle make one shingle of the whole sequence; rows that repeat an id and text come back as often
@@ -39,7 +39,7 @@ SKETCH_BITS, SLICES = (16, 24), 16  # counters follow the corpus between these p
 PER_COUNTER = 16  # members of sets that share a counter, as long as the bound allows
 FILTER_BITS = 23  # a map of 2 ** 23 bits over candidate ids: 1 MB at any size of the input
 CHUNK = 1 << 20  # bytes of text handled at once
-BLOCK = 64  # entries of an index list's block
+BLOCK = 128  # entries of an index list's block
 NO_ID = -(1 << 63)
 
 
@@ -239,7 +239,7 @@ def _possible(nx, ny, px, py):
 
 
 def _lists(rows):
-    """The index lists of one bucket: candidate pairs with pivots, and lists of three sets or more."""
+    """The index lists of one bucket: lists of two as pairs, and lists of three sets or more."""
     import numpy as np
     import pandas as pd
 
@@ -264,8 +264,8 @@ def _lists(rows):
     length = np.diff(np.append(start, len(t)))
     two = start[length == 2]
     ok = _possible(n[two], n[two + 1], p[two], p[two + 1])
-    pairs = [np.stack([s[two], s[two + 1]], 1)[ok]]
-    # equal lists become one, with the least positions; lists are sorted by set id, so the first is the pivot
+    pairs = np.stack([s[two], s[two + 1]], 1)[ok]
+    # equal lists become one, with the least positions
     many: dict[bytes, list] = {}
     for a, m in zip(start[length > 2].tolist(), length[length > 2].tolist()):
         key = s[a : a + m].tobytes()
@@ -273,36 +273,31 @@ def _lists(rows):
             np.minimum(many[key][1], p[a : a + m], out=many[key][1])
         else:
             many[key] = [n[a : a + m], p[a : a + m].copy()]
-    out = []
-    for key, (ns, ps) in many.items():
-        ss = np.frombuffer(key, "<i8")
-        ok = _possible(ns[0], ns[1:], ps[0], ps[1:])
-        pairs.append(np.stack([np.full(int(ok.sum()), ss[0]), ss[1:][ok]], 1))
-        out.append((ss, ns, ps))
-    pairs, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+    pairs = np.unique(pairs, axis=0)
     b = int(rows["bucket"].iloc[0])
-    frame = pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1], "shared": shared})
+    frame = pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1]})
     frame["bucket"], frame["list"] = b, None
     frame["sids"] = frame["sizes"] = frame["places"] = None
-    lists = pd.DataFrame({"bucket": b, "list": range(len(out)), "sids": [x[0] for x in out], "sizes": [x[1] for x in out], "places": [x[2] for x in out]})
-    lists["x"] = lists["y"] = lists["shared"] = None
-    cols = ["bucket", "list", "x", "y", "shared", "sids", "sizes", "places"]
-    return pd.concat([frame[cols].astype(object), lists[cols].astype(object)]) if out else frame[cols].astype(object)
+    lists = pd.DataFrame({"bucket": b, "list": range(len(many)), "sids": [np.frombuffer(k, "<i8") for k in many], "sizes": [v[0] for v in many.values()], "places": [v[1] for v in many.values()]})
+    lists["x"] = lists["y"] = None
+    cols = ["bucket", "list", "x", "y", "sids", "sizes", "places"]
+    return pd.concat([frame[cols].astype(object), lists[cols].astype(object)]) if many else frame[cols].astype(object)
 
 
-_LISTS = "bucket long, list long, x long, y long, shared long, sids array<long>, sizes array<long>, places array<long>"
+_LISTS = "bucket long, list long, x long, y long, sids array<long>, sizes array<long>, places array<long>"
 
 
-def block_pairs(root, size, place, known):
+def block_pairs(root, size, place, known, settled):
     """Pairs of one index list that may link and lie in different components.
 
-    ``known`` is each set's overlap with the list's pivot, or -1. Entries are sorted by size and cut
-    into blocks; pairs of blocks that cannot reach the threshold are skipped.
+    ``known`` is each set's overlap with the list's pivot, or -1; pairs of two ``settled`` sets are left
+    out. Entries are sorted by size and cut into blocks; pairs of blocks that cannot reach the threshold
+    are skipped.
     """
     import numpy as np
 
     order = np.argsort(size, kind="stable")
-    root, size, place, known = root[order], size[order], place[order], known[order]
+    root, size, place, known, settled = root[order], size[order], place[order], known[order], settled[order]
     heads = range(0, len(size), BLOCK)
     least = np.array([size[h] for h in heads])
     most = np.array([size[h : h + BLOCK].max() for h in heads])
@@ -316,6 +311,7 @@ def block_pairs(root, size, place, known):
                 continue
             x, y = slice(a, a + BLOCK), slice(j * BLOCK, j * BLOCK + BLOCK)
             ok = _possible(size[x, None], size[None, y], place[x, None], place[None, y]) & (root[x, None] != root[None, y])
+            ok &= ~(settled[x, None] & settled[None, y])
             # the pivot's answers bound this pair's overlap from above
             kx, ky, nx, ny = known[x, None], known[None, y], size[x, None], size[None, y]
             most_common = np.minimum(kx + ny - ky, ky + nx - kx)
@@ -327,42 +323,112 @@ def block_pairs(root, size, place, known):
                 yield order[a + r], order[j * BLOCK + c]
 
 
-def _open_pairs(batches):
+def derived_links(root, size, lacks, adds, width: int):
+    """Links among sets near one pivot, from their differences to it; one for each two components it joins.
+
+    ``lacks``: places of the pivot's members (of ``width``) that a set does not have; ``adds``: members
+    beyond the pivot's. Yields positions of linked pairs; components that a link has joined stay joined.
+    """
+    import numpy as np
+
+    label = root.copy()
+    m = len(root)
+    lost = np.zeros((m, width), np.float32)
+    for i, at in enumerate(lacks):
+        lost[i, at] = 1
+    n_lost = lost.sum(1)
+    holders: dict[int, list[int]] = {}
+    for i, more in enumerate(adds):
+        for h in more:
+            holders.setdefault(h, []).append(i)
+    shared = {h: np.array(v) for h, v in holders.items() if len(v) > 1}
+    names, n = np.unique(label, return_counts=True)
+    largest = names[np.argmax(n)]
+    for i in np.flatnonzero(label != largest).tolist():
+        apart = label != label[i]
+        if not apart.any():
+            continue
+        common = width - (n_lost + n_lost[i] - lost @ lost[i])
+        for h in adds[i]:
+            if h in shared:
+                common[shared[h]] += 1
+        ok = apart & (DEN * common >= NUM * (size + size[i] - common))
+        for j in np.flatnonzero(ok).tolist():
+            if label[j] != label[i]:
+                yield i, j
+                a, b = (label[i], label[j]) if label[j] == largest else (label[j], label[i])
+                label[label == a] = b
+
+
+def _settle(batches):
+    """Of each list: links that the pivot's answers give (as components, ``sure``), and pairs left open."""
     import numpy as np
     import pandas as pd
 
     for batch in batches:
-        for entries in batch["entries"]:
+        for width, entries in zip(batch["width"], batch["entries"]):
             cols = {k: np.array([e[k] for e in entries], np.int64) for k in ("sid", "root", "size", "place", "known")}
-            for r, c in block_pairs(cols["root"], cols["size"], cols["place"], cols["known"]):
+            near = np.array([e["lacks"] is not None for e in entries])
+            at = np.flatnonzero(near)
+            out = []
+            if len(at):
+                some = [entries[i] for i in at.tolist()]
+                for i, j in derived_links(cols["root"][at], cols["size"][at], [e["lacks"] for e in some], [list(e["adds"]) for e in some], int(width)):
+                    out.append((int(cols["root"][at[i]]), int(cols["root"][at[j]]), True))
+            for r, c in block_pairs(cols["root"], cols["size"], cols["place"], cols["known"], near):
                 a, b = cols["sid"][r], cols["sid"][c]
-                yield pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b)})
+                out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), [False] * len(a))
+            yield pd.DataFrame(out, columns=["x", "y", "sure"])
+
+
+def _may_link(batches):
+    """Pairs whose prefixes share enough: what lies beyond the prefixes cannot make up for more."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        keep = []
+        for a, b, nx, ny in zip(batch.column("bx"), batch.column("by"), batch.column("nx").to_pylist(), batch.column("ny").to_pylist()):
+            a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
+            most = len(np.intersect1d(a, b, assume_unique=True)) + max(nx - len(a), ny - len(b))
+            keep.append(DEN * most >= NUM * (nx + ny - most))
+        yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep)), batch.column("y").filter(pa.array(keep))], ["x", "y"])
 
 
 def _overlaps(batches):
+    """Exact overlaps; where y is near x, also the places of x's members that it lacks, and what it adds."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        x, y = batch.column("x"), batch.column("y")
-        common = []
+        nx, ny, common, lacks, adds = [], [], [], [], []
         for a, b in zip(batch.column("bx"), batch.column("by")):
             a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-            if len(a) > len(b):
-                a, b = b, a
             at = np.searchsorted(b, a)
             at[at == len(b)] = 0
-            common.append(int((b[at] == a).sum()))
-        nx = [len(a.as_buffer()) // 8 for a in batch.column("bx")]
-        ny = [len(b.as_buffer()) // 8 for b in batch.column("by")]
-        yield pa.RecordBatch.from_arrays([x, y, pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(common, pa.int64())], ["x", "y", "nx", "ny", "common"])
+            has = b[at] == a
+            n = int(has.sum())
+            nx.append(len(a))
+            ny.append(len(b))
+            common.append(n)
+            near = 2 * n > max(len(a), len(b))
+            lacks.append(np.flatnonzero(~has) if near else None)
+            adds.append(np.delete(b, at[has]).view(np.int64) if near else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("x"), batch.column("y"), pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(common, pa.int64()), pa.array(lacks, pa.list_(pa.int64())), pa.array(adds, pa.list_(pa.int64()))],
+            ["x", "y", "nx", "ny", "common", "lacks", "adds"],
+        )
+
+
+def _side_by_side(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    one = pairs.join(sets.select(F.col("sid").alias("x"), F.col(column).alias("bx"), F.col("n").alias("nx")), "x")
+    return one.join(sets.select(F.col("sid").alias("y"), F.col(column).alias("by"), F.col("n").alias("ny")), "y").select("x", "y", "bx", "by", "nx", "ny")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact overlaps of pairs of set ids, members compared in tasks."""
-    one = pairs.join(sets.select(F.col("sid").alias("x"), F.col("members").alias("bx")), "x")
-    two = one.join(sets.select(F.col("sid").alias("y"), F.col("members").alias("by")), "y").select("x", "y", "bx", "by")
-    return materialize(two.mapInArrow(_overlaps, "x long, y long, nx long, ny long, common long"), "overlaps")
+    rows = _side_by_side(pairs, sets, "members").mapInArrow(_overlaps, "x long, y long, nx long, ny long, common long, lacks array<long>, adds array<long>")
+    return materialize(rows, "overlaps")
 
 
 def _linked(overlaps: DataFrame) -> DataFrame:
@@ -387,9 +453,14 @@ def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     width = shuffle_width(spark)
     packed = source.select("doc", "text").mapInArrow(_postings(commonness, bits, width), "bucket long, sets long, entries binary")
     lists = materialize(packed.groupBy("bucket").applyInPandas(_lists, _LISTS), "lists")
-    pairs = materialize(lists.where("list IS NULL").groupBy("x", "y").agg(F.sum("shared").alias("shared")), "pairs")
-    long_lists = lists.where("list IS NOT NULL").select("bucket", "list", F.col("sids")[0].alias("pivot"), F.arrays_zip("sids", "sizes", "places").alias("e"))
-    entries = long_lists.select("bucket", "list", "pivot", F.explode("e").alias("e")).select("bucket", "list", "pivot", F.col("e.sids").alias("sid"), F.col("e.sizes").alias("size"), F.col("e.places").alias("place"))
+    pairs = materialize(lists.where("list IS NULL").select("x", "y").distinct(), "pairs")
+    long_lists = lists.where("list IS NOT NULL").select("bucket", "list", F.explode(F.arrays_zip("sids", "sizes", "places")).alias("e"))
+    entries = long_lists.select("bucket", "list", F.col("e.sids").alias("sid"), F.col("e.sizes").alias("size"), F.col("e.places").alias("place"))
+    # the pivot of a list is the set that most lists hold
+    held = entries.groupBy("sid").agg(F.count(F.lit(1)).alias("held"))
+    ranked = entries.join(held, "sid")
+    pivots = ranked.groupBy("bucket", "list").agg(F.max_by(F.struct(F.col("sid").alias("pivot"), F.col("size").alias("width")), F.struct("held", "sid")).alias("p"))
+    entries = materialize(entries.join(pivots, ["bucket", "list"]).select("bucket", "list", "sid", "size", "place", "p.pivot", "p.width"), "entries")
 
     # members of candidate sets, from one carrier each
     candidates = pairs.select(F.explode(F.array("x", "y")).alias("sid")).unionByName(entries.select("sid")).distinct()
@@ -408,36 +479,41 @@ def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
         import numpy as np
         import pyarrow as pa
 
-        bits = np.frombuffer(wanted.value, np.uint8)
+        filled, counts, shift = np.frombuffer(wanted.value, np.uint8), np.frombuffer(commonness.value, np.uint8), np.uint64(64 - bits)
+        head = lambda s: np.sort(s[np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")[: prefix_size(len(s))]])
         for batch in batches:
             ids = batch.column(0).to_numpy()
             slot = ids % (1 << FILTER_BITS)
-            mask = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            mask = (filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
             kept = batch.filter(pa.array(mask))
             for some, sets in _docs_and_sets([kept]):
-                yield pa.RecordBatch.from_pydict({"doc": some, "sid": [set_id(s) for s in sets], "members": [s.astype("<u8").tobytes() for s in sets]}, schema=pa.schema([("doc", pa.int64()), ("sid", pa.int64()), ("members", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"doc": some, "sid": [set_id(s) for s in sets], "n": [len(s) for s in sets], "head": [head(s).tobytes() for s in sets], "members": [s.tobytes() for s in sets]}, schema=pa.schema([("doc", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("head", pa.binary()), ("members", pa.binary())]))
 
-    found = source.select("doc", "text").mapInArrow(members, "doc long, sid long, members binary")
-    sets = materialize(found.join(carriers.hint("shuffle_hash"), ["doc", "sid"]).select("sid", "members"), "sets")
+    found = source.select("doc", "text").mapInArrow(members, "doc long, sid long, n long, head binary, members binary")
+    sets = materialize(found.join(carriers.hint("shuffle_hash"), ["doc", "sid"]).select("sid", "n", "head", "members"), "sets")
 
-    # a first round: each set with its least partner and with the one that shares most of its lists
-    firsts = pairs.groupBy("y").agg(F.array(F.min("x"), F.max_by("x", F.struct("shared", "x"))).alias("xs"))
-    firsts = firsts.select(F.explode(F.array_distinct("xs")).alias("x"), "y")
-    answers = _compare(firsts, sets)
-    links = _linked(answers).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    stars = entries.where("sid <> pivot").where(DEN * F.least("size", "width") >= NUM * F.greatest("size", "width")).select(F.col("pivot").alias("x"), F.col("sid").alias("y")).distinct()
+    answers = _compare(stars, sets)
+    first = pairs.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), ["x", "y"], "left_anti")
+    others = _compare(_side_by_side(first, sets, "head").mapInArrow(_may_link, "x long, y long"), sets)
+    links = _linked(answers).unionByName(_linked(others)).select(F.col("x").alias("u"), F.col("y").alias("v"))
     roots = materialize(components(links), "roots")
-    # what the pivots' answers leave open
+    # what these answers give for the other pairs of each list, and what they leave open
     with_root = entries.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    known = answers.select(F.col("x").alias("pivot"), F.col("y").alias("sid"), F.col("common").alias("known"))
-    with_root = with_root.join(known, ["pivot", "sid"], "left").withColumn("known", F.when(F.col("pivot") == F.col("sid"), F.col("size")).otherwise(F.coalesce("known", F.lit(-1))))
-    mixed = with_root.groupBy("bucket", "list").agg(
-        F.collect_list(F.struct("sid", "root", "size", "place", "known")).alias("entries"), F.min("root").alias("a"), F.max("root").alias("b")
-    )
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = pairs.join(root_of("x"), "x", "left").join(root_of("y"), "y", "left").where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y"))
-    open_pairs = mixed.where("a <> b").select("entries").mapInPandas(_open_pairs, "x long, y long").unionByName(apart.select("x", "y"))
-    open_pairs = materialize(open_pairs.distinct(), "open")
-    more = _linked(_compare(open_pairs.join(answers.select("x", "y"), ["x", "y"], "left_anti"), sets)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    mixed = with_root.groupBy("bucket", "list").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket", "list")
+    known = answers.select(F.col("x").alias("pivot"), F.col("y").alias("sid"), F.col("common").alias("known"), "lacks", "adds")
+    own = F.col("pivot") == F.col("sid")
+    nothing = F.array().cast("array<long>")
+    told = with_root.join(mixed, ["bucket", "list"]).join(known, ["pivot", "sid"], "left").select(
+        "bucket", "list", "width", "sid", "root", "size", "place", F.when(own, F.col("size")).otherwise(F.coalesce("known", F.lit(-1))).alias("known"),
+        F.when(own, nothing).otherwise(F.col("lacks")).alias("lacks"), F.when(own, nothing).otherwise(F.col("adds")).alias("adds"),
+    )
+    whole = told.groupBy("bucket", "list", "width").agg(F.collect_list(F.struct("sid", "root", "size", "place", "known", "lacks", "adds")).alias("entries"))
+    settled = materialize(whole.select("width", "entries").mapInPandas(_settle, "x long, y long, sure boolean").distinct(), "settled")
+    open_pairs = settled.where("NOT sure").select("x", "y").join(answers.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+    open_pairs = materialize(_side_by_side(open_pairs, sets, "head").mapInArrow(_may_link, "x long, y long"), "open")
+    more = _linked(_compare(open_pairs, sets)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    more = more.unionByName(settled.where("sure").select(F.col("x").alias("u"), F.col("y").alias("v")))
     tree = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
     final = components(tree.unionByName(more))
     of_set = named.where("n > 0").select("sid", "doc").join(final.withColumnRenamed("node", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "sid", "doc")

@@ -174,11 +174,29 @@ def test_block_skipping_is_exact():
     n = 200
     size, place, root = rng.integers(5, 60, n), rng.integers(0, 6, n), rng.integers(0, 50, n)
     known = np.full(n, -1)
-    got = {tuple(sorted(p)) for r, c in jaccard_join.block_pairs(root, size, place, known) for p in zip(r.tolist(), c.tolist())}
+    got = {tuple(sorted(p)) for r, c in jaccard_join.block_pairs(root, size, place, known, np.zeros(n, bool)) for p in zip(r.tolist(), c.tolist())}
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j] and jaccard_join._possible(size[i], size[j], place[i], place[j])}
     assert got == want
 
 
+def test_derived_links_are_exact():
+    rng = np.random.default_rng(3)
+    pivot = np.arange(100)
+    sets = [set(pivot[rng.random(100) > q].tolist()) | set(rng.integers(100, 130, rng.integers(0, 15)).tolist()) for q in rng.random(80) * 0.25]
+    lacks = [[k for k in range(100) if k not in s] for s in sets]
+    adds = [[k for k in s if k >= 100] for s in sets]
+    size = np.array([len(s) for s in sets])
+    root = np.arange(80)
+    label = root.copy()
+    for i, j in jaccard_join.derived_links(root, size, lacks, adds, 100):
+        assert 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+        label[label == label[i]] = label[j]
+    for i in range(80):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                assert label[i] == label[j]
+
+
 def test_near_duplicate_stage(spark, edge, none):
     out = jaccard_join.one_of_each(edge)
     assert out.columns == edge.columns and out.where("doc_id = 5").count() == 1 and out.where("doc_id = 13").count() == 0
