@@ -163,3 +163,22 @@ def year_folds(df: DataFrame, year: str, label: str, folds: int) -> DataFrame:
         if all(sum(p for _, p in t) > 0 for t in tests):
             return df.sparkSession.createDataFrame([(y, i + 1) for i, t in enumerate(tests) for y, _ in t], f"{year} int, fold int")
     raise ValueError("fewer than two folds have a positive")
+
+
+def least_missing(one: DataFrame, two: DataFrame, key: str, columns: list[str], n: int) -> DataFrame:
+    """The ``n`` keys present in both tables whose columns have the fewest gaps, gaps of both averaged."""
+    gap = lambda df, name: df.groupBy(key).agg((sum((F.avg(F.col(c).isNull().cast("double")) for c in columns), F.lit(0.0)) / len(columns)).alias(name))
+    both = gap(one, "gap_a").join(gap(two, "gap_b"), key).withColumn("gap_share", (F.col("gap_a") + F.col("gap_b")) / 2)
+    return both.orderBy("gap_share", key).limit(n)
+
+
+def impute_by_month(df: DataFrame, features: list[str], month: str, keys: list[str], k: int = 5, least: int = 40_000, most: int = 80_000) -> DataFrame:
+    """Impute large months from their own donors; small and unknown months form one group."""
+    sizes = {r[month]: r["count"] for r in df.groupBy(month).count().collect()}  # thirteen rows at most
+    large = [m for m, n in sizes.items() if m is not None and n >= least]
+    groups = [df.where(F.col(month) == m) for m in large] + [df.where(F.col(month).isNull() | ~F.col(month).isin(large)) if large else df]
+    out = None
+    for g in groups:
+        one = knn_impute(g, features, choose_donors(g, features, F.col(month), keys, most), keys, k)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -63,3 +63,12 @@ def select_features(train: DataFrame, features: list[str], label: str, keys: lis
     order = [r["feature"] for r in ranking.orderBy("rank").collect()]
     accepted, redundant = greedy(order, correlations(clean, kept, keys), top_k)
     return ranking.withColumn("redundant", F.col("feature").isin(redundant)).withColumn("selected", F.col("feature").isin(accepted))
+
+
+def feature_columns(df: DataFrame, base: list[str], slow: dict[str, list[str]], mode: str) -> list[str]:
+    """Base columns that exist, every ``tsf_`` column, and the slow series' columns of a mode (``all`` takes every mode)."""
+    have = set(df.columns)
+    chosen = [c for k, cols in slow.items() if mode in (k, "all") for c in cols]
+    only_slow = mode == "slow_only"
+    wanted = [c for cols in slow.values() for c in cols] if only_slow else [*base, *sorted(c for c in have if c.startswith("tsf_")), *chosen]
+    return [c for c in dict.fromkeys(wanted) if c in have]

@@ -139,3 +139,17 @@ def agreement(df: DataFrame, one: str, two: str) -> DataFrame:
     """Pearson and MAE of two measurements on rows with both."""
     both = df.where(F.col(one).isNotNull() & F.col(two).isNotNull())
     return both.agg(F.count(F.lit(1)).alias("n"), F.corr(one, two).alias("pearson"), F.avg(F.abs(F.col(one) - F.col(two))).alias("mae"))
+
+
+def with_p_values(df: DataFrame, r: str, n: str, out: str = "p_value") -> DataFrame:
+    """Two-sided p-values of a table of correlations."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def tail(rs, ns):
+        import pandas as pd
+
+        return pd.Series([t_tail(None if x != x else float(x), int(m)) for x, m in zip(rs, ns)], dtype="float64")
+
+    p = tail(F.col(r), F.col(n))
+    return df.withColumn(out, F.when(F.col(r).isNotNull() & (F.col(n) >= 3), p))

@@ -688,3 +688,18 @@ def pending_years(spark, d):
     o = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"))
     done = table(spark, d, "lineitem").where("l_linenumber = 1 AND l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08").select(F.year("l_shipdate").alias("year"), F.lit("done").alias("status")).distinct()
     return tables.pending_years(o, done)
+
+
+@query(f"""WITH {PANEL}, g AS (SELECT entity, (avg((a IS NULL)::INT::DOUBLE) + avg((b IS NULL)::INT::DOUBLE)) / 2 AS x FROM panel WHERE year = 1996 GROUP BY entity),
+h AS (SELECT entity, (avg((a IS NULL)::INT::DOUBLE) + avg((b IS NULL)::INT::DOUBLE)) / 2 AS y FROM panel WHERE year = 1997 GROUP BY entity)
+SELECT entity FROM g JOIN h USING (entity) ORDER BY round((x + y) / 2, 9), entity LIMIT 5""")
+def sample_cities(spark, d):
+    p = panel(spark, d)
+    rows = sampling.least_missing(p.where("year = 1996"), p.where("year = 1997"), "entity", ["a", "b"], 1_000_000)
+    return rows.orderBy(F.round("gap_share", 9), "entity").limit(5).select("entity")
+
+
+@query()
+def feature_p_values(spark, d):
+    p = scalars.clean_missing(panel(spark, d), ["a", "b", "c", "e"])
+    return stats.with_p_values(stats.spearman_by_feature(p, ["a", "b", "c", "e"], "label"), "spearman", "n_obs")

@@ -225,3 +225,11 @@ def test_sources(spark, tmp_path):
     assert got.dtypes == [("v", "float")] and lacking == ["w"]
     tables.append_issues(spark.createDataFrame([("t", "s", "i", "warn", "m")], "at string, stage string, item string, severity string, message string"), str(tmp_path / "i"))
     assert spark.read.parquet(str(tmp_path / "i")).count() == 1
+
+
+def test_feature_sets_and_months(spark):
+    df = spark.createDataFrame([(1, 1, 2.0, None), (2, 1, 1.0, 4.0), (3, 2, None, 5.0), (4, None, 3.0, 6.0)], "id int, month int, a double, tsf_b double")
+    assert selection.feature_columns(df, ["a", "zz"], {"points": ["month"]}, "points") == ["a", "tsf_b", "month"]
+    assert selection.feature_columns(df, ["a"], {"points": ["month"]}, "slow_only") == ["month"]
+    out = {r.id: (r.a, r.tsf_b) for r in sampling.impute_by_month(df, ["a", "tsf_b"], "month", ["id"], k=1, least=2).collect()}
+    assert out[1] == (2.0, 4.0) and out[3] == (3.0, 5.0) and out[4] == (3.0, 6.0)
