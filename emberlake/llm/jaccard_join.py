@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm.components import components
@@ -142,13 +142,16 @@ def _survey(bits: int):
         sketch = np.zeros(1 << bits, np.uint8)
         shift = np.uint64(64 - bits)
         none = [None]
-        for ids, sets in _docs_and_sets(batches):
-            slot, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
-            sketch[slot] = np.minimum(sketch[slot] + n, 255)
-            k = len(ids)
-            yield pa.RecordBatch.from_pydict({"doc": ids, "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "slice": none * k, "counts": none * k}, schema=_survey_schema())
+        for batch in batches:
+            at = 0
+            for ids, sets in _docs_and_sets([batch]):
+                slot, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
+                sketch[slot] = np.minimum(sketch[slot] + n, 255)
+                k = len(ids)
+                yield pa.RecordBatch.from_pydict({"doc": ids, "digest": batch.column(2).slice(at, k), "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "slice": none * k, "counts": none * k}, schema=_survey_schema())
+                at += k
         packed = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(SLICES, -1)]
-        yield pa.RecordBatch.from_pydict({"doc": none * SLICES, "n": none * SLICES, "sid": none * SLICES, "slice": list(range(SLICES)), "counts": packed}, schema=_survey_schema())
+        yield pa.RecordBatch.from_pydict({"doc": none * SLICES, "digest": none * SLICES, "n": none * SLICES, "sid": none * SLICES, "slice": list(range(SLICES)), "counts": packed}, schema=_survey_schema())
 
     return run
 
@@ -156,7 +159,7 @@ def _survey(bits: int):
 def _survey_schema():
     import pyarrow as pa
 
-    return pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    return pa.schema([("doc", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("sid", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 def _add_up(bits: int):
@@ -435,20 +438,28 @@ def _linked(overlaps: DataFrame) -> DataFrame:
     return overlaps.where(DEN * F.col("common") >= NUM * (F.col("nx") + F.col("ny") - F.col("common")))
 
 
-def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, n_shingles, component`` for each row; linked documents share the smallest id of theirs."""
-    spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
+def _id(doc: str) -> Column:
+    return F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID))
+
+
+def _digest(text: str) -> Column:
+    """Tells texts of one id apart; null differs from empty."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
+
+
+def linked_sets(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``doc, text, digest``: each row's ``doc, digest, n, sid``, and ``node, root`` of linked set ids."""
+    spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     least, most = SKETCH_BITS
     bits = min(most, max(least, (size // (5 * PER_COUNTER)).bit_length()))
-    survey = materialize(source.mapInArrow(_survey(bits), "doc long, n long, sid long, slice int, counts binary"), "survey")
+    survey = materialize(source.mapInArrow(_survey(bits), "doc long, digest string, n long, sid long, slice int, counts binary"), "survey")
     sketch = survey.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInPandas(_add_up(bits), "slice int, ranks binary")
     # 16 MB at most reach the driver and go to tasks, for any input
     parts = {r["slice"]: bytes(r["ranks"]) for r in sketch.collect()}
     empty = bytes((1 << bits) // SLICES)
     commonness = spark.sparkContext.broadcast(b"".join(parts.get(i, empty) for i in range(SLICES)))
-    named = survey.where("slice IS NULL").select("doc", "n", "sid")
+    named = survey.where("slice IS NULL").select("doc", "digest", "n", "sid")
 
     width = shuffle_width(spark)
     packed = source.select("doc", "text").mapInArrow(_postings(commonness, bits, width), "bucket long, sets long, entries binary")
@@ -515,7 +526,12 @@ def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     more = _linked(_compare(open_pairs, sets)).select(F.col("x").alias("u"), F.col("y").alias("v"))
     more = more.unionByName(settled.where("sure").select(F.col("x").alias("u"), F.col("y").alias("v")))
     tree = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
-    final = components(tree.unionByName(more))
+    return named, components(tree.unionByName(more))
+
+
+def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, n_shingles, component`` for each row; linked documents share the smallest id of theirs."""
+    named, final = linked_sets(docs.select(_id(doc).alias("doc"), F.col(text).alias("text"), F.lit(None).cast("string").alias("digest")))
     of_set = named.where("n > 0").select("sid", "doc").join(final.withColumnRenamed("node", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "sid", "doc")
     least = of_set.groupBy("root").agg(F.min("doc").alias("component"))
     by_sid = of_set.select("sid", "root").distinct().join(least, "root").select("sid", "component")
@@ -530,13 +546,19 @@ def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: its smallest id. All columns stay; empty texts stay."""
-    rows = jaccard_components(docs)
-    keep = rows.where("doc = component").select(F.col("doc").alias("_keep")).distinct()
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    joined = docs.withColumn("_key", key).join(keep.hint("shuffle_hash"), F.col("_key") == F.col("_keep"), "left_semi")
-    # rows that repeat the kept id are copies too
-    once = joined.select("_key", F.struct(*docs.columns).alias("_row")).groupBy("_key").agg(F.first("_row").alias("_row"))
+    """``docs`` with one row of each component: its smallest id, then the smallest SHA-256 of a text.
+
+    A row is named by id and text, so texts that share an id, or have none, are decided each on its own;
+    rows that repeat an id and text are copies. All columns stay; empty texts stay.
+    """
+    named, final = linked_sets(docs.select(_id("doc_id").alias("doc"), "text", _digest("text").alias("digest")))
+    name = F.struct("doc", "digest")
+    of_set = named.where("n > 0").groupBy("sid").agg(F.min(name).alias("name"))
+    rooted = of_set.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    keep = rooted.groupBy("root").agg(F.min("name").alias("name")).select("name").unionByName(named.where("n = 0").select(name.alias("name")).distinct())
+    keep = keep.select(F.col("name.doc").alias("_doc"), F.col("name.digest").alias("_digest"))
+    joined = docs.withColumns({"_key": _id("doc_id"), "_text": _digest("text")}).join(keep.hint("shuffle_hash"), (F.col("_key") == F.col("_doc")) & (F.col("_text") == F.col("_digest")), "left_semi")
+    once = joined.select("_key", "_text", F.struct(*docs.columns).alias("_row")).groupBy("_key", "_text").agg(F.first("_row").alias("_row"))
     return once.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 

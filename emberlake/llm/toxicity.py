@@ -289,19 +289,18 @@ class Scorer:
 _SCORERS: dict = {}
 
 
-def score(docs: DataFrame, model: dict, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, score`` for each row."""
+def _with_scores(docs: DataFrame, model: dict, text: str, schema: str, result):
+    """``result(batch, scores)`` of each Arrow batch of ``docs``."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    place = docs.columns.index(text)
 
     def run(batches):
-        import pyarrow as pa
-
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)
         scorer = _SCORERS[key]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(place).to_pylist()
             at, out = 0, []
             while at < len(texts):
                 size, upto = 0, at
@@ -310,10 +309,21 @@ def score(docs: DataFrame, model: dict, *, doc: str = "doc_id", text: str = "tex
                     upto += 1
                 out.append(scorer.score(texts[at:upto]))
                 at = upto
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
+            yield result(batch, np.concatenate(out) if out else np.zeros(0))
+
+    return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: dict, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, score`` for each row."""
+
+    def result(batch, scores):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)[doc]
-    return docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return _with_scores(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), model, "text", f"doc_id {kind}, score double", result)
 
 
 def held_out(doc: str) -> Column:
@@ -341,7 +351,12 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents scored as toxic; all columns stay, null ids are scored by text like others."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    bad = score(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD).select(key.alias("_bad")).distinct()
-    return docs.withColumn("_key", key).join(bad.hint("shuffle_hash"), F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    """``docs`` without the documents scored as toxic; all columns stay, each row goes by its own text, whatever its id."""
+    threshold = THRESHOLD
+
+    def result(batch, scores):
+        import pyarrow as pa
+
+        return batch.filter(pa.array(scores < threshold))
+
+    return _with_scores(docs, train(docs, labels), "text", docs.schema, result)

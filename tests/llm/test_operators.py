@@ -203,6 +203,19 @@ def test_near_duplicate_stage(spark, edge, none):
     assert jaccard_join.one_of_each(none).count() == 0
 
 
+def test_near_duplicate_stage_names_rows_by_id_and_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(None, "alpha beta gamma"), (None, "one two three four five six"), (None, "one two three four five six"), (1, " ".join(base)), (2, near), (2, "a text of its own under an id"), (3, "one two three four five six"), (None, None), (None, ""), (4, ""), (4, " ")]
+    rows += [(None, f"word{i} and more{i} of it{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    unique = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest() if r[1] is not None else ""))
+    found = components_of([t for _, t in unique])
+    want = {unique[i] for i, (n, root) in found.items() if not n or root == i}
+    got = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # --- 4 ---
 
 
@@ -299,6 +312,18 @@ def test_toxicity_learns_stems(spark, edge, none):
     assert 0 < toxicity.Scorer(flat).score([None])[0] < 0.3
 
 
+def test_toxicity_stage_decides_by_text(spark, monkeypatch):
+    texts = [f"some words {i} of many kinds " * (1 + i % 7) for i in range(24)]
+    model = toxicity.fit([f"{t} vile" if i % 2 else t for i, t in enumerate(texts)], [i % 2 for i in range(24)], 0.5)
+    scores = toxicity.Scorer(model).score(texts)
+    monkeypatch.setattr(toxicity, "THRESHOLD", float(np.median(scores)))
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: model)
+    docs = spark.createDataFrame([(None if i < 12 else 7, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row int").repartition(3)
+    got = toxicity.without_toxic(docs, None)
+    assert got.columns == docs.columns
+    assert {r.row for r in got.collect()} == {i for i, x in enumerate(scores) if x < toxicity.THRESHOLD}
+
+
 # --- 6 ---
 
 
