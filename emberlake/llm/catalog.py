@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_warc_fixity": fixity.op6_warc_fixity,
+    "op6_replica_damage": fixity.op6_replica_damage,
     "op7_token_files": token_files.op7_token_files,
     "op8_token_counts": token_files.op8_token_counts,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op3_jaccard_join": jaccard_join.SQL,
     "op4_mix_sources": mixing.SQL,
     "op6_warc_fixity": fixity.SQL,
+    "op6_replica_damage": fixity.DAMAGE_SQL,
     "op10_quality_rules": quality_rules.SQL,
 }

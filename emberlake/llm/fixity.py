@@ -6,6 +6,11 @@ a node hashes its children's hashes in order with the range of offsets that they
 compared root by root; below roots that differ only the children of differing nodes are compared,
 level by level, until the damaged records are found. Trees have a fan-out of ``FANOUT``.
 
+The first replica's records are its manifest. A record of another replica takes the file, leaf and
+offset that the manifest names for its page id, whatever came before it in the replica, so a record
+that is shorter, missing or added changes no other record's place. Records of one page id match by
+content first, then in order; records that the manifest lacks go to files after its last.
+
 Defined cases: null url or html count as empty; a null page id is kept and sorts first in its file;
 repeated rows are records of their own (ordered by content); an empty table gives no rows; other
 columns of the input are not read.
@@ -34,18 +39,59 @@ def record(page: Column, url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
+ORDER = ["page_id", "record_sha256", "size"]
+
+
+def _records(pages: DataFrame, page: str, url: str, html: str) -> DataFrame:
+    text = record(F.col(page), F.col(url), F.col(html))
+    return pages.select(F.col(page).alias("page_id"), text.alias("r")).select("page_id", F.octet_length("r").cast("long").alias("size"), F.sha2("r", 256).alias("record_sha256"))
+
+
+def _in_files(records: DataFrame, first: int = 0) -> DataFrame:
+    """Files of ``FILE_RECORDS`` records in page order, numbered from ``first``."""
+    placed = with_order(records, ORDER, sums={"bytes": "size"})
+    placed = placed.withColumn("file", F.floor(F.col("_pos") / FILE_RECORDS) + F.lit(first).cast("long"))
+    starts = placed.groupBy("file").agg(F.min("_before_bytes").alias("_start"))
+    rows = placed.join(starts, "file")
+    return rows.select("file", (F.col("_pos") % FILE_RECORDS).alias("leaf"), "page_id", (F.col("_before_bytes") - F.col("_start")).alias("offset"), "size", "record_sha256")
+
+
+def _identified(records: DataFrame) -> DataFrame:
+    """Add ``_id``: the page id as a text that is never null."""
+    return records.withColumn("_id", F.coalesce(F.concat(F.lit("="), F.col("page_id").cast("string")), F.lit("")))
+
+
+def _nth(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_nth``: a row's place among those of its keys, which stand together in ``_pos``."""
+    first = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    return placed.join(first, keys).withColumn("_nth", F.col("_pos") - F.col("_first")).drop("_first")
+
+
 def leaves(pages: DataFrame, *, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Records of a replica: ``file, leaf, page_id, offset, size, record_sha256``.
 
     Files take runs of ``FILE_RECORDS`` records in page order; offsets restart in each file.
     """
-    text = record(F.col(page), F.col(url), F.col(html))
-    narrow = pages.select(F.col(page).alias("page_id"), text.alias("r")).select("page_id", F.octet_length("r").cast("long").alias("size"), F.sha2("r", 256).alias("record_sha256"))
-    placed = with_order(narrow, ["page_id", "record_sha256", "size"], sums={"bytes": "size"})
-    placed = placed.withColumn("file", F.floor(F.col("_pos") / FILE_RECORDS))
-    starts = placed.groupBy("file").agg(F.min("_before_bytes").alias("_start"))
-    rows = placed.join(starts, "file")
-    return materialize(rows.select("file", (F.col("_pos") % FILE_RECORDS).alias("leaf"), "page_id", (F.col("_before_bytes") - F.col("_start")).alias("offset"), "size", "record_sha256"), "leaves")
+    return materialize(_in_files(_records(pages, page, url, html)), "leaves")
+
+
+def replica_leaves(pages: DataFrame, manifest: DataFrame, *, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Records of another replica, as ``leaves`` gives them, at the places of ``manifest`` (the first one's leaves)."""
+    exact = ["_id", "record_sha256", "size"]
+    known = _nth(_identified(manifest).withColumn("_pos", F.col("file") * FILE_RECORDS + F.col("leaf")), exact)
+    got = _nth(_identified(with_order(_records(pages, page, url, html), ORDER)), exact)
+    place = ["file", "leaf", "offset"]
+    first = materialize(got.drop("_pos").join(known.select(*exact, "_nth", *place), [*exact, "_nth"], "left"), "matched")
+    same = first.where("file IS NOT NULL")
+    # what has no equal in the manifest takes the open places of its page id, in order
+    left = manifest.join(same.select("file", "leaf"), ["file", "leaf"], "left_anti")
+    left = _nth(_identified(with_order(left, ORDER)), ["_id"]).select("_id", "_nth", *place)
+    others = _nth(_identified(with_order(first.where("file IS NULL").select("page_id", "size", "record_sha256"), ORDER)), ["_id"])
+    others = materialize(others.drop("_pos").join(left, ["_id", "_nth"], "left"), "others")
+    files = manifest.agg(F.max("file")).first()[0]
+    extra = _in_files(others.where("file IS NULL").select("page_id", "size", "record_sha256"), 0 if files is None else files + 1)
+    columns = ["file", "leaf", "page_id", "offset", "size", "record_sha256"]
+    return materialize(same.select(columns).unionByName(others.where("file IS NOT NULL").select(columns)).unionByName(extra), "leaves")
 
 
 def tree(records: DataFrame) -> list[DataFrame]:
@@ -84,18 +130,41 @@ def audit(one: list[DataFrame], two: list[DataFrame]) -> DataFrame:
 
 
 def decayed(pages: DataFrame) -> DataFrame:
-    """A replica in which every page whose id leaves 13 modulo 97 has lost its last character."""
+    """A replica in which the last character of every page whose id leaves 13 modulo 97 has become a '?'."""
     hit = F.pmod("page_id", F.lit(97)) == 13
     return pages.withColumn("html", F.when(hit & (F.length("html") > 0), F.expr("left(html, length(html) - 1) || '?'")).otherwise(F.col("html")))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica by page ids modulo 97: 13 has lost its last character, 29 is gone, 53 has a second record."""
+    rest = F.pmod("page_id", F.lit(97))
+    kept = pages.where(F.coalesce(rest != 29, F.lit(True)))
+    kept = kept.withColumn("html", F.when((rest == 13) & (F.length("html") > 0), F.expr("left(html, length(html) - 1)")).otherwise(F.col("html")))
+    return kept.unionByName(pages.where(rest == 53).withColumn("url", F.concat(F.coalesce("url", F.lit("")), F.lit("#added"))))
+
+
+def report(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Each record of the first replica with its state, and the extra ones of the second without a place."""
+    damage = audit(tree(one), tree(two))
+    columns = ["page_id", "file", "leaf", "offset", "size", "record_sha256"]
+    rows = one.join(damage, ["file", "leaf"], "left").select(*columns, F.coalesce("state", F.lit("intact")).alias("state"))
+    extra = two.join(damage.where("state = 'extra'"), ["file", "leaf"])
+    none = F.lit(None).cast("long")
+    return rows.unionByName(extra.select("page_id", none.alias("file"), none.alias("leaf"), none.alias("offset"), "size", "record_sha256", "state"))
+
+
 def op6_warc_fixity(spark, sf_dir: str) -> DataFrame:
     """Audit the WARC files of all pages against a replica derived from them with known decay."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    one, two = leaves(pages), leaves(decayed(pages))
-    damage = audit(tree(one), tree(two))
-    rows = one.join(damage, ["file", "leaf"], "left")
-    return rows.select("page_id", "file", "leaf", "offset", "size", "record_sha256", F.coalesce("state", F.lit("intact")).alias("state"))
+    one = leaves(pages)
+    return report(one, replica_leaves(decayed(pages), one))
+
+
+def op6_replica_damage(spark, sf_dir: str) -> DataFrame:
+    """The same audit against a replica with shortened, missing and added records between intact ones."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    one = leaves(pages)
+    return report(one, replica_leaves(damaged(pages), one))
 
 
 SQL = f"""
@@ -113,3 +182,26 @@ SELECT page_id, file, leaf, (sum(size) OVER (PARTITION BY file ORDER BY leaf) -
        CASE WHEN page_id % 97 = 13 AND body <> '' AND right(body, 1) <> '?' THEN 'changed' ELSE 'intact' END AS state
 FROM f
 """
+
+DAMAGE_SQL = f"""
+WITH p AS (
+  SELECT page_id, url, html, false AS added FROM pages
+  UNION ALL SELECT page_id, coalesce(url, '') || '#added', html, true FROM pages WHERE page_id % 97 = 53),
+h AS (
+  SELECT page_id, added, coalesce(html, '') AS body,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'none')
+         || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
+         || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS r
+  FROM p),
+o AS (
+  SELECT page_id, added, body, strlen(r)::BIGINT AS size, sha256(r) AS record_sha256,
+         row_number() OVER (PARTITION BY added ORDER BY page_id NULLS FIRST, sha256(r), strlen(r)) - 1 AS pos
+  FROM h),
+f AS (SELECT *, (pos // {FILE_RECORDS})::BIGINT AS file, (pos % {FILE_RECORDS})::BIGINT AS leaf FROM o WHERE NOT added)
+SELECT page_id, file, leaf, (sum(size) OVER (PARTITION BY file ORDER BY leaf) - size)::BIGINT AS "offset", size, record_sha256,
+       CASE WHEN page_id % 97 = 29 THEN 'missing' WHEN page_id % 97 = 13 AND body <> '' THEN 'changed' ELSE 'intact' END AS state
+FROM f
+UNION ALL
+SELECT page_id, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, size, record_sha256, 'extra' FROM o WHERE added
+"""

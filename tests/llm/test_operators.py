@@ -339,6 +339,22 @@ def test_fixity(spark):
     assert fixity.leaves(pages.limit(0)).count() == 0
 
 
+def test_fixity_places_damage_in_the_middle(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "FILE_RECORDS", 64)
+    rows = [(i if i else None, f"http://x/{i}", "h" * (1 + i % 50)) for i in range(200)] + [(5, "http://x/5", "other"), (9, "http://x/9", "h" * 10), (9, "http://x/9", "h" * 10)]
+    a = fixity.leaves(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    bad = [r for r in rows if r[0] != 70 and r[2] != "other"]  # one page gone, and one of two records of a page
+    bad.remove(rows[9])  # one of three equal records
+    bad[bad.index(rows[40])] = (40, "http://x/40", "h" * 40)  # shorter by one
+    bad += [(90, "http://x/90", "added"), (-3, "http://x/-3", "added first")]
+    b = fixity.replica_leaves(spark.createDataFrame(bad, "page_id long, url string, html string").repartition(3), a)
+    states = sorted((r.page_id, r.state, r.file is None) for r in fixity.report(a, b).where("state <> 'intact'").collect())
+    assert states == [(-3, "extra", True), (5, "missing", False), (9, "missing", False), (40, "changed", False), (70, "missing", False), (90, "extra", True)]
+    empty = a.limit(0)
+    none = fixity.replica_leaves(spark.createDataFrame(bad[:3], "page_id long, url string, html string"), empty)
+    assert [r.state for r in fixity.report(empty, none).collect()] == ["extra"] * 3
+
+
 # --- 7 and 8 ---
 
 TEXTS = [None, "", "Hello world's 1st test\n\n  x ", "don't we'll I'VE", "é漢字😀 ΑΣ ς", "a" * 300, "<|endoftext|> !", "İstanbul 123 ½²", " \t\r\n ", "x  y   z　w"]
