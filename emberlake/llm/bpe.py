@@ -5,11 +5,13 @@ those of its parts, one after the other. Parts are found for a whole batch at on
 character class; each distinct part is encoded once by the tokenizers library and remembered by its
 task's worker. Tests hold this against the library on whole texts.
 
-Strings of special tokens inside a text are ordinary text here.
+With ``specials``, strings of special tokens in a text stand for their ids, as the library has it by
+default; without, they are ordinary text, for files in which the end id must be a separator.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -65,14 +67,20 @@ def _pieces(text: str, most: int = 4 * CHUNK):
 
 class Encoder:
     """``joins_space``: a space belongs to the part after it (byte-level); else white space is dropped,
-    case is folded by the tokenizer, and digits stand alone (word-level)."""
+    case is folded by the tokenizer, and digits stand alone (word-level). ``specials``: strings of
+    special tokens become their ids."""
 
-    def __init__(self, path: str, joins_space: bool, end: int = 0):
+    def __init__(self, path: str, joins_space: bool, end: int = 0, specials: bool = False):
         from tokenizers import Tokenizer
 
         self.joins_space, self.end = joins_space, end
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
+        found = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special] if specials else []
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for _, t in found):
+            raise ValueError("special tokens must match as they are written")
+        self.special = {t.content: i for i, t in found}
+        self.border = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
         self.model = self.tokenizer.model
         self._forget()
 
@@ -176,6 +184,24 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each text."""
+        if not any(x in t for x in self.special for t in texts):
+            return self._ordinary(texts)
+        parts: list[str] = []
+        owner: list[int] = []
+        last: list[int] = []  # the id that ends each part: a special token's or the end id
+        for i, t in enumerate(texts):
+            cut = self.border.split(t)
+            parts += cut[0::2]
+            owner += [i] * len(cut[0::2])
+            last += [*(self.special[x] for x in cut[1::2]), self.end]
+        flat, n = self._ordinary(parts)
+        flat = flat.copy()
+        flat[np.cumsum(n) - 1] = last
+        counts = np.zeros(len(texts), np.int64)
+        np.add.at(counts, np.array(owner), n)
+        return flat, counts
+
+    def _ordinary(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flats, counts = [], np.zeros(len(texts), np.int64)
         chunk: list[str] = []
         owner: list[int] = []
@@ -223,9 +249,9 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(path: str, joins_space: bool, end: int = 0) -> Encoder:
+def encoder(path: str, joins_space: bool, end: int = 0, specials: bool = False) -> Encoder:
     """The worker's own encoder: what it has learnt serves its later tasks too."""
-    return Encoder(path, joins_space, end)
+    return Encoder(path, joins_space, end, specials)
 
 
 def tokenizer_path(name: str) -> str:

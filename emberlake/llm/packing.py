@@ -27,7 +27,7 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
 ROOMY = 0.99  # bins filled less than this are packed again in the last round
 
 
-def pieces(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = False, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = False, end: int = 0, specials: bool = True, capacity: int = CAPACITY) -> DataFrame:
     """``uid, doc_id, piece, start, length, ids_crc32``; only documents over the capacity are cut."""
 
     def cut(batches):
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenize
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc = bpe.encoder(tokenizer, joins_space, end)
+        enc = bpe.encoder(tokenizer, joins_space, end, specials)
         uid = TaskContext.get().partitionId() << 34
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -39,9 +39,9 @@ def mounted(path: str) -> str:
     return unquote(u.path)
 
 
-def _batches(batches, tokenizer: str, joins_space: bool, end: int):
+def _batches(batches, tokenizer: str, joins_space: bool, end: int, specials: bool = False):
     """(document ids, flat ids, counts) of each slice of Arrow batches."""
-    enc = bpe.encoder(tokenizer, joins_space, end)
+    enc = bpe.encoder(tokenizer, joins_space, end, specials)
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for at in range(0, len(ids), 1000):
@@ -50,7 +50,7 @@ def _batches(batches, tokenizer: str, joins_space: bool, end: int):
             yield [NO_ID if x is None else x for x in ids[at : at + 1000]], flat, counts
 
 
-def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = True, end: int = 0, dtype: str = "<u2") -> DataFrame:
+def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = True, end: int = 0, specials: bool = False, dtype: str = "<u2") -> DataFrame:
     """Write shards in ascending document order; returns the manifest ``shard, path, n_docs, n_ids, base``."""
     spark = docs.sparkSession
     folder = mounted(shared_folder(spark, "token-files"))
@@ -66,7 +66,7 @@ def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tok
         n_docs = n_ids = 0
         with open(path + ".bin", "wb") as f, open(path + ".idx", "wb") as g, open(path + ".doc", "wb") as h:
             g.write(np.zeros(1, "<i8").tobytes())
-            for ids, flat, counts in _batches(batches, tokenizer, joins_space, end):
+            for ids, flat, counts in _batches(batches, tokenizer, joins_space, end, specials):
                 f.write(flat.astype(dtype).tobytes())
                 g.write((n_ids + np.cumsum(counts)).astype("<i8").tobytes())
                 h.write(np.array(ids, "<i8").tobytes())
@@ -111,7 +111,7 @@ def read_files(manifest: DataFrame, *, dtype: str = "<u2") -> DataFrame:
 def op7_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Encode all documents to token files and read them back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_files(write_files(docs, tokenizer=tokenizer or bpe.tokenizer_path("byte_bpe_50k.json")))
+    return read_files(write_files(docs, tokenizer=tokenizer or bpe.tokenizer_path("byte_bpe_50k.json"), specials=True))
 
 
 def write_flat(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = True, end: int, dtype: str = "<u2") -> tuple[DataFrame, DataFrame]:
@@ -185,7 +185,7 @@ def scan_separators(files: DataFrame, *, end: int, dtype: str = "<u2", block: in
     )
 
 
-END_OF_TEXT = 50256  # of byte_bpe_50k; no text encodes to it
+END_OF_TEXT = 50256  # of byte_bpe_50k; special strings are ordinary text here, so no text encodes to it
 
 
 def op8_token_counts(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -373,6 +373,33 @@ def test_encoder_equals_library(name, joins):
         at += n
 
 
+@pytest.mark.parametrize("name,joins", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_special_strings_equal_unaltered_library(name, joins):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.tokenizer_path(name))
+    enc = bpe.Encoder(bpe.tokenizer_path(name), joins, 0, True)
+    rng = random.Random(4)
+    some = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n", "a", "don't", "e", "\u0301", "İ", "12", "  b", "é"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", ""] + ["".join(rng.choice(some) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    flat, counts = enc.encode(texts)
+    at = 0
+    for t, n, want in zip(texts, counts, library.encode_batch(texts, add_special_tokens=False)):
+        assert flat[at : at + n].tolist() == want.ids + [0], t
+        at += n
+
+
+def test_queries_write_special_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "c <|startoftext|>d<|endoftext|>"]
+    secret_docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, rows, size in (("byte_bpe_50k.json", token_files.op7_token_files(spark, str(tmp_path)), "n_tokens"), ("word_bpe_49k.json", packing.op9_best_fit_packing(spark, str(tmp_path)), "length")):
+        library = Tokenizer.from_file(bpe.tokenizer_path(name))
+        want = {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in enumerate(library.encode(t, add_special_tokens=False).ids + [0] for t in texts)}
+        assert {r.doc_id: (r[size], r.ids_crc32) for r in rows.collect()} == want
+
+
 def test_long_texts_are_cut_where_no_part_crosses(monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK", 64)
     enc = bpe.Encoder(bpe.tokenizer_path("byte_bpe_50k.json"), True, 0)
