@@ -54,8 +54,9 @@ def knn_impute(df: DataFrame, features: list[str], donors: DataFrame, keys: list
         means = [pool[known[:, j], j].mean() if known[:, j].any() else np.nan for j in range(pool.shape[1])]
         for rows in batches:
             x = rows[features].to_numpy(float)
-            for at in range(0, len(x), 256):
-                part = x[at : at + 256]
+            step = min(256, max(1, 2_000_000 // max(1, len(pool))))  # 16 MB for each distance table
+            for at in range(0, len(x), step):
+                part = x[at : at + step]
                 total, n = np.zeros((len(part), len(pool))), np.zeros((len(part), len(pool)))
                 for j in range(x.shape[1]):
                     both = ~np.isnan(part[:, j, None]) & known[None, :, j]
@@ -65,7 +66,10 @@ def knn_impute(df: DataFrame, features: list[str], donors: DataFrame, keys: list
                 dist = np.where(n > 0, np.sqrt(total * x.shape[1] / np.maximum(n, 1)), np.inf)
                 for i, j in zip(*np.nonzero(np.isnan(part))):
                     d = np.where(known[:, j], dist[i], np.inf)
-                    near = np.argsort(d, kind="stable")[:k]
+                    near = np.arange(len(d))
+                    if len(d) > k:
+                        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                    near = near[np.argsort(d[near], kind="stable")][:k]
                     near = near[np.isfinite(d[near])]
                     x[at + i, j] = pool[near, j].mean() if len(near) else means[j]
             rows[features] = x

@@ -586,6 +586,21 @@ def scenarios_af(spark, d):
     return out
 
 
+@query(f"""WITH {PANEL}, {CLEAN} SELECT 'B' AS scenario, count(*) AS n_rows, sum((b IS NULL)::INT + (c IS NULL)::INT)::BIGINT AS n_gaps, 0::BIGINT AS n_left FROM clean
+UNION ALL SELECT 'E', count(*), sum((a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT)::BIGINT, 0::BIGINT FROM clean""")
+def scenarios_imputed(spark, d):
+    keys = ["l_orderkey", "line", "part", "entity"]
+    p = scalars.clean_missing(panel(spark, d), ["a", "b", "c"]).select(*keys, "month", "a", "b", "c")
+    gaps = lambda names: F.sum(sum((F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("long") for f in names))
+    out = None
+    for code, names in (("B", ["b", "c"]), ("E", ["a", "b", "c"])):
+        donors = sampling.choose_donors(p, names, F.col("month"), keys)
+        filled = sampling.scenario(p, code, ["a", "b", "c"], "a", donors, keys).agg(F.count(F.lit(1)).alias("n_rows"), gaps(names).alias("n_left"))
+        one = p.agg(gaps(names).alias("n_gaps")).crossJoin(filled).select(F.lit(code).alias("scenario"), "n_rows", "n_gaps", "n_left")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _HASH = "md5('42|' || {})"
 
 
@@ -615,7 +630,7 @@ def folds(spark, d):
 
 def _donors(spark, d):
     p = scalars.clean_missing(panel(spark, d), ["a", "b", "c", "e"])
-    return p, sampling.choose_donors(p, ["a", "b", "c", "e"], F.col("month"), ["l_orderkey", "line", "part", "entity"], 400)
+    return p, sampling.choose_donors(p, ["a", "b", "c", "e"], F.col("month"), ["l_orderkey", "line", "part", "entity"])
 
 
 @query()
@@ -627,7 +642,7 @@ def knn_impute(spark, d):
 
 @query()
 def smote(spark, d):
-    p = panel(spark, d).where("year >= 2001").withColumn("rare", (F.col("part") % 97 == 5).cast("int"))
+    p = panel(spark, d).withColumn("rare", (F.col("part") % 97 == 5).cast("int"))
     p = p.select("l_orderkey", "line", "part", F.col("e").alias("x"), F.col("label").cast("double").alias("y"), "rare")
     return sampling.smote(p, "rare", ["x", "y"], ["l_orderkey", "line", "part"])
 
