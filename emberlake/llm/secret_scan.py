@@ -40,6 +40,16 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
 )
 
+# What redaction masks of a private key: all from BEGIN to the END line, or, where that is missing, as far
+# as base64 lines (after headers of the key) go. Line ends may be written as \n, as in JSON.
+_LINE_END = r"(?:\s|\\[nr])"
+WHOLE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-{1,4}+[^-]++){0,200}+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_LINE_END}++(?:Proc-Type|DEK-Info|Comment|Version): [^\r\n\\]*+){{0,9}}+(?:{_LINE_END}++[A-Za-z0-9+/]{{16,}}+=*+){{0,1000}}+(?:{_LINE_END}++[A-Za-z0-9+/]++=++)?+)"
+)
+MASKED = tuple(Rule("pem", WHOLE_KEY, 0, 1, 2) if r.kind == "pem" else r for r in RULES)
+
 
 def blob_id(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
@@ -189,10 +199,11 @@ def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, *, mask: str = "[SECRET]") -> DataFrame:
     """Replace every finding in ``text`` by ``mask`` and bring ``n_chars`` up to date; no row is lost.
 
-    Overlapping spans merge into one mask. Rows without findings pass unchanged, null texts stay null.
+    Overlapping spans merge into one mask; a private key goes with its body. Rows without findings pass
+    unchanged, null texts stay null.
     """
-    paths, _, findings = scan(docs)
-    spans = by_path(paths, findings).where(F.size("spans") > 0).select("blob_id", "spans").dropDuplicates(["blob_id"])
+    paths, _, findings = scan(docs, rules=MASKED)
+    spans = by_path(paths, findings, MASKED).where(F.size("spans") > 0).select("blob_id", "spans").dropDuplicates(["blob_id"])
     spans = spans.select(F.col("blob_id").alias("_blob"), F.col("spans").alias("_spans"))
     text = F.col("text")
     cut = F.aggregate(
