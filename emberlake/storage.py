@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, but on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="emberlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -33,6 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """Write ``df`` in the shared folder, in buckets of ``key``: joins on it do not shuffle this side again.
+
+    ``df`` should be partitioned by the key in as many parts, so that a bucket is one file. Returns the table and a function that drops its name from the session's catalog; the files stay.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", shared_folder(spark, name)).format("parquet").saveAsTable(table)
+    return spark.table(table), lambda: spark.sql(f"DROP TABLE IF EXISTS {table}") and None
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
