@@ -2,8 +2,10 @@
 
 Byte-pair merges never cross the borders that a tokenizer's split pattern draws, so a text's ids are
 those of its parts, one after the other. Parts are found for a whole batch at once with numpy, by
-character class; each distinct part is encoded once by the tokenizers library and remembered by its
-task's worker. Tests hold this against the library on whole texts.
+character class; each distinct part is encoded once by the tokenizers library and remembered, under its
+text, by its task's worker. Within a batch, parts count as equal if two independent 64-bit hashes agree;
+where only the first does, the batch is told apart by text. Tests hold this against the library on whole
+texts.
 
 With ``specials``, strings of special tokens in a text stand for their ids, as the library has it by
 default; without, they are ordinary text, for files in which the end id must be a separator.
@@ -17,10 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 
+from emberlake.llm.hashing import span_hashes
+
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 CHUNK = 1 << 20  # code points handled at once
 KNOWN = 400_000  # distinct parts that a worker remembers
-_B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 
 
 @lru_cache(1)
@@ -35,14 +38,6 @@ def _classes() -> np.ndarray:
     return table
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-    up, down = np.full(n, _B, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 @lru_cache(1)
 def _visible() -> dict[int, str]:
     """Byte-level alphabet: printable bytes stand for themselves, the rest follow from U+0100 on."""
@@ -65,6 +60,24 @@ def _pieces(text: str, most: int = 4 * CHUNK):
     yield text[at:] if at else text
 
 
+def _distinct(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which distinct part each part is, and where each distinct part stands first."""
+    import pandas as pd
+
+    keys, check = span_hashes(cp, starts, ends), span_hashes(cp, starts, ends, 1)
+
+    def told(keys):
+        codes, unique = pd.factorize(keys)
+        at = np.zeros(len(unique), np.int64)
+        at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        return codes, at
+
+    codes, at = told(keys)
+    if (check == check[at][codes]).all():
+        return codes, at
+    return told(np.array([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())], object))
+
+
 class Encoder:
     """``joins_space``: a space belongs to the part after it (byte-level); else white space is dropped,
     case is folded by the tokenizer, and digits stand alone (word-level). ``specials``: strings of
@@ -85,14 +98,15 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 1
         self.ids[0] = self.end
         self.offsets, self.sizes, self.n_rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 1
         self.sizes[0] = 1  # row 0 is the end id
 
-    def _learn(self, keys: list[int], parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
         tokenize, visible = self.model.tokenize, _visible()
+        keys = parts
         if not self.joins_space:
             parts = [x.lower() if "Σ" not in x else "".join(c.lower() for c in x) for x in parts]
         found = [[t.id for t in tokenize(x.encode().decode("latin-1").translate(visible))] for x in parts]
@@ -141,8 +155,6 @@ class Encoder:
         return b
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        import pandas as pd
-
         joined = "".join(texts)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.cumsum(lens) - lens
@@ -153,23 +165,17 @@ class Encoder:
             new = np.zeros(n, bool)
             new[first[lens > 0]] = True
             starts = np.flatnonzero(self._starts(cp, cls, new))
-            up, down = _powers(1 << max(12, (n - 1).bit_length()))
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((cp + np.uint64(1)) * up[:n], out=total[1:])
             ends = np.append(starts[1:], n)
-            keys = (total[ends] - total[starts]) * down[starts]
             if not self.joins_space:
                 keep = cls[starts] != SPACE
-                starts, ends, keys = starts[keep], ends[keep], keys[keep]
-            codes, unique = pd.factorize(keys)
-            at = np.zeros(len(unique), np.int64)
-            at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            if len(self.known) + len(unique) > KNOWN:
+                starts, ends = starts[keep], ends[keep]
+            codes, at = _distinct(cp, starts, ends, joined)
+            if len(self.known) + len(at) > KNOWN:
                 self._forget()
-            names = unique.tolist()
-            lacking = [i for i, k in enumerate(names) if k not in self.known]
+            names = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            lacking = [x for x in names if x not in self.known]
             if lacking:
-                self._learn([names[i] for i in lacking], [joined[starts[at[i]] : ends[at[i]]] for i in lacking])
+                self._learn(lacking)
             rows = np.array([self.known[k] for k in names], np.int64)[codes]
         else:
             starts, rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -248,12 +254,19 @@ class Encoder:
         return np.concatenate(flats) if flats else np.zeros(0, np.uint32), counts
 
 
-@lru_cache(4)
+@lru_cache(2)
 def encoder(path: str, joins_space: bool, end: int = 0, specials: bool = False) -> Encoder:
     """The worker's own encoder: what it has learnt serves its later tasks too."""
     return Encoder(path, joins_space, end, specials)
 
 
+def id_type(path: str) -> str:
+    """The narrowest unsigned type that holds all ids of a tokenizer: uint16 or uint32."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else "<u4"
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -12,15 +12,20 @@ and position, is too small is skipped as a whole.
 
 Skipping by computed answers: each list has a pivot, the set that most lists hold, and every other set
 of the list is compared with it once; the answer keeps what the set lacks of the pivot and what it adds.
-Pairs of sets that are near the pivot follow from these small differences exactly,
+Pairs of sets that are near the same pivot follow from these small differences exactly,
 |x & y| = |P| - |lacks(x) | lacks(y)| + |adds(x) & adds(y)|, and only where their components are still
-apart. All other pairs must first share enough of their prefixes; few are compared member by member.
+apart. All other pairs of a list go through its blocks; few are compared member by member.
+
+Bounds of a task: index buckets hold about ``BUCKET`` entries, as many buckets as the corpus needs; a
+member that more sets hold is spread over several. Sets around one pivot, and lists, are dealt in cells
+of ``CELL`` sets; sets that already share the pivot's component are compared with the others only. A
+set that very many pairs start from is sent to several tasks.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; fewer words than
 a shingle make one shingle of the whole sequence; rows that repeat an id and text come back as often
-as they came in; null ids are kept and count as the least long; an empty table gives an empty result;
-other columns of the input are not read. Positions above 65,535 count as 65,535, which only widens
-the candidates.
+as they came in; null ids are kept, and a component's id is its least id that is not null (null if it
+has none; the least long counts as null); an empty table gives an empty result; other columns of the
+input are not read. Positions above 65,535 count as 65,535, which only widens the candidates.
 """
 
 from __future__ import annotations
@@ -31,15 +36,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm.components import components
-from emberlake.storage import materialize, shuffle_width
+from emberlake.llm.workers import slices, tidy
+from emberlake.storage import bucketed, materialize, shuffle_width
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # links: DEN * intersection >= NUM * union
-SKETCH_BITS, SLICES = (16, 24), 16  # counters follow the corpus between these powers of two; 16 MB at most
+SKETCH_BITS, SLICES = (16, 24), 16  # counters follow the corpus between these powers of two; 16 MB of ranks at most
 PER_COUNTER = 16  # members of sets that share a counter, as long as the bound allows
-FILTER_BITS = 23  # a map of 2 ** 23 bits over candidate ids: 1 MB at any size of the input
+FAN = 64  # sketches that one task adds up
+FILTER_BITS = (20, 26)  # a map over candidate ids: 8 MB at most
 CHUNK = 1 << 20  # bytes of text handled at once
+BUCKET = 250_000  # expected index entries of a bucket, and entries of one member that stay together
 BLOCK = 128  # entries of an index list's block
+CELL = 2048  # sets around a pivot, or of a list, that one task pairs with as many others
+TOGETHER = 50_000  # entries of lists that one call of Python looks at
+PARTS = 4096  # pairs from one set that share a copy of its members
+BLOB = 32_000_000  # bytes of members in one part of the table of sets
 NO_ID = -(1 << 63)
 
 
@@ -54,155 +66,175 @@ def _tables():
     return lower, blank
 
 
-@lru_cache(4)
-def _powers(n: int):
+def _sets_of(texts, width: int) -> list:
     import numpy as np
+    import pyarrow.compute as pc
 
-    base = 0xD6E8FEB86659FD93
-    up, down = np.full(n, np.uint64(base)), np.full(n, np.uint64(pow(base, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    from emberlake.llm.hashing import mix, span_hashes
 
+    lower, blank = _tables()
+    factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)  # unrelated, so that order counts
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    wide = "large" in str(texts.type)
+    _, offsets, data = texts.buffers()
+    cuts = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.zeros(0, np.uint8)
+    cuts = cuts - cuts[0]
+    # a word begins after a blank or where a text begins, and ends likewise
+    filled = ~blank[raw]
+    border = np.zeros(len(raw) + 1, bool)
+    border[cuts] = True
+    starts = filled.copy()
+    starts[1:] &= ~filled[:-1] | border[1:-1]
+    ends = filled.copy()
+    ends[:-1] &= ~filled[1:] | border[1:-1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    word = span_hashes(lower[raw], starts, ends)
+    grams = np.zeros(max(0, len(word) - width + 1), np.uint64)
+    for k, f in enumerate(factors):
+        grams += word[k : k + len(grams)] * f
+    grams = mix(grams)
+    out, first = [], 0
+    for last in np.searchsorted(starts, cuts[1:]).tolist():
+        n = last - first
+        if n >= width:
+            out.append(np.unique(grams[first : last - width + 1]))
+        elif n:
+            short = np.uint64(n)
+            for k in range(n):
+                short = short + word[first + k : first + k + 1] * factors[k]
+            out.append(mix(short))
+        else:
+            out.append(grams[:0])
+        first = last
+    return out
 
-def _mix(x):
-    import numpy as np
 
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingle_sets(texts, width: int = SHINGLE) -> list:
+    """Sorted distinct shingle hashes (uint64) of each text of a list or an Arrow column."""
+    import pyarrow as pa
+
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    return [s for at, n in slices(texts, CHUNK) for s in _sets_of(texts.slice(at, n), width)]
 
 
-def shingle_sets(texts: list, width: int = SHINGLE) -> list:
-    """Sorted distinct shingle hashes (uint64) of each text."""
+def set_id(members) -> int:
+    """A name for a set that does not depend on order; equal sets have equal names and sizes."""
     import numpy as np
 
-    lower, blank = _tables()
-    factors = _mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)  # unrelated, so that order counts
-    out: list = []
-    at = 0
-    while at < len(texts):
-        parts, size = [], 0
-        while at < len(texts) and (size < CHUNK or not parts):
-            parts.append((texts[at] or "").encode() + b" ")
-            size += len(parts[-1])
-            at += 1
-        raw = np.frombuffer(b"".join(parts), np.uint8)
-        space = blank[raw]
-        edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))  # word, blank, word, blank ...
-        starts, ends = edge[0::2], edge[1::2]
-        up, down = _powers(1 << max(12, len(raw).bit_length()))
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((lower[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-        word = _mix((total[ends] - total[starts]) * down[starts])
-        grams = np.zeros(max(0, len(word) - width + 1), np.uint64)
-        for k, f in enumerate(factors):
-            grams += word[k : k + len(grams)] * f
-        grams = _mix(grams)
-        bounds = np.cumsum([len(p) for p in parts])
-        upto = np.searchsorted(starts, bounds).tolist()
-        first = 0
-        for last in upto:
-            n = last - first
-            if n >= width:
-                out.append(np.unique(grams[first : last - width + 1]))
-            elif n:
-                short = np.uint64(n)
-                for k in range(n):
-                    short = short + word[first + k : first + k + 1] * factors[k]
-                out.append(_mix(short))
-            else:
-                out.append(grams[:0])
-            first = last
-    return out
+    from emberlake.llm.hashing import mix
 
+    total = mix(members + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
+    return int(mix(np.array([total ^ np.uint64(len(members))]))[0].astype(np.int64))
 
-def set_id(members) -> int:
-    """A name for a set that does not depend on order; equal sets have equal names and sizes."""
+
+def _packed(counts) -> bytes:
+    """Counters, compressed: most are below 16, so low halves of bytes lie apart from the rest."""
     import numpy as np
+    import pyarrow as pa
 
-    total = _mix(members + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
-    return int(_mix(np.array([total ^ np.uint64(len(members))]))[0].astype(np.int64))
+    low = (counts & 15).astype(np.uint8)
+    return pa.Codec("zstd", 1).compress((low[0::2] | low[1::2] << 4).tobytes() + (counts >> 4).astype("<u4").tobytes(), asbytes=True)
 
 
-def _docs_and_sets(batches):
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for k in range(0, len(ids), 500):
-            yield ids[k : k + 500], shingle_sets(texts.slice(k, 500).to_pylist())
+def _unpacked(raw: bytes, n: int):
+    import numpy as np
+    import pyarrow as pa
+
+    plain = pa.Codec("zstd").decompress(raw, n // 2 + 4 * n, asbytes=True)
+    out = np.frombuffer(plain, "<u4", n, n // 2).astype(np.uint64) << np.uint64(4)
+    low = np.frombuffer(plain, np.uint8, n // 2)
+    out[0::2] += low & 15
+    out[1::2] += low >> 4
+    return out
 
 
 def _survey(bits: int):
     def run(batches):
         """Sizes and names of sets, and at the end the task's sketch of member counts."""
-        import zlib
-
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        sketch = np.zeros(1 << bits, np.uint8)
+        schema = pa.schema([("doc", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("sid", pa.int64()), ("slice", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
+        sketch = np.zeros(1 << bits, np.uint16)
         shift = np.uint64(64 - bits)
-        none = [None]
         for batch in batches:
-            at = 0
-            for ids, sets in _docs_and_sets([batch]):
-                slot, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
-                sketch[slot] = np.minimum(sketch[slot] + n, 255)
-                k = len(ids)
-                yield pa.RecordBatch.from_pydict({"doc": ids, "digest": batch.column(2).slice(at, k), "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "slice": none * k, "counts": none * k}, schema=_survey_schema())
-                at += k
-        packed = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(SLICES, -1)]
-        yield pa.RecordBatch.from_pydict({"doc": none * SLICES, "digest": none * SLICES, "n": none * SLICES, "sid": none * SLICES, "slice": list(range(SLICES)), "counts": packed}, schema=_survey_schema())
-
-    return run
+            for at, k in slices(batch.column(1), CHUNK):
+                sets = _sets_of(batch.column(1).slice(at, k), SHINGLE)
+                slot, more = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
+                sketch[slot] = np.minimum(sketch[slot] + more, 65535)
+                none = [None] * k
+                yield pa.RecordBatch.from_pydict({"doc": batch.column(0).slice(at, k), "digest": batch.column(2).slice(at, k), "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "slice": none, "task": none, "counts": none}, schema=schema)
+        none = [None] * SLICES
+        packed = [_packed(x) for x in sketch.reshape(SLICES, -1)]
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"doc": none, "digest": none, "n": none, "sid": none, "slice": list(range(SLICES)), "task": [task] * SLICES, "counts": packed}, schema=schema)
 
+    return tidy(run)
 
-def _survey_schema():
-    import pyarrow as pa
-
-    return pa.schema([("doc", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("sid", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
-
-def _add_up(bits: int):
+def _add_up(bits: int, last: bool):
     def run(rows):
-        """The tasks' counters of one slice together, as ranks: eighths of a doubling, one byte each."""
-        import zlib
-
+        """Counters of one slice together; in the last round as ranks: eighths of a doubling, one byte each."""
         import numpy as np
         import pandas as pd
 
-        total = np.zeros((1 << bits) // SLICES, np.int64)
+        total = np.zeros((1 << bits) // SLICES, np.uint64)
         for c in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint8)
-        rank = np.minimum(np.floor(8 * np.log2(1 + total)), 255).astype(np.uint8)
-        return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "ranks": [rank.tobytes()]})
+            total += _unpacked(c, len(total))
+        made = np.minimum(np.floor(8 * np.log2(1.0 + total)), 255).astype(np.uint8).tobytes() if last else _packed(total)
+        return pd.DataFrame({"slice": [int(rows["slice"].iloc[0])], "task": [int(rows["task"].min()) // FAN], "counts": [made]})
 
     return run
 
 
+def _commonness(sketches: DataFrame, tasks: int, bits: int) -> bytes:
+    """Ranks of all counters; ``FAN`` sketches meet in a task, round by round, and 16 MB at most reach the driver."""
+    level = sketches.select("slice", "task", "counts")
+    while tasks > FAN:
+        level = materialize(level.groupBy("slice", F.floor(F.col("task") / FAN).alias("_part")).applyInPandas(_add_up(bits, False), "slice int, task long, counts binary"), "sketch")
+        tasks = -(-tasks // FAN)
+    ranks = level.groupBy("slice").applyInPandas(_add_up(bits, True), "slice int, task long, counts binary")
+    parts = {r["slice"]: bytes(r["counts"]) for r in ranks.collect()}
+    return b"".join(parts.get(i, bytes((1 << bits) // SLICES)) for i in range(SLICES))
+
+
 def prefix_size(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+#: An index entry: the member's hash within its bucket, the set and its size, the member's place in the set.
+ENTRY = [("token", "<u4"), ("sid", "<i8"), ("size", "<u4"), ("place", "<u2")]
+SPREAD = 1 << 31  # marks members that are spread over buckets
+
+
 def _postings(commonness, bits: int, buckets: int):
-    """Index entries of each task, packed by bucket: member (32 bits), set, position."""
+    """Index entries of each task, packed by bucket."""
 
     def pack(held):
         import numpy as np
         import pyarrow as pa
 
-        members, owners, places = (np.concatenate(x) for x in held[:3])
-        sids, sizes = np.array(held[3], "<i8"), np.array(held[4], "<i4")
+        members, ranks, places = (np.concatenate(x) for x in held[:3])
+        sizes = np.array(held[4], np.uint32)
+        owner = np.repeat(np.arange(len(sizes)), [len(x) for x in held[0]])
+        entries = np.empty(len(members), ENTRY)
+        entries["sid"], entries["size"], entries["place"] = np.array(held[3], np.int64)[owner], sizes[owner], places
         bucket = (members % np.uint64(buckets)).astype(np.int64)
+        entries["token"] = (members // np.uint64(buckets)).astype(np.uint32) & np.uint32(SPREAD - 1)
+        hot = np.flatnonzero(ranks >= 8 * np.log2(1 + BUCKET))
+        if len(hot):
+            parts = np.ceil(2 ** (ranks[hot] / 8.0) / BUCKET).astype(np.int64)
+            bucket[hot] = (bucket[hot] + entries["sid"][hot] % parts) % buckets
+            entries["token"][hot] |= np.uint32(SPREAD)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
-        for b in range(buckets):
-            mine = order[cuts[b] : cuts[b + 1]]
-            if len(mine):
-                used, local = np.unique(owners[mine], return_inverse=True)
-                token = (members[mine] // np.uint64(buckets)).astype("<u4")
-                rows.append((b, len(used), sids[used].tobytes() + sizes[used].tobytes() + token.tobytes() + local.astype("<u4").tobytes() + places[mine].astype("<u2").tobytes()))
-        return pa.RecordBatch.from_pydict({"bucket": [r[0] for r in rows], "sets": [r[1] for r in rows], "entries": [r[2] for r in rows]}, schema=pa.schema([("bucket", pa.int64()), ("sets", pa.int64()), ("entries", pa.binary())]))
+        bucket, entries = bucket[order], entries[order]
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+        raw = entries.tobytes()
+        size = entries.itemsize
+        return pa.RecordBatch.from_pydict({"bucket": bucket[cuts[:-1]], "entries": [raw[a * size : b * size] for a, b in zip(cuts[:-1], cuts[1:])]}, schema=pa.schema([("bucket", pa.int64()), ("entries", pa.binary())]))
 
     def run(batches):
         import numpy as np
@@ -211,26 +243,28 @@ def _postings(commonness, bits: int, buckets: int):
         shift = np.uint64(64 - bits)
         seen: set[int] = set()
         held, size = ([], [], [], [], []), 0
-        for _, sets in _docs_and_sets(batches):
-            for s in sets:
-                if not len(s) or (sid := set_id(s)) in seen:
-                    continue
-                seen.add(sid)
-                p = prefix_size(len(s))
-                first = np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")[:p]
-                held[0].append(s[first])
-                held[1].append(np.full(p, len(held[3]), np.int64))
-                held[2].append(np.minimum(np.arange(p), 65535))
-                held[3].append(sid)
-                held[4].append(len(s))
-                size += p
-            if size >= 1_000_000:
-                yield pack(held)
-                held, size = ([], [], [], [], []), 0
+        for batch in batches:
+            for at, k in slices(batch.column(1), CHUNK):
+                for s in _sets_of(batch.column(1).slice(at, k), SHINGLE):
+                    if not len(s) or (sid := set_id(s)) in seen:
+                        continue
+                    seen.add(sid)
+                    p = prefix_size(len(s))
+                    rank = counts[(s >> shift).astype(np.int64)]
+                    first = np.argsort(rank, kind="stable")[:p]
+                    held[0].append(s[first])
+                    held[1].append(rank[first])
+                    held[2].append(np.minimum(np.arange(p), 65535))
+                    held[3].append(sid)
+                    held[4].append(len(s))
+                    size += p
+                    if size >= 1_000_000:
+                        yield pack(held)
+                        held, size = ([], [], [], [], []), 0
         if size:
             yield pack(held)
 
-    return run
+    return tidy(run)
 
 
 def _possible(nx, ny, px, py):
@@ -242,52 +276,46 @@ def _possible(nx, ny, px, py):
 
 
 def _lists(rows):
-    """The index lists of one bucket: lists of two as pairs, and lists of three sets or more."""
+    """The index lists of one bucket: lists of two as pairs, and the entries of longer ones.
+
+    A member that is spread over buckets keeps one list name everywhere, and its lists may not merge.
+    """
     import numpy as np
     import pandas as pd
 
-    sid, size, token, owner, place = [], [], [], [], []
-    base = 0
-    for k, raw in zip(rows["sets"], rows["entries"]):
-        m = (len(raw) - 12 * k) // 10
-        sid.append(np.frombuffer(raw, "<i8", k))
-        size.append(np.frombuffer(raw, "<i4", k, 8 * k))
-        token.append(np.frombuffer(raw, "<u4", m, 12 * k))
-        owner.append(np.frombuffer(raw, "<u4", m, 12 * k + 4 * m).astype(np.int64) + base)
-        place.append(np.frombuffer(raw, "<u2", m, 12 * k + 8 * m))
-        base += k
-    sid, size, token, owner, place = map(np.concatenate, (sid, size, token, owner, place))
+    e = np.concatenate([np.frombuffer(raw, ENTRY) for raw in rows["entries"]])
     # one entry for each member and set: the same set may come from several tasks
-    order = np.lexsort((sid[owner], token))
-    t, s, n, p = token[order], sid[owner[order]], size[owner[order]].astype(np.int64), place[order].astype(np.int64)
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-    t, s, n, p = t[new], s[new], n[new], p[new]
-    start = np.flatnonzero(np.diff(t.astype(np.int64), prepend=-1))
-    length = np.diff(np.append(start, len(t)))
-    two = start[length == 2]
+    e = e[np.lexsort((e["sid"], e["token"]))]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["sid"][1:] != e["sid"][:-1])
+    e = e[new]
+    s, n, p = e["sid"], e["size"].astype(np.int64), e["place"].astype(np.int64)
+    start = np.flatnonzero(np.diff(e["token"].astype(np.int64), prepend=-1))
+    length = np.diff(np.append(start, len(e)))
+    spread = e["token"][start] >= SPREAD
+    two = start[(length == 2) & ~spread]
     ok = _possible(n[two], n[two + 1], p[two], p[two + 1])
-    pairs = np.stack([s[two], s[two + 1]], 1)[ok]
+    pairs = np.unique(np.stack([s[two], s[two + 1]], 1)[ok], axis=0)
     # equal lists become one, with the least positions
-    many: dict[bytes, list] = {}
-    for a, m in zip(start[length > 2].tolist(), length[length > 2].tolist()):
+    many: dict[bytes, int] = {}
+    b = int(rows["bucket"].iloc[0])
+    parts = [(np.full(len(pairs), b), np.full(len(pairs), -1), pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64))]
+    for a, m in zip(start[(length > 2) & ~spread].tolist(), length[(length > 2) & ~spread].tolist()):
         key = s[a : a + m].tobytes()
         if key in many:
-            np.minimum(many[key][1], p[a : a + m], out=many[key][1])
+            at = many[key]
+            np.minimum(p[at : at + m], p[a : a + m], out=p[at : at + m])
         else:
-            many[key] = [n[a : a + m], p[a : a + m].copy()]
-    pairs = np.unique(pairs, axis=0)
-    b = int(rows["bucket"].iloc[0])
-    frame = pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1]})
-    frame["bucket"], frame["list"] = b, None
-    frame["sids"] = frame["sizes"] = frame["places"] = None
-    lists = pd.DataFrame({"bucket": b, "list": range(len(many)), "sids": [np.frombuffer(k, "<i8") for k in many], "sizes": [v[0] for v in many.values()], "places": [v[1] for v in many.values()]})
-    lists["x"] = lists["y"] = None
-    cols = ["bucket", "list", "x", "y", "sids", "sizes", "places"]
-    return pd.concat([frame[cols].astype(object), lists[cols].astype(object)]) if many else frame[cols].astype(object)
+            many[key] = a
+    for k, (key, a) in enumerate(many.items()):
+        m = len(key) // 8
+        parts.append((np.full(m, b), np.full(m, k), s[a : a + m], np.zeros(m, np.int64), n[a : a + m], p[a : a + m]))
+    for a, m in zip(start[spread].tolist(), length[spread].tolist()):
+        parts.append((np.full(m, -1), np.full(m, int(e["token"][a])), s[a : a + m], np.zeros(m, np.int64), n[a : a + m], p[a : a + m]))
+    return pd.DataFrame(dict(zip(["bucket", "list", "sid", "other", "size", "place"], map(np.concatenate, zip(*parts)))))
 
 
-_LISTS = "bucket long, list long, x long, y long, sids array<long>, sizes array<long>, places array<long>"
+_LISTS = "bucket long, list long, sid long, other long, size long, place long"
 
 
 def block_pairs(root, size, place, known, settled):
@@ -336,25 +364,22 @@ def derived_links(root, size, lacks, adds, width: int):
 
     label = root.copy()
     m = len(root)
-    lost = np.zeros((m, width), np.float32)
-    for i, at in enumerate(lacks):
-        lost[i, at] = 1
-    n_lost = lost.sum(1)
-    holders: dict[int, list[int]] = {}
-    for i, more in enumerate(adds):
-        for h in more:
-            holders.setdefault(h, []).append(i)
-    shared = {h: np.array(v) for h, v in holders.items() if len(v) > 1}
+    n_lost, n_more = np.array([len(x) for x in lacks]), np.array([len(x) for x in adds])
+    place, holder = np.concatenate(lacks).astype(np.int64), np.repeat(np.arange(m), n_lost)
+    code, adder = np.unique(np.concatenate(adds).astype(np.int64), return_inverse=True)[1], np.repeat(np.arange(m), n_more)
+    upto = np.cumsum(n_more)
+    lost, more = np.zeros(width, bool), np.zeros(len(code) + 1, bool)
     names, n = np.unique(label, return_counts=True)
     largest = names[np.argmax(n)]
     for i in np.flatnonzero(label != largest).tolist():
         apart = label != label[i]
         if not apart.any():
             continue
-        common = width - (n_lost + n_lost[i] - lost @ lost[i])
-        for h in adds[i]:
-            if h in shared:
-                common[shared[h]] += 1
+        own = code[upto[i] - n_more[i] : upto[i]]
+        lost[lacks[i]] = more[own] = True
+        both = np.bincount(holder[lost[place]], minlength=m)
+        common = width - (n_lost + n_lost[i] - both) + np.bincount(adder[more[code]], minlength=m)
+        lost[lacks[i]] = more[own] = False
         ok = apart & (DEN * common >= NUM * (size + size[i] - common))
         for j in np.flatnonzero(ok).tolist():
             if label[j] != label[i]:
@@ -363,79 +388,104 @@ def derived_links(root, size, lacks, adds, width: int):
                 label[label == a] = b
 
 
-def _settle(batches):
-    """Of each list: links that the pivot's answers give (as components, ``sure``), and pairs left open."""
-    import numpy as np
+def _near_pivot(rows):
+    """Links that the answers of one pivot give, as pairs of components."""
     import pandas as pd
 
-    for batch in batches:
-        for width, entries in zip(batch["width"], batch["entries"]):
-            cols = {k: np.array([e[k] for e in entries], np.int64) for k in ("sid", "root", "size", "place", "known")}
-            near = np.array([e["lacks"] is not None for e in entries])
-            at = np.flatnonzero(near)
-            out = []
-            if len(at):
-                some = [entries[i] for i in at.tolist()]
-                for i, j in derived_links(cols["root"][at], cols["size"][at], [e["lacks"] for e in some], [list(e["adds"]) for e in some], int(width)):
-                    out.append((int(cols["root"][at[i]]), int(cols["root"][at[j]]), True))
-            for r, c in block_pairs(cols["root"], cols["size"], cols["place"], cols["known"], near):
-                a, b = cols["sid"][r], cols["sid"][c]
-                out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), [False] * len(a))
-            yield pd.DataFrame(out, columns=["x", "y", "sure"])
-
-
-def _may_link(batches):
-    """Pairs whose prefixes share enough: what lies beyond the prefixes cannot make up for more."""
+    root = rows["root"].to_numpy()
+    found = derived_links(root, rows["size"].to_numpy(), list(rows["lacks"]), list(rows["adds"]), int(rows["width"].iloc[0]))
+    return pd.DataFrame([(int(root[i]), int(root[j])) for i, j in found], columns=["u", "v"], dtype="int64")
+
+
+def _open_pairs(rows):
+    """Pairs of sets of one list that its pivot's answers leave open; ``rows`` holds some lists, or cells of them."""
     import numpy as np
-    import pyarrow as pa
+    import pandas as pd
 
-    for batch in batches:
-        keep = []
-        for a, b, nx, ny in zip(batch.column("bx"), batch.column("by"), batch.column("nx").to_pylist(), batch.column("ny").to_pylist()):
-            a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-            most = len(np.intersect1d(a, b, assume_unique=True)) + max(nx - len(a), ny - len(b))
-            keep.append(DEN * most >= NUM * (nx + ny - most))
-        yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep)), batch.column("y").filter(pa.array(keep))], ["x", "y"])
+    keys = [rows[c].to_numpy() for c in ("two", "one", "list", "bucket")]
+    order = np.lexsort(keys)
+    sid, root, size, place, known, near = (rows[c].to_numpy()[order] for c in ("sid", "root", "size", "place", "known", "near"))
+    first = np.flatnonzero(np.any([np.diff(k[order], prepend=k[order][0] - 1) != 0 for k in keys], axis=0))
+    out = [np.zeros((0, 2), np.int64)]
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(sid)]):
+        at, s = slice(a, b), sid[a:b]
+        out += [np.stack([np.minimum(s[r], s[c]), np.maximum(s[r], s[c])], 1) for r, c in block_pairs(root[at], size[at], place[at], known[at], near[at])]
+    return pd.DataFrame(np.concatenate(out), columns=["x", "y"])
 
 
-def _overlaps(batches):
-    """Exact overlaps; where y is near x, also the places of x's members that it lacks, and what it adds."""
-    import numpy as np
-    import pyarrow as pa
+def _in_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Deal the sets of each group so that every two that can still link meet, in tasks of two cells at most.
+
+    ``home`` tells sets of the pivot's component, which need not meet each other. A group without others
+    goes; a small one stays whole (``one`` = ``two`` = 0).
+    """
+    others = F.sum((~F.col("home")).cast("long"))
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), others.alias("_others")).where("_others > 0")
+    n = n.withColumn("_a", F.ceil((F.col("_n") - F.col("_others") + 1) / CELL)).withColumn("_b", F.ceil(F.col("_others") / CELL))
+    met = rows.join(n, keys)
+    deal = lambda parts: F.pmod(F.xxhash64("sid"), parts)
+    cell = F.when(F.col("home"), deal(F.col("_a"))).otherwise(F.col("_a") + deal(F.col("_b")))
+    met = met.withColumn("_cell", cell).withColumn("_whole", F.col("_n") <= 2 * CELL)
+    # pairs of cells of which one at least holds others
+    ends = F.sequence(F.lit(0).cast("long"), F.col("_a") + F.col("_b") - 1)
+    allowed = F.filter(ends, lambda c: (c != F.col("_cell")) & ((c >= F.col("_a")) | (F.col("_cell") >= F.col("_a"))))
+    pairs = F.transform(allowed, lambda c: F.struct(F.least(c, F.col("_cell")).alias("one"), F.greatest(c, F.col("_cell")).alias("two")))
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two")))
+    met = met.withColumn("_pair", F.explode(F.when(F.col("_whole"), alone).otherwise(pairs)))
+    return met.select(*rows.columns, "_pair.one", "_pair.two")
+
+
+def _overlaps(differences: bool):
+    def run(batches):
+        """Exact overlaps; where asked and y is near x, also the places of x's members that it lacks, and what it adds."""
+        import numpy as np
+        import pyarrow as pa
 
-    for batch in batches:
-        nx, ny, common, lacks, adds = [], [], [], [], []
-        for a, b in zip(batch.column("bx"), batch.column("by")):
-            a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            has = b[at] == a
-            n = int(has.sum())
-            nx.append(len(a))
-            ny.append(len(b))
-            common.append(n)
-            near = 2 * n > max(len(a), len(b))
-            lacks.append(np.flatnonzero(~has) if near else None)
-            adds.append(np.delete(b, at[has]).view(np.int64) if near else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("x"), batch.column("y"), pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(common, pa.int64()), pa.array(lacks, pa.list_(pa.int64())), pa.array(adds, pa.list_(pa.int64()))],
-            ["x", "y", "nx", "ny", "common", "lacks", "adds"],
-        )
-
-
-def _side_by_side(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    one = pairs.join(sets.select(F.col("sid").alias("x"), F.col(column).alias("bx"), F.col("n").alias("nx")), "x")
-    return one.join(sets.select(F.col("sid").alias("y"), F.col(column).alias("by"), F.col("n").alias("ny")), "y").select("x", "y", "bx", "by", "nx", "ny")
-
-
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact overlaps of pairs of set ids, members compared in tasks."""
-    rows = _side_by_side(pairs, sets, "members").mapInArrow(_overlaps, "x long, y long, nx long, ny long, common long, lacks array<long>, adds array<long>")
-    return materialize(rows, "overlaps")
+        for batch in batches:
+            nx, ny, common, lacks, adds = [], [], [], [], []
+            for a, b in zip(batch.column("bx"), batch.column("by")):
+                a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
+                at = np.searchsorted(b, a)
+                at[at == len(b)] = 0
+                has = b[at] == a
+                n = int(has.sum())
+                nx.append(len(a))
+                ny.append(len(b))
+                common.append(n)
+                near = differences and 2 * n > max(len(a), len(b))
+                lacks.append(np.flatnonzero(~has).astype(np.int32) if near else None)
+                adds.append(np.delete(b, at[has]).view(np.int64) if near else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("x"), batch.column("y"), pa.array(nx, pa.int64()), pa.array(ny, pa.int64()), pa.array(common, pa.int64()), pa.array(lacks, pa.list_(pa.int32())), pa.array(adds, pa.list_(pa.int64()))],
+                ["x", "y", "nx", "ny", "common", "lacks", "adds"],
+            )
+
+    return tidy(run)
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """Exact overlaps of written pairs of set ids, members compared in tasks.
+
+    ``sets`` lies in buckets by id, so only pairs, with the members of their first set, are shuffled. A set
+    with more than ``PARTS`` pairs is copied for each ``PARTS`` of them, so that no task sends them all.
+    """
+    fan = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / PARTS).alias("parts")).where("parts > 1")
+    fan = materialize(fan, "fan")
+    first = sets.select(F.col("sid").alias("x"), F.col("members").alias("bx"))
+    if fan.isEmpty():
+        one = pairs.join(first, "x")
+    else:
+        told = pairs.join(fan, "x", "left")
+        copies = first.join(fan, "x").select("x", "bx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        many = told.where("parts IS NOT NULL").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part")).join(copies.hint("shuffle_hash"), ["x", "part"])
+        one = told.where("parts IS NULL").select("x", "y").join(first, "x").unionByName(many.select("x", "y", "bx"))
+    both = one.join(sets.select(F.col("sid").alias("y"), F.col("members").alias("by")), "y").select("x", "y", "bx", "by")
+    return materialize(both.mapInArrow(_overlaps(differences), "x long, y long, nx long, ny long, common long, lacks array<int>, adds array<long>"), "overlaps")
 
 
 def _linked(overlaps: DataFrame) -> DataFrame:
-    return overlaps.where(DEN * F.col("common") >= NUM * (F.col("nx") + F.col("ny") - F.col("common")))
+    rows = overlaps.where(DEN * F.col("common") >= NUM * (F.col("nx") + F.col("ny") - F.col("common")))
+    return rows.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
 def _id(doc: str) -> Column:
@@ -447,96 +497,118 @@ def _digest(text: str) -> Column:
     return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
+def _members(wanted, bits: int):
+    """Sets of documents whose ids are on the map, with their members; a task tells each set once."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        schema = pa.schema([("sid", pa.int64()), ("members", pa.binary())])
+        filled = np.frombuffer(wanted.value, np.uint8)
+        seen: set[int] = set()
+        for batch in batches:
+            slot = batch.column(0).to_numpy() % (1 << bits)
+            kept = batch.column(1).filter(pa.array((filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+            for at, k in slices(kept, CHUNK):
+                new = {sid: s for s in _sets_of(kept.slice(at, k), SHINGLE) if len(s) and (sid := set_id(s)) not in seen}
+                seen.update(new)
+                yield pa.RecordBatch.from_pydict({"sid": list(new), "members": [s.tobytes() for s in new.values()]}, schema=schema)
+
+    return tidy(run)
+
+
+def _id_map(spark, carriers: DataFrame, rows: int):
+    """A broadcast map of bits over the carriers' ids, and its size as a power of two."""
+    import numpy as np
+
+    least, most = FILTER_BITS
+    bits = min(most, max(least, (8 * rows).bit_length()))
+    bit = F.pmod("doc", F.lit(1 << bits))
+    words = carriers.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(doc, {1 << bits}) & 63))")).alias("bits"))
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    for batch in words.toArrow().to_batches():  # at most 2 ** 20 words of a fixed-size map
+        bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return spark.sparkContext.broadcast(bitmap.view(np.uint8).tobytes()), bits
+
+
 def linked_sets(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows ``doc, text, digest``: each row's ``doc, digest, n, sid``, and ``node, root`` of linked set ids."""
     spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     least, most = SKETCH_BITS
     bits = min(most, max(least, (size // (5 * PER_COUNTER)).bit_length()))
-    survey = materialize(source.mapInArrow(_survey(bits), "doc long, digest string, n long, sid long, slice int, counts binary"), "survey")
-    sketch = survey.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInPandas(_add_up(bits), "slice int, ranks binary")
-    # 16 MB at most reach the driver and go to tasks, for any input
-    parts = {r["slice"]: bytes(r["ranks"]) for r in sketch.collect()}
-    empty = bytes((1 << bits) // SLICES)
-    commonness = spark.sparkContext.broadcast(b"".join(parts.get(i, empty) for i in range(SLICES)))
+    survey = materialize(source.select("doc", "text", "digest").mapInArrow(_survey(bits), "doc long, digest string, n long, sid long, slice int, task long, counts binary"), "survey")
     named = survey.where("slice IS NULL").select("doc", "digest", "n", "sid")
+    prefix = F.col("n") - F.ceil(NUM * F.col("n") / DEN) + 1
+    tasks, entries, rows = survey.agg(F.max("task"), F.sum(prefix), F.count("n")).first()
+    commonness = spark.sparkContext.broadcast(_commonness(survey.where("slice IS NOT NULL"), (tasks or 0) + 1, bits))
 
     width = shuffle_width(spark)
-    packed = source.select("doc", "text").mapInArrow(_postings(commonness, bits, width), "bucket long, sets long, entries binary")
+    buckets = max(width, -(-(entries or 0) // BUCKET))
+    packed = source.select("doc", "text").mapInArrow(_postings(commonness, bits, buckets), "bucket long, entries binary")
     lists = materialize(packed.groupBy("bucket").applyInPandas(_lists, _LISTS), "lists")
-    pairs = materialize(lists.where("list IS NULL").select("x", "y").distinct(), "pairs")
-    long_lists = lists.where("list IS NOT NULL").select("bucket", "list", F.explode(F.arrays_zip("sids", "sizes", "places")).alias("e"))
-    entries = long_lists.select("bucket", "list", F.col("e.sids").alias("sid"), F.col("e.sizes").alias("size"), F.col("e.places").alias("place"))
+    pairs = materialize(lists.where("list = -1").select(F.least("sid", "other").alias("x"), F.greatest("sid", "other").alias("y")).distinct(), "pairs")
+    longer = lists.where("list >= 0").select("bucket", "list", "sid", "size", "place")
     # the pivot of a list is the set that most lists hold
-    held = entries.groupBy("sid").agg(F.count(F.lit(1)).alias("held"))
-    ranked = entries.join(held, "sid")
-    pivots = ranked.groupBy("bucket", "list").agg(F.max_by(F.struct(F.col("sid").alias("pivot"), F.col("size").alias("width")), F.struct("held", "sid")).alias("p"))
-    entries = materialize(entries.join(pivots, ["bucket", "list"]).select("bucket", "list", "sid", "size", "place", "p.pivot", "p.width"), "entries")
+    held = longer.groupBy("sid").agg(F.count(F.lit(1)).alias("held"))
+    pivots = longer.join(held, "sid").groupBy("bucket", "list").agg(F.max_by("sid", F.struct("held", "sid")).alias("pivot"), F.max_by("size", F.struct("held", "sid")).alias("width"))
+    longer = materialize(longer.join(pivots, ["bucket", "list"]), "entries")
 
     # members of candidate sets, from one carrier each
-    candidates = pairs.select(F.explode(F.array("x", "y")).alias("sid")).unionByName(entries.select("sid")).distinct()
-    carriers = named.groupBy("sid").agg(F.min("doc").alias("doc")).join(candidates, "sid")
-    carriers = materialize(carriers, "carriers")
-    bit = F.pmod("doc", F.lit(1 << FILTER_BITS))
-    words = carriers.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(doc, {1 << FILTER_BITS}) & 63))")).alias("bits"))
-    import numpy as np
-
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for batch in words.toArrow().to_batches():  # at most 2 ** 17 words of a fixed-size map
-        bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    wanted = spark.sparkContext.broadcast(bitmap.view(np.uint8).tobytes())
-
-    def members(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        filled, counts, shift = np.frombuffer(wanted.value, np.uint8), np.frombuffer(commonness.value, np.uint8), np.uint64(64 - bits)
-        head = lambda s: np.sort(s[np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")[: prefix_size(len(s))]])
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            slot = ids % (1 << FILTER_BITS)
-            mask = (filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            kept = batch.filter(pa.array(mask))
-            for some, sets in _docs_and_sets([kept]):
-                yield pa.RecordBatch.from_pydict({"doc": some, "sid": [set_id(s) for s in sets], "n": [len(s) for s in sets], "head": [head(s).tobytes() for s in sets], "members": [s.tobytes() for s in sets]}, schema=pa.schema([("doc", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("head", pa.binary()), ("members", pa.binary())]))
-
-    found = source.select("doc", "text").mapInArrow(members, "doc long, sid long, n long, head binary, members binary")
-    sets = materialize(found.join(carriers.hint("shuffle_hash"), ["doc", "sid"]).select("sid", "n", "head", "members"), "sets")
-
-    stars = entries.where("sid <> pivot").where(DEN * F.least("size", "width") >= NUM * F.greatest("size", "width")).select(F.col("pivot").alias("x"), F.col("sid").alias("y")).distinct()
-    answers = _compare(stars, sets)
-    first = pairs.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), ["x", "y"], "left_anti")
-    others = _compare(_side_by_side(first, sets, "head").mapInArrow(_may_link, "x long, y long"), sets)
-    links = _linked(answers).unionByName(_linked(others)).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    roots = materialize(components(links), "roots")
-    # what these answers give for the other pairs of each list, and what they leave open
-    with_root = entries.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = with_root.groupBy("bucket", "list").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket", "list")
-    known = answers.select(F.col("x").alias("pivot"), F.col("y").alias("sid"), F.col("common").alias("known"), "lacks", "adds")
+    candidates = pairs.select(F.explode(F.array("x", "y")).alias("sid")).unionByName(longer.select("sid")).distinct()
+    carriers = materialize(named.groupBy("sid").agg(F.min("doc").alias("doc"), F.min("n").alias("n")).join(candidates, "sid"), "carriers")
+    blobs = carriers.agg(F.sum("n")).first()[0] or 0
+    wanted, id_bits = _id_map(spark, carriers, rows)
+    found = source.select("doc", "text").mapInArrow(_members(wanted, id_bits), "sid long, members binary")
+    parts = max(width, -(-8 * blobs // BLOB))
+    found = found.repartition(parts, "sid").join(carriers.select("sid").hint("shuffle_hash"), "sid", "left_semi")
+    sets, forget = bucketed(found.dropDuplicates(["sid"]), "sets", "sid", parts)
+
+    star = longer.where("sid <> pivot").where(DEN * F.least("size", "width") >= NUM * F.greatest("size", "width"))
+    stars = materialize(star.select(F.col("pivot").alias("x"), F.col("sid").alias("y")).distinct(), "stars")
+    answers = _compare(stars, sets, True)
+    either = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    others = _compare(materialize(pairs.join(either, ["x", "y"], "left_anti"), "others"), sets)
+    roots = materialize(components(_linked(answers).unionByName(_linked(others))), "roots")
+
+    # links that a pivot's answers give for all sets near it, whatever lists they share
+    rooted = lambda df, sid, name: df.join(roots.select(F.col("node").alias(sid), F.col("root").alias(f"_{name}")), sid, "left").withColumn(name, F.coalesce(f"_{name}", sid)).drop(f"_{name}")
+    near = answers.where("lacks IS NOT NULL").select(F.col("x").alias("pivot"), F.col("nx").alias("width"), F.col("y").alias("sid"), F.col("ny").alias("size"), "lacks", "adds")
+    centre = near.select("pivot", "width").distinct().select("pivot", "width", F.col("pivot").alias("sid"), F.col("width").alias("size"), F.array().cast("array<int>").alias("lacks"), F.array().cast("array<long>").alias("adds"))
+    near = rooted(rooted(near.unionByName(centre), "sid", "root"), "pivot", "centre").withColumn("home", F.col("root") == F.col("centre"))
+    sure = _in_cells(materialize(near, "near"), ["pivot"]).groupBy("pivot", "one", "two").applyInPandas(_near_pivot, "u long, v long")
+    sure = materialize(sure.distinct(), "sure")
+
+    # pairs of a list that its pivot's answers leave open
+    known = answers.select(F.col("x").alias("pivot"), F.col("y").alias("sid"), F.col("common").alias("known"), F.col("lacks").isNotNull().alias("near"))
+    told = rooted(rooted(longer, "sid", "root"), "pivot", "centre").join(known, ["pivot", "sid"], "left")
     own = F.col("pivot") == F.col("sid")
-    nothing = F.array().cast("array<long>")
-    told = with_root.join(mixed, ["bucket", "list"]).join(known, ["pivot", "sid"], "left").select(
-        "bucket", "list", "width", "sid", "root", "size", "place", F.when(own, F.col("size")).otherwise(F.coalesce("known", F.lit(-1))).alias("known"),
-        F.when(own, nothing).otherwise(F.col("lacks")).alias("lacks"), F.when(own, nothing).otherwise(F.col("adds")).alias("adds"),
+    told = told.select(
+        "bucket", "list", "sid", "root", "size", "place", (F.col("root") == F.col("centre")).alias("home"),
+        F.when(own, F.col("size")).otherwise(F.coalesce("known", F.lit(-1))).alias("known"), (own | F.coalesce("near", F.lit(False))).alias("near"),
     )
-    whole = told.groupBy("bucket", "list", "width").agg(F.collect_list(F.struct("sid", "root", "size", "place", "known", "lacks", "adds")).alias("entries"))
-    settled = materialize(whole.select("width", "entries").mapInPandas(_settle, "x long, y long, sure boolean").distinct(), "settled")
-    open_pairs = settled.where("NOT sure").select("x", "y").join(answers.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    open_pairs = materialize(_side_by_side(open_pairs, sets, "head").mapInArrow(_may_link, "x long, y long"), "open")
-    more = _linked(_compare(open_pairs, sets)).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    more = more.unionByName(settled.where("sure").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    whole = materialize(_in_cells(materialize(told, "told"), ["bucket", "list"]), "cells")
+    # many short lists share a group of rows, so that Python is not called for each
+    some = F.pmod(F.xxhash64("bucket", "list", "one", "two"), F.lit(max(width, whole.count() // TOGETHER)))
+    pairs_left = whole.groupBy(some.alias("_some")).applyInPandas(_open_pairs, "x long, y long").distinct()
+    pairs_left = materialize(pairs_left.join(either, ["x", "y"], "left_anti"), "open")
+    more = _linked(_compare(pairs_left, sets)).unionByName(sure)
     tree = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
-    return named, components(tree.unionByName(more))
+    final = components(tree.unionByName(more))
+    forget()
+    return named, final
 
 
 def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, n_shingles, component`` for each row; linked documents share the smallest id of theirs."""
     named, final = linked_sets(docs.select(_id(doc).alias("doc"), F.col(text).alias("text"), F.lit(None).cast("string").alias("digest")))
-    of_set = named.where("n > 0").select("sid", "doc").join(final.withColumnRenamed("node", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "sid", "doc")
+    own = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    of_set = named.where("n > 0").groupBy("sid").agg(F.min(own).alias("doc")).join(final.withColumnRenamed("node", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "sid", "doc")
     least = of_set.groupBy("root").agg(F.min("doc").alias("component"))
-    by_sid = of_set.select("sid", "root").distinct().join(least, "root").select("sid", "component")
+    by_sid = of_set.select("sid", "root").join(least, "root").select("sid", "component")
     out = named.join(by_sid, "sid", "left")
-    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
+    return out.select(own.alias("doc"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(own).alias("component"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

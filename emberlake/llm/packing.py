@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm import bpe
+from emberlake.llm.workers import slices, tidy
 from emberlake.storage import materialize, shuffle_width
 
 CAPACITY = 2048
+CHUNK = 1 << 20  # bytes of text encoded at once
 BLOCK = 4096  # expected pieces in a block
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
 ROOMY = 0.99  # bins filled less than this are packed again in the last round
@@ -39,12 +41,12 @@ def pieces(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenize
         uid = TaskContext.get().partitionId() << 34
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 1000):
-                flat, counts = enc.encode([t or "" for t in texts.slice(at, 1000).to_pylist()])
+            for at, n in slices(texts, CHUNK):
+                flat, counts = enc.encode([t or "" for t in texts.slice(at, n).to_pylist()])
                 flat = flat.astype("<u4")
                 ends = np.cumsum(counts)
                 rows = []
-                for d, a, b in zip(ids[at : at + 1000], (ends - counts).tolist(), ends.tolist()):
+                for d, a, b in zip(ids[at : at + n], (ends - counts).tolist(), ends.tolist()):
                     for k, s in enumerate(range(a, b, capacity)):
                         part = flat[s : min(b, s + capacity)]
                         rows.append((uid, d, k, s - a, len(part), zlib.crc32(part.tobytes())))
@@ -54,7 +56,7 @@ def pieces(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenize
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     schema = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(cut, schema)
+    return docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(tidy(cut), schema)
 
 
 def _best_fit(order, lens, assign, fill, capacity: int) -> int:

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm import bpe
+from emberlake.llm.workers import slices, tidy
 from emberlake.storage import materialize, shared_folder, shuffle_width
 
 NO_ID = -(1 << 63)
 BLOCK = 1 << 20  # ids that one step of a separator scan looks at
+CHUNK = 1 << 20  # bytes of text encoded at once
 
 
 def mounted(path: str) -> str:
@@ -44,15 +46,25 @@ def _batches(batches, tokenizer: str, joins_space: bool, end: int, specials: boo
     enc = bpe.encoder(tokenizer, joins_space, end, specials)
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 1000):
-            some = [t or "" for t in texts.slice(at, 1000).to_pylist()]
+        for at, n in slices(texts, CHUNK):
+            some = [t or "" for t in texts.slice(at, n).to_pylist()]
             flat, counts = enc.encode(some)
-            yield [NO_ID if x is None else x for x in ids[at : at + 1000]], flat, counts
+            yield [NO_ID if x is None else x for x in ids[at : at + n]], flat, counts
 
 
-def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = True, end: int = 0, specials: bool = False, dtype: str = "<u2") -> DataFrame:
-    """Write shards in ascending document order; returns the manifest ``shard, path, n_docs, n_ids, base``."""
+def _stored(flat, dtype: str) -> bytes:
+    """The ids as they stand in a file; an id that its type cannot hold is an error."""
+    import numpy as np
+
+    if len(flat) and int(flat.max()) > np.iinfo(dtype).max:
+        raise ValueError(f"id {int(flat.max())} does not fit into {dtype}")
+    return flat.astype(dtype).tobytes()
+
+
+def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = True, end: int = 0, specials: bool = False, dtype: str | None = None) -> DataFrame:
+    """Write shards in ascending document order; returns the manifest ``shard, path, n_docs, n_ids, base, dtype``."""
     spark = docs.sparkSession
+    dtype = dtype or bpe.id_type(tokenizer)
     folder = mounted(shared_folder(spark, "token-files"))
 
     def write(batches):
@@ -67,7 +79,7 @@ def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tok
         with open(path + ".bin", "wb") as f, open(path + ".idx", "wb") as g, open(path + ".doc", "wb") as h:
             g.write(np.zeros(1, "<i8").tobytes())
             for ids, flat, counts in _batches(batches, tokenizer, joins_space, end, specials):
-                f.write(flat.astype(dtype).tobytes())
+                f.write(_stored(flat, dtype))
                 g.write((n_ids + np.cumsum(counts)).astype("<i8").tobytes())
                 h.write(np.array(ids, "<i8").tobytes())
                 n_docs += len(ids)
@@ -75,13 +87,14 @@ def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tok
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     ranged = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange(shuffle_width(spark), F.col("d").asc_nulls_first())
-    shards = materialize(ranged.sortWithinPartitions(F.col("d").asc_nulls_first(), "t").mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "manifest")
+    shards = materialize(ranged.sortWithinPartitions(F.col("d").asc_nulls_first(), "t").mapInArrow(tidy(write), "shard long, path string, n_docs long, n_ids long"), "manifest")
+    shards = shards.withColumn("dtype", F.lit(dtype))
     # one row for each shard
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).cast("long"))
 
 
-def read_files(manifest: DataFrame, *, dtype: str = "<u2") -> DataFrame:
+def read_files(manifest: DataFrame) -> DataFrame:
     """Map the shards and return ``doc_id, start, n_tokens, ids_crc32`` of each document."""
 
     def read(batches):
@@ -92,7 +105,7 @@ def read_files(manifest: DataFrame, *, dtype: str = "<u2") -> DataFrame:
             for row in batch.to_pylist():
                 if not row["n_ids"]:
                     continue
-                ids = np.memmap(row["path"] + ".bin", dtype, "r")
+                ids = np.memmap(row["path"] + ".bin", row["dtype"], "r")
                 at = np.memmap(row["path"] + ".idx", "<i8", "r")
                 docs = np.array(np.memmap(row["path"] + ".doc", "<i8", "r"))
                 for k in range(0, len(docs), 5000):
@@ -114,12 +127,13 @@ def op7_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFra
     return read_files(write_files(docs, tokenizer=tokenizer or bpe.tokenizer_path("byte_bpe_50k.json"), specials=True))
 
 
-def write_flat(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = True, end: int, dtype: str = "<u2") -> tuple[DataFrame, DataFrame]:
+def write_flat(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = True, end: int, dtype: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Write flat files without an index, each task its own rows in their order: no shuffle.
 
     Returns ``(files, docs)``: ``path, n_ids`` and, to name the documents afterwards, ``path, nth, doc_id``.
     """
     folder = mounted(shared_folder(docs.sparkSession, "flat-files"))
+    dtype = dtype or bpe.id_type(tokenizer)
 
     def write(batches):
         import pyarrow as pa
@@ -129,7 +143,7 @@ def write_flat(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", toke
         n_docs = n_ids = 0
         with open(path, "wb") as f:
             for ids, flat, _ in _batches(batches, tokenizer, joins_space, end):
-                f.write(flat.astype(dtype).tobytes())
+                f.write(_stored(flat, dtype))
                 n = len(ids)
                 yield pa.RecordBatch.from_pydict(
                     {"path": [path] * n, "nth": list(range(n_docs, n_docs + n)), "doc_id": [None if x == NO_ID else x for x in ids], "n_ids": [None] * n},
@@ -143,12 +157,12 @@ def write_flat(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", toke
 
     schema = pa.schema([("path", pa.string()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("n_ids", pa.int64())])
     rows = materialize(
-        docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(write, "path string, nth long, doc_id long, n_ids long"), "flat"
+        docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(tidy(write), "path string, nth long, doc_id long, n_ids long"), "flat"
     )
-    return rows.where("nth < 0 AND n_ids > 0").select("path", "n_ids"), rows.where("nth >= 0").select("path", "nth", "doc_id")
+    return rows.where("nth < 0 AND n_ids > 0").select("path", "n_ids", F.lit(dtype).alias("dtype")), rows.where("nth >= 0").select("path", "nth", "doc_id")
 
 
-def scan_separators(files: DataFrame, *, end: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
+def scan_separators(files: DataFrame, *, end: int, block: int = BLOCK) -> DataFrame:
     """``path, nth, start, n_tokens`` of every document in flat files, the end id counted.
 
     Each file is cut into blocks that tasks search on their own; documents that cross blocks are
@@ -161,15 +175,15 @@ def scan_separators(files: DataFrame, *, end: int, dtype: str = "<u2", block: in
 
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.memmap(row["path"], dtype, "r", offset=row["at"] * np.dtype(dtype).itemsize, shape=(row["size"],))
+                ids = np.memmap(row["path"], row["dtype"], "r", offset=row["at"] * np.dtype(row["dtype"]).itemsize, shape=(row["size"],))
                 found = np.flatnonzero(ids == end) + row["at"]
                 yield pa.RecordBatch.from_pydict({"path": [row["path"]], "at": [row["at"]], "ends": [found]}, schema=schema)
 
     import pyarrow as pa
 
     schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("ends", pa.list_(pa.int64()))])
-    blocks = files.select("path", "n_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_ids") - 1, F.lit(block).cast("long"))).alias("at"))
-    blocks = blocks.select("path", "at", F.least(F.lit(block).cast("long"), F.col("n_ids") - F.col("at")).alias("size"))
+    blocks = files.select("path", "n_ids", "dtype", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_ids") - 1, F.lit(block).cast("long"))).alias("at"))
+    blocks = blocks.select("path", "dtype", "at", F.least(F.lit(block).cast("long"), F.col("n_ids") - F.col("at")).alias("size"))
     found = materialize(blocks.repartition(shuffle_width(files.sparkSession)).mapInArrow(search, "path string, at long, ends array<long>"), "separators")
     # block summaries: a file has as many as it has blocks
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,30 +17,23 @@ an empty table gives an empty result; other columns of the input are not read.
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm.gru import Adam, Pooled, sigmoid
+from emberlake.llm.hashing import span_hashes
+from emberlake.llm.workers import slices, tidy
 
 SAMPLE, LONGEST = 1200, 20_000
 WORD, WINDOW, STRIDE = 16, 48, 32
 CHARS, CHAR_DIM, CHAR_HIDDEN = 256, 8, 8
 BUCKETS, WORD_DIM, HIDDEN = 4096, 6, 8
-ROUNDS, BATCH, RATE = 8, 24, 0.01
+ROUNDS, BATCH, RATE = 8, 24, 0.01  # the same number of rounds for any number of rows
 THRESHOLD = 0.3
 KNOWN = 150_000  # distinct words whose projections a worker remembers
-CHUNK = 1 << 19  # code points handled at once
-_BASE = 0x9E3779B97F4A7C15
-
-
-@lru_cache(2)
-def _powers(n: int):
-    up, down = np.full(n, np.uint64(_BASE)), np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+CHUNK = 1 << 19  # bytes of text handled at once
 
 
 def split_words(texts: list):
@@ -57,11 +50,7 @@ def split_words(texts: list):
         first = np.repeat(np.cumsum(n) - n, n)
         starts = np.repeat(starts, n) + (np.arange(n.sum()) - first) * WORD
         ends = np.minimum(starts + WORD, np.repeat(ends, n))
-    up, down = _powers(1 << max(12, len(cp).bit_length()))
-    total = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum((cp + np.uint64(1)) * up[: len(cp)], out=total[1:])
-    keys = (total[ends] - total[starts]) * down[starts]
-    keys ^= keys >> np.uint64(29)
+    keys = span_hashes(cp, starts, ends)
     bounds = np.cumsum([len(t) + 1 for t in low])
     counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
     return keys, starts, ends, cp, counts
@@ -178,7 +167,6 @@ def fit(texts: list, labels, prior: float, *, rounds: int = ROUNDS, seed: int =
     weight = _telling(keys, letters, windows, owner, labels)
     adam = Adam(net.w, RATE)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
-    rounds = max(rounds, min(16, int(rounds * 500 / len(labels))))  # few rows take more rounds
     apart = rng.random(len(labels)) < 0.25  # texts for calibration, never trained on
     if len(set(labels[apart].tolist())) < 2 or len(set(labels[~apart].tolist())) < 2:
         apart[:] = False
@@ -300,18 +288,11 @@ def _with_scores(docs: DataFrame, model: dict, text: str, schema: str, result):
             _SCORERS[key] = Scorer(shared.value)
         scorer = _SCORERS[key]
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            at, out = 0, []
-            while at < len(texts):
-                size, upto = 0, at
-                while upto < len(texts) and size < CHUNK:
-                    size += len(texts[upto] or "")
-                    upto += 1
-                out.append(scorer.score(texts[at:upto]))
-                at = upto
+            texts = batch.column(place)
+            out = [scorer.score(texts.slice(at, n).to_pylist()) for at, n in slices(texts, CHUNK)]
             yield result(batch, np.concatenate(out) if out else np.zeros(0))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def score(docs: DataFrame, model: dict, *, doc: str = "doc_id", text: str = "text") -> DataFrame:

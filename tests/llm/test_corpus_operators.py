@@ -213,6 +213,54 @@ def test_derived_links_are_exact():
                 assert label[i] == label[j]
 
 
+def near_copies(rng, n, edits):
+    base = [f"v{i}" for i in range(90)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(edits)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(40)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_large_groups_in_cells_equal_brute_force(spark, monkeypatch):
+    # one large group of near copies, one very common passage; every bound of a task is far below their size
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = near_copies(rng, 260, 7) + [f"{passage} " + " ".join(f"q{rng.randrange(60)}" for _ in range(rng.randrange(1, 12))) for _ in range(120)]
+    texts += texts[:30]
+    docs = secret_docs(spark, texts).repartition(5)
+    want = components_of(texts)
+    for bounds in ({}, {"CELL": 16, "PARTS": 8, "TOGETHER": 64, "FAN": 2, "BUCKET": 40, "BLOB": 4000}):
+        for name, value in bounds.items():
+            monkeypatch.setattr(jaccard_join, name, value)
+        got = {r.doc: (r.n_shingles, r.component) for r in jaccard_join.jaccard_components(docs).collect()}
+        assert got == want
+
+
+def test_hashes_tell_words_apart_that_polynomials_confuse():
+    from emberlake.llm.hashing import span_hashes
+
+    word = b"a"
+    for _ in range(12):
+        word += bytes(ord("a") + ord("b") - c for c in word)
+    other = bytes(ord("a") + ord("b") - c for c in word)
+    for units in (np.frombuffer(word + other, np.uint8), np.frombuffer((word + other).decode().encode("utf-32-le"), np.uint32)):
+        for n in (1024, 2048, 4096):
+            h = span_hashes(units, np.array([0, 4096, 0]), np.array([n, 4096 + n, n]))
+            assert h[0] != h[1] and h[0] == h[2]
+    assert jaccard_join.set_id(jaccard_join.shingle_sets([word.decode()])[0]) != jaccard_join.set_id(jaccard_join.shingle_sets([other.decode()])[0])
+
+
+def test_join_edge_cases(spark, edge, none):
+    assert jaccard_join.jaccard_components(none).count() == 0
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "alone in here"), (9, None)] + [(7, "many rows that repeat one text of one id")] * 50
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc or 0, r.n_shingles, r.component or 0) for r in out) == sorted([(0, 2, 4), (0, 2, 4), (4, 2, 4), (4, 2, 4), (0, 1, 0), (9, 0, 9)] + [(7, 5, 7)] * 50)
+    assert jaccard_join.jaccard_components(edge).count() == edge.count()
+
+
 def test_near_duplicate_stage(spark, edge, none):
     out = jaccard_join.one_of_each(edge)
     assert out.columns == edge.columns and out.where("doc_id = 5").count() == 1 and out.where("doc_id = 13").count() == 0
