@@ -20,10 +20,11 @@ from functools import lru_cache
 import numpy as np
 
 from emberlake.llm.hashing import span_hashes
+from emberlake.llm.workers import held
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 CHUNK = 1 << 20  # code points handled at once
-KNOWN = 400_000  # distinct parts that a worker remembers
+KNOWN = 200_000  # distinct parts that a worker remembers
 
 
 @lru_cache(1)
@@ -254,10 +255,10 @@ class Encoder:
         return np.concatenate(flats) if flats else np.zeros(0, np.uint32), counts
 
 
-@lru_cache(2)
 def encoder(path: str, joins_space: bool, end: int = 0, specials: bool = False) -> Encoder:
     """The worker's own encoder: what it has learnt serves its later tasks too."""
-    return Encoder(path, joins_space, end, specials)
+    made = (path, joins_space, end, specials)
+    return held(made, lambda: Encoder(*made))
 
 
 def id_type(path: str) -> str:

@@ -8,7 +8,9 @@ splits a bucket instead of joining two texts. ICU, which Spark ships, does the U
 the JVM through the SQL function ``reflect``.
 
 Defined cases: a null text counts as empty, and empty texts are equal; a null id is kept and comes
-before all others; rows that repeat both id and text count once; an empty table gives an empty result; other columns are not read.
+before all others; rows that repeat both id and text are one document, whose next is the next other
+one, and come back as often as they came in; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -60,7 +62,8 @@ def equal_classes(members: DataFrame) -> DataFrame:
 def groups(prints: DataFrame, members: DataFrame) -> DataFrame:
     """``prints`` with ``group_id``: the smallest id among rows with the same canonical bytes."""
     classes = materialize(equal_classes(members), "classes")
-    by_print = classes.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("_texts"), F.min("group_id").alias("_group"))
+    # written, so that the join reads both sides from exchanges and a hot fingerprint can be split
+    by_print = materialize(classes.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("_texts"), F.min("group_id").alias("_group")), "buckets")
     plain = prints.join(by_print, "fingerprint", "left")
     one = plain.where("_texts IS NULL OR _texts = 1").select(*prints.columns, F.coalesce("_group", "doc_id").alias("group_id"))
     # collided buckets, if any, are told apart by their texts
@@ -73,7 +76,8 @@ def groups(prints: DataFrame, members: DataFrame) -> DataFrame:
 def edited_prints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against its edited text, whose last quarter is the next document's beginning.
 
-    Rows ``doc_id, n_chars, fingerprint, next_print, edited_sha256, edited_fingerprint, near_edited`` and
+    Rows ``doc_id, n_chars, times, fingerprint, next_print, edited_sha256, edited_fingerprint, near_edited``,
+    one for each id and text with the number of rows that repeat them (``times``), and
     ``canon``, the canonical text of those whose fingerprint others share. Texts are shuffled once, by
     id; the beginnings that documents lend each other go to rows that are already in place.
     """
@@ -81,7 +85,9 @@ def edited_prints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -
         F.coalesce(F.col(doc), F.lit(-(1 << 63))).alias("k"), F.col(doc).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")
     ).withColumn("h", F.xxhash64("text"))
     prints = texts.select("k", "doc_id", "h", F.length("text").cast("long").alias("n_chars"), digest(canonical(F.col("text"))).alias("fingerprint"))
-    prints = materialize(prints.distinct(), "prints")
+    prints = materialize(prints.groupBy(*prints.columns).agg(F.count(F.lit(1)).alias("times")), "prints")
+    if not prints.where("times > 1").isEmpty():
+        texts = texts.groupBy("k", "doc_id", "h").agg(F.first("text").alias("text"))
     ordered = materialize(with_order(prints, ["k", "h"], lead=["k", "h", "fingerprint"]), "neighbours")
     # the first document follows the last one; a lone document follows itself
     first = F.broadcast(ordered.where("_pos = 0").select(F.struct("k", "h", "fingerprint").alias("first")))  # one row
@@ -90,9 +96,9 @@ def edited_prints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -
     )
     chain = ordered.crossJoin(first).withColumn("next", follow).withColumn("tail", F.floor(F.col("n_chars") / 4).cast("int"))
     asks = chain.select(F.col("next.k").alias("k"), F.col("next.h").alias("h"), F.struct("k", "h").alias("asker"), F.col("tail").alias("give"))
-    shared = shared_buckets(prints).withColumn("shared", F.lit(True))
+    shared = materialize(shared_buckets(prints), "shared").withColumn("shared", F.lit(True))
     narrow = materialize(
-        chain.select("k", "h", "doc_id", "n_chars", "fingerprint", F.col("next.fingerprint").alias("next_print"), "tail")
+        chain.select("k", "h", "doc_id", "n_chars", "times", "fingerprint", F.col("next.fingerprint").alias("next_print"), "tail")
         .join(asks, ["k", "h"])
         .join(shared, "fingerprint", "left"),
         "chain",
@@ -104,7 +110,7 @@ def edited_prints(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -
     edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("tail")).cast("int")), "head"))
     edited = edited.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
     rows = edited.select(
-        "doc_id", "n_chars", "fingerprint", "next_print",
+        "doc_id", "n_chars", "times", "fingerprint", "next_print",
         F.sha2("edited", 256).alias("edited_sha256"),
         digest(F.col("edited_canon")).alias("edited_fingerprint"),
         (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"),
@@ -119,7 +125,8 @@ def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
     An exact digest has likeness 1 where canonical texts agree and 0 elsewhere.
     """
     rows = edited_prints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    found = groups(rows.drop("canon").distinct(), rows.where("canon IS NOT NULL").select("doc_id", "fingerprint", "canon"))
+    found = groups(rows.drop("canon"), rows.where("canon IS NOT NULL").select("doc_id", "fingerprint", "canon"))
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
         (F.col("fingerprint") == F.col("next_print")).cast("double").alias("near_next"), "group_id",

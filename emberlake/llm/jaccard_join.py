@@ -35,8 +35,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm.columns import unused
 from emberlake.llm.components import components
-from emberlake.llm.workers import slices, tidy
+from emberlake.llm.workers import release, slices, small_batches, tidy
 from emberlake.storage import bucketed, materialize, shuffle_width
 
 SHINGLE = 5
@@ -535,6 +536,7 @@ def _id_map(spark, carriers: DataFrame, rows: int):
 def linked_sets(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows ``doc, text, digest``: each row's ``doc, digest, n, sid``, and ``node, root`` of linked set ids."""
     spark = source.sparkSession
+    small_batches(spark)
     size = source.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     least, most = SKETCH_BITS
     bits = min(most, max(least, (size // (5 * PER_COUNTER)).bit_length()))
@@ -597,6 +599,9 @@ def linked_sets(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     tree = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
     final = components(tree.unionByName(more))
     forget()
+    commonness.unpersist()
+    wanted.unpersist()
+    release()
     return named, final
 
 
@@ -628,10 +633,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of_set = named.where("n > 0").groupBy("sid").agg(F.min(name).alias("name"))
     rooted = of_set.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     keep = rooted.groupBy("root").agg(F.min("name").alias("name")).select("name").unionByName(named.where("n = 0").select(name.alias("name")).distinct())
-    keep = keep.select(F.col("name.doc").alias("_doc"), F.col("name.digest").alias("_digest"))
-    joined = docs.withColumns({"_key": _id("doc_id"), "_text": _digest("text")}).join(keep.hint("shuffle_hash"), (F.col("_key") == F.col("_doc")) & (F.col("_text") == F.col("_digest")), "left_semi")
-    once = joined.select("_key", "_text", F.struct(*docs.columns).alias("_row")).groupBy("_key", "_text").agg(F.first("_row").alias("_row"))
-    return once.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    key, text, own, digest = unused(docs, "_key", "_text", "_doc", "_digest")
+    keep = keep.select(F.col("name.doc").alias(own), F.col("name.digest").alias(digest))
+    joined = docs.withColumns({key: _id("doc_id"), text: _digest("text")}).join(keep.hint("shuffle_hash"), (F.col(key) == F.col(own)) & (F.col(text) == F.col(digest)), "left_semi")
+    once = joined.select(key, text, F.struct(*docs.columns).alias("row")).groupBy(key, text).agg(F.first("row").alias("row"))
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.llm.columns import unused
 from emberlake.storage import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -133,13 +134,14 @@ def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself: each row of ``docs`` as often as the mix takes it, same columns.
 
-    Decisions are joined back by id and size; rows that share both were decided alike.
+    Decisions are joined back by id and source; rows that share both were decided alike.
     """
-    picks = mix(docs).where(F.col("copies") > 0).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    picks = picks.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies")
-    joined = docs.join(picks.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(picks["_id"]) & docs["source"].eqNullSafe(picks["_source"]))
+    id_, source, copies, again = unused(docs, "_id", "_source", "_copies", "_again")
+    picks = mix(docs).where(F.col("copies") > 0).groupBy("doc_id", "source").agg(F.max("copies").alias(copies))
+    picks = picks.select(F.col("doc_id").alias(id_), F.col("source").alias(source), copies)
+    joined = docs.join(picks.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(picks[id_]) & docs["source"].eqNullSafe(picks[source]))
     joined = joined.where(n_words("text") > 0)
-    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return joined.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 SQL = """

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm import bpe
-from emberlake.llm.workers import slices, tidy
+from emberlake.llm.workers import slices, small_batches, tidy
 from emberlake.storage import materialize, shuffle_width
 
 CAPACITY = 2048
@@ -55,8 +55,9 @@ def pieces(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenize
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     schema = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(tidy(cut), schema)
+    return docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(tidy(cut, True), schema)
 
 
 def _best_fit(order, lens, assign, fill, capacity: int) -> int:

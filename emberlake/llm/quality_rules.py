@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 SYMBOL = r"[#*$%&|<>]"
 MARKS = r"[!?]{2,}|\.{4,}|[-_=~]{4,}"
-SHORT = 300  # code points: longer lines are prose, not menus or notices
+BOILERPLATE_SHARE = 20  # a line is boilerplate if such phrases make up a 20th of it
 WINDOW = 5
 LEAST_WORDS, MOST_REPEAT = 10, 20  # words; per cent of words
 LEAST_KEPT = 60  # per cent of the lines' characters that must survive line cleaning
 
 # What marks a line as navigation or boilerplate, in lower case.
-NAVIGATION = r"^\s*(home|menu|next|previous|prev|back|login|log in|sign in|sign up|register|subscribe|share|search|contact|about|skip to content|read more|click here)(\s*[|>»/·•-]\s*\S+)*\s*$"
+NAVIGATION = r"^\s*(home|menu|next|previous|prev|back|login|log in|sign in|sign up|register|subscribe|share|search|contact|about|skip to content|read more|click here)(\s*[|>»/·•-]+\s*[^\s|>»/·•-]+)*[\s|>»/·•-]*$"
 BOILERPLATE = r"(all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|enable javascript|powered by|©|lorem ipsum)"
 
 
@@ -72,13 +72,15 @@ def line_fails(line: Column) -> Column:
     """Symbols instead of text, no word of two letters, shouting, marks in place of sentences, a menu or boilerplate."""
     symbols = F.regexp_count(line, F.lit(SYMBOL))
     marks = F.regexp_count(line, F.lit(MARKS))
-    short = F.length(line) < SHORT
+    low = F.lower(line)
+    phrases = F.length(F.array_join(F.regexp_extract_all(low, F.lit(BOILERPLATE), F.lit(0)), ""))
     return (
         ~line.rlike(r"\p{L}\p{L}")
         | (~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}\p{Lu}.{20}"))
         | (symbols * 30 > F.length(line))
         | (marks * 15 > F.length(line))
-        | (short & (F.lower(line).rlike(NAVIGATION) | F.lower(line).rlike(BOILERPLATE)))
+        | low.rlike(NAVIGATION)
+        | (low.rlike(BOILERPLATE) & (phrases * BOILERPLATE_SHARE > F.length(line)))
     )
 
 
@@ -122,7 +124,8 @@ def _sql() -> str:
       OR (NOT regexp_matches(l, '\\p{{Ll}}') AND regexp_matches(l, '\\p{{Lu}}\\p{{Lu}}.{{20}}'))
       OR 30 * len(regexp_extract_all(l, '{SYMBOL}')) > length(l)
       OR 15 * len(regexp_extract_all(l, '{MARKS}')) > length(l)
-      OR (length(l) < {SHORT} AND (regexp_matches(lower(l), '{NAVIGATION}') OR regexp_matches(lower(l), '{BOILERPLATE}'))))"""
+      OR regexp_matches(lower(l), '{NAVIGATION}')
+      OR {BOILERPLATE_SHARE} * length(array_to_string(regexp_extract_all(lower(l), '{BOILERPLATE}'), '')) > length(l))"""
     return f"""
     WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
     base AS (

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.llm.columns import unused
 from emberlake.storage import materialize
 
 
@@ -130,31 +131,16 @@ def scan(
         )
     lists = F.filter(F.array(*[f"hit{i}" for i in range(len(rules))]), lambda x: F.size(x) > 0)
     each = hits.select("blob_id", F.explode(lists).alias("hits")).dropDuplicates(["blob_id", "hits"])
-    # ends of matches: running sums inside one text's matches of one kind, no self-join
+    # ends of matches: running sums over one text's matches of one kind, sorted, so any number of them is linear
     least = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.least))])
     version = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-    ends = F.aggregate(
-        "hits",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,part:int,start:bigint,end:bigint>>").alias("out")),
-        lambda acc, h: F.struct(
-            (acc["at"] + h["gap"] + h["size"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        h["kind"].alias("kind"),
-                        h["part"].alias("part"),
-                        (acc["at"] + h["gap"]).alias("start"),
-                        (acc["at"] + h["gap"] + h["size"]).alias("end"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
+    upto = Window.partitionBy("blob_id", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    match = each.select("blob_id", F.posexplode("hits").alias("nth", "h")).select("blob_id", "nth", "h.kind", "h.part", "h.size", (F.col("h.gap") + F.col("h.size")).cast("long").alias("step"))
+    end = F.sum("step").over(upto)
     found = (
-        each.select("blob_id", F.explode(ends).alias("s"))
-        .where(F.col("s.part") >= least[F.col("s.kind")])
-        .select("blob_id", "s.kind", version[F.col("s.kind")].alias("version"), "s.start", "s.end")
+        match.withColumn("end", end)
+        .where(F.col("part") >= least[F.col("kind")])
+        .select("blob_id", "kind", version[F.col("kind")].alias("version"), (F.col("end") - F.col("size")).alias("start"), "end")
     )
     found = materialize(found, "found")
     fresh = todo.select("blob_id", F.explode("todo").alias("kind")).join(F.broadcast(current), "kind").select("blob_id", "kind", "version")
@@ -202,24 +188,21 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]") -> DataFrame:
     Overlapping spans merge into one mask; a private key goes with its body. Rows without findings pass
     unchanged, null texts stay null.
     """
-    paths, _, findings = scan(docs, rules=MASKED)
-    spans = by_path(paths, findings, MASKED).where(F.size("spans") > 0).select("blob_id", "spans").dropDuplicates(["blob_id"])
-    spans = spans.select(F.col("blob_id").alias("_blob"), F.col("spans").alias("_spans"))
+    _, _, findings = scan(docs, rules=MASKED)
+    # what stays of a text: the stretches between findings, after all that earlier findings cover
+    earlier = Window.partitionBy("blob_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    covered = findings.withColumn("at", F.coalesce(F.max("end").over(earlier), F.lit(0).cast("long")))
+    # a stretch before each finding that begins where nothing is covered yet, and the one after the last
+    stretch = F.when(F.col("start") >= F.col("at"), F.struct(F.col("at"), (F.col("start") - F.col("at")).alias("size")))
+    blob, stretches, end, new_text = unused(docs, "_blob", "_stretches", "_end", "_text")
+    kept = covered.groupBy("blob_id").agg(F.sort_array(F.collect_list(stretch)).alias(stretches), F.max("end").alias(end))
+    kept = kept.withColumnRenamed("blob_id", blob)
     text = F.col("text")
-    cut = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mask)))
-            .alias("out"),
-        ),
-    )
-    joined = docs.withColumn("_blob", blob_id("text")).join(spans, "_blob", "left").withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut))
-    clean = F.when(F.col("_cut").isNull(), text).otherwise(F.concat("_cut.out", F.expr("substring(text, int(_cut.at) + 1)")))
-    joined = joined.withColumn("_text", clean)
-    new = {"text": F.col("_text"), "n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))}
+    part = lambda x: F.substring(text, x["at"].cast("int") + 1, x["size"].cast("int"))
+    pieces = F.concat(F.transform(stretches, part), F.array(F.expr(f"substring(text, int({end}) + 1)")))
+    joined = docs.withColumn(blob, blob_id("text")).join(kept, blob, "left")
+    joined = joined.withColumn(new_text, F.when(F.col(end).isNull(), text).otherwise(F.array_join(pieces, mask)))
+    new = {"text": F.col(new_text), "n_chars": F.when(F.col(end).isNull(), F.col("n_chars")).otherwise(F.length(new_text).cast("long"))}
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 

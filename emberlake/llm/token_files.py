@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm import bpe
-from emberlake.llm.workers import slices, tidy
+from emberlake.llm.workers import slices, small_batches, tidy
 from emberlake.storage import materialize, shared_folder, shuffle_width
 
 NO_ID = -(1 << 63)
@@ -64,6 +64,7 @@ def _stored(flat, dtype: str) -> bytes:
 def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = True, end: int = 0, specials: bool = False, dtype: str | None = None) -> DataFrame:
     """Write shards in ascending document order; returns the manifest ``shard, path, n_docs, n_ids, base, dtype``."""
     spark = docs.sparkSession
+    small_batches(spark)
     dtype = dtype or bpe.id_type(tokenizer)
     folder = mounted(shared_folder(spark, "token-files"))
 
@@ -87,7 +88,7 @@ def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tok
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     ranged = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange(shuffle_width(spark), F.col("d").asc_nulls_first())
-    shards = materialize(ranged.sortWithinPartitions(F.col("d").asc_nulls_first(), "t").mapInArrow(tidy(write), "shard long, path string, n_docs long, n_ids long"), "manifest")
+    shards = materialize(ranged.sortWithinPartitions(F.col("d").asc_nulls_first(), "t").mapInArrow(tidy(write, True), "shard long, path string, n_docs long, n_ids long"), "manifest")
     shards = shards.withColumn("dtype", F.lit(dtype))
     # one row for each shard
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,6 +134,7 @@ def write_flat(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", toke
     Returns ``(files, docs)``: ``path, n_ids`` and, to name the documents afterwards, ``path, nth, doc_id``.
     """
     folder = mounted(shared_folder(docs.sparkSession, "flat-files"))
+    small_batches(docs.sparkSession)
     dtype = dtype or bpe.id_type(tokenizer)
 
     def write(batches):
@@ -157,7 +159,7 @@ def write_flat(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", toke
 
     schema = pa.schema([("path", pa.string()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("n_ids", pa.int64())])
     rows = materialize(
-        docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(tidy(write), "path string, nth long, doc_id long, n_ids long"), "flat"
+        docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(tidy(write, True), "path string, nth long, doc_id long, n_ids long"), "flat"
     )
     return rows.where("nth < 0 AND n_ids > 0").select("path", "n_ids", F.lit(dtype).alias("dtype")), rows.where("nth >= 0").select("path", "nth", "doc_id")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from emberlake.llm.gru import Adam, Pooled, sigmoid
 from emberlake.llm.hashing import span_hashes
-from emberlake.llm.workers import slices, tidy
+from emberlake.llm.workers import held, release, slices, small_batches, tidy
 
 SAMPLE, LONGEST = 1200, 20_000
 WORD, WINDOW, STRIDE = 16, 48, 32
@@ -33,6 +33,7 @@ BUCKETS, WORD_DIM, HIDDEN = 4096, 6, 8
 ROUNDS, BATCH, RATE = 8, 24, 0.01  # the same number of rounds for any number of rows
 THRESHOLD = 0.3
 KNOWN = 150_000  # distinct words whose projections a worker remembers
+STEP = 1024  # windows scored at once
 CHUNK = 1 << 19  # bytes of text handled at once
 
 
@@ -211,7 +212,7 @@ def _telling(keys, letters, windows, owner, labels):
     return out.max(1)
 
 
-def _all_logits(net: Network, keys, letters, windows, step: int = 4096):
+def _all_logits(net: Network, keys, letters, windows, step: int = STEP):
     projected = np.concatenate([net.projections(keys[i : i + 20000], letters[i : i + 20000]) for i in range(0, max(1, len(keys)), 20000)])
     if not len(projected):
         projected = np.zeros((1, 6 * HIDDEN), np.float32)
@@ -269,30 +270,26 @@ class Scorer:
             self.known.update(zip([names[i] for i in lacking.tolist()], range(have, have + len(lacking))))
         row = np.append(np.array([self.known[k] for k in names], np.int64)[codes], 0) if len(names) else np.zeros(1, np.int64)
         windows = np.where(windows >= 0, row[np.maximum(windows, 0)], -1)
-        logits = np.concatenate([self.net.logits(self.rows, windows[i : i + 4096]) for i in range(0, len(windows), 4096)])
+        logits = np.concatenate([self.net.logits(self.rows, windows[i : i + STEP]) for i in range(0, len(windows), STEP)])
         x = _features(logits, np.flatnonzero(np.diff(owner, prepend=-1)))
         return sigmoid(x @ np.array(self.slope) + self.shift)
 
 
-_SCORERS: dict = {}
-
-
 def _with_scores(docs: DataFrame, model: dict, text: str, schema: str, result):
     """``result(batch, scores)`` of each Arrow batch of ``docs``."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     place = docs.columns.index(text)
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        scorer = _SCORERS[key]
+        scorer = held(key, lambda: Scorer(shared.value))
         for batch in batches:
             texts = batch.column(place)
             out = [scorer.score(texts.slice(at, n).to_pylist()) for at, n in slices(texts, CHUNK)]
             yield result(batch, np.concatenate(out) if out else np.zeros(0))
 
-    return docs.mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(run, True), schema)
 
 
 def score(docs: DataFrame, model: dict, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +317,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, longest:
     ids = F.broadcast(picks[0].unionByName(picks[1]))  # 2 * sample rows at most
     rows = docs.where(F.length("text") <= longest).select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).toArrow().to_pylist()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
+    model = fit([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
+    release()
+    return model
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

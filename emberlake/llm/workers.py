@@ -1,7 +1,26 @@
-"""What tasks in Python workers share: slices of bounded size, and memory given back."""
+"""What tasks in Python workers share: slices of bounded size, one kept state, and memory given back."""
 
 from __future__ import annotations
 
+ROWS = 1000  # rows of an Arrow batch that carries texts
+_HELD: dict = {}
+
+
+def small_batches(spark) -> None:
+    """Texts can be long: from now on this session sends Python at most ``ROWS`` rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
+def held(key, make):
+    """What a worker keeps for its next tasks of the same kind; it keeps one thing at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
 
 def slices(texts, most: int, rows: int = 2000):
     """``(offset, length)`` of runs of an Arrow text column with about ``most`` bytes each, one row at least."""
@@ -32,10 +51,15 @@ def release() -> None:
         pass
 
 
-def tidy(run):
-    """``run`` over batches; at the end of the task the worker's memory goes back to the system."""
+def tidy(run, keeps: bool = False):
+    """``run`` over batches; at the end of the task the worker's memory goes back to the system.
+
+    Unless it ``keeps`` something, what tasks of another kind left in the worker goes before it begins.
+    """
 
     def tidied(batches):
+        if not keeps:
+            _HELD.clear()
         try:
             yield from run(batches)
         finally:
