@@ -76,6 +76,25 @@ def year_stats(df: DataFrame, by: list[str], label: str, columns: list[str]) ->
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(label).cast("long")).alias("n_positive"), F.round(F.avg(F.col(label).cast("double")), 6).alias("rate"), *[share(c) for c in columns])
 
 
+def year_alignment(base: DataFrame, others: dict[str, DataFrame], year: str) -> DataFrame:
+    """Rows of each year in each table beside the base table: EQUAL, FEWER, MORE, ONLY_IN_BASE or ONLY_IN_TABLE."""
+    n = lambda df, name: df.groupBy(F.col(year).alias("year")).agg(F.count(F.lit(1)).alias(name))
+    out = None
+    for name, df in others.items():
+        one = n(base, "n_base").join(n(df, "n_rows"), "year", "full").withColumn("table_name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    status = (
+        F.when(F.col("n_rows").isNull(), "ONLY_IN_BASE").when(F.col("n_base").isNull(), "ONLY_IN_TABLE").when(F.col("n_rows") == F.col("n_base"), "EQUAL")
+        .when(F.col("n_rows") < F.col("n_base"), "FEWER").otherwise("MORE")
+    )
+    return out.select("table_name", "year", "n_base", "n_rows", status.alias("status"))
+
+
+def selected_against_rest(df: DataFrame, selected: list[int], year: str, label: str, columns: list[str]) -> DataFrame:
+    """Statistics of the selected years beside those of all others."""
+    return year_stats(df.withColumn("part", F.when(F.col(year).isin(selected), "selected").otherwise("rest")), ["part"], label, columns)
+
+
 def compare_schemas(spark, reference: T.StructType, others: dict[str, T.StructType], core: tuple[str, ...] = ()) -> DataFrame:
     """Columns missing, extra or of another type against a reference; float widths count as light drift."""
     ref, rows = {f.name: f.dataType.simpleString() for f in reference}, []

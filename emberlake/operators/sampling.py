@@ -13,6 +13,30 @@ def hash_order(keys: list[str], seed: int = SEED) -> list[Column]:
     return [F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary")), *[F.col(k) for k in keys]]
 
 
+def first_by_hash(df: DataFrame, groups: list[str], keys: list[str], quotas: DataFrame) -> DataFrame:
+    """The first rows of each group in hash order, as many as ``quotas`` (``*groups, _quota``) says; no group is sorted.
+
+    Two histograms, of three leading digits of the hash each, find the bucket in which a quota ends; what lies
+    below it is taken by a filter, and only the rows of that bucket (one in 16 million) are ranked.
+    """
+    group = lambda d: d.withColumn("_g", F.struct(*groups) if groups else F.struct(F.lit(0).alias("zero")))
+    rows = group(df).withColumn("_h", hash_order(keys)[0])
+    left = group(quotas).select("_g", F.col("_quota").cast("long").alias("_left"), F.lit("").alias("_cut"))
+    for digits in (3, 6):
+        inside = rows.select("_g", F.substring("_h", 1, digits).alias("_bucket")).join(left, "_g").where(F.col("_bucket").startswith(F.col("_cut")))
+        n = inside.groupBy("_g", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_left").alias("_left"))
+        upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))  # 4096 rows of a group
+        ends = n.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left")))
+        ends = ends.select("_g", F.col("_bucket").alias("_end"), (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_rest"))
+        # without such a bucket the quota is nothing, or more than the group has
+        past = F.when(F.col("_left") > 0, F.lit("~")).otherwise(F.lit(" "))
+        left = left.join(ends, "_g", "left").select("_g", F.coalesce("_rest", "_left").alias("_left"), F.coalesce("_end", past).alias("_cut"))
+    told = rows.join(left, "_g").withColumn("_at", F.substring("_h", 1, 6))
+    below = told.where(F.col("_at") < F.col("_cut"))
+    edge = told.where(F.col("_at") == F.col("_cut")).withColumn("_rank", F.row_number().over(Window.partitionBy("_g").orderBy("_h", *keys)))
+    return below.select(*df.columns).unionByName(edge.where("_rank <= _left").select(*df.columns))
+
+
 def scenario(df: DataFrame, code: str, features: list[str], radiation: str, donors: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """F all; A without radiation; B = A imputed; C = A complete rows; D = F complete rows; E = F imputed."""
     drop = code in "ABC"
@@ -29,8 +53,7 @@ def choose_donors(df: DataFrame, features: list[str], month: Column, keys: list[
     usable = df.where(share <= gaps).withColumn("_month", month)
     sizes = usable.groupBy("_month").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_quota", F.ceil(F.lit(most) * F.col("_n") / F.sum("_n").over(Window.partitionBy())))
-    ranked = usable.withColumn("_rank", F.row_number().over(Window.partitionBy("_month").orderBy(*hash_order(keys))))
-    return ranked.join(sizes, F.col("_rank").isNotNull() & ranked["_month"].eqNullSafe(sizes["_month"])).where("_rank <= _quota").select(*df.columns)
+    return first_by_hash(usable, ["_month"], keys, sizes).select(*df.columns)
 
 
 def knn_impute(df: DataFrame, features: list[str], donors: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
@@ -84,18 +107,15 @@ def downsample(df: DataFrame, label: str, keys: list[str], ratio: float, least:
     """All positives, and negatives up to ``max(least, ratio * positives)``, by hash order; per group if asked."""
     per = per or []
     n = df.groupBy(*per).agg(F.sum(F.col(label).cast("long")).alias("_pos"))
-    neg = df.where(F.col(label) == 0).withColumn("_rank", F.row_number().over(Window.partitionBy(*per).orderBy(*hash_order(keys))))
-    limit = F.greatest(F.lit(least), F.ceil(F.col("_pos") * ratio))
-    kept = (neg.join(n, per) if per else neg.crossJoin(n)).where(F.col("_rank") <= limit).select(*df.columns)
-    return df.where(F.col(label) == 1).unionByName(kept)
+    limits = n.withColumn("_quota", F.greatest(F.lit(least), F.ceil(F.col("_pos") * ratio)))
+    return df.where(F.col(label) == 1).unionByName(first_by_hash(df.where(F.col(label) == 0), per, keys, limits))
 
 
 def proportional_sample(df: DataFrame, strata: list[str], keys: list[str], most: int) -> DataFrame:
     """About ``most`` rows, each stratum in proportion, by hash order."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_quota", F.ceil(F.least(F.lit(1.0), F.lit(float(most)) / F.sum("_n").over(Window.partitionBy())) * F.col("_n")))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(*hash_order(keys))))
-    return ranked.join(sizes, strata).where("_rank <= _quota").select(*df.columns)
+    return first_by_hash(df, strata, keys, sizes)
 
 
 def stride_sample(df: DataFrame, order: list[str], keep: int) -> DataFrame:
@@ -132,7 +152,9 @@ def smote(df: DataFrame, label: str, features: list[str], keys: list[str], ratio
             x, out = rows[features].to_numpy(float), []
             for r, (v, h) in enumerate(zip(x, rows["_h"].tolist())):
                 rng = np.random.default_rng(h & 0xFFFFFFFF)
-                near = np.argsort(((pool - v) ** 2).sum(1), kind="stable")[1 : k + 1]
+                far = ((pool - v) ** 2).sum(1)
+                near = np.argsort(far, kind="stable")
+                near = near[int(len(near) > 0 and far[near[0]] == 0) :][:k]  # a row of the pool is not its own neighbour
                 for _ in range(each):
                     if len(near):
                         out.append(v + rng.random() * (pool[rng.choice(near)] - v))
@@ -144,7 +166,8 @@ def smote(df: DataFrame, label: str, features: list[str], keys: list[str], ratio
 
     h = F.xxhash64(*keys)
     schema = ", ".join([*[f"`{f}` double" for f in features], f"`{label}` int"])
-    ranked = small.orderBy(*hash_order(keys)).limit(-(-want // each)).withColumn("_h", h)
+    some = df.sparkSession.range(1).select(F.lit(-(-want // each)).alias("_quota"))
+    ranked = first_by_hash(small, [], keys, some).withColumn("_h", h)
     made = ranked.select(*features, "_h").mapInPandas(make, schema)
     return df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias(label)).unionByName(made)
 

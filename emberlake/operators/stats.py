@@ -106,6 +106,17 @@ def forecast_quality(df: DataFrame, by: list[str], actual: str, predicted: str)
     return out.withColumn("r2", F.when(F.col("_v") > 0, 1 - F.col("mse") / F.col("_v"))).drop("_v")
 
 
+def quality_rollup(quality: DataFrame, by: list[str], entity: str) -> DataFrame:
+    """Of ``forecast_quality`` rows: distinct entities and means of MAE, MSE and R2 by group."""
+    return quality.groupBy(*by).agg(F.count_distinct(entity).alias("n_entities"), F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in ("mae", "mse", "r2")])
+
+
+def method_ranking(rollup: DataFrame, method: str) -> DataFrame:
+    """Means of a roll-up's means by method, and the place by MAE (ties share a place); methods are few."""
+    means = rollup.groupBy(method).agg(F.count(F.lit(1)).alias("n_groups"), *[F.avg(c).alias(c) for c in ("mae", "mse", "r2")])
+    return means.withColumn("place", F.rank().over(Window.orderBy(F.col("mae").asc_nulls_last())).cast("long"))
+
+
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """Counts, accuracy, precision, recall, F1 and specificity; 0 where a denominator is 0."""
     n = lambda a, b: F.sum(((F.col(label) == a) & (F.col(predicted) == b)).cast("long"))

@@ -311,6 +311,26 @@ def station_median(spark, d):
     return li.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(F.round(F.median("l_discount"), 6).alias("med"), F.count(F.lit(1)).alias("n"), F.count_distinct("l_tax").alias("n_distinct"))
 
 
+_GUESSES = ((5, "mean_5"), (20, "mean_20"))
+
+
+@query(f"""WITH {READ}, p AS ({" UNION ALL ".join(f"SELECT '{m}' AS method, city, ts, x, avg(x) OVER (PARTITION BY city ORDER BY ts, event_id ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS guess FROM readings" for k, m in _GUESSES)}),
+q AS (SELECT method, city, date_trunc('day', ts) AS day, avg(abs(guess - x)) AS mae, avg((guess - x) * (guess - x)) AS mse, CASE WHEN var_pop(x) > 0 THEN 1 - avg((guess - x) * (guess - x)) / var_pop(x) END AS r2
+  FROM p WHERE x IS NOT NULL AND guess IS NOT NULL GROUP BY ALL),
+r AS (SELECT method, day, avg(mae) AS mae, avg(mse) AS mse, avg(r2) AS r2 FROM q GROUP BY ALL),
+m AS (SELECT method, count(*) AS n_groups, avg(mae) AS mae, avg(mse) AS mse, avg(r2) AS r2 FROM r GROUP BY method)
+SELECT method, n_groups, round(mae, 4) AS mae, round(mse, 2) AS mse, round(r2, 4) AS r2, rank() OVER (ORDER BY mae NULLS LAST) AS place FROM m""")
+def method_ranking(spark, d):
+    quality = None
+    for k, name in _GUESSES:
+        w = Window.partitionBy("city").orderBy("ts", "event_id").rowsBetween(-k, -1)
+        rows = readings(spark, d).withColumns({"guess": F.avg("x").over(w), "method": F.lit(name), "day": F.date_trunc("day", "ts")})
+        one = stats.forecast_quality(rows, ["method", "city", "day"], "x", "guess")
+        quality = one if quality is None else quality.unionByName(one)
+    ranked = stats.method_ranking(stats.quality_rollup(quality, ["method", "day"], "city"), "method")
+    return ranked.select("method", "n_groups", F.round("mae", 4).alias("mae"), F.round("mse", 2).alias("mse"), F.round("r2", 4).alias("r2"), "place")
+
+
 @query(f"""WITH {READ}, p AS (SELECT city, x, avg(x) OVER (PARTITION BY city ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS guess FROM readings)
 SELECT city, count(*) AS n, round(avg(abs(guess - x)), 4) AS mae, round(avg((guess - x) * (guess - x)), 3) AS mse, round(1 - avg((guess - x) * (guess - x)) / var_pop(x), 5) AS r2
 FROM p WHERE x IS NOT NULL AND guess IS NOT NULL GROUP BY city""")
@@ -404,6 +424,22 @@ def year_stats(spark, d):
     return profiles.year_stats(panel(spark, d), ["year"], "label", ["a", "b"])
 
 
+@query(f"""WITH {PANEL}, o AS (SELECT year(o_orderdate)::INT AS year, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT year, count(*) AS n FROM panel GROUP BY year),
+t AS (SELECT 'orders' AS table_name, year, b.n AS n_base, o.n AS n_rows FROM b FULL JOIN o USING (year)
+  UNION ALL SELECT 'complete', year, b.n, c.n FROM b FULL JOIN (SELECT year, count(*) AS n FROM panel WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY year) c USING (year))
+SELECT *, CASE WHEN n_rows IS NULL THEN 'ONLY_IN_BASE' WHEN n_base IS NULL THEN 'ONLY_IN_TABLE' WHEN n_rows = n_base THEN 'EQUAL' WHEN n_rows < n_base THEN 'FEWER' ELSE 'MORE' END AS status FROM t""")
+def year_alignment(spark, d):
+    p = panel(spark, d)
+    others = {"orders": table(spark, d, "orders").select(F.year("o_orderdate").alias("year")), "complete": p.where("a IS NOT NULL AND b IS NOT NULL")}
+    return profiles.year_alignment(p, others, "year")
+
+
+@query(f"""WITH {PANEL} SELECT CASE WHEN year IN (1998, 1999) THEN 'selected' ELSE 'rest' END AS part, count(*) AS n_rows, sum(label)::BIGINT AS n_positive,
+round(avg(label::DOUBLE), 6) AS rate, round(avg((a IS NULL)::INT::DOUBLE), 6) AS a_null_share FROM panel GROUP BY ALL""")
+def selected_years(spark, d):
+    return profiles.selected_against_rest(panel(spark, d), [1998, 1999], "year", "label", ["a"])
+
+
 @query()
 def schema_audit(spark, d):
     p = panel(spark, d)
@@ -623,7 +659,8 @@ def stride_sample(spark, d):
     return sampling.stride_sample(table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 300).select("event_id")
 
 
-@query("SELECT year, fold FROM (VALUES (1998, 1), (1999, 2), (2000, 3), (2001, 4)) v(year, fold)")
+@query("""WITH y AS (SELECT year, row_number() OVER (ORDER BY year) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT year(l_shipdate)::INT AS year FROM lineitem))
+SELECT year, (4 - (n - r) // (n // 5))::INT AS fold FROM y WHERE n - r < 4 * (n // 5)""")
 def folds(spark, d):
     return sampling.year_folds(panel(spark, d), "year", "label", 4)
 
@@ -676,7 +713,9 @@ def _split(spark, d):
 
 @query()
 def train_models(spark, d):
-    return models.experiment(_split(spark, d), "D", ["logistic", "naive_bayes", "forest"], ["c", "e", "g"], "label")
+    keys = ["l_orderkey", "line", "part"]
+    all_ways = models.experiment(_split(spark, d), "D", ["logistic", "naive_bayes"], ["c", "e", "g"], "label", year="year", keys=keys, variations=models.VARIATIONS)
+    return all_ways.unionByName(models.experiment(_split(spark, d), "D", ["forest"], ["c", "e", "g"], "label"))
 
 
 @query(f"""WITH {PANEL}, {CLEAN}, t AS (SELECT * FROM clean WHERE c IS NOT NULL), m AS (SELECT avg(c) AS m, stddev_pop(c) AS s FROM t)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlake.functions import scalars, text
-from emberlake.operators import embedding, forecast, joins, models, sampling, selection, series, stats
+from emberlake.operators import embedding, forecast, joins, models, profiles, sampling, selection, series, stats
 from emberlake.sources import tables
 from emberlake.streaming import carried
 
@@ -133,6 +133,38 @@ def test_samples_do_not_depend_on_partitions(spark):
         assert a == b and 0 < len(a) < 1000
 
 
+def test_first_by_hash_equals_a_sort(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(4000).withColumn("g", F.when(F.col("id") % 5 > 0, F.col("id") % 5)).withColumn("k", F.col("id") % 1300)
+    quotas = spark.createDataFrame([(None, 17), (1, 0), (2, 5000), (3, 400)], "g long, _quota long")
+    got = sampling.first_by_hash(df, ["g"], ["k", "id"], quotas)
+    ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*sampling.hash_order(["k", "id"]))))
+    want = {r.id for r in ranked.join(quotas, ranked.g.eqNullSafe(quotas.g)).where("r <= _quota").collect()}
+    assert {r.id for r in got.collect()} == want and got.count() == 17 + 800 + 400
+    one = sampling.first_by_hash(df, [], ["id"], spark.createDataFrame([(123,)], "_quota int"))
+    assert one.count() == 123 and one.columns == df.columns
+    same = spark.createDataFrame([(1,)] * 50, "id int")  # ties: as many as asked
+    assert sampling.first_by_hash(same, [], ["id"], spark.createDataFrame([(7,)], "_quota int")).count() == 7
+
+
+def test_nearest_cell_keeps_repeated_points(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.0), (1, 9.0, 9.0)], "d int, la double, lo double")
+    grid = spark.createDataFrame([(1, 0.9, 0.0, "far"), (1, 5.0, 5.0, "none")], "d int, gla double, glo double, v string").withColumnsRenamed({"gla": "la", "glo": "lo"})
+    near = joins.nearest_cell(points, grid, day="d", lat="la", lon="lo", value="v", step=0.25, tolerance=1.0)  # four buckets away
+    assert sorted((r.la, r.v or "") for r in near.collect()) == [(0.0, "far"), (0.0, "far"), (9.0, "")] and near.columns == [*points.columns, "v"]
+
+
+def test_method_ranking_and_years(spark):
+    q = spark.createDataFrame([("a", 1, 1, 3, 1.0, 2.0, 0.5), ("a", 1, 2, 3, 3.0, 4.0, None), ("b", 1, 1, 3, 1.0, 1.0, 0.9)], "m string, y int, c int, n long, mae double, mse double, r2 double")
+    roll = stats.quality_rollup(q, ["m", "y"], "c")
+    assert {(r.m, r.n_entities, r.mae, r.r2) for r in roll.collect()} == {("a", 2, 2.0, 0.5), ("b", 1, 1.0, 0.9)}
+    assert [r.m for r in stats.method_ranking(roll, "m").orderBy("place").collect()] == ["b", "a"]
+    t = lambda *years: spark.createDataFrame([(y,) for y in years], "y int")
+    rows = profiles.year_alignment(t(1, 1, 2, 3), {"x": t(1, 2, 2, 4)}, "y").collect()
+    assert {(r.year, r.status) for r in rows} == {(1, "FEWER"), (2, "MORE"), (3, "ONLY_IN_BASE"), (4, "ONLY_IN_TABLE")}
+
+
 def test_smote_lies_between(spark):
     df = spark.createDataFrame([(i, float(i % 5), 0.0, int(i < 6)) for i in range(200)], "id int, x double, y double, t int")
     out = sampling.smote(df, "t", ["x", "y"], ["id"], 0.2)
@@ -197,8 +229,25 @@ def test_models_learn(spark):
     out = {r.model: r.roc_auc for r in models.experiment(split, "F", ["logistic", "svm", "boosted"], ["a", "b"], "y").collect()}
     assert all(v > 0.9 for v in out.values())
     best, scores = models.grid_search("logistic", df, sampling.year_folds(df, "year", "y", 2), "year", ["a", "b"], "y")
-    assert len(scores) == 2 and best.importances()[0][1] > 0
+    assert [x["C"] for x, _ in scores] == [0.01, 0.1, 1, 10] and best.importances()[0][1] > 0  # the whole grid
     assert models.evaluate(models.baseline(df, "y", ["id"], "stratified"), "y").count() == 1
+    svm = models.train("svm", df, ["a", "b"], "y", time="year")
+    assert svm.params["C"] in models.GRIDS["svm"]["C"]
+    assert models.evaluate(svm.score(df), "y").first().roc_auc > 0.9
+
+
+def test_variations_of_an_experiment(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, float(a), float(b), int(a + b > 1.6), 2000 + i % 6) for i, (a, b) in enumerate(rng.random((500, 2)))]
+    split = sampling.holdout(spark.createDataFrame(rows, "id int, a double, b double, y int, year int"), "year", 2)
+    store = f"{tmp_path}/best"
+    run = lambda: models.experiment(split, "F", ["logistic"], ["a", "b"], "y", year="year", keys=["id"], variations=models.VARIATIONS[:2], store=store).collect()
+    out = run()
+    assert [r.variation for r in out] == [v[0] for v in models.VARIATIONS[:2]] and all(r.roc_auc > 0.9 and r.n_test == 166 for r in out)
+    assert models.load_best(spark, store, models.cache_key("logistic", "F", "fast/gridsearch_smote_weight", models.FAST_GRIDS["logistic"])) is not None
+    assert models.load_best(spark, f"{tmp_path}/none", "x") is None
+    assert [r.params for r in run()] == [r.params for r in out] and spark.read.parquet(store).count() == 1  # nothing was searched again
+    assert len(models.settings(models.GRIDS["forest"])) == 18 and len(models.settings(models.GRIDS["boosted"])) == 48
     assert models.cache_key("svm", "F", "weight").startswith("svm/F/weight/")
 
 
