@@ -35,3 +35,43 @@ def test_pipeline_stages(spark):
             assert kept.count() == before.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SMALL)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").distinct().collect()}
+
+
+def test_pipeline_run_equals_brute_force(spark):
+    import re
+    import zlib
+    from collections import Counter
+
+    import corpus_pipeline
+    import numpy as np
+    from test_corpus_operators import check_packing, components_of
+    from tokenizers import Tokenizer
+
+    from emberlake.llm import bpe, mixing, secret_scan, toxicity
+
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = sorted((r.asDict() for r in table.collect()), key=lambda r: r["doc_id"])
+    model = toxicity.train(table, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    docs = [d for d in docs if toxicity.Scorer(model).score([d["text"]])[0] < toxicity.THRESHOLD]
+    found = components_of([d["text"] for d in docs])
+    docs = [d for i, d in enumerate(docs) if not found[i][0] or found[i][1] == i]
+    for d in docs:
+        spans = sorted((m.start(), m.end()) for r in secret_scan.MASKED for m in re.finditer(r.pattern, d["text"] or "") if len(m.group(r.group)) >= r.least)
+        out, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                out += d["text"][at:a] + "[SECRET]"
+            at = max(at, b)
+        if spans:
+            d["text"] = out + d["text"][at:]
+            d["n_chars"] = len(d["text"])
+    masked = spark.createDataFrame([tuple(d[c] for c in table.columns) for d in docs], table.schema)
+    copies = {r.doc_id: r.copies for r in mixing.mix(masked).collect()}
+    library, want = Tokenizer.from_file(bpe.tokenizer_path("word_bpe_49k.json")), Counter()
+    for d in docs:
+        ids = np.array(library.encode(d["text"] or "", add_special_tokens=False).ids + [0], "<u4")
+        for k in range(0, len(ids), 2048):
+            want[d["doc_id"], k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())] += copies[d["doc_id"]]
+    got = corpus_pipeline.run(spark, SMALL).toPandas()
+    check_packing(got)
+    assert Counter(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32)) == +want
