@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from emberlake.llm.hashing import span_hashes
+from emberlake.llm.hashing import span_hash_pairs
 from emberlake.llm.workers import held
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -65,7 +65,8 @@ def _distinct(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: str)
     """Which distinct part each part is, and where each distinct part stands first."""
     import pandas as pd
 
-    keys, check = span_hashes(cp, starts, ends), span_hashes(cp, starts, ends, 1)
+    high = int(cp.max())
+    keys, check = span_hash_pairs(cp.astype(np.uint8 if high < 1 << 8 else np.uint16 if high < 1 << 16 else np.uint32), starts, ends)
 
     def told(keys):
         codes, unique = pd.factorize(keys)
@@ -159,7 +160,7 @@ class Encoder:
         joined = "".join(texts)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.cumsum(lens) - lens
-        n = len(joined)
+        n, passing = len(joined), None
         if n:
             cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             cls = _classes()[cp]
@@ -171,10 +172,10 @@ class Encoder:
                 keep = cls[starts] != SPACE
                 starts, ends = starts[keep], ends[keep]
             codes, at = _distinct(cp, starts, ends, joined)
-            if len(self.known) + len(at) > KNOWN:
-                self._forget()
             names = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
             lacking = [x for x in names if x not in self.known]
+            if len(self.known) + len(lacking) > KNOWN:
+                passing = (lacking, self.n_ids, self.n_rows)
             if lacking:
                 self._learn(lacking)
             rows = np.array([self.known[k] for k in names], np.int64)[codes]
@@ -186,6 +187,10 @@ class Encoder:
         sizes = self.sizes[rows]
         before = np.cumsum(sizes) - sizes
         flat = self.ids[np.repeat(self.offsets[rows] - before, sizes) + np.arange(int(sizes.sum()))]
+        if passing:  # the table is full of earlier parts, common ones among them: these go again
+            for x in passing[0]:
+                del self.known[x]
+            self.n_ids, self.n_rows = passing[1:]
         upto = np.append(before, sizes.sum())[after + np.arange(1, len(texts) + 1)]
         return flat, np.diff(upto, prepend=0)
 
