@@ -1,7 +1,7 @@
 """Convolutional window embeddings: fixed kernels of weights -1 and 2, dilations, quantile biases, PPV features.
 
-Fitted on a bounded sample of windows (``FIT_WINDOWS``, by key hash); the parameters are broadcast and
-each series is transformed in one task, for the ``length`` rows before each row.
+Fitted on a bounded sample of windows (``FIT_WINDOWS``, by key hash); the parameters are broadcast and series are
+transformed in blocks, for the ``length`` rows before each row. Each kernel reads its own subset of the channels.
 """
 
 from __future__ import annotations
@@ -11,33 +11,47 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.operators.series import fresh, time_blocks
+
 FIT_WINDOWS = 2000
 KERNELS = tuple(combinations(range(9), 3))  # 84 placements of the three positive weights
 
 
-def _convolve(x, dilation: int):
-    """(84, n, t) responses of all kernels, channels summed; ``x`` is (n, channels, t)."""
+def _convolve(x, dilation: int, subsets):
+    """(84, n, t) responses, each summed over its kernel's channels; ``x`` is (n, channels, t), ``subsets`` (84, channels)."""
     import numpy as np
 
-    n, _, t = x.shape
-    s = x.sum(1)
+    t = x.shape[2]
     pad = 4 * dilation
-    padded = np.pad(s, ((0, 0), (pad, pad)))
-    taps = np.stack([padded[:, k * dilation : k * dilation + t] for k in range(9)])
+    padded = np.pad(x, ((0, 0), (0, 0), (pad, pad)))
+    taps = np.stack([padded[:, :, k * dilation : k * dilation + t] for k in range(9)])
     base = -taps.sum(0)
-    return np.stack([base + 3 * (taps[a] + taps[b] + taps[c]) for a, b, c in KERNELS])
+    return np.stack([(base[:, s] + 3 * (taps[a][:, s] + taps[b][:, s] + taps[c][:, s])).sum(1) for (a, b, c), s in zip(KERNELS, subsets)])
 
 
-def fit(windows, features: int = 168) -> dict:
-    """Biases from quantiles of responses of sampled windows (n, channels, t)."""
+def _subsets(rng, channels: int):
+    """A random set of channels for each kernel, small sets as likely as large ones."""
     import numpy as np
 
-    t = windows.shape[2]
+    sizes = (2 ** rng.uniform(0, np.log2(channels + 1), 84)).astype(int)
+    return np.stack([np.isin(np.arange(channels), rng.choice(channels, n, replace=False)) for n in sizes])
+
+
+def fit(windows, features: int = 168, seed: int = 42) -> dict:
+    """Channel subsets, and biases from quantiles of responses of sampled windows (n, channels, t)."""
+    import numpy as np
+
+    channels, t = windows.shape[1:]
     dilations = [d for d in (1, 2, 4, 8) if 8 * d < 2 * t] or [1]
     per = max(1, features // (84 * len(dilations)))
     golden = ((np.arange(1, per * 84 + 1) * 0.6180339887498949) % 1).reshape(84, per)
-    biases = [np.stack([np.quantile(_convolve(windows, d)[k], golden[k]) for k in range(84)]) for d in dilations]
-    return {"dilations": dilations, "biases": biases}
+    rng = np.random.default_rng(seed)
+    subsets = [_subsets(rng, channels) for _ in dilations]
+    biases = []
+    for d, s in zip(dilations, subsets):
+        response = _convolve(windows, d, s)
+        biases.append(np.stack([np.quantile(response[k], golden[k]) for k in range(84)]))
+    return {"dilations": dilations, "subsets": subsets, "biases": biases}
 
 
 def transform(windows, model: dict):
@@ -45,8 +59,8 @@ def transform(windows, model: dict):
     import numpy as np
 
     out = []
-    for d, b in zip(model["dilations"], model["biases"]):
-        r = _convolve(windows, d)
+    for d, s, b in zip(model["dilations"], model["subsets"], model["biases"]):
+        r = _convolve(windows, d, s)
         out.append(np.concatenate([(r > b[:, j, None, None]).mean(2) for j in range(b.shape[1])]).T)
     return np.concatenate(out, 1)
 
@@ -63,31 +77,46 @@ def _windows(values, length: int):
     return view[whole], np.concatenate([np.zeros(length, bool), whole])
 
 
-def embed(df: DataFrame, by: list[str], ts: str, channels: list[str], length: int = 24, features: int = 168) -> DataFrame:
+def embed(df: DataFrame, by: list[str], ts: str, channels: list[str], length: int = 24, features: int = 168, block_rows: int = 4096) -> DataFrame:
     """``by, ts, embedding array<double>``; null where the window is not whole. At least two channels."""
     import numpy as np
+    import pandas as pd
 
     if len(channels) < 2:
         raise ValueError("at least two channels are needed")
     cols = df.select(*by, ts, *[F.col(c).cast("double").alias(c) for c in channels])
-    pick = F.xxhash64(*by, ts)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by).orderBy(ts).rowsBetween(-length, -1)
-    lists = cols.select(pick.alias("h"), *[F.collect_list(c).over(w).alias(c) for c in channels])
-    whole = lists.where(" AND ".join(f"size(`{c}`) = {length}" for c in channels))
-    sample = whole.orderBy("h").limit(FIT_WINDOWS).collect()
+    pick, size = fresh(cols, "_pick"), max(block_rows, length)
+    share = min(1.0, 4 * FIT_WINDOWS / max(1, cols.count()))  # some windows are not whole
+    picked = cols.withColumn(pick, F.xxhash64(*by, ts))
+    blocks, place, block = time_blocks(picked, by, ts, length, size)
     kinds = dict(df.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in by], f"`{ts}` {kinds[ts]}", "embedding array<double>"])
+
+    def own_windows(key, rows):
+        """The block's own rows, the windows before them, and which of those are whole."""
+        rows = rows.sort_values(place).reset_index(drop=True)
+        view, ok = _windows(rows[channels].to_numpy(float, na_value=np.nan), length)
+        own = (rows[place] >= key[-1] * size).to_numpy()
+        return rows[own], view, ok[own]  # no row before the block has a whole window here
+
+    def sampled(key, rows):
+        rows, view, ok = own_windows(key, rows)
+        at = rows[pick].to_numpy()[ok]
+        taken = (at % (1 << 20)) < share * (1 << 20)
+        return pd.DataFrame({"h": at[taken], "w": pd.Series([v.ravel() for v in view[taken]], dtype=object)})
+
+    groups = blocks.groupBy(*by, block)
+    sample = groups.applyInPandas(sampled, "h long, w array<double>").orderBy("h").limit(FIT_WINDOWS).collect()
     if not sample:
         return df.select(*by, ts, F.lit(None).cast("array<double>").alias("embedding"))
-    model = df.sparkSession.sparkContext.broadcast(fit(np.array([[r[c] for c in channels] for r in sample]), features))
+    fitted = fit(np.array([r.w for r in sample]).reshape(len(sample), len(channels), length), features)
+    model = df.sparkSession.sparkContext.broadcast(fitted)
 
-    def run(rows):
-        rows = rows.sort_values(ts, kind="stable").reset_index(drop=True)
-        view, ok = _windows(rows[channels].to_numpy(float), length)
+    def run(key, rows):
+        rows, view, ok = own_windows(key, rows)
         found = iter(np.concatenate([transform(view[i : i + 512], model.value) for i in range(0, len(view), 512)]).tolist() if len(view) else [])
-        rows["embedding"] = [next(found) if o else None for o in ok]
-        return rows[[*by, ts, "embedding"]]
+        rows = rows[[*by, ts]].copy()
+        rows["embedding"] = pd.Series([next(found) if o else None for o in ok], index=rows.index, dtype=object)
+        return rows
 
-    return cols.groupBy(*by).applyInPandas(run, schema)
+    return groups.applyInPandas(run, schema)

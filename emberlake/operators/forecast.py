@@ -1,4 +1,4 @@
-"""Rolling block forecasts with exogenous inputs, one series in one task.
+"""Rolling block forecasts with exogenous inputs; a task holds a block of a series and the history before it.
 
 Every ``horizon`` rows the model is fitted again on the last ``history`` rows, of which at least
 ``least`` must be complete; the next block is forecast with the last exogenous values held. The
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from emberlake.operators.series import time_blocks
+
 
 def _fit_predict(y, x, ahead: int, lags: tuple[int, ...]):
     import numpy as np
@@ -30,35 +32,37 @@ def _fit_predict(y, x, ahead: int, lags: tuple[int, ...]):
     return out
 
 
-def rolling_forecast(df: DataFrame, by: list[str], ts: str, target: str, inputs: list[str], *, horizon: int = 24, history: int = 168, least: int = 48, lags: tuple[int, ...] = (1, 2, 24)) -> DataFrame:
+def rolling_forecast(df: DataFrame, by: list[str], ts: str, target: str, inputs: list[str], *, horizon: int = 24, history: int = 168, least: int = 48, lags: tuple[int, ...] = (1, 2, 24), block_rows: int = 4096) -> DataFrame:
     """Add ``predicted``, ``residual`` and ``status`` (ok, failed, skipped) of each row's block."""
+    import numpy as np
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField("predicted", T.DoubleType()), T.StructField("residual", T.DoubleType()), T.StructField("status", T.StringType())])
+    size = horizon * -(-max(block_rows, history) // horizon)  # whole horizons, so that blocks are forecast at the same rows as the series
+    blocks, place, block = time_blocks(df, by, ts, history, size)
 
-    def run(rows):
-        import numpy as np
-
-        rows = rows.sort_values(ts, kind="stable").reset_index(drop=True)
+    def run(key, rows):
+        rows = rows.sort_values(place).reset_index(drop=True)
+        begin = key[-1] * size - int(rows[place].iloc[0])  # rows before it are the past
         y, x = rows[target].to_numpy(float, na_value=np.nan), rows[inputs].to_numpy(float, na_value=np.nan)
         predicted, status = np.full(len(y), np.nan), ["skipped"] * len(y)
-        for at in range(horizon, len(y), horizon):
+        for at in range(begin if key[-1] else horizon, len(y), horizon):
             past = slice(max(0, at - history), at)
             whole = np.isfinite(y[past]) & np.isfinite(x[past]).all(1)
-            block = range(at, min(at + horizon, len(y)))
+            ahead = range(at, min(at + horizon, len(y)))
             if whole.sum() < least:
                 continue
             try:
-                out = _fit_predict(y[past][whole], x[past][whole], len(block), lags)
+                out = _fit_predict(y[past][whole], x[past][whole], len(ahead), lags)
             except np.linalg.LinAlgError:
                 out = None
-            for i, b in enumerate(block):
+            for i, b in enumerate(ahead):
                 status[b] = "failed" if out is None else "ok"
                 predicted[b] = np.nan if out is None else out[i]
         res = y - predicted
         rows["predicted"] = [None if v != v else float(v) for v in predicted]
         rows["residual"] = [None if v != v else float(v) for v in res]
         rows["status"] = status
-        return rows
+        return rows[begin:].drop(columns=[place, block])
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return blocks.groupBy(*by, block).applyInPandas(run, schema)

@@ -59,6 +59,21 @@ def propagate(df: DataFrame, canonical: DataFrame, keys: list[str], values: list
     return df.join(first_per_key(canonical, keys, order).select(*keys, *values), keys, "left")
 
 
+def propagate_report(df: DataFrame, canonical: DataFrame, keys: list[str], values: list[str], order: list[Column]) -> DataFrame:
+    """Of ``propagate``: rows, rows whose key the canonical table lacks, and nulls of each value after it."""
+    hit = first_per_key(canonical, keys, order).select(*keys, *[F.col(v).alias(f"_v_{v}") for v in values], F.lit(1).alias("_hit"))
+    nulls = [F.coalesce(F.sum(F.col(f"_v_{v}").isNull().cast("long")), F.lit(0)).alias(f"{v}_nulls") for v in values]
+    return df.select(*keys).join(hit, keys, "left").agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.col("_hit").isNull().cast("long")), F.lit(0)).alias("n_missing"), *nulls)
+
+
+def pair_report(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Of ``scenario_pair``: rows of the join, and rows of one side whose key the other lacks. Null keys match nothing."""
+    n = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = n(left, "_l").join(n(right, "_r"), keys, "full")
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(s(F.col("_l") * F.col("_r")).alias("n_both"), s(F.when(F.col("_r").isNull(), F.col("_l"))).alias("n_left_only"), s(F.when(F.col("_l").isNull(), F.col("_r"))).alias("n_right_only"))
+
+
 def scenario_pair(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
     """Inner join of two variants of a table, values side by side."""
     name = lambda df, s: df.select(*keys, *[F.col(v).alias(v + s) for v in values])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.functions.scalars import MISSING_CODES, is_missing
+from emberlake.functions.scalars import MISSING_CODES, haversine, inside_box, is_missing
 
 
 def null_profile(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -51,6 +51,39 @@ def duplicate_ratio(df: DataFrame, group: str, keys: list[str]) -> DataFrame:
     return out.withColumns({"ratio": F.round(ratio, 6), "status": F.when(ratio < 1.01, "OK").when(ratio < 1.10, "SOFT_DUP").otherwise("DUPLICATED")})
 
 
+def duplicate_states(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """One row for each table: size, distinct keys, their ratio and its band; NO_KEYS without a key column, EMPTY without rows."""
+    out = None
+    for name, df in tables.items():
+        absent = [k for k in keys if k not in df.columns]
+        if absent:
+            one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(None).cast("long").alias("n_keys"))
+        else:
+            one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+        ratio = F.col("n_rows") / F.nullif(F.col("n_keys"), F.lit(0))
+        status = F.lit("NO_KEYS") if absent else F.when(ratio.isNull(), "EMPTY").when(ratio < 1.01, "OK").when(ratio < 1.10, "SOFT_DUP").otherwise("DUPLICATED")
+        one = one.select(F.lit(name).alias("table_name"), "n_rows", "n_keys", F.round(ratio, 4).alias("ratio"), status.alias("status"), F.lit(";".join(absent)).alias("absent"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def station_years(df: DataFrame, by: list[str], lat: str, lon: str, city: str, order: list[str], jitter: float = 50.0) -> DataFrame:
+    """One row for each key: median place, rows, distinct places beyond ``jitter`` metres of it, whether there are any,
+    and the first city in ``order`` (null if that row has none). Rows without both coordinates do not count.
+
+    Rows are counted by place first, so a group's medians are taken from its distinct places.
+    """
+    places = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*by, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(city).alias("city"))).alias("_first")
+    )
+    middle = places.groupBy(*by).agg(
+        F.percentile("_lat", 0.5, F.col("_n")).alias("lat_median"), F.percentile("_lon", 0.5, F.col("_n")).alias("lon_median"), F.sum("_n").alias("n_obs"), F.min("_first")["city"].alias("first_city"),
+    )
+    away = haversine(F.col("lat_median"), F.col("lon_median"), F.col("_lat"), F.col("_lon")) > jitter
+    far = places.join(middle, by).groupBy(*by).agg(F.sum(away.cast("long")).alias("n_far"))
+    return middle.join(far, by).withColumn("ambiguous", F.col("n_far") > 0)
+
+
 def row_parity(one: DataFrame, two: DataFrame, group: str) -> DataFrame:
     n = lambda df, name: df.groupBy(group).agg(F.count(F.lit(1)).alias(name))
     both = n(one, "rows_a").join(n(two, "rows_b"), group, "full").withColumn("delta", F.col("rows_b") - F.col("rows_a"))
@@ -71,6 +104,18 @@ def spellings(df: DataFrame, raw: str, normal) -> DataFrame:
     return df.groupBy(F.col(raw).alias("raw"), normal.alias("normal")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def top_spellings(counts: DataFrame, most: int = 20) -> DataFrame:
+    """The raw spellings with most rows, of ``spellings``; equal counts in order of spelling."""
+    return counts.groupBy("raw").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), F.col("raw").asc_nulls_last()).limit(most)
+
+
+def box_report(df: DataFrame, lat: str, lon: str, box: tuple[float, float, float, float], alert: float = 0.01) -> DataFrame:
+    """Rows that ``inside_box`` removes, their share, and whether it is above ``alert``."""
+    out = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum((~inside_box(F.col(lat), F.col(lon), box)).cast("long")), F.lit(0)).alias("n_removed"))
+    share = F.coalesce(F.col("n_removed") / F.nullif(F.col("n_rows"), F.lit(0)), F.lit(0.0))
+    return out.withColumns({"share": F.round(share, 6), "alert": share > alert})
+
+
 def year_stats(df: DataFrame, by: list[str], label: str, columns: list[str]) -> DataFrame:
     share = lambda c: F.round(F.avg(F.col(c).isNull().cast("double")), 6).alias(f"{c}_null_share")
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(label).cast("long")).alias("n_positive"), F.round(F.avg(F.col(label).cast("double")), 6).alias("rate"), *[share(c) for c in columns])

@@ -4,6 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from emberlake.storage import materialize, shuffle_width
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores as it takes to differ from all columns of ``df``."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = "_" + name
+    return name
+
+
+def in_ranges(df: DataFrame, by: list[str], ts: str, part: str) -> DataFrame:
+    """Rows in range partitions of key and time, written, with the number of their partition as ``part``.
+
+    A series may span partitions, so a hot key does not fill one task; rows of equal time stay together.
+    """
+    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *by, ts)
+    return materialize(ranged.withColumn(part, F.spark_partition_id()), "ranged")
+
+
+def time_blocks(df: DataFrame, by: list[str], ts: str, past: int, size: int) -> tuple[DataFrame, str, str]:
+    """Series cut into blocks of ``size`` rows, each with the ``past`` rows before it.
+
+    Returns the rows (those that a later block needs repeat there) and the names of two columns: the row's
+    place in its series, from 0, and the block. Rows of equal time follow a hash of their values. Null keys are a series.
+    """
+    part, at, block, base = (fresh(df, n) for n in ("_part", "_at", "_block", "_base"))
+    rows = in_ranges(df, by, ts, part)
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(part, *by).agg(F.count(F.lit(1)).alias(base))  # partitions plus keys
+    named = {k: f"{base}_{i}" for i, k in enumerate([part, *by])}
+    bases = sizes.select(*[F.col(k).alias(n) for k, n in named.items()], F.coalesce(F.sum(base).over(earlier), F.lit(0)).alias(base))
+    same = [rows[k].eqNullSafe(bases[n]) for k, n in named.items()]
+    values = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    own = Window.partitionBy(part, *by).orderBy(ts, F.xxhash64(*values))
+    placed = rows.join(bases, same).withColumn(at, F.row_number().over(own) - 1 + F.col(base)).drop(part, base, *named.values())
+    blocks = F.sequence(F.floor(F.col(at) / size), F.floor((F.col(at) + past) / size))
+    return placed.withColumn(block, F.explode(blocks)), at, block
 
 
 def _order(by: list[str], ts: str):
@@ -55,31 +95,66 @@ def ewma(df: DataFrame, by: list[str], ts: str, column: str, alphas: dict[str, f
 
     Leading nulls stay null. A null keeps the mean and lets its weight decay, so after g nulls a value x
     gives ``(d * y + a * x) / (d + a)`` with ``d = (1 - a) ** (g + 1)``.
-    """
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in alphas]])
 
-    def run(rows):
-        import numpy as np
-
-        rows = rows.sort_values(ts, kind="stable")
-        x = rows[column].to_numpy(float, na_value=np.nan)
-        for name, a in alphas.items():
-            y, weight, out = np.nan, 1.0, np.empty(len(x))
-            for i, v in enumerate(x.tolist()):
+    A value's step is linear in the mean before it, so a part of a series is one line (``slope * y + shift`` after
+    its first value). The lines of a series' parts, one for each range partition, give the mean each part starts from.
+    Null keys are a series of their own; an empty table gives an empty one.
+    """
+    import numpy as np
+    import pandas as pd
+
+    part = fresh(df, "_part")
+    rows = in_ranges(df, by, ts, part)
+    kinds, a = dict(df.dtypes), np.array(list(alphas.values()))
+    keys = ", ".join(["`{}` int".format(part), *[f"`{k}` {kinds[k]}" for k in by]])
+    lines_of = f"{keys}, lead long, tail long, first double, slope array<double>, shift array<double>"
+    starts_of = f"{keys}, y array<double>, weight array<double>"
+    result = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in alphas]])
+
+    def known(segment):
+        x = segment.sort_values(ts, kind="stable")[column].to_numpy(float, na_value=np.nan)
+        return x, np.flatnonzero(np.isfinite(x))
+
+    def line(key, segment):
+        x, at = known(segment)
+        slope, shift = np.ones(len(a)), np.zeros(len(a))
+        for gap, v in zip(np.diff(at).tolist(), x[at[1:]].tolist()):
+            d = (1 - a) ** gap
+            slope, shift = slope * d / (d + a), (d * shift + a * v) / (d + a)
+        lead, tail = (int(at[0]), len(x) - 1 - int(at[-1])) if len(at) else (len(x), 0)
+        return pd.DataFrame([(*key, lead, tail, x[at[0]] if len(at) else None, slope, shift)])
+
+    def chain(key, lines):
+        y, weight, out = np.full(len(a), np.nan), np.ones(len(a)), []
+        for p, lead, tail, first, slope, shift in lines.sort_values(part)[[part, "lead", "tail", "first", "slope", "shift"]].itertuples(index=False):
+            out.append((p, *key, y, weight))
+            if first != first or first is None:
+                weight = np.where(np.isnan(y), 1.0, weight * (1 - a) ** lead)
+                continue
+            d = weight * (1 - a) ** (lead + 1)
+            y = np.asarray(slope) * np.where(np.isnan(y), first, (d * y + a * first) / (d + a)) + np.asarray(shift)
+            weight = (1 - a) ** tail
+        return pd.DataFrame(out)
+
+    def replay(segment, start):
+        segment = segment.sort_values(ts, kind="stable")
+        x = segment[column].to_numpy(float, na_value=np.nan).tolist()
+        for i, (name, alpha) in enumerate(alphas.items()):
+            y, weight, out = float(start["y"].iloc[0][i]), float(start["weight"].iloc[0][i]), []
+            for v in x:
                 if y == y:
-                    weight *= 1 - a
+                    weight *= 1 - alpha
                     if v == v:
-                        y = (weight * y + a * v) / (weight + a)
-                        weight = 1.0
+                        y, weight = (weight * y + alpha * v) / (weight + alpha), 1.0
                 elif v == v:
                     y = v
-                out[i] = y
-            rows[name] = [None if v != v else v for v in out.tolist()]
-        return rows
+                out.append(None if y != y else y)
+            segment[name] = pd.Series(out, index=segment.index, dtype=object)
+        return segment.drop(columns=part)
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    lines = rows.select(part, *by, ts, column).groupBy(part, *by).applyInPandas(line, lines_of)
+    starts = lines.groupBy(*by).applyInPandas(chain, starts_of)  # one row for each partition of a series
+    return rows.groupBy(part, *by).cogroup(starts.groupBy(part, *by)).applyInPandas(replay, result)
 
 
 def window_stats(df: DataFrame, by: list[str], ts: str, column: str, length: int) -> DataFrame:

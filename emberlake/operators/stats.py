@@ -79,10 +79,15 @@ def t_tail(r: float | None, n: int) -> float | None:
 
 
 def period_correlation(df: DataFrame, by: list[str], ts: str, unit: str, label: str, variables: list[str], least: int = 5) -> DataFrame:
-    """Per key and period the label's sum and the variables' means; then Pearson over all periods for each variable."""
-    periods = df.groupBy(*by, F.date_trunc(unit, ts).alias("period")).agg(F.sum(label).cast("double").alias("_y"), *[F.avg(v).alias(v) for v in variables])
-    long = periods.unpivot(["_y"], variables, "variable", "_x").where("_x IS NOT NULL")
-    return long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.corr("_x", "_y")).alias("pearson"))
+    """Per key and period the label's sum and the variables' means; then Pearson and Spearman over all periods for each
+    variable, with p-values; null below ``least`` periods where both are known."""
+    means = df.groupBy(*by, F.date_trunc(unit, ts).alias("period")).agg(F.sum(label).cast("double").alias("_y"), *[F.avg(v).alias(v) for v in variables])
+    periods = materialize(means.select("_y", *variables), "periods")
+    long = periods.unpivot(["_y"], variables, "variable", "_x").where("_x IS NOT NULL AND _y IS NOT NULL")
+    linear = long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.corr("_x", "_y")).alias("pearson"))
+    ranked = spearman_by_feature(periods, variables, "_y", least).select(F.col("feature").alias("variable"), "spearman")
+    both = linear.join(ranked, "variable", "left")  # a row for each variable
+    return with_p_values(with_p_values(both, "pearson", "n", "pearson_p"), "spearman", "n", "spearman_p")
 
 
 def binned_mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 16) -> DataFrame:
@@ -98,6 +103,63 @@ def binned_mutual_information(df: DataFrame, features: list[str], label: str, bi
     return cells.select("feature", term.alias("t")).groupBy("feature").agg(F.greatest(F.lit(0.0), F.sum("t")).alias("mutual_information"))
 
 
+def nearest_mutual_information(df: DataFrame, features: list[str], label: str, key: list[str], sample: int = 20_000, k: int = 3) -> DataFrame:
+    """Mutual information (nats) of features and a class label by k nearest neighbours, on a bounded sample.
+
+    The sample takes each class's rows of least hash of ``key``, in proportion to the class (``sample`` in all and at
+    most one more for each class), so a feature's values are one bounded group. Unknown values become the sample's
+    median, a column without values 0. Rows without a label or alone in their class do not count; the score is at least 0.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from emberlake.operators.sampling import proportional_sample
+
+    rows = proportional_sample(df.where(F.col(label).isNotNull()), [label], key, sample)
+    long = rows.select(F.col(label).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_i", F.xxhash64(*features, "_y")).unpivot(["_y", "_i"], features, "feature", "_x")
+
+    def psi(n):
+        n = np.asarray(n, float)
+        shift = np.zeros_like(n)
+        while (n < 6).any():
+            low = n < 6
+            shift[low] -= 1 / n[low]
+            n = np.where(low, n + 1, n)
+        r = 1 / (n * n)
+        return shift + np.log(n) - 0.5 / n - r * (1 / 12 - r * (1 / 120 - r / 252))
+
+    def score(key, part):
+        part = part.sort_values(["_i", "_x", "_y"])
+        x, y = part["_x"].to_numpy(float, na_value=np.nan), part["_y"].to_numpy()
+        known = x[np.isfinite(x)]
+        x = np.where(np.isfinite(x), x, np.median(known) if len(known) else 0.0)
+        # ties are told apart by noise far below the spread, the same for equal samples
+        spread = x.std()
+        x = (x / spread if spread > 0 else x) + 1e-10 * max(1.0, np.abs(x).mean() / (spread or 1)) * np.random.default_rng(42).standard_normal(len(x))
+        radius, mates, size = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        for c in np.unique(y):
+            own = np.flatnonzero(y == c)
+            if len(own) < 2:
+                continue
+            order = own[np.argsort(x[own], kind="stable")]
+            v, near = x[order], min(k, len(own) - 1)
+            padded = np.concatenate([np.full(near, -np.inf), v, np.full(near, np.inf)])
+            # the distance to the near-th neighbour: the least half-width of a run of near + 1 values around the own one
+            runs = [np.maximum(v - padded[s : s + len(v)], padded[s + near : s + near + len(v)] - v) for s in range(near + 1)]
+            # the neighbour itself stays outside, whatever the rounding of sums
+            radius[order], mates[order], size[order] = np.maximum(0.0, np.min(runs, 0) - 1e-14 * np.abs(x).max()), near, len(own)
+        used = size > 0
+        if used.sum() < 2:
+            return pd.DataFrame([(key[0], 0.0)])
+        x, radius = x[used], radius[used]
+        line = np.sort(x)
+        inside = np.searchsorted(line, x + radius, "right") - np.searchsorted(line, x - radius, "left")
+        value = psi([used.sum()])[0] + psi(mates[used]).mean() - psi(size[used]).mean() - psi(np.maximum(inside, 1)).mean()
+        return pd.DataFrame([(key[0], max(0.0, float(value)))])
+
+    return long.groupBy("feature").applyInPandas(score, "feature string, mutual_information double")
+
+
 def forecast_quality(df: DataFrame, by: list[str], actual: str, predicted: str) -> DataFrame:
     """n, MAE, MSE and R2 on pairs where both are known; R2 is null where the actual is constant."""
     y, e = F.col(actual), F.col(predicted) - F.col(actual)

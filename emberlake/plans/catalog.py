@@ -340,12 +340,20 @@ def forecast_quality(spark, d):
     return q.select("city", "n", F.round("mae", 4).alias("mae"), F.round("mse", 3).alias("mse"), F.round("r2", 5).alias("r2"))
 
 
-@query(f"""WITH {READ}, p AS (SELECT city, date_trunc('day', ts) AS period, sum((event_type = 'error')::INT)::DOUBLE AS y, avg(x) AS x FROM readings GROUP BY 1, 2)
-SELECT 'x' AS variable, count(*) AS n, round(corr(x, y), 6) AS pearson FROM p WHERE x IS NOT NULL""")
+@query(f"""WITH {READ}, p AS (SELECT city, date_trunc('day', ts) AS period, sum((event_type = 'error')::INT)::DOUBLE AS y, avg(x) AS x FROM readings GROUP BY 1, 2),
+k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p WHERE x IS NOT NULL)
+SELECT 'x' AS variable, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM k""")
 def period_corr(spark, d):
     r = readings(spark, d).withColumn("y", (F.col("event_type") == "error").cast("int"))
     c = stats.period_correlation(r, ["city"], "ts", "day", "y", ["x"])
-    return c.select("variable", "n", F.round("pearson", 6).alias("pearson"))
+    return c.select("variable", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@query()
+def nearest_mi(spark, d):
+    """Scores of the clean panel's features; the sample's bound is the operator's."""
+    p = scalars.clean_missing(panel(spark, d), ["a", "b", "c", "e"])
+    return stats.nearest_mutual_information(p, ["a", "b", "c", "e"], "label", ["l_orderkey", "line", "part", "entity"])
 
 
 _RANKED = """long AS (SELECT label::DOUBLE AS y, f, x FROM clean UNPIVOT (x FOR f IN (a, b, c, e)) WHERE label IS NOT NULL)"""
@@ -400,6 +408,85 @@ def dup_ratio(spark, d):
     return profiles.duplicate_ratio(panel(spark, d), "year", ["l_orderkey", "line"])
 
 
+_STATES = """SELECT '{0}' AS table_name, sum(n)::BIGINT AS n_rows, count(*) AS n_keys, round(sum(n) / count(*), 4) AS ratio,
+CASE WHEN sum(n) / count(*) < 1.01 THEN 'OK' WHEN sum(n) / count(*) < 1.10 THEN 'SOFT_DUP' ELSE 'DUPLICATED' END AS status, '' AS absent FROM (SELECT count(*) AS n FROM panel GROUP BY l_orderkey, {1})"""
+
+
+@query(f"""WITH {PANEL} {_STATES.format("panel", "line")} UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), NULL, NULL, 'NO_KEYS', 'l_orderkey;line'
+UNION ALL SELECT 'none', 0, 0, NULL, 'EMPTY', '' WHERE (SELECT count(*) FROM panel WHERE year < 0) = 0""")
+def dup_states(spark, d):
+    p = panel(spark, d)
+    return profiles.duplicate_states({"panel": p, "orders": table(spark, d, "orders"), "none": p.where("year < 0")}, ["l_orderkey", "line"])
+
+
+_FIXES = """fixes AS (SELECT l_suppkey AS station, year(l_shipdate)::INT AS year, l_orderkey, l_linenumber, l_returnflag AS city,
+ CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE -15 + round(l_discount * 100) / 10000 END AS lat, -47 + round(l_tax * 100) / 40000 AS lon FROM lineitem)"""
+
+
+@query(f"""WITH {_FIXES}, m AS (SELECT station, year, median(lat) AS y, median(lon) AS x, count(*) AS n_obs, arg_min(city, (l_orderkey, l_linenumber, city)) AS first_city FROM fixes WHERE lat IS NOT NULL GROUP BY ALL),
+f AS (SELECT station, year, sum((2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2), 1.0))) > 50.5)::INT)::BIGINT AS n_far
+ FROM (SELECT DISTINCT station, year, lat, lon FROM fixes WHERE lat IS NOT NULL) JOIN m USING (station, year) GROUP BY ALL)
+SELECT station, year, round(y, 6) AS lat_median, round(x, 6) AS lon_median, n_obs, first_city, n_far, n_far > 0 AS ambiguous FROM m JOIN f USING (station, year)""")
+def station_years(spark, d):
+    li = table(spark, d, "lineitem")
+    lat = F.when(F.col("l_orderkey") % 17 == 0, None).otherwise(-15 + F.round(F.col("l_discount") * 100) / 10000)
+    rows = li.select(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("year"), "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("city"), lat.alias("lat"), (-47 + F.round(F.col("l_tax") * 100) / 40000).alias("lon"))
+    out = profiles.station_years(rows, ["station", "year"], "lat", "lon", "city", ["l_orderkey", "l_linenumber"], jitter=50.5)
+    return out.withColumns({"lat_median": F.round("lat_median", 6), "lon_median": F.round("lon_median", 6)})
+
+
+@query(f"""WITH {_PLACES}, c AS (SELECT count(*) AS n_rows, sum((NOT (lat BETWEEN -16 AND -8 AND lon BETWEEN -55 AND -45))::INT)::BIGINT AS n_removed FROM places)
+SELECT n_rows, n_removed, round(n_removed / n_rows, 6) AS share, n_removed / n_rows > 0.01 AS alert FROM c""")
+def box_report(spark, d):
+    return profiles.box_report(_places(spark, d), "lat", "lon", (-16, -8, -55, -45))
+
+
+@query("SELECT p_name AS raw, count(*) AS n FROM part GROUP BY ALL ORDER BY n DESC, raw NULLS LAST LIMIT 20")
+def top_spellings(spark, d):
+    return profiles.top_spellings(profiles.spellings(table(spark, d, "part"), "p_name", text.normalize_key(F.col("p_name"))))
+
+
+@query("""WITH c AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1)
+SELECT count(*) AS n_rows, sum((o_custkey IS NULL)::INT)::BIGINT AS n_missing, sum((v IS NULL)::INT)::BIGINT AS v_nulls FROM customer LEFT JOIN c ON c_custkey = o_custkey""")
+def propagate_report(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("v"), "o_orderkey")
+    return joins.propagate_report(table(spark, d, "customer"), o, ["c_custkey"], ["v"], [F.col("o_orderkey")])
+
+
+@query("""WITH a AS (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), b AS (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'view' AND user_id % 5 <> 0 GROUP BY 1)
+SELECT coalesce(sum(a.n * b.n), 0)::BIGINT AS n_both, coalesce(sum(a.n) FILTER (b.k IS NULL), 0)::BIGINT AS n_left_only, coalesce(sum(b.n) FILTER (a.k IS NULL), 0)::BIGINT AS n_right_only FROM a FULL JOIN b ON a.k = b.k""")
+def pair_report(spark, d):
+    e = table(spark, d, "events")
+    return joins.pair_report(e.where("event_type = 'error'"), e.where("event_type = 'view' AND user_id % 5 <> 0"), ["user_id"])
+
+
+@query("SELECT year::INT AS year FROM (SELECT DISTINCT year(o_orderdate) AS year FROM orders INTERSECT SELECT DISTINCT year(l_shipdate) FROM lineitem) WHERE year >= 1994 AND year IN (1993, 1995, 1996, 1997)")
+def chosen_years(spark, d):
+    years = lambda t, c: table(spark, d, t).select(F.year(c).alias("year"))
+    return tables.chosen_years(years("orders", "o_orderdate"), years("lineitem", "l_shipdate"), 1994, [1993, 1995, 1996, 1997])
+
+
+_VARIATIONS = ("GridSearch + SMOTE", "GridSearch + weights", "Base")
+
+
+@query(f"""WITH r AS (SELECT CASE l_partkey % 4 WHEN 0 THEN 'base_E_calculated' WHEN 1 THEN 'base_F' WHEN 2 THEN 'base_D_calculated' ELSE NULL END AS scenario,
+ CASE l_suppkey % 3 WHEN 0 THEN 'Dummy (stratified)' WHEN 1 THEN 'Random Forest' ELSE 'Other' END AS model, CASE l_linenumber % 3 WHEN 0 THEN '{_VARIATIONS[0]}' WHEN 1 THEN '{_VARIATIONS[1]}' ELSE '{_VARIATIONS[2]}' END AS variation,
+ year(l_shipdate)::INT AS run, avg(l_discount) AS pr_auc FROM lineitem GROUP BY ALL),
+s AS (SELECT *, CASE WHEN contains(coalesce(scenario, ''), 'calculated') THEN 'derived' ELSE 'plain' END AS base FROM r QUALIFY row_number() OVER (PARTITION BY scenario, model, variation ORDER BY run DESC) = 1),
+g AS (SELECT *, CASE WHEN model LIKE 'Dummy%' THEN 'baseline_' || base WHEN model = 'Random Forest' AND variation LIKE '%SMOTE' THEN 'model_' || base || '_smote'
+ WHEN model = 'Random Forest' AND variation LIKE '%weights' THEN 'model_' || base || '_weights' END AS stage_group FROM s)
+SELECT scenario, model, variation, run, round(pr_auc, 6) AS pr_auc, stage_group, CASE WHEN stage_group LIKE 'baseline%' THEN 1 WHEN stage_group LIKE 'model_plain%' THEN 2 ELSE 3 END AS stage FROM g WHERE stage_group IS NOT NULL""")
+def stage_labels(spark, d):
+    k = F.col("l_partkey") % 4
+    scenario = F.when(k == 0, "base_E_calculated").when(k == 1, "base_F").when(k == 2, "base_D_calculated")
+    pick = lambda c, names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(c) % 3 + 1).cast("int"))
+    runs_ = table(spark, d, "lineitem").groupBy(
+        scenario.alias("scenario"), pick("l_suppkey", ("Dummy (stratified)", "Random Forest", "Other")).alias("model"), pick("l_linenumber", _VARIATIONS).alias("variation"), F.year("l_shipdate").alias("run"),
+    ).agg(F.avg("l_discount").alias("pr_auc"))
+    out = leaderboard.stages(runs_, "scenario", "model", "variation", ["run"], ["Random Forest"])
+    return out.withColumn("pr_auc", F.round("pr_auc", 6))
+
+
 @query(f"""WITH {PANEL}, x AS (SELECT year, count(*) AS rows_a FROM panel WHERE year < 2001 GROUP BY 1), y AS (SELECT year, count(*) AS rows_b FROM panel WHERE year > 1995 AND (year <> 1998 OR line <> 1) GROUP BY 1)
 SELECT coalesce(x.year, y.year) AS year, rows_a, rows_b, rows_b - rows_a AS delta,
 CASE WHEN rows_b - rows_a IS NULL THEN 'N/A' WHEN rows_b = rows_a THEN 'MATCH' WHEN rows_b < rows_a THEN 'FEWER' ELSE 'MORE' END AS status FROM x FULL JOIN y ON x.year = y.year""")

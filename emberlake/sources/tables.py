@@ -65,6 +65,51 @@ def write_yearly(df: DataFrame, path: str, partitions: tuple[str, ...] = ("year"
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def years_in_names(spark: SparkSession, path: str, pattern: str = r"(\d{4})") -> DataFrame:
+    """Years that the names of the files below ``path`` carry (first group of ``pattern``); contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    found = F.regexp_extract(name, pattern, 1)
+    return files.select(F.when(found != "", found).cast("int").alias("year")).where("year IS NOT NULL").distinct()
+
+
+def chosen_years(one: DataFrame, two: DataFrame, least: int, wanted: list[int] | None = None) -> DataFrame:
+    """Years that both sources have, from ``least`` on, and among the ``wanted`` ones if any are named."""
+    both = one.select("year").intersect(two.select("year")).where(F.col("year") >= least)
+    return both.where(F.col("year").isin(wanted)) if wanted else both
+
+
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def consolidate(df: DataFrame, path: str, mode: str = "split", year: str = "year", overwrite: bool = False) -> list[str]:
+    """Write ``split`` (below ``path``/split, a folder for each year), ``combine`` (``path``/all) or ``both``.
+
+    Years or tables that are present stay as they are unless ``overwrite``. Returns the paths. Null years are not written.
+    """
+    if mode not in ("split", "combine", "both"):
+        raise ValueError(f"mode {mode!r} is not split, combine or both")
+    spark, rows, paths = df.sparkSession, df.where(F.col(year).isNotNull()), []
+    if mode in ("split", "both"):
+        paths.append(f"{path}/split")
+        have = None if overwrite else _existing(spark, paths[-1])
+        fresh = rows if have is None else rows.join(have.select(year).distinct(), year, "left_anti")
+        write_yearly(fresh, paths[-1], (year,))
+    if mode in ("combine", "both"):
+        paths.append(f"{path}/all")
+        if overwrite or _existing(spark, paths[-1]) is None:
+            rows.write.mode("overwrite").parquet(paths[-1])
+    return paths
+
+
 def pending_years(candidates: DataFrame, manifest: DataFrame, overwrite: bool = False) -> DataFrame:
     """Years to process: candidates without a finished entry in the manifest."""
     years = candidates.select("year").distinct()

@@ -282,3 +282,89 @@ def test_feature_sets_and_months(spark):
     assert selection.feature_columns(df, ["a"], {"points": ["month"]}, "slow_only") == ["month"]
     out = {r.id: (r.a, r.tsf_b) for r in sampling.impute_by_month(df, ["a", "tsf_b"], "month", ["id"], k=1, least=2).collect()}
     assert out[1] == (2.0, 4.0) and out[3] == (3.0, 5.0) and out[4] == (3.0, 6.0)
+
+
+def test_ewma_over_partitions(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, T(i), None if rng.random() < 0.4 or (k == 2 and i < 150) else float(rng.random())) for k in (None, 1, 2) for i in range(200)] + [(7, T(0), None)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, x double").withColumn("_part", F.lit("own"))
+    got = series.ewma(df, ["k"], "ts", "x", {"e": 0.3, "f": 0.9}).collect()
+    assert len(got) == len(rows) and all(r._part == "own" for r in got)
+    for k in (None, 1, 2, 7):
+        mine = sorted((r.ts, r.x, r.e, r.f) for r in got if r.k == k) if k != 7 else [(r.ts, r.x, r.e, r.f) for r in got if r.k == 7]
+        for i, a in ((2, 0.3), (3, 0.9)):
+            y, w = None, 1.0
+            for r in mine:
+                if y is not None:
+                    w *= 1 - a
+                if r[1] is not None:
+                    y, w = (r[1], 1.0) if y is None else ((w * y + a * r[1]) / (w + a), 1.0)
+                assert (r[i] is None) == (y is None) and (y is None or abs(r[i] - y) < 1e-12)
+    assert series.ewma(df.limit(0), ["k"], "ts", "x", {"e": 0.3}).count() == 0
+
+
+def test_blocks_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, T(i), float(np.sin(i / 4) + 0.1 * rng.random()), None if i % 41 == 5 else float(rng.random())) for k in (None, 1) for i in range(150)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, y double, x double")
+    f = lambda n: sorted((str(r.k), r.ts, r.status, r.predicted) for r in forecast.rolling_forecast(df, ["k"], "ts", "y", ["x"], horizon=10, history=40, least=20, lags=(1, 2), block_rows=n).collect())
+    assert f(40) == f(4096) and len(f(40)) == 300
+    e = lambda n: sorted((str(r.k), r.ts, r.embedding) for r in embedding.embed(df, ["k"], "ts", ["y", "x"], length=12, block_rows=n).collect())
+    assert e(12) == e(4096) and len(e(12)) == 300
+    assert forecast.rolling_forecast(df.limit(0), ["k"], "ts", "y", ["x"]).count() == 0 and embedding.embed(df.limit(0), ["k"], "ts", ["y", "x"]).count() == 0
+
+
+def test_nearest_mutual_information(spark):
+    rng = np.random.default_rng(5)
+    y = (rng.random(300) < 0.3).astype(int)
+    a, b = rng.random(300) + 0.5 * y, rng.random(300)
+    rows = [(i, float(u), float(v), None, int(c)) for i, (u, v, c) in enumerate(zip(a, b, y))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, none double, y int")
+    got = {r.feature: r.mutual_information for r in stats.nearest_mutual_information(df, ["a", "b", "none"], "y", ["id"]).collect()}
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    for name, x in (("a", a), ("b", b)):
+        inside = []
+        for i in range(300):
+            radius = np.sort(np.abs(x[y == y[i]] - x[i]))[3]
+            inside.append(int((np.abs(x - x[i]) < radius).sum()))
+        want = psi(300) + psi(3) - np.mean([psi(int((y == c).sum())) for c in y]) - np.mean([psi(max(n, 1)) for n in inside])
+        assert abs(got[name] - max(0.0, want)) < 2e-2
+    assert got["a"] > 0.05 > got["b"] and got["none"] < 0.05
+
+
+def test_period_p_values(spark):
+    df = spark.createDataFrame([(1, T(24 * i), i % 3, float(i * i % 7), None) for i in range(20)], "k int, ts timestamp, y int, x double, z double")
+    r = {q.variable: q for q in stats.period_correlation(df, ["k"], "ts", "day", "y", ["x", "z"]).collect()}
+    assert set(r) == {"x"} and r["x"].n == 20
+    assert abs(r["x"].pearson_p - stats.t_tail(r["x"].pearson, 20)) < 1e-12 and abs(r["x"].spearman_p - stats.t_tail(r["x"].spearman, 20)) < 1e-12
+
+
+def test_consolidate(spark, tmp_path):
+    p = str(tmp_path / "out")
+    df = spark.createDataFrame([(2001, 1), (2002, 2), (None, 3)], "year int, v int")
+    assert len(tables.consolidate(df, p, "both")) == 2
+    more = spark.createDataFrame([(2002, 9), (2003, 4)], "year int, v int")
+    tables.consolidate(more, p, "both")
+    assert sorted((r.year, r.v) for r in spark.read.parquet(p + "/split").collect()) == [(2001, 1), (2002, 2), (2003, 4)]
+    assert spark.read.parquet(p + "/all").count() == 2
+    tables.consolidate(more, p, "both", overwrite=True)
+    assert sorted((r.year, r.v) for r in spark.read.parquet(p + "/split").collect()) == [(2001, 1), (2002, 9), (2003, 4)]
+    assert sorted(r.v for r in spark.read.parquet(p + "/all").collect()) == [4, 9]
+    with pytest.raises(ValueError):
+        tables.consolidate(df, p, "other")
+
+
+def test_years_in_names(spark, tmp_path):
+    for n in ("feed_2003_x.csv", "feed_2004_x.csv", "notes.txt"):
+        (tmp_path / n).write_text("a")
+    years = tables.years_in_names(spark, str(tmp_path), r"^feed_(\d{4})_")
+    assert sorted(r.year for r in years.collect()) == [2003, 2004]
+    assert [r.year for r in tables.chosen_years(years, years.where("year > 2003"), 2000, None).collect()] == [2004]
+
+
+def test_reports_of_empty_tables(spark):
+    df = spark.createDataFrame([], "k int, lat double, lon double, c string, o int")
+    assert profiles.box_report(df, "lat", "lon", (0, 1, 0, 1)).first()[:] == (0, 0, 0.0, False)
+    assert joins.pair_report(df, df, ["k"]).first()[:] == (0, 0, 0)
+    assert joins.propagate_report(df, df, ["k"], ["lat"], [F.col("o")]).first()[:] == (0, 0, 0)
+    assert profiles.station_years(df, ["k"], "lat", "lon", "c", ["o"]).count() == 0
