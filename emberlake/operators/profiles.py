@@ -151,6 +151,23 @@ def compare_schemas(spark, reference: T.StructType, others: dict[str, T.StructTy
     return spark.createDataFrame(rows, "table_name string, column_name string, difference string, weight string")
 
 
+def known_values(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, column_name, n_rows, n_known`` of all columns, by one scan and one row of counts a table."""
+    out = None
+    for name, df in tables.items():
+        counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(f"`{c}`")).alias(f"known_{i}") for i, c in enumerate(df.columns)])
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"known_{i}").alias("n_known")) for i, c in enumerate(df.columns)]))
+        one = counts.select(F.lit(name).alias("table_name"), "n_rows", each.alias("c")).select("table_name", "c.column_name", "n_rows", "c.n_known")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def schema_audit(spark, reference: DataFrame, others: dict[str, DataFrame], core: tuple[str, ...] = ()) -> DataFrame:
+    """Differences of schema, each with the rows of its table and how many have a value there (null where the column is missing)."""
+    found = compare_schemas(spark, reference.schema, {n: df.schema for n, df in others.items()}, core)
+    return found.join(known_values(others), ["table_name", "column_name"], "left")
+
+
 def split_summary(df: DataFrame, split: str, keys: list[str], year: str, label: str) -> DataFrame:
     per_key = df.groupBy(split, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"), F.min(year).alias("a"), F.max(year).alias("b"))
     return per_key.groupBy(split).agg(

@@ -34,9 +34,9 @@ def detections(spark, d: str) -> DataFrame:
 DET = "det AS (SELECT user_id % 10 AS city, date_trunc('hour', ts) AS hour, value AS power, event_id FROM events WHERE event_type = 'error')"
 
 
-def readings(spark, d: str) -> DataFrame:
-    """Single readings in time order with gaps: every seventh value unknown."""
-    e = station(table(spark, d, "events"))
+def readings(spark, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Single readings in time order with gaps: every seventh value unknown. ``events`` may be a stream of that table."""
+    e = station(table(spark, d, "events") if events is None else events)
     return e.select("event_id", "city", "ts", "hour", "event_type", F.when(F.col("event_id") % 7 == 3, None).otherwise(F.col("value")).alias("x"))
 
 

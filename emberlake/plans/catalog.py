@@ -9,6 +9,8 @@ from emberlake.functions import scalars, text
 from emberlake.operators import embedding, forecast, joins, leaderboard, models, profiles, sampling, selection, series, stats
 from emberlake.plans.bindings import CLEAN, DET, OBS, PANEL, READ, RUNS, detections, observations, panel, readings, runs, station, table
 from emberlake.sources import tables
+from emberlake.storage import materialize
+from emberlake.streaming import carried
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -243,11 +245,12 @@ def champion(spark, d):
     return joins.attach_features(base, [f], ["o_orderkey"], order).select("o_orderkey", "o_totalprice", "q")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, a.n AS n_orders, b.n AS n_lines FROM (SELECT o_orderkey % 1000 AS k, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a
-FULL JOIN (SELECT l_orderkey % 1000 AS k, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1) b ON a.k = b.k""")
+@query("""SELECT coalesce(a.k, b.k) AS k, a.n AS n_orders, b.n AS n_lines FROM (SELECT o_orderdate AS k, count(*) AS n FROM orders GROUP BY 1) a
+FULL JOIN (SELECT l_shipdate AS k, count(*) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k""")
 def score_tables(spark, d):
-    a = table(spark, d, "orders").where("o_orderkey % 2 = 0").groupBy((F.col("o_orderkey") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n_orders"))
-    b = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").groupBy((F.col("l_orderkey") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n_lines"))
+    """Days of orders and of shipments; the first and last days are in one table only."""
+    a = table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("k")).agg(F.count(F.lit(1)).alias("n_orders"))
+    b = table(spark, d, "lineitem").groupBy(F.col("l_shipdate").alias("k")).agg(F.count(F.lit(1)).alias("n_lines"))
     return a.join(b, "k", "full")
 
 
@@ -527,10 +530,17 @@ def selected_years(spark, d):
     return profiles.selected_against_rest(panel(spark, d), [1998, 1999], "year", "label", ["a"])
 
 
-@query()
+_LACKS = "line entity part year month a b c e label".split()
+_EXTRA = "l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+@query(f"""WITH {PANEL}, lacks AS (SELECT 'lineitem' AS table_name, unnest({_LACKS}) AS column_name UNION ALL SELECT 'float_panel', 'e'),
+k AS ({" UNION ALL ".join(f"SELECT 'lineitem' AS table_name, '{c}' AS column_name, 'extra' AS difference, count(*) AS n_rows, count({c}) AS n_known FROM lineitem" for c in _EXTRA)}
+ UNION ALL SELECT 'float_panel', 'a', 'double -> float', count(*), count(a) FROM panel UNION ALL SELECT table_name, column_name, 'missing', NULL, NULL FROM lacks)
+SELECT table_name, column_name, difference, CASE column_name WHEN 'year' THEN 'heavy' ELSE 'light' END AS weight, n_rows, n_known FROM k""")
 def schema_audit(spark, d):
     p = panel(spark, d)
-    return profiles.compare_schemas(spark, p.schema, {"lineitem": table(spark, d, "lineitem").schema, "float_panel": p.withColumn("a", F.col("a").cast("float")).drop("e").schema}, ("year",))
+    return profiles.schema_audit(spark, p, {"lineitem": table(spark, d, "lineitem"), "float_panel": p.withColumn("a", F.col("a").cast("float")).drop("e")}, ("year",))
 
 
 _CALLED = "s AS (SELECT (event_type = 'error')::INT AS y, value / 400.0 AS p, (value >= 30)::INT AS called FROM events)"
@@ -584,27 +594,54 @@ def holdout(spark, d):
 # --- ordered operators --------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {OBS}, w AS (SELECT city, hour, (value >= 60.5)::INT AS wet FROM obs), i AS (SELECT *, sum(wet) OVER (PARTITION BY city ORDER BY hour) AS island FROM w)
-SELECT city, hour, round(sum(1 - wet) OVER (PARTITION BY city, island ORDER BY hour) / 24.0, 6) AS dry_days FROM i""")
+_DRY = f"""WITH {OBS}, w AS (SELECT city, hour, (value >= 60.5)::INT AS wet FROM obs), i AS (SELECT *, sum(wet) OVER (PARTITION BY city ORDER BY hour) AS island FROM w)
+SELECT city, hour, round(sum(1 - wet) OVER (PARTITION BY city, island ORDER BY hour) / 24.0, 6) AS dry_days FROM i"""
+
+
+@query(_DRY)
 def dry_spell(spark, d):
     rows = series.dry_spell(observations(spark, d), ["city"], "hour", "value", 60.5)
     return rows.select("city", "hour", F.round("dry_days", 6).alias("dry_days"))
 
 
-_FOLD = """WITH RECURSIVE {READ}, o AS (SELECT city, ts, event_id, x, row_number() OVER (PARTITION BY city ORDER BY ts) AS i FROM readings),
+@query(_DRY)
+def dry_spell_carried(spark, d):
+    """The same days from three batches in time order, each going on from the state that the one before left."""
+    obs = observations(spark, d)
+    at = F.unix_timestamp("hour")
+    first, last = obs.agg(F.min(at), F.max(at)).first()
+    batch = F.floor((at - F.lit(first)) * 3 / F.lit((last or 0) - (first or 0) + 1))
+    state, out = spark.createDataFrame([], "city long, dry_hours double"), None
+    for i in range(3):
+        rows, state = carried.dry_spell_step(obs.where(batch == i), state, "city", "hour", "value", 60.5)
+        state = materialize(state, "carried")  # one row for each station
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("city", "hour", F.round("dry_days", 6).alias("dry_days"))
+
+
+_FOLD = f"""WITH RECURSIVE {READ}, o AS (SELECT city, ts, event_id, x, row_number() OVER (PARTITION BY city ORDER BY ts) AS i FROM readings),
 f AS (SELECT city, i, event_id, x AS y, 1.0::DOUBLE AS w FROM o WHERE i = 1
 UNION ALL SELECT o.city, o.i, o.event_id,
  CASE WHEN f.y IS NULL THEN o.x WHEN o.x IS NULL THEN f.y ELSE (f.w * 0.7 * f.y + 0.3 * o.x) / (f.w * 0.7 + 0.3) END,
- CASE WHEN f.y IS NULL THEN 1.0 WHEN o.x IS NULL THEN f.w * 0.7 ELSE 1.0 END FROM f JOIN o ON o.city = f.city AND o.i = f.i + 1)
-SELECT city, event_id, round(y, 6) AS ewma FROM f"""
+ CASE WHEN f.y IS NULL THEN 1.0 WHEN o.x IS NULL THEN f.w * 0.7 ELSE 1.0 END FROM f JOIN o ON o.city = f.city AND o.i = f.i + 1)"""
 
 
-@query(_FOLD.replace("{READ}", READ))
+@query(f"{_FOLD} SELECT city, event_id, round(y, 6) AS ewma FROM f")
 def ewma(spark, d):
     rows = series.ewma(readings(spark, d).select("city", "event_id", "ts", "x"), ["city"], "ts", "x", {"ewma": 0.3})
     return rows.select("city", "event_id", F.round("ewma", 6).alias("ewma"))
 
 
+@query(f"""{_FOLD}, g AS (SELECT event_id, ts, lag(x, 24) OVER (PARTITION BY city ORDER BY ts) AS lagged FROM readings)
+SELECT city, ts, round(y, 6) AS ewma, round(lagged, 6) AS lagged FROM f JOIN g USING (event_id)""")
+def feature_stream(spark, d):
+    """The exponential mean and a lag of 24 rows as a stream over the files of ``events``."""
+    schema = table(spark, d, "events").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern, so that a file will do as a folder does
+    rows = carried.replay(carried.feature_stream(readings(spark, d, arriving), "city", "ts", "x", alpha=0.3), "features")
+    return rows.select("city", "ts", F.round("ewma", 6).alias("ewma"), F.round("lagged", 6).alias("lagged"))
+
+
 @query(f"""WITH {OBS} SELECT city, hour, round(lag(value, 1) OVER w, 6) AS lag_1, round(lag(value, 24) OVER w, 6) AS lag_24 FROM obs WINDOW w AS (PARTITION BY city ORDER BY hour)""")
 def lags(spark, d):
     rows = series.lags(observations(spark, d), ["city"], "hour", "value", [1, 24])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,21 +36,27 @@ def read_stations(spark: SparkSession, path: str, drop: tuple[str, ...] = (), en
     return named.select("city", "lat", "lon", *[F.trim(F.col("m")[h]).alias(h) for h in sorted(headers) if h not in drop])
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Event CSV as text columns; bytes that are not UTF-8 are read as Latin-1, bad lines are skipped."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    text = raw.select(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1")).alias("t"))
-    lines = text.select(F.split(F.regexp_replace("t", "^﻿", ""), r"\r?\n").alias("l")).where(F.size("l") > 1)
-    heads = [r[0] for r in lines.select(F.get("l", F.lit(0))).distinct().collect()]  # as many rows as headers
-    out = None
-    for h in heads:
-        names = [x.strip().strip('"') for x in h.split(",")]
-        schema = ", ".join(f"`{n}` string" for n in names)
-        rows = lines.where(F.get("l", F.lit(0)) == h).select(F.explode(F.slice("l", 2, F.size("l") - 1)).alias("r")).where("r <> ''")
-        rows = rows.where(F.size(F.split("r", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')) == len(names))
-        part = rows.select(F.from_csv("r", schema).alias("s")).select("s.*")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+def read_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Event CSV as text columns, by the union of all files' headers; one scan by lines, so a large file is many tasks.
+
+    A file with bytes that are not UTF-8 is read as Latin-1. Empty lines, lines that repeat their file's header and
+    lines whose number of fields is not the header's are skipped; a file without lines adds nothing.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    files = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.min_by("value", "place").alias("head"))
+    plain = lambda c: F.when(F.col("utf8"), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1"))
+    files = files.select("file", "utf8", "head", F.regexp_replace(plain("head"), "^\ufeff", "").alias("header"))
+    headers = sorted(r[0] for r in files.select("header").distinct().collect())  # as many rows as headers
+    names = {h: [x.strip() for x in next(csv.reader([h]), [])] for h in headers}
+    fields = F.size(F.split(F.regexp_replace("r", '"[^"]*"', ""), ","))  # commas outside quotes
+    wanted = F.coalesce(*[F.when(F.col("header") == h, len(n)) for h, n in names.items()], F.lit(0))
+    rows = lines.join(files, "file").where((F.col("value") != F.col("head")) & (F.col("value") != "")).select("header", plain("value").alias("r")).where(fields == wanted)
+    most = max(map(len, names.values()), default=0)
+    split = rows.select("header", F.from_csv("r", ", ".join(f"f{i} string" for i in range(most)) or "f0 string", {"escape": '"'}).alias("s"))
+    columns = dict.fromkeys(x for n in names.values() for x in n)
+    found = lambda c: F.coalesce(*[F.when(F.col("header") == h, F.col(f"s.f{n.index(c)}")) for h, n in names.items() if c in n], F.lit(None))
+    return split.select(*[found(c).alias(c) for c in columns])
 
 
 def read_columns(spark: SparkSession, path: str, wanted: list[str], as_float: bool = False) -> tuple[DataFrame, list[str]]:

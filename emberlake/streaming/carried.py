@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.operators.series import dry_spell, running_sum
+from emberlake.storage import shared_folder
 
 
 def dry_spell_step(batch: DataFrame, carried: DataFrame, by: str, ts: str, rain: str, threshold: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -57,3 +58,11 @@ def feature_stream(stream: DataFrame, by: str, ts: str, column: str, *, alpha: f
         yield pd.DataFrame(made, columns=[by, ts, column, "ewma", "lagged"])
 
     return stream.select(by, ts, F.col(column).cast("double").alias(column)).groupBy(by).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over the files that are there now and return its rows; rows and state go to the shared folder."""
+    path = shared_folder(stream.sparkSession, name)
+    out = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

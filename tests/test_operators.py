@@ -260,6 +260,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "f.csv").write_bytes("Municipio,FRP,Id\nBrasília,2,7\n".encode())
     ev = tables.read_events(spark, [str(tmp_path / "e.csv"), str(tmp_path / "f.csv")])
     assert {(r.Municipio, r.FRP, r.Id) for r in ev.collect()} == {("Goiânia", "1.5", None), ("Brasília", "2", "7")}
+    assert set(ev.columns) == {"Municipio", "FRP", "Id"}
     assert tables.column_of(ev, ["frp"]) == "FRP" and tables.column_of(ev, ["none"], required=False) is None
     run = tmp_path / "r" / "forest" / "base" / "D"
     run.mkdir(parents=True)
@@ -276,6 +277,20 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i")).count() == 1
 
 
+def test_events_are_read_by_lines(spark, tmp_path):
+    """Quoted commas, a byte-order mark, names with commas, CRLF, Latin-1 with a valid line first, and blocks of a few bytes."""
+    (tmp_path / "a.csv").write_bytes('\ufeffId,"Lat, Lon",City\r\n1,"-1,5",Belém\r\n\r\n2,"x ""y"", z",\r\n3,too,many,fields\r\n'.encode())
+    (tmp_path / "b.csv").write_bytes("City,Id\nplain,4\nSão,5\nCity,Id\n".encode("latin1"))
+    (tmp_path / "c.csv").write_bytes(b"")
+    for size in ("128m", "8b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {(r["Id"], r["Lat, Lon"], r["City"]) for r in tables.read_events(spark, str(tmp_path)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == {("1", "-1,5", "Belém"), ("2", 'x "y", z', None), ("4", None, "plain"), ("5", None, "São")}
+
+
 def test_feature_sets_and_months(spark):
     df = spark.createDataFrame([(1, 1, 2.0, None), (2, 1, 1.0, 4.0), (3, 2, None, 5.0), (4, None, 3.0, 6.0)], "id int, month int, a double, tsf_b double")
     assert selection.feature_columns(df, ["a", "zz"], {"points": ["month"]}, "points") == ["a", "tsf_b", "month"]
