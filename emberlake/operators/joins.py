@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.operators.series import fresh
+
 
 class NotUnique(ValueError):
     """A side that must have one row for each key has more."""
@@ -14,8 +16,8 @@ class NotUnique(ValueError):
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, first in an explicit total order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    w, rank = Window.partitionBy(*keys).orderBy(*order), fresh(df, "_rank")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
 def strongest(events: DataFrame, keys: list[str], power: str, tie: str) -> DataFrame:
@@ -108,16 +110,18 @@ def as_of(rows: DataFrame, series: DataFrame, keys: list[str], ts: str, values:
     replaced by the last known one, else the whole last row counts.
     """
     last = first_per_key(series, [*keys, ts], [F.col(c).desc() for c in series_order]).select(*keys, ts, *values)
-    a = rows.withColumns({f"_{v}": F.lit(None).cast(dict(series.dtypes)[v]) for v in values} | {"_side": F.lit(1)})
-    b = last.select(*keys, ts, *[F.col(v).alias(f"_{v}") for v in values], F.lit(0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    side, found, whole = (fresh(rows, n) for n in ("_side", "_found", "_row"))
+    own = {v: f"{found}_{i}" for i, v in enumerate(values)}
+    a = rows.withColumns({n: F.lit(None).cast(dict(series.dtypes)[v]) for v, n in own.items()} | {side: F.lit(1)})
+    b = last.select(*keys, ts, *[F.col(v).alias(n) for v, n in own.items()], F.lit(0).alias(side))
+    w = Window.partitionBy(*keys).orderBy(ts, side).rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True)
     if fill:
-        out = both.withColumns({v: F.last(f"_{v}", ignorenulls=True).over(w) for v in values})
+        out = both.withColumns({v: F.last(n, ignorenulls=True).over(w) for v, n in own.items()})
     else:
-        row = F.last(F.when(F.col("_side") == 0, F.struct(*[f"_{v}" for v in values])), ignorenulls=True).over(w)
-        out = both.withColumn("_row", row).withColumns({v: F.col(f"_row._{v}") for v in values})
-    return out.where("_side = 1").select(*rows.columns, *values)
+        row = F.last(F.when(F.col(side) == 0, F.struct(*own.values())), ignorenulls=True).over(w)
+        out = both.withColumn(whole, row).withColumns({v: F.col(whole)[n] for v, n in own.items()})
+    return out.where(F.col(side) == 1).select(*rows.columns, *values)
 
 
 def nearest_cell(points: DataFrame, grid: DataFrame, *, day: str, lat: str, lon: str, value: str, step: float, tolerance: float) -> DataFrame:

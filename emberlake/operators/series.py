@@ -62,9 +62,10 @@ def dry_spell(df: DataFrame, by: list[str], ts: str, rain: str, threshold: float
     """
     wet = F.coalesce((F.col(rain) >= threshold).cast("int"), F.lit(1 if null_policy == "reset" else 0))
     upto = _order(by, ts).rowsBetween(Window.unboundedPreceding, 0)
-    islands = df.withColumn("_wet", wet).withColumn("_island", F.sum("_wet").over(upto))
-    inside = Window.partitionBy(*by, "_island").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    return islands.withColumn("dry_days", F.sum(1 - F.col("_wet")).over(inside) / 24.0).drop("_wet", "_island")
+    is_wet, island = fresh(df, "_wet"), fresh(df, "_island")
+    islands = df.withColumn(is_wet, wet).withColumn(island, F.sum(is_wet).over(upto))
+    inside = Window.partitionBy(*by, island).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    return islands.withColumn("dry_days", F.sum(1 - F.col(is_wet)).over(inside) / 24.0).drop(is_wet, island)
 
 
 def lags(df: DataFrame, by: list[str], ts: str, column: str, steps: list[int], time_exact: bool = False) -> DataFrame:
@@ -204,8 +205,8 @@ def anchored_drift(df: DataFrame, by: str, order: str, lat: str, lon: str, moved
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    w, rank = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order]), fresh(df, "_rank")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
 def min_max(column: str, by: list[str], lower_is_better: bool = False):

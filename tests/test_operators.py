@@ -108,6 +108,17 @@ def test_as_of_ties_and_gaps(spark):
     assert one(False) == [None, 2.0, None, None, None]
 
 
+def test_inputs_may_have_the_names_of_helper_columns(spark):
+    rows = spark.createDataFrame([(1, 10, 7, 8, 9, 5), (1, 20, 7, 8, 9, 6)], "k long, t long, _side int, _v int, _rank int, _row int")
+    past = spark.createDataFrame([(1, 5, 1.5, 3), (1, 15, None, 4)], "k long, t long, v double, _rank int")
+    for fill, want in ((True, 1.5), (False, None)):
+        got = joins.as_of(rows, past, ["k"], "t", ["v"], ["_rank"], fill).orderBy("t").collect()
+        assert [tuple(r) for r in got] == [(1, 10, 7, 8, 9, 5, 1.5), (1, 20, 7, 8, 9, 6, want)]
+    assert [tuple(r) for r in series.latest(past, ["k"], ["t"]).collect()] == [(1, 15, None, 4)]
+    wet = spark.createDataFrame([(1, 1, 2.0, 5, 6), (1, 2, 0.0, 5, 6)], "k long, t long, rain double, _wet int, _island int")
+    assert [tuple(r) for r in series.dry_spell(wet, ["k"], "t", "rain").orderBy("t").collect()] == [(1, 1, 2.0, 5, 6, 0.0), (1, 2, 0.0, 5, 6, 1 / 24)]
+
+
 def test_impute_ties_and_partitions(spark):
     rng = np.random.default_rng(3)
     data = [(i, *[None if rng.random() < 0.3 else float(v) for v in rng.integers(0, 4, 3)]) for i in range(60)]
