@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlake.llm import fingerprints, fixity, jaccard_join, mixing, packing, quality_rules, secret_scan, token_files, toxicity, whitening
+from emberlake.llm import conversation_repair, fingerprints, fixity, jaccard_join, mixing, packing, quality_rules, secret_scan, token_files, toxicity, whitening
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_counts": token_files.op8_token_counts,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op6_warc_fixity": fixity.SQL,
     "op6_replica_damage": fixity.DAMAGE_SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
 }
