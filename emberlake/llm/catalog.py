@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlake.llm import conversation_repair, fingerprints, fixity, jaccard_join, mixing, packing, quality_rules, secret_scan, token_files, toxicity, whitening
+from emberlake.llm import conversation_repair, fingerprints, fixity, jaccard_join, mixing, packing, personal_data, quality_rules, secret_scan, token_files, toxicity, whitening
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_personal_data": personal_data.op12_personal_data,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
