@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlake.operators.series import fresh
+from emberlake.operators.scans import fill_forward, fresh
 
 
 class NotUnique(ValueError):
@@ -37,7 +37,9 @@ def join_m1(left: DataFrame, right: DataFrame, keys: list[str], check: bool = Tr
     """Left join of many to one with that contract checked; ``matched`` tells which rows found a partner."""
     if check:
         require_unique(right, keys)
-    return left.join(right.withColumn("matched", F.lit(True)), keys, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    hit = fresh(left.join(right, keys, "left"), "_hit")
+    joined = left.join(right.withColumn(hit, F.lit(True)), keys, "left")
+    return joined.withColumn("matched", F.coalesce(hit, F.lit(False))).drop(hit)
 
 
 def label_observations(observations: DataFrame, events: DataFrame, keys: list[str], event_id: str, label: str = "has_event") -> DataFrame:
@@ -52,8 +54,12 @@ def members_only(df: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataF
 
 def lookup_with_fallback(df: DataFrame, dimension: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
     """Take ``values`` (dimension column -> own column) from the dimension, else from the row; ``source`` tells which."""
-    found = df.join(dimension.withColumn("_hit", F.lit(True)), keys, "left")
-    return found.withColumns({own: F.coalesce(F.col(dim), F.col(own)) for dim, own in values.items()} | {"source": F.when(F.col("_hit"), "dimension").otherwise("row")}).drop("_hit", *values)
+    hit, found = fresh(df, "_hit"), fresh(df, "_found")
+    took = {dim: f"{found}_{i}" for i, dim in enumerate(values)}
+    side = dimension.select(*keys, *[F.col(dim).alias(n) for dim, n in took.items()], F.lit(True).alias(hit))
+    rows = df.join(side, keys, "left")
+    new = {own: F.coalesce(F.col(took[dim]), F.col(own)) for dim, own in values.items()} | {"source": F.when(F.col(hit), "dimension").otherwise("row")}
+    return rows.withColumns(new).drop(hit, *took.values())
 
 
 def propagate(df: DataFrame, canonical: DataFrame, keys: list[str], values: list[str], order: list[Column]) -> DataFrame:
@@ -104,24 +110,25 @@ def coverage_shares(sides: DataFrame) -> DataFrame:
 
 
 def as_of(rows: DataFrame, series: DataFrame, keys: list[str], ts: str, values: list[str], series_order: list[str], fill: bool = True) -> DataFrame:
-    """Each row with the latest values of its keys at or before its time: one shuffle, one sort, no theta join.
+    """Each row with the latest values of its keys at or before its time: rows and series as one ordered table, whose last
+    known value is carried on from range partition to range partition. No theta join, and no task holds a whole key.
 
     Of equal times in the series the last in ``series_order`` counts. With ``fill`` a null value is
-    replaced by the last known one, else the whole last row counts.
+    replaced by the last known one, else the whole last row counts. Null keys are one key.
     """
     last = first_per_key(series, [*keys, ts], [F.col(c).desc() for c in series_order]).select(*keys, ts, *values)
     side, found, whole = (fresh(rows, n) for n in ("_side", "_found", "_row"))
     own = {v: f"{found}_{i}" for i, v in enumerate(values)}
     a = rows.withColumns({n: F.lit(None).cast(dict(series.dtypes)[v]) for v, n in own.items()} | {side: F.lit(1)})
     b = last.select(*keys, ts, *[F.col(v).alias(n) for v, n in own.items()], F.lit(0).alias(side))
-    w = Window.partitionBy(*keys).orderBy(ts, side).rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True)
     if fill:
-        out = both.withColumns({v: F.last(n, ignorenulls=True).over(w) for v, n in own.items()})
+        out = fill_forward(both, keys, [ts, side], {n: n for n in own.values()})
     else:
-        row = F.last(F.when(F.col(side) == 0, F.struct(*own.values())), ignorenulls=True).over(w)
-        out = both.withColumn(whole, row).withColumns({v: F.col(whole)[n] for v, n in own.items()})
-    return out.where(F.col(side) == 1).select(*rows.columns, *values)
+        row = F.when(F.col(side) == 0, F.struct(*own.values()))
+        out = fill_forward(both.withColumn(whole, row), keys, [ts, side], {whole: whole})
+        out = out.withColumns({n: F.col(whole)[n] for n in own.values()})
+    return out.where(F.col(side) == 1).select(*rows.columns, *[F.col(n).alias(v) for v, n in own.items()])
 
 
 def nearest_cell(points: DataFrame, grid: DataFrame, *, day: str, lat: str, lon: str, value: str, step: float, tolerance: float) -> DataFrame:
@@ -132,10 +139,12 @@ def nearest_cell(points: DataFrame, grid: DataFrame, *, day: str, lat: str, lon:
     """
     ring = range(-max(1, math.ceil(tolerance / step)), max(1, math.ceil(tolerance / step)) + 1)
     bucket = lambda c: F.floor(c / step).cast("long")
-    cells = grid.select(F.col(day), F.col(lat).alias("_glat"), F.col(lon).alias("_glon"), F.col(value), bucket(F.col(lat)).alias("_by"), bucket(F.col(lon)).alias("_bx"))
+    glat, glon, took, by, bx, b, times, far, copy = (fresh(points, n) for n in ("_glat", "_glon", "_took", "_by", "_bx", "_b", "_times", "_d", "_copy"))
+    cells = grid.select(F.col(day), F.col(lat).alias(glat), F.col(lon).alias(glon), F.col(value).alias(took), bucket(F.col(lat)).alias(by), bucket(F.col(lon)).alias(bx))
     near = [F.struct((bucket(F.col(lat)) + dy).alias("y"), (bucket(F.col(lon)) + dx).alias("x")) for dy in ring for dx in ring]
-    probe = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_times")).withColumn("_b", F.explode(F.array(*near))).withColumns({"_by": F.col("_b.y"), "_bx": F.col("_b.x")}).drop("_b")
-    dy, dx = F.abs(F.col(lat) - F.col("_glat")), F.abs(F.col(lon) - F.col("_glon"))
-    hit = probe.join(cells, [day, "_by", "_bx"], "left").withColumn("_d", F.when((dy <= tolerance) & (dx <= tolerance), dy * dy + dx * dx))
-    best = hit.groupBy(*points.columns, "_times").agg(F.min_by(F.when(F.col("_d").isNotNull(), F.col(value)), F.when(F.col("_d").isNotNull(), F.struct("_d", "_glat", "_glon"))).alias(value))
-    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_copy", "_times")
+    probe = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias(times)).withColumn(b, F.explode(F.array(*near))).withColumns({by: F.col(b)["y"], bx: F.col(b)["x"]}).drop(b)
+    dy, dx = F.abs(F.col(lat) - F.col(glat)), F.abs(F.col(lon) - F.col(glon))
+    hit = probe.join(cells, [day, by, bx], "left").withColumn(far, F.when((dy <= tolerance) & (dx <= tolerance), dy * dy + dx * dx))
+    reached = F.col(far).isNotNull()
+    best = hit.groupBy(*points.columns, times).agg(F.min_by(F.when(reached, F.col(took)), F.when(reached, F.struct(far, glat, glon))).alias(value))
+    return best.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).drop(copy, times)

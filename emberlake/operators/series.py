@@ -1,28 +1,25 @@
-"""Ordered operators and time-series features. Partition by the series' key once; the order is always explicit."""
+"""Ordered operators and time-series features. The order is always explicit; no operator gives a task a whole series."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlake.storage import materialize, shuffle_width
+from emberlake.functions.scalars import haversine
+from emberlake.operators.scans import ROWS, Segments, fill_forward, fresh, ranges
+from emberlake.storage import materialize
 
+#: Rows of a segment that Python takes as one frame.
+FRAME_ROWS = 100_000
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name`` behind as many underscores as it takes to differ from all columns of ``df``."""
-    have = {c.lower() for c in df.columns}
-    while name in have:
-        name = "_" + name
-    return name
 
-
-def in_ranges(df: DataFrame, by: list[str], ts: str, part: str) -> DataFrame:
+def in_ranges(df: DataFrame, by: list[str], ts: str, part: str, rows: int = ROWS) -> DataFrame:
     """Rows in range partitions of key and time, written, with the number of their partition as ``part``.
 
     A series may span partitions, so a hot key does not fill one task; rows of equal time stay together.
     """
-    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *by, ts)
+    ranged = df.repartitionByRange(ranges(df, rows), *by, ts)
     return materialize(ranged.withColumn(part, F.spark_partition_id()), "ranged")
 
 
@@ -46,32 +43,50 @@ def time_blocks(df: DataFrame, by: list[str], ts: str, past: int, size: int) ->
     return placed.withColumn(block, F.explode(blocks)), at, block
 
 
-def _order(by: list[str], ts: str):
-    return Window.partitionBy(*by).orderBy(ts)
-
-
 def series_mean(df: DataFrame, by: list[str], ts: str, columns: list[str]) -> DataFrame:
     """One row for each key and time: means of the columns."""
     return df.groupBy(*by, ts).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def dry_spell(df: DataFrame, by: list[str], ts: str, rain: str, threshold: float = 1.0, null_policy: str = "reset") -> DataFrame:
+def _started(rows: DataFrame, start: DataFrame | None, by: list[str], column: str) -> tuple[DataFrame, Column]:
+    """The rows with what their key starts from, 0 where ``start`` (one row for each key) has nothing."""
+    if start is None:
+        return rows, F.lit(0)
+    name = fresh(rows, "_start")
+    return rows.join(start.select(*by, F.col(column).alias(name)), by, "left"), F.coalesce(name, F.lit(0))
+
+
+def dry_spell(df: DataFrame, by: list[str], ts: str, rain: str, threshold: float = 1.0, null_policy: str = "reset", start: DataFrame | None = None) -> DataFrame:
     """Days since the last row with rain at or above the threshold, counted in hours.
 
-    A null row ends the spell (``reset``) or counts as dry (``hold``).
+    ``start`` (``*by, dry_hours``) has the dry hours of keys before their first row here. A null row ends the spell (``reset``) or counts as dry (``hold``). A segment hands on its dry rows since its last
+    wet one, or, if it has none, all of its rows on top of what it was given.
     """
-    wet = F.coalesce((F.col(rain) >= threshold).cast("int"), F.lit(1 if null_policy == "reset" else 0))
-    upto = _order(by, ts).rowsBetween(Window.unboundedPreceding, 0)
-    is_wet, island = fresh(df, "_wet"), fresh(df, "_island")
-    islands = df.withColumn(is_wet, wet).withColumn(island, F.sum(is_wet).over(upto))
-    inside = Window.partitionBy(*by, island).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    return islands.withColumn("dry_days", F.sum(1 - F.col(is_wet)).over(inside) / 24.0).drop(is_wet, island)
+    s = Segments(df, by, [ts])
+    wet, at, n, last, upto, given = (fresh(s.rows, x) for x in ("_wet", "_at", "_n", "_last", "_upto", "_given"))
+    flag = F.coalesce(F.col(rain) >= threshold, F.lit(null_policy == "reset"))
+    placed = s.rows.withColumns({wet: flag, at: F.row_number().over(s.own)})
+
+    each = placed.groupBy(s.part, s.key).agg(F.count(F.lit(1)).alias(n), F.max(F.when(F.col(wet), F.col(at))).alias(last))
+    before = Window.partitionBy(s.key).orderBy(s.part).rowsBetween(Window.unboundedPreceding, -1)
+    # dry rows since the last wet one less all rows up to that segment's end, plus all rows before this segment
+    ends = F.when(F.col(last).isNotNull(), F.col(n) - F.col(last) - F.sum(n).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    was_wet = F.last(upto, ignorenulls=True).over(before)
+    carried = F.coalesce(was_wet, F.lit(0)) + F.coalesce(F.sum(n).over(before), F.lit(0))
+    rows = placed.join(each.withColumn(upto, ends).select(s.part, s.key, carried.alias(given), was_wet.isNull().alias(last)), [s.part, s.key])
+    since = F.max(F.when(F.col(wet), F.col(at))).over(s.upto)
+    rows, earlier = _started(rows, start, by, "dry_hours")
+    dry = F.when(since.isNull(), F.col(at) + F.col(given) + F.when(F.col(last), earlier).otherwise(0)).otherwise(F.col(at) - since)
+    return rows.withColumn("dry_days", dry / 24.0).select(*df.columns, "dry_days")
 
 
 def lags(df: DataFrame, by: list[str], ts: str, column: str, steps: list[int], time_exact: bool = False) -> DataFrame:
     """Values ``k`` rows before, or with ``time_exact`` exactly ``k`` hours before."""
     if not time_exact:
-        return df.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(_order(by, ts)) for k in steps})
+        s = Segments(df, by, [ts])
+        rows, w = s.with_past(max(steps), [column])
+        made = {f"{column}_lag_{k}": F.lag(column, k).over(w) for k in steps}
+        return s.own_rows(rows.withColumns(made), *made)
     out = df
     for k in steps:
         past = df.select(*by, (F.col(ts) + F.expr(f"INTERVAL {k} HOURS")).alias(ts), F.col(column).alias(f"{column}_lag_{k}"))
@@ -80,15 +95,20 @@ def lags(df: DataFrame, by: list[str], ts: str, column: str, steps: list[int], t
 
 
 def forward_fill(df: DataFrame, by: list[str], ts: str, columns: list[str]) -> DataFrame:
-    w = _order(by, ts).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    """Null values become the last known one of their series; nulls before the first known value stay."""
+    return fill_forward(df, by, [ts], {c: c for c in columns}).select(*df.columns)
 
 
-def running_sum(df: DataFrame, by: list[str], ts: str, column: str, out: str, nulls_as_zero: bool = True) -> DataFrame:
-    w = _order(by, ts).rowsBetween(Window.unboundedPreceding, 0)
-    x = F.coalesce(F.col(column), F.lit(0.0)) if nulls_as_zero else F.col(column)
-    s = F.sum(x).over(w)
-    return df.withColumn(out, s if nulls_as_zero else F.when(F.col(column).isNotNull(), s))
+def running_sum(df: DataFrame, by: list[str], ts: str, column: str, out: str, nulls_as_zero: bool = True, start: DataFrame | None = None) -> DataFrame:
+    """Sum of a series up to each row; a null counts as 0, or else has no sum itself. ``start`` (``*by, total``) goes before."""
+    s = Segments(df, by, [ts])
+    base = fresh(s.rows, "_base")
+    x = F.coalesce(F.col(column), F.lit(0.0))
+    rows = s.carry({base: F.sum(x)}, lambda _, before: {base: F.coalesce(F.sum(base).over(before), F.lit(0.0))})
+    rows, earlier = _started(rows, start, by, "total")
+    total = F.sum(x).over(s.upto) + F.col(base) + earlier
+    made = rows.withColumn(fresh(s.rows, "_sum"), total if nulls_as_zero else F.when(F.col(column).isNotNull(), total))
+    return made.select(*[c for c in df.columns if c != out], F.col(fresh(s.rows, "_sum")).alias(out))
 
 
 def ewma(df: DataFrame, by: list[str], ts: str, column: str, alphas: dict[str, float]) -> DataFrame:
@@ -105,7 +125,7 @@ def ewma(df: DataFrame, by: list[str], ts: str, column: str, alphas: dict[str, f
     import pandas as pd
 
     part = fresh(df, "_part")
-    rows = in_ranges(df, by, ts, part)
+    rows = in_ranges(df, by, ts, part, FRAME_ROWS)
     kinds, a = dict(df.dtypes), np.array(list(alphas.values()))
     keys = ", ".join(["`{}` int".format(part), *[f"`{k}` {kinds[k]}" for k in by]])
     lines_of = f"{keys}, lead long, tail long, first double, slope array<double>, shift array<double>"
@@ -160,48 +180,81 @@ def ewma(df: DataFrame, by: list[str], ts: str, column: str, alphas: dict[str, f
 
 def window_stats(df: DataFrame, by: list[str], ts: str, column: str, length: int) -> DataFrame:
     """The ``length`` rows before each row as one window: its values' mean, range and slope; null if it is not full."""
-    w = _order(by, ts).rowsBetween(-length, -1)
+    s = Segments(df, by, [ts])
+    rows, order = s.with_past(length, [column])
+    w = order.rowsBetween(-length, -1)
     full = F.count(column).over(w) == length
     x = F.col(column)
-    return df.withColumns({
+    made = {
         f"{column}_win_mean": F.when(full, F.avg(x).over(w)),
         f"{column}_win_range": F.when(full, F.max(x).over(w) - F.min(x).over(w)),
         f"{column}_win_change": F.when(full, F.last(x).over(w) - F.first(x).over(w)),
-    })
+    }
+    return s.own_rows(rows.withColumns(made), *made)
+
+
+def period_of(ts: str, unit: str):
+    """The period of a time: ``day``; ``week``, named by its Sunday, which closes it; else what ``date_trunc`` knows."""
+    if unit == "week":
+        monday = F.date_trunc("week", ts)
+        return monday + F.expr("INTERVAL 6 DAYS")
+    return F.date_trunc(unit, ts)
 
 
-def resample_mean(df: DataFrame, by: list[str], ts: str, columns: list[str], unit: str = "day") -> DataFrame:
-    """Means by day or week (weeks start on Monday)."""
-    return df.groupBy(*by, F.date_trunc(unit, ts).alias("period")).agg(*[F.avg(c).alias(c) for c in columns])
+def resample_mean(df: DataFrame, by: list[str], ts: str, columns: list[str], unit: str = "day", dense: bool = False) -> DataFrame:
+    """Means by day or by week closed on Sunday; without keys over all rows.
+
+    ``dense`` adds the periods without rows (null means) from each key's first to its last one. Rows without a time do not count.
+    """
+    known = df.where(F.col(ts).isNotNull())
+    means = known.groupBy(*by, period_of(ts, unit).alias("period")).agg(*[F.avg(c).alias(c) for c in columns])
+    if not dense:
+        return means
+    spans, step = means.groupBy(*by).agg(F.min("period").alias("first"), F.max("period").alias("last")), {"day": "1 DAY", "week": "7 DAYS"}[unit]
+    spine = spans.where("first IS NOT NULL").select(F.struct(*by, F.lit(0).alias("all")).alias("key"), F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {step}"))).alias("period"))
+    keyed = means.select(F.struct(*by, F.lit(0).alias("all")).alias("key"), "period", *columns)
+    return spine.join(keyed, ["key", "period"], "left").select(*[F.col("key")[k].alias(k) for k in by], "period", *columns)
 
 
-def anchored_drift(df: DataFrame, by: str, order: str, lat: str, lon: str, moved: float = 50.0, alert: float = 500.0) -> DataFrame:
+def anchored_drift(df: DataFrame, by: str, order: str, lat: str, lon: str, moved: float = 50.0, alert: float = 500.0, start: DataFrame | None = None) -> DataFrame:
     """Versions of a station's place: a move beyond ``moved`` metres from the last accepted place starts one.
 
-    Small moves keep the anchor, so they add up until one exceeds the bound; this fold runs per station.
+    Small moves keep the anchor, so they add up until one exceeds the bound. All stations are followed at once: a round
+    finds each one's first later row beyond its anchor, by a partial aggregate, and makes it the anchor. There are as many
+    rounds as the station that moved most has versions, and one more. ``start`` (``by, lat, lon, version``) has anchors of
+    stations from before; else a station's first row is its first one. ``order`` is unique for a station; rows without a
+    place or order are left out.
     """
-    schema = f"{by} long, {order} int, version int, distance_m double, event boolean, alert boolean"
-
-    def run(rows):
-        import numpy as np
-        import pandas as pd
-
-        rows = rows.sort_values(order)
-        at, version, out = None, 1, []
-        for k, o, y, x in rows[[by, order, lat, lon]].itertuples(index=False):
-            d = 0.0
-            if at is not None:
-                p1, p2 = np.radians(at[0]), np.radians(y)
-                a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(x - at[1]) / 2) ** 2
-                d = float(2 * 6_371_000.0 * np.arcsin(np.sqrt(min(a, 1.0))))
-            event = d > moved
-            version += event
-            if at is None or event:
-                at = (y, x)
-            out.append((k, o, version, d, event, event and d >= alert))
-        return pd.DataFrame(out, columns=[by, order, "version", "distance_m", "event", "alert"])
-
-    return df.groupBy(by).applyInPandas(run, schema)
+    rows = materialize(df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(order).isNotNull()).select(F.col(by), F.col(order).alias("at"), F.col(lat).alias("y"), F.col(lon).alias("x")), "places")
+    same = F.struct(by)  # null is a station
+    rows = rows.withColumn("key", same)
+    place = F.struct(F.col("at"), F.col("y"), F.col("x"))
+    first = rows.groupBy("key").agg(F.min_by(place, "at").alias("p")).select("key", "p.*", F.lit(1).alias("version"), F.lit(0.0).alias("d"), F.lit(False).alias("event"))
+    if start is not None:
+        known = start.select(same.alias("key"), F.col("lat").alias("y"), F.col("lon").alias("x"), "version").where("y IS NOT NULL")
+        before = first.select("key").join(known, "key").select("key", F.lit(None).cast(dict(rows.dtypes)["at"]).alias("at"), "y", "x", "version", F.lit(0.0).alias("d"), F.lit(False).alias("event"))
+        first = first.join(before.select("key"), "key", "left_anti").unionByName(before)
+    newest = materialize(first, "anchors")
+    anchors = [newest]
+    while True:
+        a = newest.select("key", F.col("at").alias("from_at"), F.col("y").alias("from_y"), F.col("x").alias("from_x"), F.col("version").alias("old"))
+        d = haversine(F.col("y"), F.col("x"), F.col("from_y"), F.col("from_x"))
+        later = rows.join(a, "key").withColumn("d", d).where((F.col("d") > moved) & (F.col("from_at").isNull() | (F.col("at") > F.col("from_at"))))
+        nearest = later.groupBy("key").agg(F.min_by(F.struct("at", "y", "x", (F.col("old") + 1).alias("version"), "d"), "at").alias("p"))
+        newest = materialize(nearest.select("key", "p.*", F.lit(True).alias("event")), "anchors")
+        if newest.isEmpty():
+            break
+        anchors.append(newest)
+    every = anchors[0]
+    for one in anchors[1:]:
+        every = every.unionByName(one)
+    # anchors and rows as one ordered table; an anchor's own row comes before the rows that it holds for
+    told = every.select("key", "at", F.lit(0).alias("side"), F.struct("y", "x", "version", "d", "event", "at").alias("anchor"))
+    both = rows.select("key", "at", F.lit(1).alias("side"), F.struct("y", "x").alias("own")).unionByName(told, allowMissingColumns=True)
+    filled = fill_forward(both, ["key"], ["at", "side"], {"anchor": "anchor"}).where("side = 1")
+    began = F.col("anchor.event") & F.col("anchor.at").eqNullSafe(F.col("at"))
+    d = F.when(began, F.col("anchor.d")).otherwise(haversine(F.col("own.y"), F.col("own.x"), F.col("anchor.y"), F.col("anchor.x")))
+    return filled.select(F.col(f"key.{by}").alias(by), F.col("at").alias(order), F.col("anchor.version").cast("int").alias("version"), d.alias("distance_m"), began.alias("event"), (began & (d >= alert)).alias("alert"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -604,21 +604,35 @@ def dry_spell(spark, d):
     return rows.select("city", "hour", F.round("dry_days", 6).alias("dry_days"))
 
 
+def _in_batches(rows, at, n: int):
+    """The rows in ``n`` batches in the order of ``at`` (a number)."""
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    batch = F.floor((at - F.lit(first or 0)) * n / F.lit((last or 0) - (first or 0) + 1))
+    return [rows.where(batch == i) for i in range(n)]
+
+
 @query(_DRY)
 def dry_spell_carried(spark, d):
     """The same days from three batches in time order, each going on from the state that the one before left."""
-    obs = observations(spark, d)
-    at = F.unix_timestamp("hour")
-    first, last = obs.agg(F.min(at), F.max(at)).first()
-    batch = F.floor((at - F.lit(first)) * 3 / F.lit((last or 0) - (first or 0) + 1))
-    state, out = spark.createDataFrame([], "city long, dry_hours double"), None
-    for i in range(3):
-        rows, state = carried.dry_spell_step(obs.where(batch == i), state, "city", "hour", "value", 60.5)
-        state = materialize(state, "carried")  # one row for each station
-        out = rows if out is None else out.unionByName(rows)
+    obs = materialize(observations(spark, d), "observations")
+    states, out = carried.States(spark), None
+    for i, rows in enumerate(_in_batches(obs, F.unix_timestamp("hour"), 3)):
+        one = states.run("dry", i, rows, "city long, dry_hours double", lambda b, s: carried.dry_spell_step(b, s, "city", "hour", "value", 60.5))
+        out = one if out is None else out.unionByName(one)
     return out.select("city", "hour", F.round("dry_days", 6).alias("dry_days"))
 
 
+@query(f"WITH {OBS} SELECT city, hour, round(sum(value) OVER (PARTITION BY city ORDER BY hour), 3) AS total FROM obs")
+def sums_carried(spark, d):
+    """Running sums from four batches, of which the third runs twice."""
+    obs = materialize(observations(spark, d), "observations")
+    parts, states, out = _in_batches(obs, F.unix_timestamp("hour"), 4), carried.States(spark), None
+    for i, again in ((0, False), (1, False), (2, False), (2, True), (3, False)):
+        one = states.run("sum", i, parts[i], "city long, total double", lambda b, s: carried.sum_step(b, s, "city", "hour", "value", "total"))
+        out = one if out is None else out if again else out.unionByName(one)
+    return out.select("city", "hour", F.round("total", 3).alias("total"))
+
+
 _FOLD = f"""WITH RECURSIVE {READ}, o AS (SELECT city, ts, event_id, x, row_number() OVER (PARTITION BY city ORDER BY ts) AS i FROM readings),
 f AS (SELECT city, i, event_id, x AS y, 1.0::DOUBLE AS w FROM o WHERE i = 1
 UNION ALL SELECT o.city, o.i, o.event_id,
@@ -638,7 +652,9 @@ def feature_stream(spark, d):
     """The exponential mean and a lag of 24 rows as a stream over the files of ``events``."""
     schema = table(spark, d, "events").schema
     arriving = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern, so that a file will do as a folder does
-    rows = carried.replay(carried.feature_stream(readings(spark, d, arriving), "city", "ts", "x", alpha=0.3), "features")
+    marks, close = carried.closing(spark)
+    rows = carried.feature_stream(readings(spark, d, arriving), "city", "ts", "x", tie="event_id", alpha=0.3, delay="3650 days", marks=marks)
+    rows = carried.replay(rows, "features", close)
     return rows.select("city", "ts", F.round("ewma", 6).alias("ewma"), F.round("lagged", 6).alias("lagged"))
 
 
@@ -664,19 +680,37 @@ def cumsum(spark, d):
     return series.running_sum(readings(spark, d), ["city"], "ts", "x", "total").select("event_id", F.round("total", 3).alias("total"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT l_suppkey AS s, year(l_shipdate)::INT AS y, -15 + round(avg(l_discount), 3) / 10 AS lat, -47 + round(avg(l_tax), 3) / 10 AS lon FROM lineitem GROUP BY 1, 2),
+_DRIFT = """WITH RECURSIVE p AS (SELECT l_suppkey AS s, year(l_shipdate)::INT AS y, -15 + round(avg(l_discount), 3) / 10 AS lat, -47 + round(avg(l_tax), 3) / 10 AS lon FROM lineitem GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY y) AS i FROM p),
 f AS (SELECT s, y, i, lat AS alat, lon AS alon, 1 AS version, 0.0::DOUBLE AS dist FROM o WHERE i = 1
 UNION ALL SELECT s, y, i, CASE WHEN dist > 50 THEN lat ELSE alat END, CASE WHEN dist > 50 THEN lon ELSE alon END, version + (dist > 50)::INT, dist FROM (
  SELECT o.s, o.y, o.i, o.lat, o.lon, f.alat, f.alon, f.version, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(o.lat - f.alat) / 2), 2) + cos(radians(f.alat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - f.alon) / 2), 2)))) AS dist
  FROM f JOIN o ON o.s = f.s AND o.i = f.i + 1))
-SELECT s AS station, y AS year, version, round(dist, 1) AS distance_m FROM f""")
-def drift(spark, d):
+SELECT s AS station, y AS year, version, round(dist, 1) AS distance_m FROM f"""
+
+
+def _yearly_places(spark, d):
     li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("year"))
-    p = li.agg((-15 + F.round(F.avg("l_discount"), 3) / 10).alias("lat"), (-47 + F.round(F.avg("l_tax"), 3) / 10).alias("lon"))
+    return li.agg((-15 + F.round(F.avg("l_discount"), 3) / 10).alias("lat"), (-47 + F.round(F.avg("l_tax"), 3) / 10).alias("lon"))
+
+
+@query(_DRIFT)
+def drift(spark, d):
+    p = _yearly_places(spark, d)
     return series.anchored_drift(p, "station", "year", "lat", "lon").select("station", "year", "version", F.round("distance_m", 1).alias("distance_m"))
 
 
+@query(_DRIFT)
+def drift_carried(spark, d):
+    """The same versions from three batches of years, each going on from the places that the one before accepted."""
+    p = materialize(_yearly_places(spark, d), "places")
+    states, out = carried.States(spark), None
+    for i, rows in enumerate(_in_batches(p, F.col("year"), 3)):
+        one = states.run("places", i, rows, "station long, lat double, lon double, version int", lambda b, s: carried.place_step(b, s, "station", "year", "lat", "lon"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("station", "year", "version", F.round("distance_m", 1).alias("distance_m"))
+
+
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
 def dedupe_first(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
@@ -716,6 +750,23 @@ def daily_mean(spark, d):
     return series.resample_mean(readings(spark, d), ["city"], "ts", ["x"]).select("city", "period", F.round("x", 6).alias("x"))
 
 
+@query(f"""WITH {READ}, one AS (SELECT city, date_trunc('day', ts) AS day, CASE WHEN event_type IN ('error', 'signup') AND event_id % 3 = 0 THEN x END AS v FROM readings WHERE event_type IN ('error', 'signup') AND event_id % 3 = 0),
+m AS (SELECT 'day' AS unit, city, day AS period, avg(v) AS x FROM one GROUP BY ALL UNION ALL SELECT 'week', city, date_trunc('week', day) + INTERVAL 6 DAY, avg(v) FROM one GROUP BY ALL
+  UNION ALL SELECT 'all', NULL, day, avg(v) FROM one GROUP BY ALL),
+s AS (SELECT unit, city, unnest(generate_series(min(period), max(period), CASE unit WHEN 'week' THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END)) AS period FROM m GROUP BY unit, city)
+SELECT s.unit, s.city, s.period, round(m.x, 6) AS x FROM s LEFT JOIN m ON m.unit = s.unit AND m.city IS NOT DISTINCT FROM s.city AND m.period = s.period""")
+def dense_means(spark, d):
+    """Days and Sunday-closed weeks without gaps, for each city and for all of them."""
+    r = readings(spark, d).where("event_type IN ('error', 'signup') AND event_id % 3 = 0")
+    out = None
+    for name, by, unit in (("day", ["city"], "day"), ("week", ["city"], "week"), ("all", [], "day")):
+        one = series.resample_mean(r, by, "ts", ["x"], unit, dense=True).withColumn("unit", F.lit(name))
+        one = one if by else one.withColumn("city", F.lit(None).cast("long"))
+        one = one.select("unit", "city", "period", F.round("x", 6).alias("x"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"""WITH {READ} SELECT event_id, CASE WHEN count(x) OVER w = 6 THEN round(avg(x) OVER w, 5) END AS x_win_mean, CASE WHEN count(x) OVER w = 6 THEN round(max(x) OVER w - min(x) OVER w, 5) END AS x_win_range
 FROM readings WINDOW w AS (PARTITION BY city ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""")
 def window_stats(spark, d):
@@ -723,6 +774,18 @@ def window_stats(spark, d):
     return rows.select("event_id", F.round("x_win_mean", 5).alias("x_win_mean"), F.round("x_win_range", 5).alias("x_win_range"))
 
 
+@query(f"""WITH {READ} SELECT event_id, last_value(x IGNORE NULLS) OVER w AS filled, round(sum(coalesce(x, 0)) OVER w, 2) AS total, lag(x, 30) OVER (ORDER BY ts) AS lagged,
+CASE WHEN count(x) OVER p = 4 THEN round(avg(x) OVER p, 5) END AS mean_4 FROM readings WINDOW w AS (ORDER BY ts ROWS UNBOUNDED PRECEDING), p AS (ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
+def one_series(spark, d):
+    """All readings as a single series: no operator gives it one task."""
+    rows = readings(spark, d).select("event_id", F.lit(0).alias("all"), "ts", "x")
+    rows = series.running_sum(rows, ["all"], "ts", "x", "total")
+    rows = series.lags(rows, ["all"], "ts", "x", [30])
+    rows = series.window_stats(rows, ["all"], "ts", "x", 4)
+    rows = series.forward_fill(rows, ["all"], "ts", ["x"])
+    return rows.select("event_id", F.col("x").alias("filled"), F.round("total", 2).alias("total"), F.col("x_lag_30").alias("lagged"), F.round("x_win_mean", 5).alias("mean_4"))
+
+
 @query("SELECT event_id, ts, value FROM events WHERE event_type = 'error' ORDER BY value DESC, event_id LIMIT 20")
 def top_events(spark, d):
     return table(spark, d, "events").where("event_type = 'error'").orderBy(F.col("value").desc(), "event_id").limit(20).select("event_id", "ts", "value")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from emberlake.functions import scalars, text
 from emberlake.operators import embedding, forecast, joins, models, profiles, sampling, selection, series, stats
 from emberlake.sources import tables
-from emberlake.streaming import carried
 
 
 def T(h):
@@ -56,19 +55,6 @@ def test_dry_spell_policies(spark):
     assert run("hold") == [1, 0, 1, 2, 3, 0, 1]
 
 
-def test_carried_state_equals_batch(spark):
-    rng = np.random.default_rng(1)
-    rows = [(c, T(i), float(rng.choice([0.0, 0.0, 0.0, 3.0]))) for c in (1, 2) for i in range(40)]
-    df = spark.createDataFrame(rows, "city int, ts timestamp, rain double")
-    want = {(r.city, r.ts): round(r.dry_days, 9) for r in series.dry_spell(df, ["city"], "ts", "rain").collect()}
-    state, got = spark.createDataFrame([], "city int, dry_hours double"), {}
-    for a, b in ((0, 13), (13, 14), (14, 40)):
-        part, state = carried.dry_spell_step(df.where((F.col("ts") >= F.lit(T(a))) & (F.col("ts") < F.lit(T(b)))), state, "city", "ts", "rain")
-        got |= {(r.city, r.ts): round(r.dry_days, 9) for r in part.collect()}
-        state = spark.createDataFrame(state.collect(), state.schema)
-    assert got == want
-
-
 def test_ewma_nulls(spark):
     import pandas as pd
 
@@ -79,20 +65,6 @@ def test_ewma_nulls(spark):
     assert got[0] is None and np.allclose(got[1:], want[1:])
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(c, T(i), None if i % 7 == 2 else float(i * c % 11)) for i in range(30) for c in (1, 2)]
-    df = spark.createDataFrame(rows, "city int, ts timestamp, x double")
-    df.where(F.col("ts") < F.lit(T(12))).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
-    df.where(F.col("ts") >= F.lit(T(12))).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
-    src = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    q = carried.feature_stream(src, "city", "ts", "x", alpha=0.4, lag=3).writeStream.format("memory").queryName("feat").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r.city, r.ts): (None if r.ewma is None else round(r.ewma, 9), r.lagged) for r in spark.table("feat").collect()}
-    batch = series.ewma(series.lags(df, ["city"], "ts", "x", [3]), ["city"], "ts", "x", {"e": 0.4})
-    want = {(r.city, r.ts): (None if r.e is None else round(r.e, 9), r.x_lag_3) for r in batch.collect()}
-    assert got == want
-
-
 def test_drift_keeps_anchor(spark):
     lat = [0.0, 40 / 111_195, 80 / 111_195, 80 / 111_195, 700 / 111_195]
     df = spark.createDataFrame([(1, 2000 + i, y, 0.0) for i, y in enumerate(lat)], "s long, y int, lat double, lon double")
