@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.operators.neighbours import DonorIndex, nearest_rows
+from emberlake.operators.scans import fresh
+
 SEED = 42
 
 
@@ -56,12 +59,16 @@ def choose_donors(df: DataFrame, features: list[str], month: Column, keys: list[
     return first_by_hash(usable, ["_month"], keys, sizes).select(*df.columns)
 
 
-def knn_impute(df: DataFrame, features: list[str], donors: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+def knn_impute(df: DataFrame, features: list[str], donors: DataFrame, keys: list[str], k: int = 5, weights: str = "uniform") -> DataFrame:
     """Fill gaps by the mean of the ``k`` nearest donors that know the feature (nan-Euclidean distance).
 
-    ``donors`` is a bounded sample (``choose_donors``): it is collected and broadcast, refused above 200,000
-    rows. Ties go to the smaller key; without any donor the feature's donor mean. Rows without gaps stay in the JVM.
+    ``weights`` is ``uniform`` or ``distance`` (inverse distance; donors at distance 0 then count alone). ``donors`` is a
+    bounded sample (``choose_donors``): it is collected and broadcast, refused above 200,000 rows, and each worker splits
+    it into leaves once (``neighbours.DonorIndex``), so that a row meets few donors. Ties go to the smaller key; without
+    any donor the feature's donor mean. Rows without gaps stay in the JVM.
     """
+    if weights not in ("uniform", "distance"):
+        raise ValueError(f"weights {weights!r} is not uniform or distance")
     spark = df.sparkSession
     table = donors.select(*keys, *features).limit(200_001).toPandas().sort_values(keys, kind="stable")
     if len(table) > 200_000:
@@ -73,28 +80,13 @@ def knn_impute(df: DataFrame, features: list[str], donors: DataFrame, keys: list
         import numpy as np
 
         pool = shared.value
-        known = ~np.isnan(pool)
-        means = [pool[known[:, j], j].mean() if known[:, j].any() else np.nan for j in range(pool.shape[1])]
+        index, known = DonorIndex(pool, k), ~np.isnan(pool)
+        means = np.array([pool[known[:, j], j].mean() if known[:, j].any() else np.nan for j in range(len(features))])
         for rows in batches:
             x = rows[features].to_numpy(float)
-            step = min(256, max(1, 2_000_000 // max(1, len(pool))))  # 16 MB for each distance table
-            for at in range(0, len(x), step):
-                part = x[at : at + step]
-                total, n = np.zeros((len(part), len(pool))), np.zeros((len(part), len(pool)))
-                for j in range(x.shape[1]):
-                    both = ~np.isnan(part[:, j, None]) & known[None, :, j]
-                    d = np.where(both, part[:, j, None] - pool[None, :, j], 0.0)
-                    total += d * d
-                    n += both
-                dist = np.where(n > 0, np.sqrt(total * x.shape[1] / np.maximum(n, 1)), np.inf)
-                for i, j in zip(*np.nonzero(np.isnan(part))):
-                    d = np.where(known[:, j], dist[i], np.inf)
-                    near = np.arange(len(d))
-                    if len(d) > k:
-                        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    near = near[np.argsort(d[near], kind="stable")][:k]
-                    near = near[np.isfinite(d[near])]
-                    x[at + i, j] = pool[near, j].mean() if len(near) else means[j]
+            for i, row in enumerate(x):
+                made = index.fill(row, weights)
+                x[i] = np.where(np.isnan(made), means, made)
             rows[features] = x
             yield rows
 
@@ -128,48 +120,36 @@ def stride_sample(df: DataFrame, order: list[str], keep: int) -> DataFrame:
     return placed.crossJoin(F.broadcast(df.agg(step))).where(F.col("below_pos") % F.col("_step") == 0).select(*df.columns)
 
 
-def smote(df: DataFrame, label: str, features: list[str], keys: list[str], ratio: float = 0.1, k: int = 5, most: int = 50_000) -> DataFrame:
+def smote(df: DataFrame, label: str, features: list[str], keys: list[str], ratio: float = 0.1, k: int = 5) -> DataFrame:
     """Synthetic minority rows until minority / majority reaches ``ratio``.
 
-    Neighbours come from at most ``most`` minority rows (hash order), broadcast; new points lie between a
-    minority row and one of its neighbours, at a place that its key's hash decides.
+    New points lie between a minority row and one of its ``k`` nearest others in the whole minority
+    (``neighbours.nearest_rows``; copies of a row are its nearest), at a place that its key's hash decides. Minority rows
+    with an unknown feature get no neighbours and no new points. Rows of equal keys give equal points.
     """
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # two classes
+    counts = {r[label]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}  # two classes
+    own = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias(label))
+    if len(counts) < 2:
+        return own
     minority = min(counts, key=counts.get)
     want = int(ratio * max(counts.values())) - counts[minority]
-    if want <= 0 or len(counts) < 2:
-        return df.select(*features, label)
-    small = df.where(F.col(label) == minority)
-    pool = small.orderBy(*hash_order(keys)).limit(most).select(*features).toPandas().to_numpy(float)
-    shared = df.sparkSession.sparkContext.broadcast(pool)
+    if want <= 0:
+        return own
     each = -(-want // counts[minority])
-
-    def make(batches):
-        import numpy as np
-
-        pool = shared.value
-        for rows in batches:
-            x, out = rows[features].to_numpy(float), []
-            for r, (v, h) in enumerate(zip(x, rows["_h"].tolist())):
-                rng = np.random.default_rng(h & 0xFFFFFFFF)
-                far = ((pool - v) ** 2).sum(1)
-                near = np.argsort(far, kind="stable")
-                near = near[int(len(near) > 0 and far[near[0]] == 0) :][:k]  # a row of the pool is not its own neighbour
-                for _ in range(each):
-                    if len(near):
-                        out.append(v + rng.random() * (pool[rng.choice(near)] - v))
-            made = rows.iloc[:0][features].reindex(range(len(out)))
-            if out:
-                made[features] = np.array(out)
-            made[label] = minority
-            yield made
-
-    h = F.xxhash64(*keys)
-    schema = ", ".join([*[f"`{f}` double" for f in features], f"`{label}` int"])
+    small = df.where(F.col(label) == minority)
+    near = nearest_rows(small, features, k)
+    x, row, others, nth, pick = (fresh(df, n) for n in ("_x", "_row", "_near", "_nth", "_pick"))
     some = df.sparkSession.range(1).select(F.lit(-(-want // each)).alias("_quota"))
-    ranked = first_by_hash(small, [], keys, some).withColumn("_h", h)
-    made = ranked.select(*features, "_h").mapInPandas(make, schema)
-    return df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias(label)).unionByName(made)
+    taken = first_by_hash(small, [], keys, some).withColumn(x, F.array(*[F.col(f).cast("double") for f in features])).withColumn(row, F.xxhash64(*keys))
+    # the row's copies come first, then other points as often as they occur, k in all
+    repeated = F.flatten(F.transform("near", lambda p: F.array_repeat(p["x"], F.least(F.lit(k).cast("long"), p["n"]).cast("int"))))
+    lists = near.select(F.col("x").alias(x), F.slice(F.concat(F.array_repeat(F.col("x"), F.least(F.lit(k).cast("long"), F.col("n") - 1).cast("int")), repeated), 1, k).alias(others))
+    drawn = taken.select(x, row).join(lists.where(F.size(others) > 0), x).withColumn(nth, F.explode(F.sequence(F.lit(1), F.lit(each))))
+    unit = lambda salt: F.pmod(F.xxhash64(row, nth, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = drawn.withColumn(pick, F.get(others, F.floor(unit("neighbour") * F.size(others)).cast("int")))
+    step = unit("place")
+    made = [(F.get(x, F.lit(i)) + step * (F.get(pick, F.lit(i)) - F.get(x, F.lit(i)))).alias(f) for i, f in enumerate(features)]
+    return own.unionByName(drawn.select(*made, F.lit(minority).cast("int").alias(label)))
 
 
 def holdout(df: DataFrame, year: str, test_years: int, gap: int = 0) -> DataFrame:

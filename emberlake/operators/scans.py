@@ -68,23 +68,33 @@ class Segments:
         before = Window.partitionBy(self.key).orderBy(self.part).rowsBetween(Window.unboundedPreceding, -1)
         return rows.join(each.select(self.part, self.key, *[c.alias(n) for n, c in fold(each, before).items()]), [self.part, self.key])
 
-    def with_past(self, k: int, columns: list[str]) -> tuple[DataFrame, WindowSpec]:
-        """The rows, and before each segment up to ``k`` rows of earlier ones (``past`` is then true; order and ``columns`` only)."""
+    def with_past(self, k: int, columns: list[str], ahead: int = 0) -> tuple[DataFrame, WindowSpec]:
+        """The rows, and at each segment up to ``k`` rows before it and ``ahead`` rows behind it (order and ``columns`` only).
+
+        ``past`` is -1 and 1 in those, 0 in the table's own rows; the window runs over a segment with both.
+        """
+        both = self.rows.withColumn(self.past, F.lit(0))
+        for side, n in ((-1, k), (1, ahead)):
+            if n:
+                both = both.unionByName(self._borrowed(side, n, columns), allowMissingColumns=True)
+        return both, Window.partitionBy(self.part, self.key).orderBy(self.past, *self.order)
+
+    def _borrowed(self, side: int, k: int, columns: list[str]) -> DataFrame:
+        """For each segment the ``k`` nearest rows of its series in earlier (-1) or later (1) segments."""
         rank, tail, halo = (fresh(self.rows, n) for n in ("_rank", "_tail", "_halo"))
-        back = Window.partitionBy(self.part, self.key).orderBy(*[F.col(c).desc() for c in self.order])
+        turn = F.desc if side < 0 else F.asc
+        near = Window.partitionBy(self.part, self.key).orderBy(*[turn(c) for c in self.order])
         kept = [self.part, self.key, *dict.fromkeys([*self.order, *columns])]
-        ends = self.rows.select(*kept).withColumn(rank, F.row_number().over(back)).where(F.col(rank) <= k)
-        tails = ends.groupBy(self.part, self.key).agg(F.sort_array(F.collect_list(F.struct(F.lit(0).alias("zero"), F.struct(*kept[2:]).alias("row")))).alias(tail))  # k at most
-        before = Window.partitionBy(self.key).orderBy(self.part).rowsBetween(-k, -1)  # each segment has a row
-        joined = tails.select(self.part, self.key, F.flatten(F.collect_list(tail).over(before)).alias(tail))
-        last = F.slice(tail, F.greatest(F.size(tail) - k + 1, F.lit(1)), F.lit(k))
-        past = joined.select(self.part, self.key, F.explode(last).alias(halo)).select(self.part, self.key, f"{halo}.row.*", F.lit(True).alias(self.past))
-        both = self.rows.withColumn(self.past, F.lit(False)).unionByName(past, allowMissingColumns=True)
-        return both, Window.partitionBy(self.part, self.key).orderBy(F.col(self.past).desc(), *self.order)
+        ends = self.rows.select(*kept).withColumn(rank, F.row_number().over(near)).where(F.col(rank) <= k)
+        lists = ends.groupBy(self.part, self.key).agg(F.sort_array(F.collect_list(F.struct(rank, F.struct(*kept[2:]).alias("row")))).alias(tail))  # k at most
+        # each segment has a row, so k segments are enough; the nearest one comes first
+        others = Window.partitionBy(self.key).orderBy(F.asc(self.part) if side > 0 else F.desc(self.part)).rowsBetween(1, k)
+        joined = lists.select(self.part, self.key, F.slice(F.flatten(F.collect_list(tail).over(others)), F.lit(1), F.lit(k)).alias(tail))
+        return joined.select(self.part, self.key, F.explode(tail).alias(halo)).select(self.part, self.key, f"{halo}.row.*", F.lit(side).alias(self.past))
 
     def own_rows(self, both: DataFrame, *made: str) -> DataFrame:
         """The table's own columns and ``made`` ones, without rows of the past."""
-        return both.where(~F.col(self.past)).select(*self.columns, *made)
+        return both.where(F.col(self.past) == 0).select(*self.columns, *made)
 
 
 def fill_forward(df: DataFrame, by: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.operators.scans import Segments
 from emberlake.storage import materialize, shuffle_width
 
 
@@ -29,19 +30,25 @@ def prefix_sums(counts: DataFrame, by: list[str], order: Column, sums: dict[str,
     return out.drop("_o", "_part", *[f"_b_{n}" for n in sums])
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values with their average rank (ties share it): ``by, value, rank``."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+def average_ranks(df: DataFrame, by: list[str], value: str, count: str | None = None) -> DataFrame:
+    """Distinct values with their average rank (ties share it): ``by, value, rank``. ``count`` says how often a row counts."""
+    counts = df.groupBy(*by, value).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_n"))
     placed = prefix_sums(counts, by, F.col(value), {"n": "_n"})
     return placed.select(*by, value, (F.col("below_n") + (F.col("_n") + 1) / 2).alias("rank"))
 
 
+def _cells(df: DataFrame, features: list[str], label: Column) -> DataFrame:
+    """How often each feature has each value with each label (``feature, _x, _y, n``), both known; counted once and written."""
+    long = df.select(label.alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["_y"], features, "feature", "_x").where("_x IS NOT NULL AND _y IS NOT NULL")
+    return materialize(long.groupBy("feature", "_x", "_y").agg(F.count(F.lit(1)).alias("n")), "cells")
+
+
 def spearman_by_feature(df: DataFrame, features: list[str], label: str, least: int = 30) -> DataFrame:
     """Spearman correlation of each feature with the label over rows where it is known; null below ``least``."""
-    long = df.select(F.col(label).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["_y"], features, "feature", "_x").where("_x IS NOT NULL AND _y IS NOT NULL")
-    x = average_ranks(long, ["feature"], "_x").withColumnRenamed("rank", "rx")
-    y = average_ranks(long, ["feature"], "_y").withColumnRenamed("rank", "ry")
-    pairs = long.groupBy("feature", "_x", "_y").agg(F.count(F.lit(1)).alias("n")).join(x, ["feature", "_x"]).join(y, ["feature", "_y"])
+    cells = _cells(df, features, F.col(label).cast("double"))
+    x = average_ranks(cells, ["feature"], "_x", "n").withColumnRenamed("rank", "rx")
+    y = average_ranks(cells, ["feature"], "_y", "n").withColumnRenamed("rank", "ry")
+    pairs = cells.join(x, ["feature", "_x"]).join(y, ["feature", "_y"])
     s = lambda c: F.sum(F.col("n") * c)
     sums = pairs.groupBy("feature").agg(F.sum("n").alias("n_obs"), s(F.col("rx")).alias("a"), s(F.col("ry")).alias("b"), s(F.col("rx") * F.col("rx")).alias("aa"), s(F.col("ry") * F.col("ry")).alias("bb"), s(F.col("rx") * F.col("ry")).alias("ab"))
     n = F.col("n_obs")
@@ -92,72 +99,81 @@ def period_correlation(df: DataFrame, by: list[str], ts: str, unit: str, label:
 
 def binned_mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 16) -> DataFrame:
     """Mutual information (nats) of quantile-binned features and the label, from one contingency table."""
-    long = df.select(F.col(label).alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["_y"], features, "feature", "_x").where("_x IS NOT NULL AND _y IS NOT NULL")
-    ranks = average_ranks(long, ["feature"], "_x")
-    sizes = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+    counted = _cells(df, features, F.col(label))
+    ranks = average_ranks(counted, ["feature"], "_x", "n")
+    sizes = counted.groupBy("feature").agg(F.sum("n").alias("_n"))
     bin_ = F.least(F.lit(bins - 1), F.floor((F.col("rank") - 0.5) * bins / F.col("_n"))).alias("_bin")
-    cells = long.groupBy("feature", "_x", "_y").agg(F.count(F.lit(1)).alias("c")).join(ranks, ["feature", "_x"]).join(sizes, "feature")
+    cells = counted.withColumnRenamed("n", "c").join(ranks, ["feature", "_x"]).join(sizes, "feature")
     cells = cells.groupBy("feature", bin_, "_y").agg(F.sum("c").cast("double").alias("c"))
     total = lambda *k: F.sum("c").over(Window.partitionBy("feature", *k))
     term = F.col("c") / total() * F.log(F.col("c") * total() / (total("_bin") * total("_y")))
     return cells.select("feature", term.alias("t")).groupBy("feature").agg(F.greatest(F.lit(0.0), F.sum("t")).alias("mutual_information"))
 
 
-def nearest_mutual_information(df: DataFrame, features: list[str], label: str, key: list[str], sample: int = 20_000, k: int = 3) -> DataFrame:
-    """Mutual information (nats) of features and a class label by k nearest neighbours, on a bounded sample.
+def digamma(n: Column) -> Column:
+    """Of a positive whole number: its series from 6 on, sums of reciprocals below."""
+    r = 1 / (n * n)
+    series = F.log(n) - 0.5 / n - r * (F.lit(1 / 12) - r * (F.lit(1 / 120) - r / 252))
+    small = F.array(*[F.lit(-0.5772156649015329 + sum(1 / i for i in range(1, m))) for m in range(1, 6)])
+    return F.when(n < 6, F.get(small, (n - 1).cast("int"))).otherwise(series)
+
+
+def exact_medians(long: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, median`` of known values, from counts of distinct values and their prefix sums: no group is sorted or held."""
+    counts = long.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = prefix_sums(counts, [by], F.col(value), {"n": "_n"}).select(by, F.col(value).alias("_v"), "_n", "below_n")
+    sizes = placed.groupBy(by).agg(F.sum("_n").alias("_all"))
+    at = lambda p: F.max(F.when((F.col("below_n") <= p) & (p < F.col("below_n") + F.col("_n")), F.col("_v")))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    return placed.join(sizes, by).groupBy(by).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
+def nearest_mutual_information(df: DataFrame, features: list[str], label: str, key: list[str], k: int = 3) -> DataFrame:
+    """Mutual information (nats) of features and a class label by k nearest neighbours, over all rows.
 
-    The sample takes each class's rows of least hash of ``key``, in proportion to the class (``sample`` in all and at
-    most one more for each class), so a feature's values are one bounded group. Unknown values become the sample's
-    median, a column without values 0. Rows without a label or alone in their class do not count; the score is at least 0.
+    In one dimension a row's neighbours in its class are next to it in order, so each class of a feature lies in range
+    partitions that borrow ``k`` rows from either side; how many rows of any class lie inside a row's radius is the
+    difference of two running counts at the radius' ends. Unknown values become the feature's median, a column without
+    values 0. Ties are told apart by noise far below the spread, from a hash of ``key``, the same for equal tables. Rows
+    without a label or alone in their class do not count; a score is at least 0, and 0 where nothing can be scored.
     """
-    import numpy as np
-    import pandas as pd
-
-    from emberlake.operators.sampling import proportional_sample
-
-    rows = proportional_sample(df.where(F.col(label).isNotNull()), [label], key, sample)
-    long = rows.select(F.col(label).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_i", F.xxhash64(*features, "_y")).unpivot(["_y", "_i"], features, "feature", "_x")
-
-    def psi(n):
-        n = np.asarray(n, float)
-        shift = np.zeros_like(n)
-        while (n < 6).any():
-            low = n < 6
-            shift[low] -= 1 / n[low]
-            n = np.where(low, n + 1, n)
-        r = 1 / (n * n)
-        return shift + np.log(n) - 0.5 / n - r * (1 / 12 - r * (1 / 120 - r / 252))
-
-    def score(key, part):
-        part = part.sort_values(["_i", "_x", "_y"])
-        x, y = part["_x"].to_numpy(float, na_value=np.nan), part["_y"].to_numpy()
-        known = x[np.isfinite(x)]
-        x = np.where(np.isfinite(x), x, np.median(known) if len(known) else 0.0)
-        # ties are told apart by noise far below the spread, the same for equal samples
-        spread = x.std()
-        x = (x / spread if spread > 0 else x) + 1e-10 * max(1.0, np.abs(x).mean() / (spread or 1)) * np.random.default_rng(42).standard_normal(len(x))
-        radius, mates, size = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
-        for c in np.unique(y):
-            own = np.flatnonzero(y == c)
-            if len(own) < 2:
-                continue
-            order = own[np.argsort(x[own], kind="stable")]
-            v, near = x[order], min(k, len(own) - 1)
-            padded = np.concatenate([np.full(near, -np.inf), v, np.full(near, np.inf)])
-            # the distance to the near-th neighbour: the least half-width of a run of near + 1 values around the own one
-            runs = [np.maximum(v - padded[s : s + len(v)], padded[s + near : s + near + len(v)] - v) for s in range(near + 1)]
-            # the neighbour itself stays outside, whatever the rounding of sums
-            radius[order], mates[order], size[order] = np.maximum(0.0, np.min(runs, 0) - 1e-14 * np.abs(x).max()), near, len(own)
-        used = size > 0
-        if used.sum() < 2:
-            return pd.DataFrame([(key[0], 0.0)])
-        x, radius = x[used], radius[used]
-        line = np.sort(x)
-        inside = np.searchsorted(line, x + radius, "right") - np.searchsorted(line, x - radius, "left")
-        value = psi([used.sum()])[0] + psi(mates[used]).mean() - psi(size[used]).mean() - psi(np.maximum(inside, 1)).mean()
-        return pd.DataFrame([(key[0], max(0.0, float(value)))])
-
-    return long.groupBy("feature").applyInPandas(score, "feature string, mutual_information double")
+    noise = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    wide = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), noise.alias("u"), *[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in features])
+    long = materialize(wide.unpivot(["y", "u"], features, "feature", "v"), "values")
+    medians = exact_medians(long, "feature", "v")
+    some = long.join(F.broadcast(medians), "feature", "left").withColumn("v", F.coalesce("v", "median", F.lit(0.0))).drop("median")  # one row for each feature
+    spread = some.groupBy("feature").agg(F.greatest(F.stddev_pop("v"), F.avg(F.abs("v"))).alias("s"), F.max(F.abs("v")).alias("most"))
+    sizes = some.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("mates"))  # features times classes
+    told = some.join(F.broadcast(spread), "feature").join(F.broadcast(materialize(sizes, "classes")), ["feature", "y"]).where("mates > 1")
+    unit = F.when(F.col("s") > 0, F.pow(F.lit(2.0), F.floor(F.log2("s")))).otherwise(F.lit(1.0))  # a power of two, so that sums are exact alike
+    points = told.select("feature", "y", "mates", "most", (F.col("v") + F.col("u") * unit * 1e-10).alias("x"), F.monotonically_increasing_id().alias("id"))
+    s = Segments(points, ["feature", "y"], ["x"])
+    rows, w = s.with_past(k, ["x"], k)
+    x = F.col("x")
+    back, on = [x, *[F.lag("x", i).over(w) for i in range(1, k + 1)]], [x, *[F.lead("x", i).over(w) for i in range(1, k + 1)]]
+    # the least half-width of a run of near + 1 values around the own one; a neighbour that is missing is no bound
+    far = F.lit(float("inf"))
+    reach = lambda near: F.least(*[F.greatest(F.coalesce(x - back[near - i], far), F.coalesce(on[i] - x, far)) for i in range(near + 1)])
+    near = F.least(F.lit(k).cast("long"), F.col("mates") - 1)
+    radius = reach(k)
+    for m in range(k - 1, 0, -1):
+        radius = F.when(near == m, reach(m)).otherwise(radius)
+    # the neighbour itself stays outside, whatever the rounding of sums
+    radius = F.greatest(F.lit(0.0), radius - 1e-14 * F.col("most"))
+    found = materialize(s.own_rows(rows.withColumns({"radius": radius, "near": near}), "radius", "near"), "radii")
+    # 0 looks below all points of its place, 2 above them
+    event = F.explode(F.array(*[F.struct(at.alias("at"), F.lit(side).alias("side")) for side, at in enumerate((x - F.col("radius"), x, x + F.col("radius")))])).alias("e")
+    events = found.select("feature", "id", event).select("feature", "id", "e.*").withColumn("one", (F.col("side") == 1).cast("long"))
+    counted = Segments(events, ["feature"], ["at", "side"])
+    upto = counted.carry({"base": F.sum("one")}, lambda _, before: {"base": F.coalesce(F.sum("base").over(before), F.lit(0))})
+    upto = upto.withColumn("n", F.sum("one").over(counted.upto) + F.col("base")).where("side <> 1")
+    inside = upto.groupBy("feature", "id").agg(F.sum(F.when(F.col("side") == 2, F.col("n")).otherwise(-F.col("n"))).alias("inside"))
+    terms = inside.join(found.select("feature", "id", "near", "mates"), ["feature", "id"])
+    of = lambda c: F.avg(digamma(c.cast("double")))
+    score = digamma(F.count(F.lit(1)).cast("double")) + of(F.col("near")) - of(F.col("mates")) - of(F.greatest(F.lit(1), F.col("inside")))
+    scored = terms.groupBy("feature").agg(F.greatest(F.lit(0.0), score).alias("score"))
+    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(scored, "feature", "left").select("feature", F.coalesce("score", F.lit(0.0)).alias("mutual_information"))
 
 
 def forecast_quality(df: DataFrame, by: list[str], actual: str, predicted: str) -> DataFrame:

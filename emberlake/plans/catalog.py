@@ -352,11 +352,26 @@ def period_corr(spark, d):
     return c.select("variable", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
-@query()
+_PSI = """CASE WHEN {0} < 6 THEN [-0.5772156649015329, 0.42278433509846713, 0.9227843350984671, 1.2561176684318005, 1.5061176684318005][{0}::INT]
+ELSE ln({0}) - 0.5 / {0} - (1.0 / ({0} * {0})) * (1.0::DOUBLE / 12 - (1.0 / ({0} * {0})) * (1.0::DOUBLE / 120 - (1.0 / ({0} * {0})) / 252)) END"""
+
+
+@query(f"""WITH {PANEL}, {CLEAN}, long AS (SELECT label::DOUBLE AS y, ('0x' || substr(md5(l_orderkey || '|' || line || '|' || part || '|' || entity), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u, f, v
+  FROM clean UNPIVOT INCLUDE NULLS (v FOR f IN (a, b, c, e)) WHERE label IS NOT NULL),
+med AS (SELECT f, coalesce(median(v), 0) AS m FROM long GROUP BY f), filled AS (SELECT y, u, f, coalesce(v, m) AS v FROM long JOIN med USING (f)),
+k AS (SELECT f, greatest(stddev_pop(v), avg(abs(v))) AS s, max(abs(v)) AS most FROM filled GROUP BY f),
+p AS (SELECT f, y, most, v + u * pow(2.0::DOUBLE, floor(log2(s))) * 1e-10::DOUBLE AS x, count(*) OVER (PARTITION BY f, y)::DOUBLE AS mates, row_number() OVER () AS id FROM filled JOIN k USING (f)),
+r AS (SELECT *, greatest(0, least({", ".join(f"greatest(coalesce(x - lag(x, {3 - i}) OVER w, 1e300), coalesce(lead(x, {i}) OVER w - x, 1e300))" for i in range(4))}) - 1e-14::DOUBLE * most) AS radius FROM p WINDOW w AS (PARTITION BY f, y ORDER BY x)),
+ev AS (SELECT f, id, x - radius AS spot, 0 AS side FROM r UNION ALL SELECT f, id, x, 1 FROM r UNION ALL SELECT f, id, x + radius, 2 FROM r),
+n AS (SELECT f, id, side, sum((side = 1)::INT) OVER (PARTITION BY f ORDER BY spot, side) AS n FROM ev),
+m AS (SELECT f, id, greatest(1, sum(CASE side WHEN 2 THEN n WHEN 0 THEN -n END))::DOUBLE AS m FROM n GROUP BY f, id),
+t AS (SELECT f, count(*)::DOUBLE AS n, avg({_PSI.format("mates")}) AS a, avg({_PSI.format("m")}) AS b FROM m JOIN r USING (f, id) GROUP BY f)
+SELECT f AS feature, round(greatest(0, {_PSI.format("n")} + {_PSI.format("3.0::DOUBLE")} - a - b), 6) AS mutual_information FROM t""")
 def nearest_mi(spark, d):
-    """Scores of the clean panel's features; the sample's bound is the operator's."""
+    """Scores of the clean panel's features by k nearest neighbours, over all rows."""
     p = scalars.clean_missing(panel(spark, d), ["a", "b", "c", "e"])
-    return stats.nearest_mutual_information(p, ["a", "b", "c", "e"], "label", ["l_orderkey", "line", "part", "entity"])
+    scores = stats.nearest_mutual_information(p, ["a", "b", "c", "e"], "label", ["l_orderkey", "line", "part", "entity"])
+    return scores.select("feature", F.round("mutual_information", 6).alias("mutual_information"))
 
 
 _RANKED = """long AS (SELECT label::DOUBLE AS y, f, x FROM clean UNPIVOT (x FOR f IN (a, b, c, e)) WHERE label IS NOT NULL)"""
@@ -852,16 +867,38 @@ def folds(spark, d):
     return sampling.year_folds(panel(spark, d), "year", "label", 4)
 
 
-def _donors(spark, d):
+def _donors(spark, d, most: int = 80_000):
     p = scalars.clean_missing(panel(spark, d), ["a", "b", "c", "e"])
-    return p, sampling.choose_donors(p, ["a", "b", "c", "e"], F.col("month"), ["l_orderkey", "line", "part", "entity"])
-
-
-@query()
+    return p, sampling.choose_donors(p, ["a", "b", "c", "e"], F.col("month"), ["l_orderkey", "line", "part", "entity"], most)
+
+
+_NEAR = " UNION ALL ".join(f"""SELECT k, w, '{j}' AS f, CASE WHEN w = 'uniform' THEN list_sum(list_transform(near, lambda p: p.v)) / len(near)
+ WHEN near[1].d = 0 THEN list_sum(list_transform(near, lambda p: CASE WHEN p.d = 0 THEN p.v ELSE 0 END)) / list_sum(list_transform(near, lambda p: CASE WHEN p.d = 0 THEN 1.0 ELSE 0.0 END))
+ ELSE list_sum(list_transform(near, lambda p: p.v / p.d)) / list_sum(list_transform(near, lambda p: 1.0 / p.d)) END AS v
+ FROM (SELECT k, arg_min({{'d': d, 'v': d{j}}}, (d, donor), 5) AS near FROM pairs WHERE {j} IS NULL AND d{j} IS NOT NULL AND d IS NOT NULL GROUP BY k), (VALUES ('uniform'), ('distance')) x(w)""" for j in "abce")
+_SQUARES = " + ".join(f"coalesce((g.{j} - r.{j}) * (g.{j} - r.{j}), 0)" for j in "abce")
+_SHARED = " + ".join(f"(g.{j} IS NOT NULL AND r.{j} IS NOT NULL)::INT" for j in "abce")
+
+
+@query(f"""WITH {PANEL}, {CLEAN}, rows AS (SELECT (l_orderkey, line, part, entity) AS k, * FROM clean),
+usable AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY md5('42|' || l_orderkey || '|' || line || '|' || part || '|' || entity), k) AS r, count(*) OVER (PARTITION BY month) AS n, count(*) OVER () AS t
+  FROM rows WHERE (a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT + (e IS NULL)::INT <= 1),
+donors AS (SELECT *, row_number() OVER (ORDER BY k) AS donor FROM usable WHERE r <= ceil(300 * n / t)),
+means AS (SELECT avg(a) AS a, avg(b) AS b, avg(c) AS c, avg(e) AS e FROM donors),
+gaps AS (SELECT DISTINCT k, a, b, c, e FROM rows WHERE a IS NULL OR b IS NULL OR c IS NULL OR e IS NULL),
+pairs AS (SELECT g.k, g.a, g.b, g.c, g.e, donor, r.a AS da, r.b AS db, r.c AS dc, r.e AS de, CASE WHEN {_SHARED} > 0 THEN sqrt(({_SQUARES}) * 4 / ({_SHARED})) END AS d FROM gaps g, donors r),
+near AS ({_NEAR}), wide AS (PIVOT near ON f IN ('a', 'b', 'c', 'e') USING first(v) GROUP BY k, w)
+SELECT w AS weights, l_orderkey, line, round(coalesce(rows.a, wide.a, means.a), 5) AS a, round(coalesce(rows.b, wide.b, means.b), 5) AS b, round(coalesce(rows.c, wide.c, means.c), 5) AS c, round(coalesce(rows.e, wide.e, means.e), 5) AS e
+FROM rows CROSS JOIN (VALUES ('uniform'), ('distance')) x(w) CROSS JOIN means LEFT JOIN wide USING (k, w)""")
 def knn_impute(spark, d):
-    p, donors = _donors(spark, d)
+    """The whole panel filled from a few donors (``most``), by plain means and by means weighted with inverse distances."""
+    (p, donors), out = _donors(spark, d, 300), None
     keys = ["l_orderkey", "line", "part", "entity"]
-    return sampling.knn_impute(p.select(*keys, "a", "b", "c", "e"), ["a", "b", "c", "e"], donors, keys)
+    for weights in ("uniform", "distance"):
+        one = sampling.knn_impute(p.select(*keys, "a", "b", "c", "e"), ["a", "b", "c", "e"], donors, keys, weights=weights)
+        one = one.select(F.lit(weights).alias("weights"), "l_orderkey", "line", *[F.round(c, 5).alias(c) for c in "abce"])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()

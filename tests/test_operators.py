@@ -326,8 +326,21 @@ def test_nearest_mutual_information(spark):
             radius = np.sort(np.abs(x[y == y[i]] - x[i]))[3]
             inside.append(int((np.abs(x - x[i]) < radius).sum()))
         want = psi(300) + psi(3) - np.mean([psi(int((y == c).sum())) for c in y]) - np.mean([psi(max(n, 1)) for n in inside])
-        assert abs(got[name] - max(0.0, want)) < 2e-2
+        assert abs(got[name] - max(0.0, want)) < 1e-7
     assert got["a"] > 0.05 > got["b"] and got["none"] < 0.05
+    # a class of two has one neighbour, a class of one does not count, nothing is scored without rows
+    few = spark.createDataFrame([(i, float(i * i % 17), c) for i, c in enumerate([0] * 20 + [1] * 2 + [2])], "id int, a double, y int")
+    x, y = np.array([i * i % 17 for i in range(22)], float), np.array([0] * 20 + [1] * 2)
+    few = few.withColumn("a", F.col("a") + F.col("id") / 1000)
+    x += np.arange(22) / 1000
+    inside, near = [], []
+    for i in range(22):
+        near.append(min(3, int((y == y[i]).sum()) - 1))
+        radius = np.sort(np.abs(x[y == y[i]] - x[i]))[near[-1]]
+        inside.append(max(1, int((np.abs(x - x[i]) < radius - 1e-12).sum())))
+    want = psi(22) + np.mean([psi(n) for n in near]) - np.mean([psi(int((y == c).sum())) for c in y]) - np.mean([psi(n) for n in inside])
+    assert abs(stats.nearest_mutual_information(few, ["a"], "y", ["id"]).first()[1] - max(0.0, want)) < 1e-6
+    assert [tuple(r) for r in stats.nearest_mutual_information(few.limit(0), ["a"], "y", ["id"]).collect()] == [("a", 0.0)]
 
 
 def test_period_p_values(spark):
