@@ -39,6 +39,12 @@ def _classes() -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def _unassigned() -> np.ndarray:
+    """Code points that Python's character table does not know: newer ones, whose class and case the library may see otherwise."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
 @lru_cache(1)
 def _visible() -> dict[int, str]:
     """Byte-level alphabet: printable bytes stand for themselves, the rest follow from U+0100 on."""
@@ -236,9 +242,11 @@ class Encoder:
 
         for i, t in enumerate(texts):
             if not self.joins_space and not t.isascii():
-                if not unicodedata.is_normalized("NFC", t):
+                newer = _unassigned()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")].any()
+                if not newer and not unicodedata.is_normalized("NFC", t):
                     t = unicodedata.normalize("NFC", t)
-                if "İ" in t:  # its lower case has a mark of another class: leave this text to the library
+                # the lower case of the dotted capital has a mark of another class: such texts are left to the library
+                if newer or "İ" in t:
                     flush()
                     odd[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids + [self.end], np.uint32)
                     flats.append(odd[i])

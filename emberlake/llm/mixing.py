@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each document falls, by the leading hex digits of the MD5 of its id, into one of 4096 buckets. Words
+Each document falls, by the leading hex digits of the MD5 of its id and text, into one of 4096 buckets. Words
 are summed by source and bucket; a source's prefix sums show the bucket in which its budget is used
 up. Only documents of that boundary bucket enter the next histogram, on the next three digits, and
 so on for ``LEVELS`` levels. What remains is one threshold for each source, and a plain filter: no
@@ -8,8 +8,10 @@ document is sorted. Budgets over a source's size take the source once and a nest
 by the same thresholds, so a larger budget always keeps what a smaller one takes.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its
-own and sorts last; a null id hashes as the text "null"; repeated rows share a hash and are taken
-together; an empty table gives an empty result; other columns of the input are not read.
+own and sorts last; a null id hashes as the text "null", so rows without ids are told apart by their text.
+Rows that repeat id and text share a hash: if a budget ends among them, they are told apart by their place
+in the table, so that as many of them are taken as it allows. An empty table gives an empty result; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -71,58 +73,76 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["source"].eqNullSafe(b["source"])
 
 
+def _hash(doc: str, text: str) -> Column:
+    spelled = F.concat(F.coalesce(F.col(doc).cast("string"), F.lit("null")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(spelled.cast("binary")), 1, DIGITS * LEVELS), 16, 10).cast("long")
+
+
+def _salt() -> Column:
+    """A hash of a row's place, for rows that are alike in all else."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - 4 * DIGITS * LEVELS)
+
+
+def _narrowed(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Follow each source's budget down the levels: ``state`` with the hash in which it ends (``cut``), the words below
+    it (``used``), and the ``words`` and ``rows`` that share it; null where the budget does not end inside."""
+    state = state.withColumns({"cut": F.lit(0).cast("long"), "words": F.lit(None).cast("long"), "rows": F.lit(None).cast("long")})
+    for k in range(1, LEVELS + 1):
+        s = state.select("source", "cut", "used", "budget")
+        inside = rows.withColumn("bucket", F.shiftright("hash", 4 * DIGITS * (LEVELS - k)))
+        inside = inside.join(s, _same(inside, s) & (F.shiftright("bucket", 4 * DIGITS) == F.col("cut"))).select(inside["source"], "bucket", "size", "used", "budget")
+        hist = inside.groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m"), F.max("used").alias("used"), F.max("budget").alias("budget"))
+        upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # 4096 rows of a source
+        filled = hist.withColumn("below", F.col("used") + F.sum("n").over(upto) - F.col("n"))
+        crossed = filled.where((F.col("below") <= F.col("budget")) & (F.col("below") + F.col("n") > F.col("budget")))
+        ends = crossed.select(F.col("source").alias("at"), F.col("bucket").alias("end"), "below", "n", "m")
+        grown = state.join(ends, state["source"].eqNullSafe(ends["at"]), "left")
+        state = materialize(grown.select("source", "whole", "total", "target", "budget", F.coalesce("below", "used").alias("used"), F.coalesce("end", F.lit(0)).cast("long").alias("cut"), F.col("n").alias("words"), F.col("m").alias("rows")), "thresholds")
+    return state
+
+
+def _nearer() -> Column:
+    """Whether taking all that shares the last hash comes nearer to the budget than leaving it."""
+    return F.coalesce(2 * F.col("used") + F.col("words") <= 2 * F.col("budget"), F.lit(False)).cast("long")
+
+
+def thresholds(sizes: DataFrame) -> DataFrame:
+    """``source, total, target, whole, threshold, salted`` from ``source, size, hash, salt``: one row for each source.
+
+    A row is taken ``whole`` times, and once more if its hash is below the threshold, or equals it and its salt is below ``salted``.
+    """
+    some = sizes.where(F.col("size") > 0)
+    targets = materialize(source_targets(sizes), "targets")
+    whole = F.when(F.col("total") > 0, F.least(F.floor(F.col("target") / F.col("total")), F.lit(MOST))).otherwise(0).cast("long")
+    state = targets.select("source", whole.alias("whole"), "total", "target", F.lit(0).cast("long").alias("used"))
+    state = _narrowed(some, state.withColumn("budget", F.col("target") - F.col("whole") * F.col("total")))
+    split = state.where(F.col("rows") > 1)
+    if split.isEmpty():
+        return state.select("source", "total", "target", "whole", (F.col("cut") + _nearer()).alias("threshold"), F.lit(0).cast("long").alias("salted"))
+    own = split.select(F.col("source").alias("at"), F.col("cut").alias("tied"))
+    tied = some.join(own, some["source"].eqNullSafe(own["at"]) & (F.col("hash") == F.col("tied"))).select("source", "size", F.col("salt").alias("hash"))
+    inner = _narrowed(materialize(tied, "tied"), split.select("source", "whole", "total", "target", "used", "budget"))
+    inner = inner.select(F.col("source").alias("at"), (F.col("cut") + _nearer()).alias("salt_cut"))
+    both = state.join(inner, state["source"].eqNullSafe(inner["at"]), "left")
+    threshold = F.col("cut") + F.when(F.col("salt_cut").isNull(), _nearer()).otherwise(0)
+    return both.select("source", "total", "target", "whole", threshold.alias("threshold"), F.coalesce("salt_cut", F.lit(0).cast("long")).alias("salted"))
+
+
+def _copies(size: str, hashed: str, salt: str, whole: str = "whole", threshold: str = "threshold", salted: str = "salted") -> Column:
+    again = (F.col(hashed) < F.col(threshold)) | ((F.col(hashed) == F.col(threshold)) & (F.col(salt) < F.col(salted)))
+    return F.when(F.col(size) > 0, F.col(whole) + again.cast("long")).otherwise(0).cast("long")
+
+
+def _sizes(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
+    return materialize(docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), _hash(doc, text).alias("hash"), _salt().alias("salt")), "sizes")
+
+
 def mix(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``doc_id, size, source, source_size, target, copies`` for each row; copies is 0, 1 or 2."""
-    sizes = materialize(
-        docs.select(
-            F.col(doc).alias("doc_id"),
-            F.col(source).alias("source"),
-            n_words(text).alias("size"),
-            F.conv(F.substring(F.md5(F.coalesce(F.col(doc).cast("string"), F.lit("null")).cast("binary")), 1, DIGITS * LEVELS), 16, 10).cast("long").alias("hash"),
-        ),
-        "sizes",
-    )
-    targets = materialize(source_targets(sizes), "targets")
-    # prefix: the leading digits that every document of the boundary bucket shares; used: words below it
-    state = targets.select(
-        "source",
-        F.when(F.col("total") > 0, F.least(F.floor(F.col("target") / F.col("total")), F.lit(MOST))).otherwise(0).cast("long").alias("whole"),
-        "total",
-        "target",
-        F.lit(0).cast("long").alias("prefix"),
-        F.lit(0).cast("long").alias("used"),
-    ).withColumn("budget", F.col("target") - F.col("whole") * F.col("total"))
-    for k in range(1, LEVELS + 1):
-        shift = 4 * DIGITS * (LEVELS - k)
-        b = F.shiftright("hash", shift)
-        s = state.select("source", "prefix", "used", "budget")
-        inside = sizes.where(F.col("size") > 0).withColumn("bucket", b)
-        inside = inside.join(s, _same(inside, s) & (F.shiftright("bucket", 4 * DIGITS) == F.col("prefix"))).select(inside["source"], "bucket", "size", "used", "budget")
-        hist = inside.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("used").alias("used"), F.max("budget").alias("budget"))
-        upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        filled = hist.withColumn("below", F.col("used") + F.sum("words").over(upto) - F.col("words"))
-        # the bucket in which the budget ends: at the last level it is taken if that comes nearer
-        crossed = filled.where((F.col("below") <= F.col("budget")) & (F.col("below") + F.col("words") > F.col("budget")))
-        cut = crossed.select("source", F.col("bucket").alias("cut"), F.col("below").alias("spent"), "words")
-        grown = state.join(cut, _same(state, cut), "left")
-        end = F.when(2 * F.col("spent") + F.col("words") <= 2 * F.col("budget"), F.col("cut") + 1).otherwise(F.col("cut")) if k == LEVELS else F.col("cut")
-        state = materialize(
-            grown.select(
-                state["source"], "whole", "total", "target", "budget",
-                F.coalesce(end, F.lit(0)).cast("long").alias("prefix"),  # none only where a source has no words
-                F.coalesce("spent", "used").alias("used"),
-            ),
-            "thresholds",
-        )
-    t = state.select("source", F.col("prefix").alias("threshold"), "whole", "total", "target")
-    return sizes.join(t, _same(sizes, t)).select(
-        "doc_id",
-        "size",
-        sizes["source"],
-        F.col("total").alias("source_size"),
-        "target",
-        F.when(F.col("size") > 0, F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")).otherwise(0).cast("long").alias("copies"),
-    )
+    sizes = _sizes(docs, doc, text, source)
+    t = thresholds(sizes).withColumnRenamed("source", "at")
+    told = sizes.join(t, sizes["source"].eqNullSafe(t["at"]))
+    return told.select("doc_id", "size", "source", F.col("total").alias("source_size"), "target", _copies("size", "hash", "salt").alias("copies"))
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -134,20 +154,22 @@ def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself: each row of ``docs`` as often as the mix takes it, same columns.
 
-    Decisions are joined back by id and source; rows that share both were decided alike.
+    A row's copies follow from its own hash and its source's thresholds, so texts are not shuffled.
     """
-    id_, source, copies, again = unused(docs, "_id", "_source", "_copies", "_again")
-    picks = mix(docs).where(F.col("copies") > 0).groupBy("doc_id", "source").agg(F.max("copies").alias(copies))
-    picks = picks.select(F.col("doc_id").alias(id_), F.col("source").alias(source), copies)
-    joined = docs.join(picks.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(picks[id_]) & docs["source"].eqNullSafe(picks[source]))
-    joined = joined.where(n_words("text") > 0)
-    return joined.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+    names = unused(docs, "_source", "_whole", "_threshold", "_salted", "_size", "_hash", "_salt", "_copies", "_again")
+    at, whole, threshold, salted, size, hashed, salt, copies, again = names
+    t = thresholds(_sizes(docs, "doc_id", "text", "source"))
+    t = t.select(F.col("source").alias(at), F.col("whole").alias(whole), F.col("threshold").alias(threshold), F.col("salted").alias(salted))
+    rows = docs.withColumns({size: n_words("text"), hashed: _hash("doc_id", "text"), salt: _salt()})
+    told = rows.join(t, rows["source"].eqNullSafe(t[at]))
+    told = told.withColumn(copies, _copies(size, hashed, salt, whole, threshold, salted)).where(F.col(copies) > 0)
+    return told.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 SQL = """
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 9))::BIGINT AS hash
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(text, '')), 1, 9))::BIGINT AS hash
   FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS total,

@@ -1,11 +1,14 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Documents become pieces of at most ``CAPACITY`` tokens; full pieces are sequences already. The rest
-is dealt by hash into blocks of bounded expected size. For each block several islands breed packings
+Documents become pieces of at most ``CAPACITY`` tokens; full pieces are sequences already. Best-fit
+decreasing over all others, which needs no more than the number of pieces of each length, gives every
+piece a first bin. Whole bins are dealt by hash into blocks of bounded expected size, and they are the
+first packing of their block, so breeding can only save bins. For each block several islands breed packings
 apart from each other: crossover injects whole well-filled bins of one parent into the other, removes
 the bins that now hold duplicates, and best-fits the displaced pieces; mutation dissolves the emptiest
-bins. Between epochs each island sends its best packing to its neighbour. Bins left with much room by
-the best packing of each block give their pieces to a last round over all blocks.
+bins. Between epochs each island sends its best packing to its neighbour. Bins left with room by
+the best packing of each block give their pieces to another round, whose fewer blocks mix what earlier
+blocks kept apart; rounds end with one block, or when a round leaves about as many such pieces.
 
 Defined cases: a null text is empty and is one piece, its end id; a null id is kept; repeated rows
 are packed as often as they occur; an empty table gives no rows; other columns are not read.
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm import bpe
+from emberlake.llm.ordering import with_order
 from emberlake.llm.workers import slices, small_batches, tidy
 from emberlake.storage import materialize, shuffle_width
 
@@ -26,7 +30,7 @@ CAPACITY = 2048
 CHUNK = 1 << 20  # bytes of text encoded at once
 BLOCK = 4096  # expected pieces in a block
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
-ROOMY = 0.99  # bins filled less than this are packed again in the last round
+SHRINKS = 0.8  # a further round is worth it if no larger part of the pieces goes on
 
 
 def pieces(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = False, end: int = 0, specials: bool = True, capacity: int = CAPACITY) -> DataFrame:
@@ -91,9 +95,64 @@ def _best_fit(order, lens, assign, fill, capacity: int) -> int:
     return len(fill)
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
+    """Best-fit decreasing from counts: runs ``(first, bin, each)`` over pieces from long to short.
+
+    Pieces of a run from place ``first`` on go to bins from ``bin`` on, ``each`` to a bin. Pieces of one length are alike, and
+    so are bins with one room, which are kept as ranges of bins. A piece that fits leaves its bin the fullest, so a bin takes
+    as many of a length as it holds. Runs are bounded by lengths and rooms, whatever the number of pieces.
+    """
+    rooms: dict[int, list[tuple[int, int]]] = {}  # room -> ranges of bins
+    runs, place, bins = [], 0, 0
+    for size in sorted(histogram, reverse=True):
+        left = histogram[size]
+        while left:
+            room = min((r for r in rooms if r >= size), default=None)
+            if room is None:
+                each = capacity // size
+                begin, count = bins, max(1, left // each)
+                bins += count
+                room = capacity
+            else:
+                begin, count = rooms[room].pop()
+                each = room // size
+                if count > max(1, left // each):
+                    kept = max(1, left // each)
+                    rooms[room].append((begin + kept, count - kept))
+                    count = kept
+                if not rooms[room]:
+                    del rooms[room]
+            each = min(each, left)  # the last bin may take fewer
+            runs.append((place, begin, each))
+            place += each * count
+            left -= each * count
+            if room > each * size:
+                rooms.setdefault(room - each * size, []).append((begin, count))
+    return runs
+
+
+def first_bins(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``uid, length`` with ``bin``, by best-fit decreasing over all of them."""
+    import numpy as np
+
+    runs = plan({r["length"]: r["count"] for r in items.groupBy("length").count().collect()}, capacity)  # at most one row a length
+    first, begin, each = (np.array(x, np.int64) for x in zip(*runs)) if runs else (np.zeros(0, np.int64),) * 3
+    ordered = with_order(items.select("uid", "length", (-F.col("length")).alias("shorter")), ["shorter", "uid"])
+
+    def look_up(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            pos = b.column(2).to_numpy()
+            run = np.searchsorted(first, pos, side="right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(begin[run] + (pos - first[run]) // each[run])], ["uid", "length", "bin"])
+
+    return ordered.select("uid", "length", "_pos").mapInArrow(look_up, "uid long, length long, bin long")
+
+
 def _fitness(fill, capacity: int) -> float:
-    """Mean of squared fills: fewer and fuller bins score higher."""
-    return sum((f / capacity) ** 2 for f in fill) / max(1, len(fill))
+    """Fewer bins score higher, then a higher mean of squared fills."""
+    return sum((f / capacity) ** 2 for f in fill) / max(1, len(fill)) - len(fill)
 
 
 def _rebuild(assign, keep, lens, capacity: int, order):
@@ -111,15 +170,15 @@ def _rebuild(assign, keep, lens, capacity: int, order):
 
 
 def breed(lens, population, fitness, generations: int, seed: int, capacity: int = CAPACITY):
-    """Evolve packings of one block; ``population`` may be empty. Returns the new population and its fitness."""
+    """Evolve packings of one block; ``population`` has at least the one it began with. Returns the new population and its fitness."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     down = np.argsort(-lens, kind="stable")
     none = np.full(len(lens), -1, np.int32)
     while len(population) < POPULATION:
-        # the first is best-fit decreasing; others start from a disturbed order
-        noise = 1 if not population else np.exp(rng.normal(0, 0.15, len(lens)))
+        # after the one it began with comes best-fit decreasing; others start from a disturbed order
+        noise = 1 if len(population) <= 1 else np.exp(rng.normal(0, 0.15, len(lens)))
         order = np.argsort(-(lens * noise), kind="stable").tolist()
         p, f = _rebuild(none, np.zeros(0, bool), lens, capacity, order)
         population.append(p)
@@ -161,6 +220,9 @@ def _epoch(state: DataFrame, epoch: int, capacity: int) -> DataFrame:
                 lens = np.asarray(r.lens, np.int64)
                 population = [np.asarray(p, np.int32) for p in r.population]
                 fit = list(r.fitness)
+                if not population:
+                    population = [np.unique(r.first, return_inverse=True)[1].astype(np.int32)]
+                    fit = [_fitness(np.bincount(population[0], weights=lens), capacity)]
                 if r.elite is not None and len(r.elite):
                     worst = int(np.argmin(fit))
                     population[worst], fit[worst] = np.asarray(r.elite, np.int32), float(r.elite_fitness)
@@ -170,16 +232,16 @@ def _epoch(state: DataFrame, epoch: int, capacity: int) -> DataFrame:
     return state.mapInPandas(run, _STATE)
 
 
-def islands(items: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """Pack ``uid, length`` rows of at most the capacity: ``uid, block, bin, fill``."""
+def islands(items: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK, level: int = 1) -> DataFrame:
+    """Pack ``uid, length, bin`` rows of at most the capacity in no more bins: ``uid, block, bin, fill``. ``level`` deals bins anew."""
     spark = items.sparkSession
     n = max(1, -(-items.count() // block))
-    grouped = items.groupBy(F.pmod(F.xxhash64("uid"), F.lit(n)).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length")))).alias("items")
+    grouped = items.groupBy(F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(n)).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length"), "bin"))).alias("items")
     )
     state = grouped.select(
         "block", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), F.col("items.uid").alias("uids"), F.col("items.length").alias("lens"),
-        F.array().cast("array<array<int>>").alias("population"), F.array().cast("array<double>").alias("fitness"),
+        F.col("items.bin").alias("first"), F.array().cast("array<array<int>>").alias("population"), F.array().cast("array<double>").alias("fitness"),
         F.lit(None).cast("array<int>").alias("elite"), F.lit(None).cast("double").alias("elite_fitness"),
     )
     best = F.array_position("fitness", F.array_max("fitness")).cast("int")
@@ -195,19 +257,26 @@ def islands(items: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK) -
     chosen = home.groupBy("block").agg(F.max_by(F.struct("uids", "lens", F.element_at("population", best).alias("bins")), F.struct(F.array_max("fitness"), -F.col("island"))).alias("s"))
     placed = chosen.select("block", F.explode(F.arrays_zip("s.uids", "s.lens", "s.bins")).alias("x"))
     placed = placed.select(F.col("x.uids").alias("uid"), "block", F.col("x.bins").cast("long").alias("bin"), F.col("x.lens").alias("length"))
-    return placed.withColumn("fill", F.sum("length").over(Window.partitionBy("block", "bin"))).drop("length")
+    return placed.withColumn("fill", F.sum("length").over(Window.partitionBy("block", "bin")))
 
 
-def pack(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+def pack(cut: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to written pieces."""
-    rest = cut.where(F.col("length") < capacity).select("uid", "length")
-    first = materialize(islands(rest, capacity=capacity), "packed")
-    again = first.where(F.col("fill") < F.lit(ROOMY * capacity)).select("uid").join(rest, "uid")
-    last = materialize(islands(again, capacity=capacity), "repacked")
-    tight = first.where(F.col("fill") >= F.lit(ROOMY * capacity))
-    number = lambda level: (F.lit(level << 60) + F.col("block") * (1 << 16) + F.col("bin")).cast("long").alias("sequence_id")
-    where = tight.select("uid", number(1)).unionByName(last.select("uid", number(2)))
-    placed = cut.join(where, "uid", "left").withColumn("sequence_id", F.coalesce("sequence_id", "uid"))
+    rest, where, level = first_bins(cut.where(F.col("length") < capacity).select("uid", "length"), capacity), None, 0
+    rest = materialize(rest, "first")
+    left = rest.count()
+    while left:
+        level += 1
+        made = materialize(islands(rest, capacity=capacity, block=block, level=level), "packed")
+        roomy = F.col("fill") < capacity
+        again = made.where(roomy).count()
+        # one block, or a round that would leave as much again, is the last
+        last = left <= block or again > SHRINKS * left
+        number = (F.lit(level << 56) + F.col("block") * (1 << 16) + F.col("bin")).cast("long").alias("sequence_id")
+        done = (made if last else made.where(~roomy)).select("uid", number)
+        where = done if where is None else where.unionByName(done)
+        rest, left = (rest, 0) if last else (made.where(roomy).select("uid", "length", number.alias("bin")), again)
+    placed = cut.withColumn("sequence_id", F.col("uid")) if where is None else cut.join(where, "uid", "left").withColumn("sequence_id", F.coalesce("sequence_id", "uid"))
     before = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 

@@ -331,6 +331,19 @@ def test_mix_hits_targets(spark):
     assert out.count() == rows.copies.sum() and out.columns == docs.columns
 
 
+def test_mix_without_ids_and_with_copies(spark):
+    """Rows without ids are told apart by their text, and copies of one row by their place."""
+    rows = [(None, f"{i} b c d e f g h i j k", s) for s in "xyz" for i in range(400)] + [(7, "same words here", "z")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.mix(docs).toPandas()
+    for _, g in found.groupby("source"):
+        assert abs((g["size"] * g.copies).sum() - g.target.iloc[0]) <= 11
+    out = mixing.mixed(docs)
+    assert abs(out.count() - found.copies.sum()) <= 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(text" not in plan and "hashpartitioning(doc_id" not in plan
+
+
 # --- 5 ---
 
 
@@ -464,6 +477,19 @@ def test_encoder_equals_library(name, joins):
         at += n
 
 
+@pytest.mark.parametrize("name,joins", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_equals_library_on_all_code_points(name, joins):
+    enc = bpe.Encoder(bpe.tokenizer_path(name), joins, 0)
+    rng = random.Random(6)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(rng.choice(points) if rng.random() < 0.5 else rng.choice("aB 1é'\n") for _ in range(rng.randrange(1, 10))) for _ in range(20_000)]
+    texts += [f"a{c}b" for c in points if ord(c) < 0x3000 or 0xA000 <= ord(c) < 0xAC00 or 0x10000 <= ord(c) < 0x12000]
+    flat, counts = enc.encode(texts)
+    ends = np.cumsum(counts)
+    for t, a, b, want in zip(texts, ends - counts, ends, enc.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert flat[a:b].tolist() == want.ids + [0], t
+
+
 @pytest.mark.parametrize("name,joins", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_special_strings_equal_unaltered_library(name, joins):
     from tokenizers import Tokenizer
@@ -595,13 +621,35 @@ def test_packing(spark, edge, none):
     assert packing.pack_documents(none).count() == 0
 
 
-def test_islands_reach_tight_bins(spark):
-    rng = np.random.default_rng(4)
-    rows = [(i, int(v)) for i, v in enumerate(np.clip(rng.lognormal(6, 1, 3000), 1, 2047))]
-    out = packing.islands(spark.createDataFrame(rows, "uid long, length long"), block=1000).toPandas()
-    assert len(out) == 3000 and out.fill.max() <= 2048
-    bins = out.drop_duplicates(["block", "bin"])
-    assert len(bins) <= 1.02 * sum(v for _, v in rows) / 2048 + 3
+@pytest.mark.parametrize("low,high,n", [(1, 2047, 3000), (400, 1000, 3000), (1, 10, 500), (1000, 1100, 300), (700, 701, 7)])
+def test_plan_is_best_fit_decreasing(low, high, n):
+    from collections import Counter
+
+    lens = -np.sort(-np.random.default_rng(n).integers(low, high, n))
+    first, begin, each = (np.array(x) for x in zip(*packing.plan(dict(Counter(lens.tolist())))))
+    run = np.searchsorted(first, np.arange(n), side="right") - 1
+    fill = np.bincount(begin[run] + (np.arange(n) - first[run]) // each[run], weights=lens)
+    assert fill.max() <= 2048 and fill.min() > 0 and len(fill) == packing._best_fit(range(n), lens.tolist(), [0] * n, [], 2048)
+
+
+@pytest.mark.parametrize("low,high", [(400, 1000), (1, 2047)])
+def test_packing_needs_no_more_than_best_fit_decreasing(spark, low, high):
+    lens = np.random.default_rng(high).integers(low, high, 3000)
+    cut = spark.createDataFrame([(i, None, 0, 0, int(v), 0) for i, v in enumerate(lens)], "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(cut, block=700).toPandas()
+    check_packing(out)
+    assert sorted(out.length) == sorted(lens)
+    plain = packing._best_fit(np.argsort(-lens).tolist(), lens.tolist(), [0] * 3000, [], 2048)
+    assert out.sequence_id.nunique() <= plain and (high != 1000 or out.sequence_id.nunique() < plain)
+
+
+def test_packing_query_needs_no_more_than_best_fit_decreasing(spark):
+    from conftest import SMALL
+
+    out = packing.op9_best_fit_packing(spark, SMALL).toPandas()
+    check_packing(out)
+    lens = sorted(out.length, reverse=True)
+    assert out.sequence_id.nunique() <= packing._best_fit(range(len(lens)), lens, [0] * len(lens), [], 2048)
 
 
 def test_breeding_never_loses_items():
