@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlake.operators.scans import Segments, fresh, value_hash
+
 
 def column_of(df: DataFrame, names: list[str], required: bool = True) -> str | None:
     """The first of ``names`` that the table has, whatever its case."""
@@ -36,11 +38,52 @@ def read_stations(spark: SparkSession, path: str, drop: tuple[str, ...] = (), en
     return named.select("city", "lat", "lon", *[F.trim(F.col("m")[h]).alias(h) for h in sorted(headers) if h not in drop])
 
 
+# Fields of a CSV line: quoted ones (a doubled quote stands for one), others, and what a line end inside quotes leaves open.
+_INSIDE = r'(?:[^"]|"")*+'
+_FIELD = rf'(?:"{_INSIDE}"[^,]*+|[^",][^,]*+)?+'
+_OPENS = rf'(?:{_FIELD},)*+"{_INSIDE}\z'  # a line, or what is left of it, whose last field stays open
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """``file, place, value`` of CSV lines, with lines joined whose line end stands inside quotes (it becomes ``\\n``).
+
+    Whether a line begins inside quotes depends on all lines before it: each line maps that state to the next one, and
+    the maps are composed along range partitions, so a large file stays many tasks. A file without such lines passes
+    unchanged. A quote that is never closed makes the rest of its file one record.
+    """
+    opened = F.col("value").rlike(rf"\A{_OPENS}").cast("int")  # beginning outside, does the line end inside?
+    again = F.col("value").rlike(rf'\A{_INSIDE}(?:\z|"[^,]*+,{_OPENS})').cast("int")  # and beginning inside?
+    told = lines.select("file", "place", "value", opened.alias("opened"), again.alias("again"))
+    if told.where("opened = 1").isEmpty():
+        return lines
+    s = Segments(told.select("file", "place.block", "place.line", "place", "value", "opened", "again"), ["file"], ["block", "line"])
+    # a line either turns the state round, or leaves it, or ends in the same state whatever it began in
+    turned = (F.col("opened") > F.col("again")).cast("int")
+    fixed = F.col("opened") == F.col("again")
+    rows = s.rows.withColumn("turns", F.sum(turned).over(s.upto))
+    rows = rows.withColumn("since", F.when(fixed, (F.col("opened") + F.col("turns")) % 2))
+    each = rows.groupBy(s.part, s.key).agg(F.max("turns").alias("all"), F.max_by("since", F.when(F.col("since").isNotNull(), F.struct("block", "line"))).alias("end"))
+    before = Window.partitionBy(s.key).orderBy(s.part).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("all").over(before), F.lit(0))
+    each = each.withColumn("earlier", earlier).withColumn("kept", (F.col("end") + F.col("earlier")) % 2)
+    begun = (F.coalesce(F.last("kept", ignorenulls=True).over(before), F.lit(0)) + F.col("earlier")) % 2
+    rows = rows.join(each.select(s.part, s.key, begun.alias("begun")), [s.part, s.key])
+    after = (F.coalesce(F.last("since", ignorenulls=True).over(s.upto), F.col("begun")) + F.col("turns")) % 2
+    rows = rows.withColumn("after", after).withColumn("inside", F.coalesce(F.lag("after").over(s.own), F.col("begun")))
+    rows = s.carry({"starts": F.sum(1 - F.col("inside"))}, lambda _, w: {"starts": F.coalesce(F.sum("starts").over(w), F.lit(0))}, rows)
+    rows = rows.withColumn("record", F.sum(1 - F.col("inside")).over(s.upto) + F.col("starts"))
+    alone = rows.where("inside = 0 AND after = 0").select("file", "place", "value")
+    parts = rows.where("inside = 1 OR after = 1").groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("parts"))
+    joined = parts.select("file", F.col("parts")[0]["place"].alias("place"), F.array_join("parts.value", "\n").alias("value"))
+    return alone.unionByName(joined)
+
+
 def read_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Event CSV as text columns, by the union of all files' headers; one scan by lines, so a large file is many tasks.
 
-    A file with bytes that are not UTF-8 is read as Latin-1. Empty lines, lines that repeat their file's header and
-    lines whose number of fields is not the header's are skipped; a file without lines adds nothing.
+    A file with bytes that are not UTF-8 is read as Latin-1. Fields in quotes may hold commas, doubled quotes and line ends.
+    Empty lines, lines that repeat their file's header and records whose number of fields is not the header's are skipped;
+    a file without lines adds nothing.
     """
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
@@ -49,11 +92,11 @@ def read_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = files.select("file", "utf8", "head", F.regexp_replace(plain("head"), "^\ufeff", "").alias("header"))
     headers = sorted(r[0] for r in files.select("header").distinct().collect())  # as many rows as headers
     names = {h: [x.strip() for x in next(csv.reader([h]), [])] for h in headers}
-    fields = F.size(F.split(F.regexp_replace("r", '"[^"]*"', ""), ","))  # commas outside quotes
+    fields = F.size(F.split(F.regexp_replace("r", rf'(?:\A|(?<=,))"{_INSIDE}"', ""), ","))  # commas outside quotes
     wanted = F.coalesce(*[F.when(F.col("header") == h, len(n)) for h, n in names.items()], F.lit(0))
-    rows = lines.join(files, "file").where((F.col("value") != F.col("head")) & (F.col("value") != "")).select("header", plain("value").alias("r")).where(fields == wanted)
+    rows = whole_records(lines).join(files, "file").where((F.col("value") != F.col("head")) & (F.col("value") != "")).select("header", plain("value").alias("r")).where(fields == wanted)
     most = max(map(len, names.values()), default=0)
-    split = rows.select("header", F.from_csv("r", ", ".join(f"f{i} string" for i in range(most)) or "f0 string", {"escape": '"'}).alias("s"))
+    split = rows.select("header", F.from_csv("r", ", ".join(f"f{i} string" for i in range(most)) or "f0 string", {"escape": '"', "multiLine": "true"}).alias("s"))
     columns = dict.fromkeys(x for n in names.values() for x in n)
     found = lambda c: F.coalesce(*[F.when(F.col("header") == h, F.col(f"s.f{n.index(c)}")) for h, n in names.items() if c in n], F.lit(None))
     return split.select(*[found(c).alias(c) for c in columns])
@@ -67,10 +110,19 @@ def read_columns(spark: SparkSession, path: str, wanted: list[str], as_float: bo
     return df.select(*[cast(c) for c in have]), [c for c in wanted if c not in df.columns]
 
 
-def write_yearly(df: DataFrame, path: str, partitions: tuple[str, ...] = ("year",), order: list[str] | None = None) -> None:
-    """Partitioned Parquet; years that are present in ``df`` are replaced, others stay."""
-    rows = df.repartition(*partitions).sortWithinPartitions(*partitions, *(order or []))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+def write_yearly(df: DataFrame, path: str, partitions: tuple[str, ...] = ("year",), order: list[str] | None = None, rows: int = 2_000_000) -> None:
+    """Partitioned Parquet; years that are present in ``df`` are replaced, others stay.
+
+    A year with more than about ``rows`` rows is dealt, by a hash, to several tasks and files.
+    """
+    parts, share = fresh(df, "_parts"), fresh(df, "_share")
+    sizes = df.groupBy(*partitions).agg(F.ceil(F.count(F.lit(1)) / rows).alias(parts))  # one row for each year
+    key, own = fresh(df, "_key"), F.struct(*partitions)
+    told = df.withColumn(key, own).join(sizes.select(own.alias(key), parts), key)
+    dealt = told.withColumn(share, F.pmod(value_hash(df), F.col(parts)))
+    n = max(1, sizes.agg(F.coalesce(F.sum(parts), F.lit(1))).first()[0])
+    spread = dealt.repartition(min(n, 100_000), *partitions, share).sortWithinPartitions(*partitions, *(order or []))
+    spread.select(*df.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def years_in_names(spark: SparkSession, path: str, pattern: str = r"(\d{4})") -> DataFrame:
