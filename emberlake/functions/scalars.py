@@ -99,6 +99,11 @@ def label_01(c: Column, kind: str) -> Column:
     return F.coalesce(x, F.lit(0))
 
 
+def label_changed(raw: Column, label: Column) -> Column:
+    """Whether a label reads otherwise than the raw value did, as a number; unreadable and unknown ones do."""
+    return ~F.coalesce(raw.try_cast("double") == label, F.lit(False))
+
+
 def strict_label(df: DataFrame, target: str) -> DataFrame:
     """Rows whose label reads as 0 or 1, as int; others go."""
     x = F.col(target).try_cast("double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.operators.series import fresh, time_blocks
@@ -77,16 +77,20 @@ def _windows(values, length: int):
     return view[whole], np.concatenate([np.zeros(length, bool), whole])
 
 
-def embed(df: DataFrame, by: list[str], ts: str, channels: list[str], length: int = 24, features: int = 168, block_rows: int = 4096) -> DataFrame:
-    """``by, ts, embedding array<double>``; null where the window is not whole. At least two channels."""
+def embed(df: DataFrame, by: list[str], ts: str, channels: list[str], length: int = 24, features: int = 168, block_rows: int = 4096, fitted_on: Column | None = None) -> DataFrame:
+    """``by, ts, embedding array<double>``; null where the window is not whole. At least two channels.
+
+    ``fitted_on`` tells the rows whose windows may shape the parameters, such as those of training years; all by default.
+    """
     import numpy as np
     import pandas as pd
 
     if len(channels) < 2:
         raise ValueError("at least two channels are needed")
-    cols = df.select(*by, ts, *[F.col(c).cast("double").alias(c) for c in channels])
+    usable = fresh(df, "_usable")
+    cols = df.select(*by, ts, *[F.col(c).cast("double").alias(c) for c in channels], F.coalesce(fitted_on if fitted_on is not None else F.lit(True), F.lit(False)).alias(usable))
     pick, size = fresh(cols, "_pick"), max(block_rows, length)
-    share = min(1.0, 4 * FIT_WINDOWS / max(1, cols.count()))  # some windows are not whole
+    share = min(1.0, 4 * FIT_WINDOWS / max(1, cols.where(usable).count()))  # some windows are not whole
     picked = cols.withColumn(pick, F.xxhash64(*by, ts))
     blocks, place, block = time_blocks(picked, by, ts, length, size)
     kinds = dict(df.dtypes)
@@ -102,7 +106,7 @@ def embed(df: DataFrame, by: list[str], ts: str, channels: list[str], length: in
     def sampled(key, rows):
         rows, view, ok = own_windows(key, rows)
         at = rows[pick].to_numpy()[ok]
-        taken = (at % (1 << 20)) < share * (1 << 20)
+        taken = ((at % (1 << 20)) < share * (1 << 20)) & rows[usable].to_numpy(bool)[ok]
         return pd.DataFrame({"h": at[taken], "w": pd.Series([v.ravel() for v in view[taken]], dtype=object)})
 
     groups = blocks.groupBy(*by, block)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlake.operators.neighbours import DonorIndex, nearest_rows
 from emberlake.operators.scans import fresh
+from emberlake.storage import materialize
 
 SEED = 42
 
@@ -22,9 +23,10 @@ def first_by_hash(df: DataFrame, groups: list[str], keys: list[str], quotas: Dat
     Two histograms, of three leading digits of the hash each, find the bucket in which a quota ends; what lies
     below it is taken by a filter, and only the rows of that bucket (one in 16 million) are ranked.
     """
-    group = lambda d: d.withColumn("_g", F.struct(*groups) if groups else F.struct(F.lit(0).alias("zero")))
-    rows = group(df).withColumn("_h", hash_order(keys)[0])
-    left = group(quotas).select("_g", F.col("_quota").cast("long").alias("_left"), F.lit("").alias("_cut"))
+    own = lambda d: F.struct(*[d[g].alias(f"g{i}") for i, g in enumerate(groups)], F.lit(0).alias("zero"))
+    # a row travels as one column, so that its own names do not meet the helpers'
+    rows = df.select(own(df).alias("_g"), hash_order(keys)[0].alias("_h"), F.struct(*keys).alias("_k"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    left = quotas.select(own(quotas).alias("_g"), F.col("_quota").cast("long").alias("_left"), F.lit("").alias("_cut"))
     for digits in (3, 6):
         inside = rows.select("_g", F.substring("_h", 1, digits).alias("_bucket")).join(left, "_g").where(F.col("_bucket").startswith(F.col("_cut")))
         n = inside.groupBy("_g", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_left").alias("_left"))
@@ -36,8 +38,8 @@ def first_by_hash(df: DataFrame, groups: list[str], keys: list[str], quotas: Dat
         left = left.join(ends, "_g", "left").select("_g", F.coalesce("_rest", "_left").alias("_left"), F.coalesce("_end", past).alias("_cut"))
     told = rows.join(left, "_g").withColumn("_at", F.substring("_h", 1, 6))
     below = told.where(F.col("_at") < F.col("_cut"))
-    edge = told.where(F.col("_at") == F.col("_cut")).withColumn("_rank", F.row_number().over(Window.partitionBy("_g").orderBy("_h", *keys)))
-    return below.select(*df.columns).unionByName(edge.where("_rank <= _left").select(*df.columns))
+    edge = told.where(F.col("_at") == F.col("_cut")).withColumn("_rank", F.row_number().over(Window.partitionBy("_g").orderBy("_h", "_k")))
+    return below.select("_row.*").unionByName(edge.where("_rank <= _left").select("_row.*"))
 
 
 def scenario(df: DataFrame, code: str, features: list[str], radiation: str, donors: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -95,12 +97,64 @@ def knn_impute(df: DataFrame, features: list[str], donors: DataFrame, keys: list
     return whole.unionByName(holes.mapInPandas(fill, cast.schema))
 
 
-def downsample(df: DataFrame, label: str, keys: list[str], ratio: float, least: int = 0, per: list[str] | None = None) -> DataFrame:
-    """All positives, and negatives up to ``max(least, ratio * positives)``, by hash order; per group if asked."""
+def downsample(df: DataFrame, label: str, keys: list[str], ratio: float, least: int = 0, per: list[str] | None = None, budget: int | None = None) -> DataFrame:
+    """All positives, and negatives up to ``max(least, ratio * positives)``, by hash order; per group if asked.
+
+    A ``budget`` of rows (for each group) bounds the negatives further, and the positives themselves if they exceed it.
+    """
     per = per or []
     n = df.groupBy(*per).agg(F.sum(F.col(label).cast("long")).alias("_pos"))
-    limits = n.withColumn("_quota", F.greatest(F.lit(least), F.ceil(F.col("_pos") * ratio)))
-    return df.where(F.col(label) == 1).unionByName(first_by_hash(df.where(F.col(label) == 0), per, keys, limits))
+    quota = F.greatest(F.lit(least), F.ceil(F.col("_pos") * ratio))
+    if budget is not None:
+        quota = F.least(quota, F.greatest(F.lit(0), F.lit(budget) - F.col("_pos")))
+    positives = df.where(F.col(label) == 1)
+    if budget is not None:
+        positives = first_by_hash(positives, per, keys, n.withColumn("_quota", F.lit(budget)))
+    return positives.unionByName(first_by_hash(df.where(F.col(label) == 0), per, keys, n.withColumn("_quota", quota)))
+
+
+def complete_rows(df: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows without a gap in ``features``, and one row ``n_rows, n_dropped, share`` about the others."""
+    gap = F.exists(F.array(*[F.col(f).isNull() for f in features]), lambda x: x)
+    dropped = F.coalesce(F.sum(gap.cast("long")), F.lit(0))
+    n = F.count(F.lit(1))
+    return df.where(~gap), df.agg(n.alias("n_rows"), dropped.alias("n_dropped"), F.when(n > 0, dropped / n).otherwise(0.0).alias("share"))
+
+
+#: Why a row of a table does not get into a split, in the order in which it is asked.
+RULES = ("year", "label", "missing", "gap", "negatives")
+
+
+def load_split(df: DataFrame, features: list[str], label: str, year: str, keys: list[str], *, test_years: int = 2, gap: int = 0, ratio: float = 200.0, least: int = 50_000, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of a table, and an audit of what became of all its rows.
+
+    Rows without a year, with another label than 0 or 1, or with a gap in ``features`` go, and so do ``gap`` years before the
+    last ``test_years``; training negatives are sampled (``downsample``). The result has ``keys``, ``features``, ``label``,
+    ``year`` and ``split``, and is written in the same pass that tells what each rule takes.
+    The audit is one row for each split and rule: ``split, rule, n``, with the rule ``kept`` for what is left. Raises if
+    the table has too few years for a split.
+    """
+    span = df.select(F.col(year).cast("int").alias("y")).where("y IS NOT NULL").agg(F.max("y"), F.count_distinct("y")).first()
+    if span[0] is None or span[1] < test_years + 1:
+        raise ValueError("too few years for a split by time")
+    cut = span[0] - test_years
+    y, known = F.col(year).cast("int"), F.col(label).try_cast("double")
+    split = F.when(y > cut, "test").when(y > cut - gap, "gap").when(y.isNotNull(), "train").otherwise("none")
+    rule = F.when(y.isNull(), "year").when(F.coalesce(~known.isin(0.0, 1.0), F.lit(True)), "label").when(F.exists(F.array(*[F.col(f).isNull() for f in features]), lambda x: x), "missing").when(split == "gap", "gap").otherwise("kept")
+    names = [c for c in dict.fromkeys([*keys, *features, year]) if c != label]
+    split_, rule_ = fresh(df, "_split"), fresh(df, "_rule")
+    told = df.select(*names, known.cast("int").alias(label), split.alias(split_), rule.alias(rule_))
+    # one pass writes all: of rows that go only the reason stays
+    stays = F.col(rule_) == "kept"
+    told = materialize(told.select(*[F.when(stays, F.col(c)).alias(c) for c in [*names, label]], split_, rule_), "split")
+    found = {(r[split_], r[rule_]): r["count"] for r in told.groupBy(split_, rule_).count().collect()}  # one row for each pair
+    rows = told.where(stays).select(*names, label, F.col(split_).alias("split"))
+    train = downsample(rows.where("split = 'train'"), label, keys, ratio, least, budget=budget)
+    kept = materialize(train.unionByName(rows.where("split = 'test'")), "sampled")
+    left = {r["split"]: r["count"] for r in kept.groupBy("split").count().collect()}  # two rows
+    audit = [(s, r, n) for (s, r), n in found.items() if r != "kept"]
+    audit += [("train", "negatives", found.get(("train", "kept"), 0) - left.get("train", 0)), *[(s, "kept", left.get(s, 0)) for s in ("train", "test")]]
+    return kept, df.sparkSession.createDataFrame([a for a in audit if a[2] or a[1] == "kept"], "split string, rule string, n long")
 
 
 def proportional_sample(df: DataFrame, strata: list[str], keys: list[str], most: int) -> DataFrame:

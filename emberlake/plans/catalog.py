@@ -9,7 +9,7 @@ from emberlake.functions import scalars, text
 from emberlake.operators import embedding, forecast, joins, leaderboard, models, profiles, sampling, selection, series, stats
 from emberlake.plans.bindings import CLEAN, DET, OBS, PANEL, READ, RUNS, detections, observations, panel, readings, runs, station, table
 from emberlake.sources import tables
-from emberlake.storage import materialize
+from emberlake.storage import materialize, shared_folder
 from emberlake.streaming import carried
 
 QUERIES: dict = {}
@@ -917,10 +917,29 @@ def rolling_forecast(spark, d):
     return forecast.rolling_forecast(rows, ["city"], "hour", "value", ["n"], horizon=24, history=120, least=40, lags=(1, 2))
 
 
+@query(f"""WITH {OBS}, p AS (SELECT city, hour, value, lag(value) OVER w AS before, row_number() OVER w - 1 AS i FROM obs WINDOW w AS (PARTITION BY city ORDER BY hour)),
+f AS (SELECT city, hour, value, before, i, regr_slope(value, before) OVER w AS b, regr_intercept(value, before) OVER w AS a FROM p WINDOW w AS (PARTITION BY city ORDER BY hour ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING))
+SELECT city, hour, CASE WHEN i >= 60 THEN round(a + b * before, 3) END AS predicted, CASE WHEN i >= 60 THEN 'ok' ELSE 'skipped' END AS status FROM f""")
+def forecast_orders(spark, d):
+    """One step ahead by orders (1, 0, 0), fitted again for each hour on the 60 before it."""
+    rows = observations(spark, d).select("city", "hour", "value")
+    out = forecast.rolling_forecast(rows, ["city"], "hour", "value", [], horizon=1, history=60, least=60, model=forecast.terms((1, 0, 0), ridge=0.0))
+    return out.select("city", "hour", F.round("predicted", 3).alias("predicted"), "status")
+
+
+@query()
+def forecast_seasonal(spark, d):
+    """A day ahead by orders (2, 1, 1) and (1, 1, 1) with a season of 24 hours."""
+    rows = observations(spark, d).select("city", "hour", "value", F.col("n").cast("double").alias("n"))
+    model = forecast.terms((2, 1, 1), (1, 1, 1, 24))
+    return forecast.rolling_forecast(rows, ["city"], "hour", "value", ["n"], horizon=24, history=240, least=120, model=model)
+
+
 @query()
 def window_embedding(spark, d):
     rows = observations(spark, d).select("city", "hour", "value", F.col("n").cast("double").alias("n"))
-    return embedding.embed(rows, ["city"], "hour", ["value", "n"], length=16)
+    early = F.col("hour") < F.lit(rows.agg(F.percentile_approx("hour", 0.8)).first()[0])  # parameters see no later rows
+    return embedding.embed(rows, ["city"], "hour", ["value", "n"], length=16, fitted_on=early)
 
 
 @query()
@@ -942,6 +961,90 @@ def train_models(spark, d):
     return all_ways.unionByName(models.experiment(_split(spark, d), "D", ["forest"], ["c", "e", "g"], "label"))
 
 
+@query()
+def experiment_kinds(spark, d):
+    """Two scenarios, all kinds of models and both baselines, with their default settings."""
+    keys = ["l_orderkey", "line", "part"]
+    p = scalars.clean_missing(panel(spark, d), ["b", "c"]).withColumn("g", (F.col("entity") % 10).cast("double"))
+    split = lambda features: sampling.holdout(p.select(*keys, "year", *features, "label").na.drop("any", subset=features), "year", 2)
+    scenarios = {"C": (split(["c", "e", "g"]), ["c", "e", "g"]), "D": (split(["b", "c", "e", "g"]), ["b", "c", "e", "g"])}
+    return models.experiments(scenarios, ["logistic", "naive_bayes", "forest", "boosted", "svm", *models.BASELINES], "label", keys, year="year")
+
+
+@query()
+def saved_model(spark, d):
+    """Metrics of a model that was written, read again and scored on the test years; its predictions and curves are exported."""
+    keys, split = ["l_orderkey", "line", "part"], materialize(_split(spark, d), "split")
+    folder = shared_folder(spark, "model")
+    models.save_model(models.train("logistic", split.where("split = 'train'"), ["c", "e", "g"], "label"), folder)
+    return models.evaluate_saved(spark, folder, split, keys, "label", 0.25)
+
+
+_AUDIT = f"""WITH {PANEL}, {CLEAN}, m AS (SELECT max(year) AS y FROM clean), t AS (SELECT *, CASE WHEN year > (SELECT y - 2 FROM m) THEN 'test' WHEN year > (SELECT y - 3 FROM m) THEN 'gap' ELSE 'train' END AS split,
+ l_orderkey || '|' || line || '|' || part || '|' || entity AS k FROM clean),
+r AS (SELECT *, CASE WHEN b IS NULL OR c IS NULL THEN 'missing' WHEN split = 'gap' THEN 'gap' ELSE 'kept' END AS rule FROM t),
+n AS (SELECT split, rule, count(*) AS n, sum(label)::BIGINT AS p FROM r GROUP BY ALL),
+q AS (SELECT n - p AS negatives, least(n - p, greatest(1000, ceil(p * 0.5)), greatest(0, 20000 - p))::BIGINT AS take, least(p, 20000) AS positives, p FROM n WHERE split = 'train' AND rule = 'kept')"""
+
+
+@query(f"""{_AUDIT} SELECT split, rule, n FROM n WHERE rule <> 'kept' UNION ALL SELECT 'test', 'kept', n FROM n WHERE split = 'test' AND rule = 'kept'
+UNION ALL SELECT 'train', 'kept', positives + take FROM q UNION ALL SELECT 'train', 'negatives', p - positives + negatives - take FROM q WHERE p - positives + negatives - take > 0""")
+def split_audit(spark, d):
+    """What becomes of the panel's rows when it is loaded and split: one row for each split and rule."""
+    p = scalars.clean_missing(panel(spark, d), ["b", "c"])
+    _, audit = sampling.load_split(p, ["b", "c"], "label", "year", ["l_orderkey", "line", "part", "entity"], test_years=2, gap=1, ratio=0.5, least=1000, budget=20_000)
+    return audit
+
+
+@query(f"""WITH {PANEL}, {CLEAN} SELECT count(*) AS n_rows, count(*) FILTER (a IS NULL OR b IS NULL) AS n_dropped, round(count(*) FILTER (a IS NULL OR b IS NULL) / count(*), 6) AS share FROM clean""")
+def dropped_share(spark, d):
+    _, report = sampling.complete_rows(scalars.clean_missing(panel(spark, d), ["a", "b"]), ["a", "b"])
+    return report.withColumn("share", F.round("share", 6))
+
+
+@query("""WITH k AS (SELECT event_id, event_id % 4 AS k, (value >= 0.5)::INT AS b, (event_id % 5 - 1)::INT AS i, ['yes', 'Nao', '0.7', 'none', '0'][event_id % 5 + 1] AS s FROM events WHERE true),
+y AS (SELECT k, CASE k WHEN 0 THEN b WHEN 1 THEN greatest(0, least(1, i)) WHEN 2 THEN CASE s WHEN 'yes' THEN 1 WHEN '0.7' THEN 1 ELSE 0 END ELSE b END AS y,
+ CASE k WHEN 0 THEN 0 WHEN 1 THEN (i NOT IN (0, 1))::INT WHEN 2 THEN (s <> '0')::INT ELSE 0 END AS changed FROM k)
+SELECT ['boolean', 'int', 'string', 'float'][k + 1] AS kind, count(*) AS n_rows, sum(y)::BIGINT AS n_one, sum(changed)::BIGINT AS n_changed FROM y GROUP BY k""")
+def label_kinds(spark, d):
+    """Labels of four types as 0 and 1, with the number of rows that the rule changes."""
+    e = table(spark, d, "events")
+    text_ = F.element_at(F.array(*[F.lit(x) for x in ("yes", "Nao", "0.7", "none", "0")]), (F.col("event_id") % 5 + 1).cast("int"))
+    of = {"boolean": F.col("value") >= 0.5, "int": (F.col("event_id") % 5 - 1).cast("int"), "string": text_, "float": (F.col("value") >= 0.5).cast("float")}
+    out = None
+    for i, (kind, raw) in enumerate(of.items()):
+        one = e.where(F.col("event_id") % 4 == i).select(raw.alias("raw")).select("raw", scalars.label_01(F.col("raw"), kind).alias("y"))
+        told = one.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("y").cast("long")).alias("n_one"), F.sum(scalars.label_changed(F.col("raw"), F.col("y")).cast("long")).alias("n_changed"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query("""WITH f AS (SELECT p_partkey, ['tsf_ewma_humid_a05', 'tsf_lag_temp_24h', 'tsf_sarimax_exog_rain_pred', 'tsf_minirocket_f001', 'pressure'][p_partkey % 5 + 1] AS feature FROM part)
+SELECT feature, ['ewma', 'lag', 'sarimax_exog', 'minirocket', 'base'][p_partkey % 5 + 1] AS method, ['humid', 'temp', 'rain', '', ''][p_partkey % 5 + 1] AS variable, count(*) AS n FROM f GROUP BY ALL""")
+def feature_names(spark, d):
+    names = ("tsf_ewma_humid_a05", "tsf_lag_temp_24h", "tsf_sarimax_exog_rain_pred", "tsf_minirocket_f001", "pressure")
+    f = table(spark, d, "part").select(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 5 + 1).cast("int")).alias("feature"))
+    return f.groupBy("feature", text.method_of(F.col("feature")).alias("method"), text.variable_of(F.col("feature")).alias("variable")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_type, round(sum(CASE WHEN event_id % 9 = 0 THEN 0 ELSE greatest(0, least(1, value / 50 - 0.5)) END), 3) AS total FROM events GROUP BY event_type""")
+def clipped_scores(spark, d):
+    x = F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value") / 50 - 0.5)
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum(scalars.probability(x)), 3).alias("total"))
+
+
+@query("""WITH d AS (SELECT s_suppkey AS k, y AS year, s_acctbal + y AS bal FROM supplier, (VALUES (1993), (1995), (1996)) v(y) WHERE s_suppkey % 4 <> 0)
+SELECT l_suppkey, year(l_shipdate)::INT AS year, CASE WHEN k IS NULL THEN 'row' ELSE 'dimension' END AS source, count(*) AS n, round(avg(coalesce(bal, l_tax)), 4) AS v
+FROM lineitem LEFT JOIN d ON l_suppkey = k AND year(l_shipdate) = d.year GROUP BY ALL""")
+def station_year_dim(spark, d):
+    """A dimension by station and year; other rows keep their own value."""
+    li = table(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), F.col("l_tax").alias("v"))
+    years = F.explode(F.array(*[F.lit(y) for y in (1993, 1995, 1996)])).alias("year")
+    dim = table(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), years, "s_acctbal").withColumn("bal", F.col("s_acctbal") + F.col("year"))
+    rows = joins.lookup_with_fallback(li, dim, ["l_suppkey", "year"], {"bal": "v"})
+    return rows.groupBy("l_suppkey", "year", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("v"))
+
+
 @query(f"""WITH {PANEL}, {CLEAN}, t AS (SELECT * FROM clean WHERE c IS NOT NULL), m AS (SELECT avg(c) AS m, stddev_pop(c) AS s FROM t)
 SELECT year, round(avg((c - m) / CASE WHEN s > 0 THEN s ELSE 1 END), 6) AS c FROM t, m GROUP BY year""")
 def standard_scale(spark, d):
