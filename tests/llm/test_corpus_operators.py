@@ -434,29 +434,47 @@ def test_toxicity_stage_decides_by_text(spark, monkeypatch):
 def test_fixity(spark):
     pages = spark.createDataFrame([(i if i else None, f"http://x/{i}", "h" * (i % 50) if i % 9 else None) for i in range(300)], "page_id long, url string, html string")
     a = fixity.leaves(pages)
-    assert fixity.audit(fixity.tree(a), fixity.tree(fixity.leaves(pages.repartition(5)))).count() == 0
-    damage = fixity.audit(fixity.tree(a), fixity.tree(a.withColumn("record_sha256", F.when(F.col("page_id").isin(7, 250), "0").otherwise(F.col("record_sha256")))))
+    damage, extra = fixity.audit(a, fixity.records(pages.repartition(5)))
+    assert damage.count() == 0 and extra.count() == 0
+    worse = pages.withColumn("html", F.when(F.col("page_id").isin(7, 250), "0").otherwise(F.col("html")))
+    damage, _ = fixity.audit(a, fixity.records(worse))
     bad = a.join(damage, ["file", "leaf"]).select("page_id", "state").collect()
     assert {(r.page_id, r.state) for r in bad} == {(7, "changed"), (250, "changed")}
-    short = fixity.audit(fixity.tree(a), fixity.tree(a.where("leaf < 290")))
-    assert {r.state for r in short.collect()} == {"missing"} and short.count() == 10
+    damage, _ = fixity.audit(a, fixity.records(pages.where("page_id < 290 OR page_id IS NULL")))
+    assert {r.state for r in damage.collect()} == {"missing"} and damage.count() == 10
     assert fixity.leaves(pages.limit(0)).count() == 0
+    assert fixity.report(fixity.leaves(pages.limit(0)), fixity.records(pages.limit(0))).count() == 0
 
 
-def test_fixity_places_damage_in_the_middle(spark, monkeypatch):
+def test_fixity_opens_differing_buckets_only(spark, monkeypatch):
+    """Roots are compared first: of undamaged files nothing but the root is looked at, and no record is matched."""
     monkeypatch.setattr(fixity, "FILE_RECORDS", 64)
-    rows = [(i if i else None, f"http://x/{i}", "h" * (1 + i % 50)) for i in range(200)] + [(5, "http://x/5", "other"), (9, "http://x/9", "h" * 10), (9, "http://x/9", "h" * 10)]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "h" * (i % 50)) for i in range(640)], "page_id long, url string, html string")
+    a, seen = fixity.leaves(pages), {}
+    match = fixity.matched
+    monkeypatch.setattr(fixity, "matched", lambda one, two: seen.update(one=one.count(), two=two.count()) or match(one, two))
+    damage, _ = fixity.audit(a, fixity.records(pages.where("page_id <> 100")))
+    assert [(r.file, r.leaf, r.state) for r in damage.collect()] == [(1, 36, "missing")]
+    assert seen == {"one": 16, "two": 15}  # one bucket
+    fixity.audit(a, fixity.records(pages))
+    assert seen == {"one": 0, "two": 0}
+
+
+@pytest.mark.parametrize("copies", [3, 100])
+def test_fixity_places_damage_in_the_middle(spark, monkeypatch, copies):
+    """Shorter, missing, added and repeated records; with 100 copies one page id fills more than a file."""
+    monkeypatch.setattr(fixity, "FILE_RECORDS", 64)
+    rows = [(i if i else None, f"http://x/{i}", "h" * (1 + i % 50)) for i in range(200)] + [(5, "http://x/5", "other")] + [(9, "http://x/9", "h" * 10)] * (copies - 1)
     a = fixity.leaves(spark.createDataFrame(rows, "page_id long, url string, html string"))
     bad = [r for r in rows if r[0] != 70 and r[2] != "other"]  # one page gone, and one of two records of a page
-    bad.remove(rows[9])  # one of three equal records
+    bad.remove(rows[9])  # one of the equal records
     bad[bad.index(rows[40])] = (40, "http://x/40", "h" * 40)  # shorter by one
     bad += [(90, "http://x/90", "added"), (-3, "http://x/-3", "added first")]
-    b = fixity.replica_leaves(spark.createDataFrame(bad, "page_id long, url string, html string").repartition(3), a)
+    b = fixity.records(spark.createDataFrame(bad, "page_id long, url string, html string").repartition(3))
     states = sorted((r.page_id, r.state, r.file is None) for r in fixity.report(a, b).where("state <> 'intact'").collect())
     assert states == [(-3, "extra", True), (5, "missing", False), (9, "missing", False), (40, "changed", False), (70, "missing", False), (90, "extra", True)]
-    empty = a.limit(0)
-    none = fixity.replica_leaves(spark.createDataFrame(bad[:3], "page_id long, url string, html string"), empty)
-    assert [r.state for r in fixity.report(empty, none).collect()] == ["extra"] * 3
+    none = fixity.records(spark.createDataFrame(bad[:3], "page_id long, url string, html string"))
+    assert [r.state for r in fixity.report(a.limit(0), none).collect()] == ["extra"] * 3
 
 
 # --- 7 and 8 ---
