@@ -637,7 +637,7 @@ def dry_spell_carried(spark, d):
     return out.select("city", "hour", F.round("dry_days", 6).alias("dry_days"))
 
 
-@query(f"WITH {OBS} SELECT city, hour, round(sum(value) OVER (PARTITION BY city ORDER BY hour), 3) AS total FROM obs")
+@query(f"WITH {OBS} SELECT city, hour, round(sum(value) OVER (PARTITION BY city ORDER BY hour), 6) AS total FROM obs")
 def sums_carried(spark, d):
     """Running sums from four batches, of which the third runs twice."""
     obs = materialize(observations(spark, d), "observations")
@@ -645,7 +645,7 @@ def sums_carried(spark, d):
     for i, again in ((0, False), (1, False), (2, False), (2, True), (3, False)):
         one = states.run("sum", i, parts[i], "city long, total double", lambda b, s: carried.sum_step(b, s, "city", "hour", "value", "total"))
         out = one if out is None else out if again else out.unionByName(one)
-    return out.select("city", "hour", F.round("total", 3).alias("total"))
+    return out.select("city", "hour", F.round("total", 6).alias("total"))
 
 
 _FOLD = f"""WITH RECURSIVE {READ}, o AS (SELECT city, ts, event_id, x, row_number() OVER (PARTITION BY city ORDER BY ts) AS i FROM readings),
