@@ -63,10 +63,10 @@ def inside_box(lat: Column, lon: Column, box: tuple[float, float, float, float])
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres on a sphere."""
+    """Metres on a sphere; null or NaN where a coordinate is (``least`` alone would pass over it)."""
     dp, dl = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(dp), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dl), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.when(F.isnan(a) | a.isNull(), a).otherwise(2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0)))))
 
 
 def risk_flags(temperature: Column, humidity: Column, wind: Column) -> dict[str, Column]:
@@ -95,7 +95,7 @@ def label_01(c: Column, kind: str) -> Column:
         low = F.lower(F.trim(c))
         x = F.when(low.isin("true", "yes", "sim", "t", "y", "s"), 1).when(low.isin("false", "no", "nao", "f", "n"), 0).otherwise((low.try_cast("double") >= 0.5).cast("int"))
     else:
-        x = F.greatest(F.lit(0), F.least(F.lit(1), c.cast("int")))
+        x = (c > 0).cast("int")  # whole numbers are clipped to 0 and 1
     return F.coalesce(x, F.lit(0))
 
 
@@ -111,12 +111,13 @@ def strict_label(df: DataFrame, target: str) -> DataFrame:
 
 
 def sanitize(c: Column, bound: float = 1e15) -> Column:
-    """Clip to the bound first, so infinities become the bound; NaN becomes null."""
-    return F.when(F.isnan(c), None).otherwise(F.greatest(F.lit(-bound), F.least(F.lit(bound), c)))
+    """Clip to the bound first, so infinities become the bound; NaN becomes null, and null stays (``least`` passes over nulls)."""
+    return F.when(F.isnan(c) | c.isNull(), None).otherwise(F.greatest(F.lit(-bound), F.least(F.lit(bound), c)))
 
 
 def sigmoid(c: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), c))))
+    """Logistic function of an argument clipped to +-50; null and NaN stay."""
+    return F.when(F.isnan(c) | c.isNull(), c).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), c)))))
 
 
 def probability(c: Column) -> Column:

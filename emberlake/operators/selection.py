@@ -30,13 +30,14 @@ def rank_features(df: DataFrame, features: list[str], label: str, weight: float
 
 
 def correlations(df: DataFrame, features: list[str], keys: list[str], most: int = 200_000) -> dict[tuple[str, str], float]:
-    """|Spearman| of all pairs of features on a hash sample of at most ``most`` rows."""
+    """|Spearman| of all pairs of features on a hash sample of at most ``most`` rows without a gap."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
-    from emberlake.operators.sampling import hash_order
+    from emberlake.operators.sampling import first_by_hash
 
-    sample = df.na.drop("any", subset=features).orderBy(*hash_order(keys)).limit(most).select(*[F.col(f).cast("double").alias(f) for f in features])
+    quota = df.sparkSession.range(1).select(F.lit(most).alias("_quota"))
+    sample = first_by_hash(df.na.drop("any", subset=features), [], keys, quota).select(*[F.col(f).cast("double").alias(f) for f in features])
     vectors = VectorAssembler(inputCols=features, outputCol="v").transform(sample)
     m = Correlation.corr(vectors, "v", "spearman").first()[0].toArray()
     return {(a, b): abs(float(m[i, j])) for i, a in enumerate(features) for j, b in enumerate(features)}

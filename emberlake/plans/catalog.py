@@ -901,6 +901,14 @@ def knn_impute(spark, d):
     return out
 
 
+@query(f"""WITH {PANEL}, {CLEAN}, usable AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY {_HASH.format("l_orderkey || '|' || line || '|' || part || '|' || entity")}, l_orderkey, line, part, entity) AS r,
+  count(*) OVER (PARTITION BY month) AS n, count(*) OVER () AS t FROM clean WHERE (a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT + (e IS NULL)::INT <= 1)
+SELECT l_orderkey, line, part, entity, month FROM usable WHERE r <= ceil(2000 * n / t)""")
+def donor_rows(spark, d):
+    """Donors of an imputation: rows with few gaps, in proportion to their month."""
+    return _donors(spark, d, 2000)[1].select("l_orderkey", "line", "part", "entity", "month")
+
+
 @query()
 def smote(spark, d):
     p = panel(spark, d).withColumn("rare", (F.col("part") % 97 == 5).cast("int"))
@@ -942,11 +950,51 @@ def window_embedding(spark, d):
     return embedding.embed(rows, ["city"], "hour", ["value", "n"], length=16, fitted_on=early)
 
 
-@query()
-def feature_selection(spark, d):
+_FIVE = ("a", "b", "c", "e", "a2")
+_ROW_HASH = _HASH.format("l_orderkey || '|' || line || '|' || part || '|' || entity")
+_MISS = "CASE WHEN {0} IN (-999, -9999) THEN NULL ELSE {0} END AS {1}"
+_MEAN_RANK = "(rank() OVER ({0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {2}{1}) - 1) / 2.0)::DOUBLE"
+_TRAIN = f"""train AS (SELECT l_orderkey, line, part, entity, label, {", ".join(_MISS.format("a * 2" if f == "a2" else f, f) for f in _FIVE)} FROM panel WHERE year < 2000)"""
+_PAIRS = f"""picked AS (SELECT {", ".join(_FIVE)} FROM train WHERE {" AND ".join(f"{f} IS NOT NULL" for f in _FIVE)} ORDER BY {_ROW_HASH}, l_orderkey, line, part, entity LIMIT 200000),
+ranks AS (SELECT {", ".join(f"{_MEAN_RANK.format('', f, '')} AS {f}" for f in _FIVE)} FROM picked),
+pairs AS ({" UNION ALL ".join(f"SELECT '{f}' AS f, '{g}' AS g, abs(corr({f}, {g})) AS rho FROM ranks" for f in _FIVE for g in _FIVE if f != g)})"""
+
+
+def _train(spark, d):
     p = panel(spark, d).withColumn("a2", F.col("a") * 2)
-    p = scalars.clean_missing(p, ["a", "b", "c", "e", "a2"])
-    return selection.select_features(p.where("year < 2000"), ["a", "b", "c", "e", "a2"], "label", ["l_orderkey", "line", "part"], 3)
+    return scalars.clean_missing(p, list(_FIVE)).where("year < 2000")
+
+
+@query(f"""WITH {PANEL}, {_TRAIN} SELECT f AS feature, round(avg((x IS NULL)::INT::DOUBLE), 6) AS gap_share FROM train UNPIVOT INCLUDE NULLS (x FOR f IN ({", ".join(_FIVE)})) GROUP BY f""")
+def feature_gaps(spark, d):
+    """Share of gaps of each feature in the training years."""
+    return selection.gap_shares(_train(spark, d), list(_FIVE)).select("feature", F.round("gap_share", 6).alias("gap_share"))
+
+
+@query(f"WITH {PANEL}, {_TRAIN}, {_PAIRS} SELECT f AS feature, g AS other, round(rho, 6) AS strength FROM pairs WHERE f < g")
+def feature_pairs(spark, d):
+    """How features go together, on the operator's sample of rows without a gap."""
+    found = selection.correlations(_train(spark, d), list(_FIVE), ["l_orderkey", "line", "part", "entity"])
+    rows = spark.createDataFrame([(a, b, x) for (a, b), x in found.items() if a < b], "feature string, other string, strength double")
+    return rows.withColumn("strength", F.round("strength", 6))
+
+
+@query(f"""WITH RECURSIVE {PANEL}, {_TRAIN}, {_PAIRS}, long AS (SELECT label::DOUBLE AS y, f, x FROM train UNPIVOT (x FOR f IN ({", ".join(_FIVE)})) WHERE label IS NOT NULL),
+r AS (SELECT f, y, {_MEAN_RANK.format("PARTITION BY f", "x", "f, ")} AS rx, {_MEAN_RANK.format("PARTITION BY f", "y", "f, ")} AS ry, count(*) OVER (PARTITION BY f) AS n FROM long),
+s AS (SELECT f, count(*) AS n_obs, corr(rx, ry) AS spearman FROM r GROUP BY f), c AS (SELECT f, y, least(15, floor((rx - 0.5) * 16 / n)) AS bin, count(*)::DOUBLE AS c FROM r GROUP BY ALL),
+t AS (SELECT f, c / sum(c) OVER (PARTITION BY f) * ln(c * sum(c) OVER (PARTITION BY f) / (sum(c) OVER (PARTITION BY f, bin) * sum(c) OVER (PARTITION BY f, y))) AS t FROM c),
+m AS (SELECT f, greatest(0, sum(t)) AS mi FROM t GROUP BY f), g AS (SELECT f, avg((x IS NULL)::INT::DOUBLE) AS gap_share FROM train UNPIVOT INCLUDE NULLS (x FOR f IN ({", ".join(_FIVE)})) GROUP BY f),
+scored AS (SELECT *, 0.5::DOUBLE * abs(spearman) / max(abs(spearman)) OVER () + 0.5::DOUBLE * mi / max(mi) OVER () AS score FROM s JOIN m USING (f) JOIN g USING (f)),
+ranked AS (SELECT scored.*, row_number() OVER (ORDER BY score DESC, f) AS rank, close FROM scored JOIN (SELECT f, coalesce(list(g) FILTER (rho >= 0.85), []) AS close FROM pairs GROUP BY f) USING (f)),
+walk AS (SELECT 0::BIGINT AS rank, []::VARCHAR[] AS taken, false AS redundant, false AS selected
+  UNION ALL SELECT r.rank, CASE WHEN NOT list_has_any(taken, close) AND len(taken) < 3 THEN list_append(taken, f) ELSE taken END, list_has_any(taken, close), NOT list_has_any(taken, close) AND len(taken) < 3
+  FROM walk JOIN ranked r ON r.rank = walk.rank + 1)
+SELECT f AS feature, n_obs, round(spearman, 6) AS spearman, round(mi, 6) AS mutual_information, round(gap_share, 6) AS gap_share, round(score, 6) AS score, rank::INT AS rank, redundant, selected FROM ranked JOIN walk USING (rank)""")
+def feature_selection(spark, d):
+    """The whole selection on training years: screen, both scores, ranking, greedy filter of redundant features."""
+    rows = selection.select_features(_train(spark, d), list(_FIVE), "label", ["l_orderkey", "line", "part", "entity"], 3)
+    rounded = [F.round(c, 6).alias(c) for c in ("spearman", "mutual_information", "gap_share", "score")]
+    return rows.select("feature", "n_obs", *rounded, "rank", "redundant", "selected")
 
 
 def _split(spark, d):

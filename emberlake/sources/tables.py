@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlake.operators.scans import Segments, fresh, value_hash
+from emberlake.storage import materialize
 
 
 def column_of(df: DataFrame, names: list[str], required: bool = True) -> str | None:
@@ -21,18 +22,35 @@ def column_of(df: DataFrame, names: list[str], required: bool = True) -> str | N
     return None
 
 
+def _text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, place, value`` of text files; ``place`` puts a file's lines in order, in whatever tasks they are read."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+
+
+def _first_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` lines of each file with ``nth`` from 1: only lines at the head of some block are put in order."""
+    blocks = lines.groupBy("file", "place.block").agg(F.min("place.line").alias("_first"))  # one row for each block of a file
+    heads = lines.withColumn("block", F.col("place.block")).join(blocks, ["file", "block"]).where(F.col("place.line") - F.col("_first") < n)
+    ranked = heads.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("place")))
+    return ranked.where(F.col("nth") <= n).select("file", "place", "value", "nth")
+
+
 def read_stations(spark: SparkSession, path: str, drop: tuple[str, ...] = (), encoding: str = "ISO-8859-1") -> DataFrame:
     """Station files with eight lines about the station, then a header and ``;`` rows.
 
     City, latitude and longitude stand on lines 3, 5 and 6 as ``LABEL;VALUE``. Rows with fewer fields than
     the header go; surplus fields go. Columns come back as text, with ``city``, ``lat`` and ``lon``; files may
-    have different headers, so rows are maps first and columns by the union of headers.
+    have different headers, so rows are maps first and columns by the union of headers. Files are read by
+    lines, so a large one is many tasks; a file that ends before its header adds nothing.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("t"))
-    lines = raw.select(F.split("t", r"\r?\n").alias("l"))
-    value = lambda i: F.trim(F.get(F.split(F.get("l", F.lit(i)), ";"), F.lit(1)))
-    files = lines.select(value(2).alias("city"), value(4).alias("lat"), value(5).alias("lon"), F.filter(F.transform(F.split(F.get("l", F.lit(8)), ";"), lambda c: F.trim(c)), lambda c: c != "").alias("names"), F.slice("l", 10, F.greatest(F.size("l") - 9, F.lit(0))).alias("rows"))
-    each = files.select("city", "lat", "lon", "names", F.explode(F.transform("rows", lambda r: F.split(r, ";"))).alias("v")).where(F.size("v") >= F.size("names"))
+    lines = _text_lines(spark, path).withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+    nth = lambda i: F.max(F.when(F.col("nth") == i, F.col("value")))
+    value = lambda i: F.trim(F.get(F.split(nth(i), ";"), F.lit(1)))
+    names = F.filter(F.transform(F.split(nth(9), ";"), lambda c: F.trim(c)), lambda c: c != "")
+    heads = _first_lines(lines, 9).groupBy("file").agg(value(3).alias("city"), value(5).alias("lat"), value(6).alias("lon"), names.alias("names"), F.max_by("place", "nth").alias("head"))
+    files = materialize(heads.where(F.size("names") > 0), "stations")  # one row for each file
+    each = lines.join(files, "file").where(F.col("place") > F.col("head")).withColumn("v", F.split("value", ";")).where(F.size("v") >= F.size("names"))
     named = each.select("city", "lat", "lon", F.map_from_arrays("names", F.slice("v", F.lit(1), F.size("names"))).alias("m"))
     headers = [r[0] for r in files.select(F.explode("names")).distinct().collect()]  # as many rows as columns
     return named.select("city", "lat", "lon", *[F.trim(F.col("m")[h]).alias(h) for h in sorted(headers) if h not in drop])
@@ -85,8 +103,7 @@ def read_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Empty lines, lines that repeat their file's header and records whose number of fields is not the header's are skipped;
     a file without lines adds nothing.
     """
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    lines = _text_lines(spark, path)
     files = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.min_by("value", "place").alias("head"))
     plain = lambda c: F.when(F.col("utf8"), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1"))
     files = files.select("file", "utf8", "head", F.regexp_replace(plain("head"), "^\ufeff", "").alias("header"))

@@ -234,11 +234,42 @@ def test_variations_of_an_experiment(spark, tmp_path):
     assert models.cache_key("svm", "F", "weight").startswith("svm/F/weight/")
 
 
+def test_scalars_keep_unknown_values(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(0, None, None), (1, nan, -3), (2, inf, 7), (3, 0.5, 0), (4, -inf, 1 << 40)], "id int, x double, n long")
+    x, zero = F.col("x"), F.lit(0.0)
+    row = df.select("id", scalars.sanitize(x).alias("clean"), scalars.sigmoid(x).alias("p"), scalars.haversine(x, zero, zero, zero).alias("m"), scalars.label_01(F.col("n"), "int").alias("y"))
+    out = sorted(row.collect())
+    assert [r.clean for r in out] == [None, None, 1e15, 0.5, -1e15] and [r.y for r in out] == [0, 0, 1, 0, 1]
+    assert out[0].p is None and out[1].p != out[1].p and out[2].p == pytest.approx(1) and out[0].m is None and out[1].m != out[1].m
+    assert out[3].m == pytest.approx(55597.5, rel=1e-4)
+    # gaps count as gaps in the screen, and a feature with too many goes
+    t = df.selectExpr("explode(sequence(1, 40)) AS k", "id", "n").selectExpr("k * 10 + id AS key", "CASE WHEN id = 2 THEN k END AS gappy", "double(id + k) AS full", "CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS y")
+    picked = selection.select_features(t, ["gappy", "full"], "y", ["key"], 2)
+    assert [(r.feature, r.gap_share) for r in picked.collect()] == [("full", 0.0)]
+
+
 def test_sources(spark, tmp_path):
     head = "REGIAO;CO\r\nUF;GO\r\nESTACAO;São João\r\nCODIGO;A1\r\nLATITUDE;-15,5\r\nLONGITUDE;-47,1\r\nALT;1\r\nFUND;2000\r\nData;Hora;Chuva;\r\n"
     (tmp_path / "a.csv").write_bytes((head + "2020/01/01;0100 UTC;1,5;\r\n2020/01/01;0200 UTC;-9999;\r\nbad\r\n").encode("latin1"))
     rows = tables.read_stations(spark, str(tmp_path / "a.csv")).orderBy("Hora").collect()
     assert [(r.city, r.lat, r.Chuva) for r in rows] == [("São João", "-15,5", "1,5"), ("São João", "-15,5", "-9999")]
+    (tmp_path / "st").mkdir()
+    days = "".join(f"2020/01/{i % 28 + 1:02d};{i % 24:02d}00 UTC;{i};\r\n" for i in range(3000))
+    (tmp_path / "st" / "big.csv").write_bytes((head.replace("São João", "Ipê") + days).encode("latin1"))
+    (tmp_path / "st" / "other.csv").write_bytes((head.replace("Chuva", "Vento") + "2020/01/01;0100 UTC;7;\r\n").encode("latin1"))
+    (tmp_path / "st" / "short.csv").write_bytes(head[:40].encode("latin1"))
+    (tmp_path / "st" / "empty.csv").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")  # a header then stands in several blocks
+    try:
+        rows = tables.read_stations(spark, str(tmp_path / "st"), drop=("Hora",))
+        assert set(rows.columns) == {"city", "lat", "lon", "Data", "Chuva", "Vento"} and rows.rdd.getNumPartitions() > 4
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(int(r.Chuva) for r in got if r.city == "Ipê") == list(range(3000))
+    assert [(r.city, r.Chuva, r.Vento) for r in got if r.city != "Ipê"] == [("São João", None, "7")]
     (tmp_path / "e.csv").write_bytes("Municipio,FRP\nGoiânia,1.5\nbad\n".encode("latin1"))
     (tmp_path / "f.csv").write_bytes("Municipio,FRP,Id\nBrasília,2,7\n".encode())
     ev = tables.read_events(spark, [str(tmp_path / "e.csv"), str(tmp_path / "f.csv")])
