@@ -6,6 +6,7 @@ from emberlake.llm import conversation_repair, fingerprints, fixity, jaccard_joi
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op1_second_visit": secret_scan.op1_second_visit,
     "op2_fingerprint": fingerprints.op2_fingerprint,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_mix_sources": mixing.op4_mix_sources,
@@ -23,6 +24,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_scan.SQL,
+    "op1_second_visit": secret_scan.SECOND_SQL,
     "op3_jaccard_join": jaccard_join.SQL,
     "op4_mix_sources": mixing.SQL,
     "op6_warc_fixity": fixity.SQL,

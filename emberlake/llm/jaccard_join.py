@@ -1,7 +1,8 @@
 """Exact N-gram Jaccard join with set-relation skipping.
 
 Documents are sets of 64-bit hashes of word shingles, found with numpy for a batch of texts at once.
-Equal sets are one set, named by its size and the hash of its members, so copies never enter the join.
+Equal sets are one set, so copies never enter the join. A set goes by a 64-bit name; a second one tells
+unlike sets apart whose first names agree, and such sets go by the second one.
 All sets put their members into one order, rare ones first (a fixed-size sketch counted over all
 documents decides), and only the first members, the prefix, go to the index: two sets above the
 threshold share one of those.
@@ -120,14 +121,41 @@ def shingle_sets(texts, width: int = SHINGLE) -> list:
     return [s for at, n in slices(texts, CHUNK) for s in _sets_of(texts.slice(at, n), width)]
 
 
-def set_id(members) -> int:
-    """A name for a set that does not depend on order; equal sets have equal names and sizes."""
+def set_names(members, bits: int = 64) -> tuple[int, int]:
+    """Two names for a set that do not depend on order, found apart from each other; equal sets have equal ones.
+
+    The first one keeps ``bits`` bits (tests take few, so that it fails to tell sets apart).
+    """
     import numpy as np
 
     from emberlake.llm.hashing import mix
 
     total = mix(members + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
-    return int(mix(np.array([total ^ np.uint64(len(members))]))[0].astype(np.int64))
+    other = mix(members ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)
+    both = mix(np.array([total ^ np.uint64(len(members)), other + np.uint64(len(members))])).astype(np.int64)
+    return int(both[0]) >> (64 - bits), int(both[1])
+
+
+def set_id(members, renamed: dict, bits: int = 64) -> int:
+    """The name under which a set enters the join: its first one, unless an unlike set has that too."""
+    first, second = set_names(members, bits)
+    return renamed.get((first, second), first) if renamed else first
+
+
+def _renamed(named: DataFrame) -> dict:
+    """Other names for unlike sets that share a first name, by both of theirs.
+
+    Among ``n`` distinct sets some n * n / 2 ** 65 pairs are to be expected, so next to none is collected.
+    """
+    shared = named.where("n > 0").groupBy("sid").agg(F.min("also").alias("least"), F.max("also").alias("most")).where("least <> most").select("sid")
+    rows = named.join(shared, "sid").groupBy("sid", "also").agg(F.min("n").alias("n")).toArrow().to_pylist()
+    if not rows:
+        return {}
+    by_name: dict[int, list[int]] = {}
+    for r in rows:
+        by_name.setdefault(r["sid"], []).append(r["also"])
+    # the least second name keeps the first name; the others are known by their second one
+    return {(sid, also): also for sid, all_ in by_name.items() for also in sorted(all_)[1:]}
 
 
 def _packed(counts) -> bytes:
@@ -151,14 +179,14 @@ def _unpacked(raw: bytes, n: int):
     return out
 
 
-def _survey(bits: int):
+def _survey(bits: int, name_bits: int):
     def run(batches):
         """Sizes and names of sets, and at the end the task's sketch of member counts."""
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("doc", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("sid", pa.int64()), ("slice", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
+        schema = pa.schema([("doc", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("sid", pa.int64()), ("also", pa.int64()), ("slice", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
         sketch = np.zeros(1 << bits, np.uint16)
         shift = np.uint64(64 - bits)
         for batch in batches:
@@ -167,11 +195,12 @@ def _survey(bits: int):
                 slot, more = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
                 sketch[slot] = np.minimum(sketch[slot] + more, 65535)
                 none = [None] * k
-                yield pa.RecordBatch.from_pydict({"doc": batch.column(0).slice(at, k), "digest": batch.column(2).slice(at, k), "n": [len(s) for s in sets], "sid": [set_id(s) for s in sets], "slice": none, "task": none, "counts": none}, schema=schema)
+                names = [set_names(s, name_bits) for s in sets]
+                yield pa.RecordBatch.from_pydict({"doc": batch.column(0).slice(at, k), "digest": batch.column(2).slice(at, k), "n": [len(s) for s in sets], "sid": [a for a, _ in names], "also": [b for _, b in names], "slice": none, "task": none, "counts": none}, schema=schema)
         none = [None] * SLICES
         packed = [_packed(x) for x in sketch.reshape(SLICES, -1)]
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"doc": none, "digest": none, "n": none, "sid": none, "slice": list(range(SLICES)), "task": [task] * SLICES, "counts": packed}, schema=schema)
+        yield pa.RecordBatch.from_pydict({"doc": none, "digest": none, "n": none, "sid": none, "also": none, "slice": list(range(SLICES)), "task": [task] * SLICES, "counts": packed}, schema=schema)
 
     return tidy(run)
 
@@ -211,7 +240,7 @@ ENTRY = [("token", "<u4"), ("sid", "<i8"), ("size", "<u4"), ("place", "<u2")]
 SPREAD = 1 << 31  # marks members that are spread over buckets
 
 
-def _postings(commonness, bits: int, buckets: int):
+def _postings(commonness, bits: int, buckets: int, name):
     """Index entries of each task, packed by bucket."""
 
     def pack(held):
@@ -247,7 +276,7 @@ def _postings(commonness, bits: int, buckets: int):
         for batch in batches:
             for at, k in slices(batch.column(1), CHUNK):
                 for s in _sets_of(batch.column(1).slice(at, k), SHINGLE):
-                    if not len(s) or (sid := set_id(s)) in seen:
+                    if not len(s) or (sid := name(s)) in seen:
                         continue
                     seen.add(sid)
                     p = prefix_size(len(s))
@@ -498,7 +527,7 @@ def _digest(text: str) -> Column:
     return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
-def _members(wanted, bits: int):
+def _members(wanted, bits: int, name):
     """Sets of documents whose ids are on the map, with their members; a task tells each set once."""
 
     def run(batches):
@@ -512,7 +541,7 @@ def _members(wanted, bits: int):
             slot = batch.column(0).to_numpy() % (1 << bits)
             kept = batch.column(1).filter(pa.array((filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
             for at, k in slices(kept, CHUNK):
-                new = {sid: s for s in _sets_of(kept.slice(at, k), SHINGLE) if len(s) and (sid := set_id(s)) not in seen}
+                new = {sid: s for s in _sets_of(kept.slice(at, k), SHINGLE) if len(s) and (sid := name(s)) not in seen}
                 seen.update(new)
                 yield pa.RecordBatch.from_pydict({"sid": list(new), "members": [s.tobytes() for s in new.values()]}, schema=schema)
 
@@ -533,22 +562,28 @@ def _id_map(spark, carriers: DataFrame, rows: int):
     return spark.sparkContext.broadcast(bitmap.view(np.uint8).tobytes()), bits
 
 
-def linked_sets(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked_sets(source: DataFrame, name_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Of rows ``doc, text, digest``: each row's ``doc, digest, n, sid``, and ``node, root`` of linked set ids."""
     spark = source.sparkSession
     small_batches(spark)
     size = source.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     least, most = SKETCH_BITS
     bits = min(most, max(least, (size // (5 * PER_COUNTER)).bit_length()))
-    survey = materialize(source.select("doc", "text", "digest").mapInArrow(_survey(bits), "doc long, digest string, n long, sid long, slice int, task long, counts binary"), "survey")
-    named = survey.where("slice IS NULL").select("doc", "digest", "n", "sid")
+    survey = materialize(source.select("doc", "text", "digest").mapInArrow(_survey(bits, name_bits), "doc long, digest string, n long, sid long, also long, slice int, task long, counts binary"), "survey")
+    named = survey.where("slice IS NULL").select("doc", "digest", "n", "sid", "also")
+    renamed = _renamed(named)
+    name_of = lambda s: set_id(s, renamed, name_bits)
+    name = F.col("sid")
+    for (first, second), other in renamed.items():
+        name = F.when((F.col("sid") == first) & (F.col("also") == second), F.lit(other)).otherwise(name)
+    named = named.select("doc", "digest", "n", name.alias("sid"))
     prefix = F.col("n") - F.ceil(NUM * F.col("n") / DEN) + 1
     tasks, entries, rows = survey.agg(F.max("task"), F.sum(prefix), F.count("n")).first()
     commonness = spark.sparkContext.broadcast(_commonness(survey.where("slice IS NOT NULL"), (tasks or 0) + 1, bits))
 
     width = shuffle_width(spark)
     buckets = max(width, -(-(entries or 0) // BUCKET))
-    packed = source.select("doc", "text").mapInArrow(_postings(commonness, bits, buckets), "bucket long, entries binary")
+    packed = source.select("doc", "text").mapInArrow(_postings(commonness, bits, buckets, name_of), "bucket long, entries binary")
     lists = materialize(packed.groupBy("bucket").applyInPandas(_lists, _LISTS), "lists")
     pairs = materialize(lists.where("list = -1").select(F.least("sid", "other").alias("x"), F.greatest("sid", "other").alias("y")).distinct(), "pairs")
     longer = lists.where("list >= 0").select("bucket", "list", "sid", "size", "place")
@@ -562,7 +597,7 @@ def linked_sets(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     carriers = materialize(named.groupBy("sid").agg(F.min("doc").alias("doc"), F.min("n").alias("n")).join(candidates, "sid"), "carriers")
     blobs = carriers.agg(F.sum("n")).first()[0] or 0
     wanted, id_bits = _id_map(spark, carriers, rows)
-    found = source.select("doc", "text").mapInArrow(_members(wanted, id_bits), "sid long, members binary")
+    found = source.select("doc", "text").mapInArrow(_members(wanted, id_bits, name_of), "sid long, members binary")
     parts = max(width, -(-8 * blobs // BLOB))
     found = found.repartition(parts, "sid").join(carriers.select("sid").hint("shuffle_hash"), "sid", "left_semi")
     sets, forget = bucketed(found.dropDuplicates(["sid"]), "sets", "sid", parts)
@@ -605,9 +640,9 @@ def linked_sets(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, final
 
 
-def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", name_bits: int = 64) -> DataFrame:
     """``doc, n_shingles, component`` for each row; linked documents share the smallest id of theirs."""
-    named, final = linked_sets(docs.select(_id(doc).alias("doc"), F.col(text).alias("text"), F.lit(None).cast("string").alias("digest")))
+    named, final = linked_sets(docs.select(_id(doc).alias("doc"), F.col(text).alias("text"), F.lit(None).cast("string").alias("digest")), name_bits)
     own = F.when(F.col("doc") != NO_ID, F.col("doc"))
     of_set = named.where("n > 0").groupBy("sid").agg(F.min(own).alias("doc")).join(final.withColumnRenamed("node", "sid"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "sid", "doc")
     least = of_set.groupBy("root").agg(F.min("doc").alias("component"))
@@ -626,7 +661,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: its smallest id, then the smallest SHA-256 of a text.
 
     A row is named by id and text, so texts that share an id, or have none, are decided each on its own;
-    rows that repeat an id and text are copies. All columns stay; empty texts stay.
+    rows that repeat an id and text are copies, of which the least by the other columns stays. All columns stay; empty texts stay.
     """
     named, final = linked_sets(docs.select(_id("doc_id").alias("doc"), "text", _digest("text").alias("digest")))
     name = F.struct("doc", "digest")
@@ -636,7 +671,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     key, text, own, digest = unused(docs, "_key", "_text", "_doc", "_digest")
     keep = keep.select(F.col("name.doc").alias(own), F.col("name.digest").alias(digest))
     joined = docs.withColumns({key: _id("doc_id"), text: _digest("text")}).join(keep.hint("shuffle_hash"), (F.col(key) == F.col(own)) & (F.col(text) == F.col(digest)), "left_semi")
-    once = joined.select(key, text, F.struct(*docs.columns).alias("row")).groupBy(key, text).agg(F.first("row").alias("row"))
+    # rows of one id and text may differ elsewhere: the least row stays (maps have no order and are passed over)
+    order = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    row = F.min_by("row", F.struct(*[F.col("row")[c] for c in order])) if order else F.first("row")
+    once = joined.select(key, text, F.struct(*docs.columns).alias("row")).groupBy(key, text).agg(row.alias("row"))
     return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -168,20 +168,48 @@ def _written(spans: Column) -> Column:
 BASE_KINDS = ("assign", "access", "hex")
 
 
-def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """Scan all documents with an empty ledger and return each document's spans and digests."""
-    paths, _, findings = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rows = by_path(paths, findings)
+def _report(rows: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    more = [c for c in rows.columns if c not in ("path", "blob_id", "spans")]
     return rows.select(
         F.col("path").alias("doc_id"),
         *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(_written(base), 256).alias("base_sha256"),
         _written(F.col("spans")).alias("spans"),
+        *more,
     )
 
 
+def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Scan all documents with an empty ledger and return each document's spans and digests."""
+    paths, _, findings = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return _report(by_path(paths, findings))
+
+
+def _next_version(docs: DataFrame) -> DataFrame:
+    """What the documents are at the next visit: every fifth is another file's text, every seventh has a line more, others stay."""
+    d = F.col("doc_id")
+    line = F.concat(F.lit("\napi_key = changed"), d.cast("string"), F.lit("000"))
+    text = F.when(d % 7 == 0, F.concat(F.coalesce("text", F.lit("")), line)).otherwise(F.col("text"))
+    return docs.select(F.when(d % 5 == 0, d + 1_000_000_000).otherwise(d).alias("doc_id"), text.alias("text"))
+
+
+def op1_second_visit(spark, sf_dir: str) -> DataFrame:
+    """Scan all documents, then their next version with the ledger of the first scan.
+
+    ``rescanned`` tells rows whose text the ledger did not know: only those were scanned again, moved ones were not.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    _, seen, known = scan(docs)
+    seen = materialize(seen, "ledger")
+    paths, _, findings = scan(_next_version(docs), (seen, known))
+    rows = by_path(paths, findings)
+    had = seen.groupBy("blob_id").agg(F.count(F.lit(1)).alias("had"))
+    told = rows.join(had, "blob_id", "left").withColumn("rescanned", F.coalesce("had", F.lit(0)) < len(RULES)).drop("had")
+    return _report(told)
+
+
 def redact(docs: DataFrame, *, mask: str = "[SECRET]") -> DataFrame:
     """Replace every finding in ``text`` by ``mask`` and bring ``n_chars`` up to date; no row is lost.
 
@@ -206,7 +234,7 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]") -> DataFrame:
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
-def _sql() -> str:
+def _sql(source: str = "documents", more: str = "") -> str:
     parts = []
     for i, r in enumerate(RULES):
         p = r.pattern.replace("'", "''")
@@ -217,7 +245,7 @@ def _sql() -> str:
                  list_transform(regexp_split_to_array(t, '{p}'), lambda x: length(x)) AS g
           FROM texts)""")
     return f"""
-    WITH texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+    WITH texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM {source}),
     matches AS ({" UNION ALL ".join(parts)}),
     spans AS (
       SELECT t, kind, rank, list_sum(g[1:i]) + coalesce(list_sum(m[1:i-1]), 0) AS s, m[i] AS size
@@ -229,9 +257,13 @@ def _sql() -> str:
              count(*) FILTER (kind = 'hex') AS n_hex
       FROM spans GROUP BY t)
     SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
-           coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-    FROM documents LEFT JOIN joined ON t = coalesce(text, '')
+           coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans{more}
+    FROM {source} LEFT JOIN joined ON t = coalesce(text, '')
     """
 
 
 SQL = _sql()
+
+_NEXT = r"""(SELECT CASE WHEN doc_id % 5 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id,
+CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || chr(10) || 'api_key = changed' || doc_id || '000' ELSE text END AS text FROM documents) AS later"""
+SECOND_SQL = _sql(_NEXT, ", coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM documents) AS rescanned")

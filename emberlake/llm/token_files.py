@@ -2,16 +2,16 @@
 
 A shard is three files in the shared folder: ``.bin`` (ids, little-endian uint16, or uint32 for large
 vocabularies), ``.idx`` (int64 offsets of documents in ids, one more than documents) and ``.doc``
-(int64 document ids). Documents are range-partitioned, so shard after shard they ascend; a shard's
-place in the whole corpus is its base, a prefix sum over shards. A task that runs again writes files
+(int64 document ids). Documents are range-partitioned by id and a hash of the text, so shard after shard
+they ascend and rows of one id, or of none, are several shards; a shard's place in the whole corpus is its base, a prefix sum over shards. A task that runs again writes files
 of new names, and only files named in the written manifest count.
 
 The unindexed form is a ``.bin`` alone: documents end where the end-of-document id stands. Its
 counts come from a separator scan (``scan_separators``).
 
 Defined cases: a null or empty text is its end id alone; a null document id is stored as the least
-int64 and sorts first; repeated rows are written as often as they occur, ties in text order; an empty
-table gives no rows; other columns of the input are not read.
+int64 and sorts first; repeated rows are written as often as they occur, rows of one id in the order of a
+hash of their texts; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -87,8 +87,9 @@ def write_files(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tok
                 n_ids += len(flat)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    ranged = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange(shuffle_width(spark), F.col("d").asc_nulls_first())
-    shards = materialize(ranged.sortWithinPartitions(F.col("d").asc_nulls_first(), "t").mapInArrow(tidy(write, True), "shard long, path string, n_docs long, n_ids long"), "manifest")
+    order = [F.col("d").asc_nulls_first(), F.xxhash64("t").asc(), F.col("t").asc_nulls_first()]
+    ranged = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange(shuffle_width(spark), *order[:2])
+    shards = materialize(ranged.sortWithinPartitions(*order).mapInArrow(tidy(write, True), "shard long, path string, n_docs long, n_ids long"), "manifest")
     shards = shards.withColumn("dtype", F.lit(dtype))
     # one row for each shard
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,7 +130,7 @@ def op7_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFra
 
 
 def write_flat(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str, joins_space: bool = True, end: int, dtype: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Write flat files without an index, each task its own rows in their order: no shuffle.
+    """Write flat files without an index, each task its own rows in their order: no shuffle. A name begins with its task's number.
 
     Returns ``(files, docs)``: ``path, n_ids`` and, to name the documents afterwards, ``path, nth, doc_id``.
     """
@@ -139,9 +140,10 @@ def write_flat(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", toke
 
     def write(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/{uuid.uuid4().hex}.bin"
+        path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         n_docs = n_ids = 0
         with open(path, "wb") as f:
             for ids, flat, _ in _batches(batches, tokenizer, joins_space, end):
@@ -205,8 +207,8 @@ END_OF_TEXT = 50256  # of byte_bpe_50k; special strings are ordinary text here,
 
 
 def op8_token_counts(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Token counts of all documents (end id included) from flat unindexed files."""
+    """Token counts of all documents (end id included) from flat unindexed files; ``file`` is the number of the task that wrote it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files, names = write_flat(docs, tokenizer=tokenizer or bpe.tokenizer_path("byte_bpe_50k.json"), end=END_OF_TEXT)
     counts = scan_separators(files, end=END_OF_TEXT)
-    return names.join(counts, ["path", "nth"]).select("doc_id", "n_tokens", F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "start")
+    return names.join(counts, ["path", "nth"]).select("doc_id", "n_tokens", F.regexp_extract("path", "([0-9]+)-[^/]*$", 1).cast("long").alias("file"), "start")

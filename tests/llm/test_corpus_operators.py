@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlake.llm import bpe, fingerprints, fixity, jaccard_join, mixing, packing, quality_rules, secret_scan, token_files, toxicity
+from emberlake.llm.hashing import span_hashes
 
 EDGE = [None, "", " ", "\n\n", "a", "a b c", "one two three four five", "Ünï ﬁ ẞ\t x", "x" * 5000, "w " * 3000, "token=abcdefgh1 token=abcdefgh1", "😀 " * 10, "\x00nul", "a b c"]
 
@@ -277,7 +279,7 @@ def test_hashes_tell_words_apart_that_polynomials_confuse():
         for n in (1024, 2048, 4096):
             h = span_hashes(units, np.array([0, 4096, 0]), np.array([n, 4096 + n, n]))
             assert h[0] != h[1] and h[0] == h[2]
-    assert jaccard_join.set_id(jaccard_join.shingle_sets([word.decode()])[0]) != jaccard_join.set_id(jaccard_join.shingle_sets([other.decode()])[0])
+    assert not set(jaccard_join.set_names(jaccard_join.shingle_sets([word.decode()])[0])) & set(jaccard_join.set_names(jaccard_join.shingle_sets([other.decode()])[0]))
 
 
 def test_join_edge_cases(spark, edge, none):
@@ -307,6 +309,23 @@ def test_near_duplicate_stage_names_rows_by_id_and_text(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_unlike_sets_of_one_name(spark, bits):
+    """Exact although (nearly) all sets share a first name."""
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base, base + " more", base.replace("w30", "x"), "w0 w1 w2 w3 w4 w5", "w0 w1 w2 w3 w4 w5 w6", "quite another text of some words", base, "", None, "one", "one two"]
+    got = {r.doc: (r.n_shingles, r.component) for r in jaccard_join.jaccard_components(secret_docs(spark, texts).repartition(3), name_bits=bits).collect()}
+    assert got == {r.doc: (r.n_shingles, r.component) for r in jaccard_join.jaccard_components(secret_docs(spark, texts)).collect()}
+    assert got[1][1] == got[2][1] == got[6][1] == 0 and got[5][1] == 5 and got[3][1] == 3
+
+
+def test_the_least_of_equal_rows_stays(spark):
+    text = "some words that are the same in all of these rows"
+    rows = [(1, text, s, {"k": i}) for i, s in enumerate(["d", "b", None, "c"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string, int>").repartition(4)
+    assert [(r.source, r.extra) for r in jaccard_join.one_of_each(docs).collect()] == [(None, {"k": 2})]
+
+
 # --- 4 ---
 
 
@@ -347,6 +366,58 @@ def test_mix_without_ids_and_with_copies(spark):
 # --- 5 ---
 
 
+def plain_toxicity(model: dict, text: str | None) -> float:
+    """The network's score of one text, word by word and step by step in plain Python."""
+    w = {k: v.astype(float).tolist() for k, v in model["w"].items()}
+    logistic = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+    times = lambda v, m: [sum(a * row[j] for a, row in zip(v, m)) for j in range(len(m[0]))]
+
+    def layer(name, steps):
+        h = len(w[name + ".v"])
+        states = []
+        for u, at, backward in ((w[name + ".uf"], 0, False), (w[name + ".ub"], 3 * h, True)):
+            state, line = [0.0] * h, []
+            for x in reversed(steps) if backward else steps:
+                x = [a + b for a, b in zip(times(x, w[name + ".in"]), w[name + ".b"])][at : at + 3 * h]
+                a = times(state, u)
+                z, r = ([logistic(x[i + j] + a[i + j]) for j in range(h)] for i in (0, h))
+                new = [math.tanh(x[2 * h + j] + r[j] * a[2 * h + j]) for j in range(h)]
+                state = [(1 - z[j]) * new[j] + z[j] * state[j] for j in range(h)]
+                line.append(state)
+            states.append(line[::-1] if backward else line)
+        if not steps:
+            return [0.0] * (2 * h)
+        both = [f + b for f, b in zip(*states)]
+        e = [sum(v * math.tanh(x + c) for v, x, c in zip(w[name + ".v"], times(s, w[name + ".att"]), w[name + ".ab"])) for s in both]
+        p = [math.exp(x - max(e)) for x in e]
+        return [sum(q * s[j] for q, s in zip(p, both)) / sum(p) for j in range(2 * h)]
+
+    words = [v[i : i + toxicity.WORD] for v in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower()) for i in range(0, len(v), toxicity.WORD)]
+    vectors = []
+    for v in words:
+        codes = np.array([ord(c) for c in v], np.uint32)
+        bucket = int(span_hashes(codes, np.array([0]), np.array([len(codes)]))[0] % np.uint64(toxicity.BUCKETS))
+        letters = [w["letters"][c if c < 128 else 128 + c % 128] for c in map(ord, v)]
+        vectors.append(layer("chars", letters) + w["lexicon"][bucket])
+    logits = []
+    for at in range(0, max(1, len(words) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE):
+        pooled = layer("words", vectors[at : at + toxicity.WINDOW])
+        logits.append(max(-20.0, min(20.0, sum(a * b for a, b in zip(pooled, w["out"])) + w["bias"][0])))
+    features = max(logits), math.log1p(sum(map(logistic, logits)))
+    return logistic(sum(a * b for a, b in zip(model["slope"], features)) + model["shift"])
+
+
+def test_toxicity_equals_plain_network(spark):
+    texts = [f"{'vile' if i % 2 else 'mild'} words number {i} and {'x' * i} more" for i in range(60)]
+    model = toxicity.fit(texts, [i % 2 for i in range(60)], 0.4, rounds=2)
+    some = [None, "", " \t\n", "Vile", "é" * 50 + " ΑΒΓ 漢字 \U0001f600", "word " * 16, "word " * 17, "a b c " * 49, "\u00a0vile\u2003mild " * 40, *texts[:4]]
+    rows = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(some)], "doc_id long, text string").repartition(3), model).collect()
+    assert {r.doc_id for r in rows} == set(range(len(some)))
+    for r in rows:
+        assert r.score == pytest.approx(plain_toxicity(model, some[r.doc_id]), abs=2e-4), some[r.doc_id]
+
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(seed=1)
@@ -597,6 +668,24 @@ def test_long_texts_are_cut_where_no_part_crosses(monkeypatch):
     assert flat[counts[0] : counts[0] + counts[1]].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids + [0]
 
 
+def test_token_files_split_one_id(spark):
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    rows = [(None, f"text number {i}") for i in range(3000)] + [(5, "a b"), (5, "c d"), (4, None)]
+    manifest = token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer=path).cache()
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 2000  # rows without an id are several shards
+    got = sorted(token_files.read_files(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 3000 + [4, 5, 5]
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    manifest.unpersist()
+
+
+def test_token_queries_on_an_empty_table(spark, tmp_path, none):
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (token_files.op7_token_files, token_files.op8_token_counts, packing.op9_best_fit_packing, secret_scan.op1_second_visit):
+        assert query(spark, str(tmp_path)).count() == 0, query.__name__
+
+
 def test_token_files_round_trip(spark, none):
     docs = secret_docs(spark, TEXTS).repartition(3)
     path = bpe.tokenizer_path("byte_bpe_50k.json")
