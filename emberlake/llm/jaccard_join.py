@@ -130,16 +130,25 @@ def set_names(members, bits: int = 64) -> tuple[int, int]:
 
     from emberlake.llm.hashing import mix
 
-    total = mix(members + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
     other = mix(members ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)
-    both = mix(np.array([total ^ np.uint64(len(members)), other + np.uint64(len(members))])).astype(np.int64)
-    return int(both[0]) >> (64 - bits), int(both[1])
+    return first_name(members, bits), int(mix(np.array([other + np.uint64(len(members))]))[0].astype(np.int64))
+
+
+def first_name(members, bits: int = 64) -> int:
+    import numpy as np
+
+    from emberlake.llm.hashing import mix
+
+    total = mix(members + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
+    return int(mix(np.array([total ^ np.uint64(len(members))]))[0].astype(np.int64)) >> (64 - bits)
 
 
 def set_id(members, renamed: dict, bits: int = 64) -> int:
     """The name under which a set enters the join: its first one, unless an unlike set has that too."""
+    if not renamed:
+        return first_name(members, bits)
     first, second = set_names(members, bits)
-    return renamed.get((first, second), first) if renamed else first
+    return renamed.get((first, second), first)
 
 
 def _renamed(named: DataFrame) -> dict:
