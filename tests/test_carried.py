@@ -95,3 +95,33 @@ def test_late_rows_are_left_out_and_others_wait(spark, tmp_path):
     marks, close = carried.closing(spark)
     closed = carried.replay(carried.feature_stream(src, "k", "t", "v", alpha=0.5, lag=1, delay="10 hours", marks=marks), "closed", close)
     assert [(r.v, r.lagged) for r in closed.orderBy("t").collect()] == [(0.0, None), (10.0, 0.0), (19.0, 10.0), (20.0, 19.0)]
+
+
+def test_places_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    import compare
+    import duckdb
+
+    from emberlake.plans import catalog
+
+    # means that end in half a thousandth: sums of fractions fall to either side of it
+    rng = np.random.default_rng(9)
+    rows = []
+    for s in range(200):
+        for y in range(1995, 1999):
+            d = rng.integers(0, 11, 40)
+            while d.sum() % 4 != 2:
+                d = rng.integers(0, 11, 40)
+            rows += [(s, dt.datetime(y, 1, 1), int(c) / 100, int(c) / 200 if c % 2 == 0 else 0.01) for c in d]
+    want = {}
+    for s, t, a, b in rows:
+        n, p, q = want.get((s, t.year), (0, 0, 0))
+        want[s, t.year] = (n + 1, p + round(a * 100), q + round(b * 100))
+    want = {k: (-15 + (20 * p + n) // (2 * n) / 10000, -47 + (20 * q + n) // (2 * n) / 10000) for k, (n, p, q) in want.items()}
+    names = "l_suppkey long, l_shipdate timestamp, l_discount double, l_tax double"
+    for i in range(2):
+        order = rng.permutation(len(rows))
+        spark.createDataFrame([rows[j] for j in order], names).coalesce(1 + i).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        assert {(r.station, r.year): (r.lat, r.lon) for r in catalog._yearly_places(spark, f"{tmp_path}/{i}").collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/1/lineitem.parquet/*.parquet')")
+    assert compare.compare(catalog.QUERIES["drift"](spark, f"{tmp_path}/0"), con, catalog.ORACLE_SQL["drift"]) == ""
