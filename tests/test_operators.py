@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -410,3 +411,20 @@ def test_reports_of_empty_tables(spark):
     assert joins.pair_report(df, df, ["k"]).first()[:] == (0, 0, 0)
     assert joins.propagate_report(df, df, ["k"], ["lat"], [F.col("o")]).first()[:] == (0, 0, 0)
     assert profiles.station_years(df, ["k"], "lat", "lon", "c", ["o"]).count() == 0
+
+
+def test_nearest_mutual_information_deals_points_once(spark):
+    rng = np.random.default_rng(8)
+    y = rng.choice(4, 6000, p=[0.6, 0.39, 0.009, 0.001])
+    a, b = np.round(rng.normal(size=6000) + y, 1), np.where(rng.random(6000) < 0.2, np.nan, rng.random(6000) ** 3)
+    df = spark.createDataFrame([(i % 5900, float(u), float(v), int(c)) for i, (u, v, c) in enumerate(zip(a, b, y))], "id int, a double, b double, y int")
+    whole, parts = ({r.feature: r.mutual_information for r in stats.nearest_mutual_information(df, ["a", "b"], "y", ["id"], rows=n).collect()} for n in (1_000_000, 150))
+    assert all(abs(whole[f] - parts[f]) < 1e-9 for f in "ab") and whole["a"] > 0.1
+    # no table of all points is written: the files are those of distinct values and open rows
+    from emberlake.storage import shared_root
+
+    root = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    stats.nearest_mutual_information(df, ["a", "b"], "y", ["id"], rows=1500).collect()
+    written = [spark.read.parquet(f"{root}/{n}").count() for n in set(os.listdir(root)) - before]
+    assert max(written) < 2 * 6000
