@@ -152,8 +152,10 @@ def years_in_names(spark: SparkSession, path: str, pattern: str = r"(\d{4})") ->
 
 def chosen_years(one: DataFrame, two: DataFrame, least: int, wanted: list[int] | None = None) -> DataFrame:
     """Years that both sources have, from ``least`` on, and among the ``wanted`` ones if any are named."""
-    both = one.select("year").intersect(two.select("year")).where(F.col("year") >= least)
-    return both.where(F.col("year").isin(wanted)) if wanted else both
+    keep = (F.col("year") >= least) & F.col("year").isin(wanted) if wanted else F.col("year") >= least
+    # years are counted together before they are dealt out: few rows meet, however many the sources have
+    seen = [d.select("year").where(keep).groupBy("year").agg(F.lit(True).alias(name)) for d, name in ((one, "_one"), (two, "_two"))]
+    return seen[0].join(seen[1], "year").select("year")
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
