@@ -428,3 +428,13 @@ def test_nearest_mutual_information_deals_points_once(spark):
     stats.nearest_mutual_information(df, ["a", "b"], "y", ["id"], rows=1500).collect()
     written = [spark.read.parquet(f"{root}/{n}").count() for n in set(os.listdir(root)) - before]
     assert max(written) < 2 * 6000
+
+
+def test_rows_are_not_dealt_out_by_a_few_groups(spark):
+    df = spark.range(2_000_000).selectExpr("id", "id % 3 AS g", "id AS x", "id AS y")
+    quotas = df.groupBy("g").agg((F.count(F.lit(1)) - F.count(F.lit(1)) + 5).alias("_quota"))
+    assert "SortMergeJoin" not in sampling.first_by_hash(df, ["g"], ["id"], quotas)._jdf.queryExecution().executedPlan().toString()
+    years = spark.range(50).selectExpr("CAST(1990 + id % 5 AS INT) AS year")
+    both = tables.chosen_years(years, years.where("year <> 1992"), 1991, [1992, 1993, 1994])
+    assert sorted(r.year for r in both.collect()) == [1993, 1994]
+    assert "Aggregate" in both._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
