@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from emberlake.functions import scalars, text
 from emberlake.operators import embedding, forecast, joins, models, profiles, sampling, selection, series, stats
 from emberlake.sources import tables
+from emberlake.storage import shared_root
 
 
 def T(h):
@@ -438,3 +440,37 @@ def test_rows_are_not_dealt_out_by_a_few_groups(spark):
     both = tables.chosen_years(years, years.where("year <> 1992"), 1991, [1992, 1993, 1994])
     assert sorted(r.year for r in both.collect()) == [1993, 1994]
     assert "Aggregate" in both._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+
+
+def test_cleaning_of_numbers_does_not_go_through_text(spark):
+    df = spark.createDataFrame([(1.5, 7, "1,5"), (-999.0, -9999, "-999"), (float("nan"), None, " "), (float("inf"), 0, "x"), (0.1 + 0.2, 3, "2")], "x double, n int, s string")
+    clean = scalars.clean_missing(df, ["x", "n", "s"])
+    assert [tuple(r) for r in clean.collect()] == [(1.5, 7.0, 1.5), (None, None, None), (None, None, None), (float("inf"), 0.0, None), (0.1 + 0.2, 3.0, 2.0)]
+    plan = scalars.clean_missing(df, ["x", "n"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string" not in plan
+
+
+def test_hash_samples_read_their_table_three_times(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "id % 3 AS g").write.parquet(f"{tmp_path}/t")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.read.parquet(f"{tmp_path}/t").mapInPandas(count, "id long, g long")
+    quotas = spark.createDataFrame([(0, 700), (1, 0), (2, 9_000_000)], "g long, _quota long")
+    got = sampling.first_by_hash(df, ["g"], ["id"], quotas).toPandas()
+    assert seen.value <= 4 * 20_000
+    order = sorted(range(0, 20_000, 3), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+    assert set(got[got.g == 0].id) == set(order[:700]) and (got.g == 1).sum() == 0 and (got.g == 2).sum() == 6666 and got.id.is_unique
+
+
+def test_selection_counts_values_once(spark):
+    df = spark.range(3000).selectExpr("id", "double(id % 50) AS a", "double(id % 7) AS b", "int(id % 3 = 0) AS y")
+    root = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    selection.select_features(df, ["a", "b"], "y", ["id"], 2).collect()
+    made = [n.rsplit("-", 5)[0].split("-")[0] for n in set(os.listdir(root)) - before]
+    assert made.count("cells") == 1 and made.count("sample") == 1
