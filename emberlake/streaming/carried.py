@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from emberlake.operators.series import anchored_drift, dry_spell, running_sum
 from emberlake.storage import shared_folder
 
+#: Rows of a stream that a worker holds before it adds them to the state.
+HELD = 100_000
+
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
@@ -83,19 +86,20 @@ def closing(spark: SparkSession) -> tuple[DataFrame, Callable[[], None]]:
     return spark.readStream.schema("at timestamp").parquet(folder), lambda: mark.write.mode("append").parquet(folder)
 
 
-def feature_stream(stream: DataFrame, by: str, ts: str, column: str, *, tie: str | None = None, alpha: float = 0.5, lag: int = 24, delay: str = "1 day", marks: DataFrame | None = None) -> DataFrame:
+def feature_stream(stream: DataFrame, by: str, ts: str, column: str, *, tie: str | None = None, alpha: float = 0.5, lag: int = 24, delay: str = "1 day", marks: DataFrame | None = None, slot: int = 3_600_000_000) -> DataFrame:
     """Exponential mean and row lag of each row of a stream, as the batch operators give them.
 
     Rows may come in any order within ``delay``: they wait in the state until the watermark (the latest time seen less the
     delay) passes them, and leave it in the order of time, then of ``tie``. Rows of equal time all count. A row that comes
-    after the watermark has passed its time is late and is left out, and so is a row without a time. Each key's state is its waiting rows, the mean, its weight and the last ``lag`` values. ``marks``
+    after the watermark has passed its time is late and is left out, and so is a row without a time. Each key's state is its waiting rows, the mean, its weight and the last ``lag`` values.
+    Waiting rows lie in pieces of ``slot`` microseconds, so that a worker holds the rows of one key and slot at a time. ``marks``
     (``closing``) end a feed: without them the last ``delay`` of rows goes on waiting. Needs the RocksDB state store.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
     kinds = dict(stream.dtypes)
     tie_kind = kinds[tie] if tie else "int"
-    waiting = f"t long, tie {tie_kind}, v double"
+    place, waiting = "slot long, piece long", f"t array<long>, tie array<{tie_kind}>, v array<double>"
     # plain names: Spark hands columns that begin with an underscore to the processor under other ones
     at, time, tied, value, end = (n + "_" * (n == by) for n in ("arrived", "row_time", "row_tie", "row_value", "feed_end"))
     names = [by, time, tied, value, "ewma", "lagged"]
@@ -104,7 +108,8 @@ def feature_stream(stream: DataFrame, by: str, ts: str, column: str, *, tie: str
     class Features(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.rows = handle.getListState("waiting", waiting)
+            self.rows = handle.getMapState("waiting", place, waiting)
+            self.pieces = handle.getValueState("pieces", "n long")
             self.summary = handle.getValueState("summary", summary)
             self.timer = handle.getValueState("timer", "at long")
 
@@ -118,45 +123,71 @@ def feature_stream(stream: DataFrame, by: str, ts: str, column: str, *, tie: str
                 self.handle.registerTimer(at)
                 self.timer.update((at,))
 
+        def _keep(self, new: list) -> None:
+            """Add rows to the state, one piece for each slot."""
+            n, slots = (self.pieces.get()[0] if self.pieces.exists() else 0), {}
+            for r in new:
+                slots.setdefault(r[0] // slot, []).append(r)
+            for at, some in slots.items():
+                self.rows.updateValue((at, n), tuple(list(c) for c in zip(*some)))
+                n += 1
+            self.pieces.update((n,))
+
         def handleInputRows(self, key, rows, timerValues):
             passed = timerValues.getCurrentWatermarkInMs() * 1000
-            new = []
+            new, earliest = [], None
             for frame in rows:
                 each = zip(frame.iloc[:, 2], frame.iloc[:, 3], frame.iloc[:, 4])
                 # a watermark of 0 is none yet
                 new += [(int(t), None if k != k else k, None if v != v else float(v)) for t, k, v in each if t > passed or not passed]
+                if len(new) >= HELD:
+                    earliest = min(t for t, _, _ in (new if earliest is None else [*new, (earliest, None, None)]))
+                    self._keep(new)
+                    new = []
             if new:
-                self.rows.appendList(new)
-                self._wake(min(t for t, _, _ in new))
+                earliest = min(t for t, _, _ in (new if earliest is None else [*new, (earliest, None, None)]))
+                self._keep(new)
+            if earliest is not None:
+                self._wake(earliest)
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
 
             passed = timerValues.getCurrentWatermarkInMs() * 1000
-            held = [tuple(r) for r in self.rows.get()]
-            due = sorted((r for r in held if r[0] <= passed), key=lambda r: (r[0], r[1] is not None, r[1] if r[1] is not None else 0))
-            rest = [r for r in held if r[0] > passed]
+            slots = {}
+            for at, piece in self.rows.keys():
+                slots.setdefault(at, []).append(piece)
             self.timer.clear()
-            if rest:
-                self.rows.put(rest)
-                self._wake(min(r[0] for r in rest))
-            else:
-                self.rows.clear()
             y, weight, ring = self.summary.get() if self.summary.exists() else (None, 1.0, [])
-            ring, made = list(ring), []
-            for t, k, v in due:
-                if y is not None:
-                    weight *= 1 - alpha
-                    if v is not None:
-                        y, weight = (weight * y + alpha * v) / (weight + alpha), 1.0
-                else:
-                    y = v
-                made.append((*key, t, k, v, y, ring[0] if len(ring) == lag else None))
-                ring = [*ring, v][-lag:]
-            if made:
-                self.summary.update((y, weight, ring))
-                yield pd.DataFrame(made, columns=names).astype({c: "float64" for c in names[3:]})
+            ring, wake = list(ring), []
+            for at in sorted(slots):
+                if at * slot > passed:
+                    wake.append(at * slot)  # its rows come no earlier
+                    break
+                held = [r for piece in sorted(slots[at]) for r in zip(*self.rows.getValue((at, piece)))]
+                for piece in slots[at]:
+                    self.rows.removeKey((at, piece))
+                due = sorted((r for r in held if r[0] <= passed), key=lambda r: (r[0], r[1] is not None, r[1] if r[1] is not None else 0))
+                rest = [r for r in held if r[0] > passed]
+                if rest:
+                    self._keep(rest)
+                    wake.append(min(r[0] for r in rest))
+                made = []
+                for t, k, v in due:
+                    if y is not None:
+                        weight *= 1 - alpha
+                        if v is not None:
+                            y, weight = (weight * y + alpha * v) / (weight + alpha), 1.0
+                    else:
+                        y = v
+                    made.append((*key, t, k, v, y, ring[0] if len(ring) == lag else None))
+                    ring = [*ring, v][-lag:]
+                if made:
+                    yield pd.DataFrame(made, columns=names).astype({c: "float64" for c in names[3:]})
+            self.summary.update((y, weight, ring))
+            if wake:
+                self._wake(min(wake))
 
         def close(self) -> None:
             pass

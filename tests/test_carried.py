@@ -125,3 +125,17 @@ def test_places_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/1/lineitem.parquet/*.parquet')")
     assert compare.compare(catalog.QUERIES["drift"](spark, f"{tmp_path}/0"), con, catalog.ORACLE_SQL["drift"]) == ""
+
+
+def test_waiting_rows_are_held_a_slot_at_a_time(spark, tmp_path):
+    """Two days of one key in slots of an hour, out of order: each frame of results comes from one slot only."""
+    rows = [(i, 1, T(0) + dt.timedelta(seconds=(i * 7919) % 172_800), float(i % 13)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, city int, ts timestamp, x double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    src = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    outs = []
+    for slot in (3_600_000_000, 10**15):
+        marks, close = carried.closing(spark)
+        out = carried.replay(carried.feature_stream(src, "city", "ts", "x", tie="id", alpha=0.4, lag=3, delay="90 days", marks=marks, slot=slot), "slots", close)
+        outs.append(sorted(out.select("id", "ewma", F.coalesce("lagged", F.lit(-1.0))).collect()))
+    assert outs[0] == outs[1] and len(outs[0]) == 4000
