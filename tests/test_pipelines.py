@@ -118,3 +118,28 @@ def test_experiments_have_a_row_for_each_kind(spark):
     assert {(r["scenario"], r["model"]) for r in out} == {(s, m) for s in "xy" for m in ("naive_bayes", "prior", "stratified")}
     prior = next(r for r in out if r["model"] == "prior")
     assert prior["roc_auc"] == 0.5 and prior["n_test"] == kept.where("split = 'test'").count()
+
+
+def test_equal_rows_train_and_count_together(spark):
+    rng = np.random.default_rng(11)
+    rows = [(float(a), float(b), int(rng.random() < (0.8 if a + b > 5 else 0.3)), 2000 + i % 5) for i, (a, b) in enumerate(rng.integers(0, 6, (3000, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, y int, year int").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    models.train("svm", df.mapInPandas(count, df.schema), ["a", "b"], "y", time="year")
+    assert seen.value == len(rows)  # rows are read once, whatever the number of iterations
+    apart = models.told_apart(df, ["a", "b", "y"])
+    assert apart.count() <= 72 and apart.agg(F.sum("_times")).first()[0] == len(rows)
+    for kind in ("logistic", "naive_bayes", "boosted"):
+        plain = models._fit(kind, df, ["a", "b"], "y", None, {})
+        model = models.train(kind, df, ["a", "b"], "y")
+        points = apart.select("a", "b").distinct()
+        one, two = ({(r.a, r.b): r.probability_1 for r in models.Trained(kind, m, ["a", "b"]).score(points).collect()} for m in (plain, model.model))
+        assert all(abs(one[k] - two[k]) < 1e-4 for k in one)
+        whole, told = models.evaluate(model.score(df), "y").first(), models.evaluate(model.score(apart), "y").first()
+        assert all(abs(whole[c] - told[c]) < 1e-9 for c in whole.asDict())
