@@ -143,3 +143,33 @@ def test_equal_rows_train_and_count_together(spark):
         assert all(abs(one[k] - two[k]) < 1e-4 for k in one)
         whole, told = models.evaluate(model.score(df), "y").first(), models.evaluate(model.score(apart), "y").first()
         assert all(abs(whole[c] - told[c]) < 1e-9 for c in whole.asDict())
+
+
+def test_forest_draws_numbers_of_equal_rows(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), int(rng.random() < (0.8 if a * b > 6 else 0.2))) for a, b in rng.integers(0, 6, (6000, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    apart = models.told_apart(df, ["a", "b", "y"])
+    points = apart.select("a", "b").distinct()
+    score = lambda m: {(r.a, r.b): r.probability_1 for r in m.score(points).collect()}
+    made = [models.train("forest", d, ["a", "b"], "y", numTrees=6) for d in (apart, apart.repartition(3))]
+    assert score(made[0]) == score(made[1])  # whatever the partitions
+    single = score(models.train("forest", df, ["a", "b"], "y", numTrees=20))
+    assert all(abs(p - single[k]) < 0.15 for k, p in score(made[0]).items())
+    assert abs(sum(v for _, v in made[0].importances()) - 1) < 1e-9
+    models.save_model(made[0], f"file://{tmp_path}/forest")
+    assert score(models.load_model(spark, f"file://{tmp_path}/forest")) == score(made[0])
+    with pytest.raises(ValueError):
+        models.train("forest", apart, ["a", "b"], "y", minInstancesPerNode=3)
+
+
+def test_experiment_writes_distinct_rows_only(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), int(rng.random() < 0.2 + 0.15 * a), 2000 + i % 5) for i, a in enumerate(rng.integers(0, 4, 4000))]
+    split = sampling.holdout(spark.createDataFrame(rows, "id int, a double, y int, year int"), "year", 1)
+    most, plain = [], models.materialize
+    monkeypatch.setattr(models, "materialize", lambda df, name: (most.append((name, plain(df, name).count())), plain(df, name))[1])
+    out = models.experiment(split, "F", ["naive_bayes", "forest"], ["a"], "y", year="year", keys=["id"], variations=models.VARIATIONS[:1]).collect()
+    out += models.experiment(split, "F", ["naive_bayes"], ["a"], "y", year="year", keys=["id"], variations=models.VARIATIONS[1:2]).collect()
+    assert max(n for _, n in most) <= 4 * 2 * 5, most  # values, labels, years
+    assert all((r.n_train, r.n_test, r.tp + r.fp + r.tn + r.fn) == (3200, 800, 800) for r in out) and len(out) == 3
