@@ -173,3 +173,24 @@ def test_experiment_writes_distinct_rows_only(spark, monkeypatch):
     out += models.experiment(split, "F", ["naive_bayes"], ["a"], "y", year="year", keys=["id"], variations=models.VARIATIONS[1:2]).collect()
     assert max(n for _, n in most) <= 4 * 2 * 5, most  # values, labels, years
     assert all((r.n_train, r.n_test, r.tp + r.fp + r.tn + r.fn) == (3200, 800, 800) for r in out) and len(out) == 3
+
+
+def test_rows_are_not_dealt_out_by_few_groups(spark, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    # no join by Spark's own size check
+    off = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in off}
+    plans = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    try:
+        for k in off:
+            spark.conf.set(k, "-1")
+        some = sampling.downsample(df, "y", ["id"], 0.5, per=["g"])
+        assert "BroadcastHashJoin" in plans(some) and "SortMergeJoin" not in plans(some)
+        monkeypatch.setattr(sampling, "FEW", 2)
+        many = sampling.downsample(df, "y", ["id"], 0.5, per=["g"])
+        assert "SortMergeJoin" in plans(many)
+        ids = lambda d: sorted(r["id"] for r in d.collect())
+        assert ids(some) == ids(many) and len(ids(some)) == 900
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
