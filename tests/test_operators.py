@@ -474,3 +474,15 @@ def test_selection_counts_values_once(spark):
     selection.select_features(df, ["a", "b"], "y", ["id"], 2).collect()
     made = [n.rsplit("-", 5)[0].split("-")[0] for n in set(os.listdir(root)) - before]
     assert made.count("cells") == 1 and made.count("sample") == 1
+
+
+def test_redundancy_is_judged_on_all_rows(spark):
+    n = 240_000  # more than the 200,000 of the sample that was taken before
+    df = spark.range(n).selectExpr("id", "double(hash(id) % 997) AS a", "double(hash(id) % 997 + hash(id, 1) % 700) AS b", "CASE WHEN id % 6 <> 0 THEN double(id % 7) END AS c", "5.0D AS same")
+    got, want = selection.correlations(df, ["a", "b"], ["id"]), df.select("a", "b").toPandas().rank().corr().abs()
+    assert all(abs(got[f, g] - want.loc[f, g]) < 1e-9 for f in "ab" for g in "ab")
+    some = selection.correlations(df, ["a", "b"], ["id"], most=1000)
+    assert abs(some["a", "b"] - got["a", "b"]) > 1e-6
+    gappy, want = selection.correlations(df, ["a", "b", "c", "same"], ["id"]), df.where("c IS NOT NULL").select("a", "b", "c").toPandas().rank().corr().abs()
+    assert all(abs(gappy[f, g] - want.loc[f, g]) < 1e-9 for f in "abc" for g in "abc") and np.isnan(gappy["a", "same"])
+    assert all(np.isnan(x) for x in selection.correlations(df.limit(0), ["a", "b"], ["id"]).values())
