@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 
 import duckdb
 import numpy as np
@@ -194,3 +195,45 @@ def test_rows_are_not_dealt_out_by_few_groups(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_fits_of_few_rows_run_at_the_same_time(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b), int(rng.random() < (0.7 if a > b else 0.2)), 2000 + i % 6) for i, (a, b) in enumerate(rng.integers(0, 9, (3000, 2)))]
+    split = sampling.holdout(spark.createDataFrame(rows, "id int, a double, b double, y int, year int").repartition(6), "year", 2)
+    made, now, most, plain, lock = [], [], [], models._fit, threading.Lock()
+
+    def fit(*args):
+        with lock:
+            now.append(args)
+            most.append(len(now))
+        try:
+            return plain(*args)
+        finally:
+            with lock:
+                now.pop()
+
+    monkeypatch.setattr(models, "_fit", fit)
+    for bound in (models.TOGETHER, 1):
+        monkeypatch.setattr(models, "TOGETHER", bound)
+        most.clear()
+        out = models.experiments({"x": (split, ["a", "b"])}, ["logistic", "naive_bayes", *models.BASELINES], "y", ["id"], year="year").collect()
+        made.append({(r.scenario, r.model): r.asDict() for r in out})
+        assert (max(most) > 1) == (bound > 1)  # many rows one after the other
+    assert made[0].keys() == made[1].keys() and len(made[0]) == 4
+    for key, one in made[0].items():
+        assert all(v == pytest.approx(made[1][key][c], rel=1e-3) if isinstance(v, float) else v == made[1][key][c] for c, v in one.items()), key
+    prior, stratified = made[0]["x", "prior"], made[0]["x", "stratified"]
+    test = [r for r in rows if r[4] >= 2004]
+    rate = np.mean([r[3] for r in rows if r[4] < 2004])
+    assert (prior["n_train"], prior["n_test"], prior["n_test_positive"]) == (3000 - len(test), len(test), sum(r[3] for r in test))
+    assert prior["brier"] == pytest.approx(np.mean([(rate - r[3]) ** 2 for r in test])) and stratified["tp"] + stratified["fn"] == prior["n_test_positive"]
+
+
+def test_few_rows_are_one_task_of_a_fit(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 3 == 0).cast("int").alias("y")).repartition(5)
+    found, plain = [], models.VectorAssembler.transform
+    monkeypatch.setattr(models.VectorAssembler, "transform", lambda self, rows, *more: (found.append(rows.rdd.getNumPartitions()), plain(self, rows, *more))[1])
+    told = models.told_apart(df, ["a", "y"]).repartition(4)
+    models.train("logistic", told, ["a"], "y")
+    assert found == [1]
