@@ -486,3 +486,17 @@ def test_redundancy_is_judged_on_all_rows(spark):
     gappy, want = selection.correlations(df, ["a", "b", "c", "same"], ["id"]), df.where("c IS NOT NULL").select("a", "b", "c").toPandas().rank().corr().abs()
     assert all(abs(gappy[f, g] - want.loc[f, g]) < 1e-9 for f in "abc" for g in "abc") and np.isnan(gappy["a", "same"])
     assert all(np.isnan(x) for x in selection.correlations(df.limit(0), ["a", "b"], ["id"]).values())
+
+
+def test_values_are_not_dealt_out_by_feature(spark):
+    df = spark.range(2000).selectExpr("double(id) AS a", "double(id % 7) AS b", "int(id % 3 = 0) AS y")
+    off = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k in off:
+            spark.conf.set(k, "-1")  # no join by Spark's own size check
+        plan = stats.binned_mutual_information(df, ["a", "b"], "y")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan  # the sizes of features are sent, ranks are joined by value
